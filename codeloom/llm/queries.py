@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table
+from codeloom.llm.audio import audio_features, encode_audio
+from codeloom.llm.common import crc_bucket, read_table
 from codeloom.llm.compression_bands import compression_bands
+from codeloom.llm.ppm_language import language_scores, learn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,19 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = encode_audio(read_table(spark, sf_dir, "documents"))
+    digests = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return audio_features(media, ["doc_id", "n_bytes"], outputs=digests)
+
+
+def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    model = learn(docs.where(~held_out), "doc_id", "text", "lang")
+    return language_scores(docs.withColumn("held_out", held_out), ["doc_id", "held_out"], "text", model)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
