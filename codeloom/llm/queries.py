@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.audio import audio_features, encode_audio
 from codeloom.llm.common import crc_bucket, read_table
 from codeloom.llm.compression_bands import compression_bands
+from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
 from codeloom.llm.ppm_language import language_scores, learn
+from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +34,17 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(docs.withColumn("held_out", held_out), ["doc_id", "held_out"], "text", model)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source"))))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mix_sources_sql(), "op8_secret_scan": scan_secrets_sql()}
