@@ -13,6 +13,7 @@ from codeloom.llm.compression_bands import compression_bands
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
 from codeloom.llm.ppm_language import language_scores, learn
 from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
+from codeloom.llm.suffix_tree import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source"))))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
