@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.audio import audio_features, encode_audio
 from codeloom.llm.common import crc_bucket, read_table
 from codeloom.llm.compression_bands import compression_bands
+from codeloom.llm.line_align import dedup_lines
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
 from codeloom.llm.ppm_language import language_scores, learn
 from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
@@ -39,6 +40,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source"))))
 
 
+def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"), F.length("kept_text").cast("bigint").alias("kept_chars"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
