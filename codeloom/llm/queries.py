@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.audio import audio_features, encode_audio
 from codeloom.llm.common import crc_bucket, read_table
 from codeloom.llm.compression_bands import compression_bands
+from codeloom.llm.jaccard_join import similar_groups
 from codeloom.llm.line_align import dedup_lines
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
 from codeloom.llm.ppm_language import language_scores, learn
@@ -36,6 +37,10 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(docs.withColumn("held_out", held_out), ["doc_id", "held_out"], "text", model)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source"))))
 
