@@ -175,7 +175,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: Ali
     lines = materialize(line_hashes(docs, key, text).dropDuplicates(["key"]), "line-hashes")
     pairs = materialize(overlapping(lines, c), "line-pairs")
     gone = materialize(aligned(pairs, lines, c), "lines-gone").withColumnsRenamed({"key": "_key", "gone": "_gone"})
-    all_rows = docs.join(gone, F.col(key).cast("bigint") == F.col("_key"), "left")
+    # By hash, so texts are dealt out but never sorted; the lists of lines are small beside them.
+    all_rows = docs.join(gone.hint("shuffle_hash"), F.col(key).cast("bigint") == F.col("_key"), "left")
     return all_rows.withColumns(
         {
             "kept_text": without(F.col(text), F.col("_gone")),
