@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.audio import audio_features, encode_audio
-from codeloom.llm.common import crc_bucket, read_table
+from codeloom.llm.common import crc_bucket, materialize, read_table
 from codeloom.llm.compression_bands import compression_bands
 from codeloom.llm.jaccard_join import similar_groups
 from codeloom.llm.line_align import dedup_lines
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
 from codeloom.llm.piece_tokenizer import decode_pieces, encode_pieces, load_model
 from codeloom.llm.ppm_language import language_scores, learn
+from codeloom.llm.rule_ensemble import learn_quality, score_column, text_statistics
 from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
 from codeloom.llm.suffix_tree import remove_repeats
 
@@ -43,6 +44,15 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(media, ["doc_id", "n_bytes"], outputs=digests)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold of 0.3 is the query's; the score is the model's probability."""
+    stats = materialize(text_statistics(read_table(spark, sf_dir, "documents")), "quality-statistics")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    model = learn_quality(stats, read_table(spark, sf_dir, "labels").where(~held_out), "doc_id", "quality")
+    scored = stats.select("doc_id", held_out.alias("held_out"), score_column(model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
