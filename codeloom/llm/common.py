@@ -41,6 +41,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
 
 
+def once(name: tuple, make: Callable[[], object]) -> object:
+    """make(), or what it gave for this name before in this worker. (A wrapped lru_cache would be shipped by name.)"""
+    cache = worker_cache()
+    if name not in cache:
+        cache[name] = make()
+    return cache[name]
+
+
 def map_texts(
     df: DataFrame, key: str, text: str, schema: str, fn: Callable[[str | None], tuple], slice_rows: int = 500
 ) -> DataFrame:
@@ -64,12 +72,16 @@ def map_texts(
     return df.select(F.col(key), F.col(text)).mapInArrow(cast, f"`{key}` {key_type}, {schema}")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one for this machine where none is set."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    """The folder that driver and executors share; one on this machine only where none is set, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not at and app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+    return at or _own_dirs[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

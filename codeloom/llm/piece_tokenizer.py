@@ -17,6 +17,7 @@ Characters that are no piece become bytes, as the model's byte fallback has it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,8 +70,6 @@ class PieceModel:
 
 def load_model(path: str) -> PieceModel:
     """Read a model file, on the driver. Only models without a normalizing table are taken."""
-    import hashlib
-
     from sentencepiece import sentencepiece_model_pb2
 
     with open(path, "rb") as f:
@@ -92,9 +91,11 @@ def load_model(path: str) -> PieceModel:
 class Encoder:
     def __init__(self, m: PieceModel) -> None:
         self.m = m
-        self.known: dict[str, bytes] = {}  # unit to its ids, 4 bytes each
+        # Units to their ids, 4 bytes each: those seen lately, and those seen before these.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pair: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.packed_piece = {p: np.int32(i).tobytes() for p, i in m.ids.items()}
 
     # byte-pair models
 
@@ -121,21 +122,24 @@ class Encoder:
             got = self.pair[a, b] = self.merged(a + b) == [a, b]
         return got
 
-    def is_whole(self, piece: str) -> bool:
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = self.merged(piece) == [piece]
-        return got
+    @cached_property
+    def whole(self) -> set[str]:
+        """Pieces that merging gives for their own text."""
+        return {p for p in self.m.ids if self.merged(p) == [p]}
 
     def step_bpe(self, word: str, end: int, states: list) -> tuple | None:
         """(start, piece) of the piece that ends word[:end]: longer ones first. None where merging has to say."""
-        ids = self.m.ids
-        for start in range(max(0, end - self.m.longest), end):
+        whole, pair = self.whole, self.pair
+        for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
-            if (piece in ids or start == end - 1) and self.is_whole(piece):
+            if piece in whole or (start == end - 1 and piece not in self.m.ids):
+                if not start:
+                    return 0, piece
                 before = states[start]
-                if start == 0 or (before is not None and self.stays(before[1], piece)):
-                    return start, piece
+                if before is not None:
+                    good = pair.get((before[1], piece))
+                    if self.stays(before[1], piece) if good is None else good:
+                        return start, piece
         return None
 
     # unigram models
@@ -144,7 +148,7 @@ class Encoder:
         """(start, piece, score) of the best path to word[:end]; the longer piece on a tie."""
         ids, scores = self.m.ids, self.m.scores
         best = None
-        for start in range(max(0, end - self.m.longest), end):
+        for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
             k = ids.get(piece)
             own = scores[k] if k is not None else self.unknown_score if start == end - 1 else None
@@ -154,6 +158,10 @@ class Encoder:
                     best = (start, piece, total)
         return best
 
+    @cached_property
+    def longest(self) -> int:
+        return self.m.longest
+
     @cached_property
     def unknown_score(self) -> float:
         return min((s for s, t in zip(self.m.scores, self.m.types) if t == NORMAL), default=0.0) - 10.0
@@ -182,22 +190,26 @@ class Encoder:
             last = word
 
     def packed(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            k = self.m.ids.get(p)
-            out += [k] if k is not None else [self.m.byte_ids[b] for b in p.encode("utf-8", "replace")]
-        return np.array(out, np.int32).tobytes()
+        ids = self.packed_piece
+        try:
+            return b"".join([ids[p] for p in pieces])
+        except KeyError:  # bytes for what is no piece
+            return b"".join([ids[p] if p in ids else np.array([self.m.byte_ids[x] for x in p.encode("utf-8", "replace")], np.int32).tobytes() for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, 4 bytes each."""
         cut = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known) if cut else set()
-        if len(self.known) + len(new) > CACHED_UNITS:
-            self.known.clear()
-            new = set().union(*cut)
+        if len(self.known) > CACHED_UNITS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for u in set().union(*cut).difference(known):
+            if u in before:
+                known[u] = before[u]
+            else:
+                new.append(u)
         self.encode_units(sorted(new))
-        known = self.known
-        return [b"".join([known[u] for u in units]) for units in cut]
+        return [b"".join(map(known.__getitem__, units)) for units in cut]
 
 
 def decode_ids(ids: np.ndarray, m: PieceModel) -> str:
@@ -206,6 +218,32 @@ def decode_ids(ids: np.ndarray, m: PieceModel) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def round_trips(docs: DataFrame, m: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_ids, ids_sha256, round_trip): every text encoded, and decoded again from the packed ids.
+
+    ids_sha256 is that of the ids as 4 bytes each, the lowest first. For where the ids
+    themselves aren't wanted; encode_pieces() and decode_pieces() give columns. A text with
+    the mark character itself doesn't come back as it was, as the mark stands for a space.
+    """
+    packed = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(packed)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                texts = part.column(1).to_pylist()
+                rows = [
+                    (len(x) // 4, hashlib.sha256(x).hexdigest(), decode_ids(np.frombuffer(x, np.int32), encoder.m) == (t or ""))
+                    for t, x in zip(texts, encoder.encode(texts))
+                ]
+                cols = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], [key, "n_ids", "ids_sha256", "round_trip"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_ids bigint, ids_sha256 string, round_trip boolean")
+
+
 def _encoder(packed) -> Encoder:
     cache, m = worker_cache(), packed.value
     if (got := cache.get("piece_encoder")) is None or got.m.name != m.name:

@@ -13,7 +13,7 @@ from codeloom.llm.compression_bands import compression_bands
 from codeloom.llm.jaccard_join import similar_groups
 from codeloom.llm.line_align import dedup_lines
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
-from codeloom.llm.piece_tokenizer import decode_pieces, encode_pieces, load_model
+from codeloom.llm.piece_tokenizer import load_model, round_trips
 from codeloom.llm.ppm_language import language_scores, learn
 from codeloom.llm.rule_ensemble import learn_quality, score_column, text_statistics
 from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
@@ -24,14 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
-    model = load_model(model_file)
-    rows = encode_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return decode_pieces(rows, model).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_ids"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"),
-    )
+    return round_trips(read_table(spark, sf_dir, "documents"), load_model(model_file))
 
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
