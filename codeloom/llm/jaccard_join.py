@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, materialize
+from codeloom.llm.common import as_bytes, materialize, once
 from codeloom.llm.components import connected
 from codeloom.llm.suffix_tree import pack, unpack
 
@@ -96,8 +95,11 @@ def allocate(index: int, low: int, high: int, smallest: int, c: JoinConfig) -> B
     return Band(index, low, high, m * c.extra_segments, False)
 
 
-@lru_cache(maxsize=256)
 def band(index: int, c: JoinConfig) -> Band:
+    return once(("jaccard-band", index, c.words, c.percent, c.extra_segments), lambda: make_band(index, c))
+
+
+def make_band(index: int, c: JoinConfig) -> Band:
     """Bands of sizes 1, 2-6, and from 7 on by factors of 4 (for a similarity of 0.75)."""
     if index < 0:
         return Band(index, 0, 0, 0, False)
@@ -286,18 +288,37 @@ def verified(pairs: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+SKETCH_WORDS = 16
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the parities of how many shingles fall in each of 1024 cells, as 16 whole numbers.
+
+    Two sets have as many different parities as the size of their difference, at most.
+    """
+    out = np.empty((len(sets), SKETCH_WORDS), np.int64)
+    for i, s in enumerate(sets):
+        odd = np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def set_table(docs: DataFrame, c: JoinConfig) -> DataFrame:
+    """(key, shingles, sketch)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingles(t, c).view(np.int64) for t in part.column(1).to_pylist()]
+                found = [shingles(t, c) for t in part.column(1).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+                values = pa.array(np.concatenate(found).view(np.int64))
+                marks = pa.FixedSizeListArray.from_arrays(pa.array(sketches(found).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], ["key", "shingles"]
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), marks], ["key", "shingles", "sketch"]
                 )
 
-    return docs.mapInArrow(run, "key bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "key bigint, shingles array<bigint>, sketch array<bigint>")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c: JoinConfig = JoinConfig()) -> DataFrame:
@@ -346,14 +367,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
         # Subsets of failed pairs: all that have them, by the component they are in so far.
         open_codes = shared.join(failed, ["a", "b"], "left_semi").select("code").distinct()
         members = shared.join(open_codes, "code").select("code", F.col("b").alias("node"), "size")
-        members = members.join(groups, "node", "left").select("code", "node", "size", F.coalesce("component", "node").alias("component"))
+        members = members.join(groups, "node", "left").join(sets.select(F.col("key").alias("node"), "sketch"), "node")
+        members = members.select("code", "node", "size", F.coalesce("component", "node").alias("component"), "sketch")
         members = materialize(members, "jaccard-open")
-        other = members.toDF("code", "node2", "size2", "component2")
+        other = members.toDF("code", "node2", "size2", "component2", "sketch2")
+        # Parities bound the difference from below, so no pair that could be linked is left out.
+        differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
         more = (
             members.join(other, "code")
             .where(F.col("node") < F.col("node2"))
             .where("component <> component2")
             .where(f"100 * least(size, size2) >= {c.percent} * greatest(size, size2)")
+            .where(differ * (100 + c.percent) <= (F.col("size") + F.col("size2")) * (100 - c.percent))
             .select(F.col("node").alias("a"), F.col("node2").alias("b"))
             .distinct()
             .join(failed, ["a", "b"], "left_anti")
