@@ -76,10 +76,10 @@ def _handed_down(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return n.withColumn("budget", F.when(is_full, F.col("capacity")).otherwise(F.greatest(share, F.lit(0))).cast("bigint"))
 
 
-def counted(docs: DataFrame, key: str, text: str, c: MixConfig) -> DataFrame:
-    """key, the levels as _l0, _l1, ..., and n_tokens: the words of the whole text."""
+def counted(docs: DataFrame, key: str, text: str, c: MixConfig, keep: list[str] | None = None) -> DataFrame:
+    """key (or all of ``keep``), the levels as _l0, _l1, ..., and n_tokens: the words of the whole text."""
     levels = [F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(f"_l{i}") for i, x in enumerate(c.levels)]
-    return docs.select(F.col(key), *levels, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
+    return docs.select(*[F.col(k) for k in keep or [key]], *levels, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
 
 
 def _rank(key: str, epoch: Column, c: MixConfig) -> Column:

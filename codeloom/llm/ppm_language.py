@@ -221,6 +221,7 @@ def language_scores(docs: DataFrame, keep: list[str], text: str, model: Ppm) ->
                 )
 
     model_langs = model.langs
-    narrow = docs.select(*[F.col(k) for k in keep], F.col(text), F.coalesce(F.col(text).rlike(LETTER), F.lit(False)))
+    has_letter = F.coalesce(F.col(text).rlike(LETTER), F.lit(False))
+    narrow = docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text"), has_letter.alias("_letter"))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return narrow.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
