@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from codeloom.plans import registry
 
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("relational", "graph", "quality", "history", "search", "resolution", "federation", "documents", "sources", "store", "stream")
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"codeloom.plans.{m}")
+
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.ORACLE)
