@@ -84,7 +84,7 @@ def _for(engine: str, text: str) -> str:
     if engine == "spark":
         text = re.sub(r"EPOCH\(([^)]*)\)", r"unix_timestamp(\1)", text)
         return text.replace("varchar(9)", "string").replace("varchar(12)", "string").replace("varchar(4)", "string").replace("varchar(3)", "string")
-    return re.sub(r"EPOCH\(([^)]*)\)", r"CAST(epoch(\1) AS BIGINT)", text)
+    return re.sub(r"EPOCH\(([^)]*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", text)
 
 
 class Model:
