@@ -356,7 +356,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
     leads = materialize(posted.groupBy("code").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("code", "a"), "jaccard-leads")
     shared = materialize(posted.join(leads, "code").select("code", "a", F.col("key").alias("b"), "size"), "jaccard-shared")
     involved = shared.select(F.col("b").alias("key")).distinct()
-    sets = materialize(set_table(texts.join(involved, "key"), c), "jaccard-sets").dropDuplicates(["key"])
+    # Each key once before it is written, so that joins read it from an exchange and a hot lead can be split.
+    sets = materialize(set_table(texts.join(involved, "key"), c).dropDuplicates(["key"]), "jaccard-sets")
     pairs = materialize(shared.where("a <> b").select("a", "b").distinct(), "jaccard-pairs")
     judged = materialize(verified(pairs, sets, c), "jaccard-judged")
     links = judged.where("linked").select("a", "b").union(sizes.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")))
