@@ -49,6 +49,22 @@ def once(name: tuple, make: Callable[[], object]) -> object:
     return cache[name]
 
 
+def heavy(name: tuple, make: Callable[[], object]) -> object:
+    """As once(), for what takes much memory: a worker holds one such object, the last asked for."""
+    cache = worker_cache()
+    if cache.get("heavy_name") != name:
+        release_heavy()
+        cache["heavy_name"], cache["heavy"] = name, make()
+    return cache["heavy"]
+
+
+def release_heavy() -> None:
+    """Give up what heavy() holds, for operators that need the memory for their own work."""
+    cache = worker_cache()
+    cache["heavy_name"] = cache["heavy"] = None
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     df: DataFrame, key: str, text: str, schema: str, fn: Callable[[str | None], tuple], slice_rows: int = 500
 ) -> DataFrame:

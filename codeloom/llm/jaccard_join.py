@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, materialize, once
+from codeloom.llm.common import as_bytes, materialize, once, release_heavy
 from codeloom.llm.components import connected
 from codeloom.llm.suffix_tree import pack, unpack
 
@@ -175,6 +175,7 @@ def send_subsets(n_groups: int, c: JoinConfig):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, materialize
+from codeloom.llm.common import as_bytes, materialize, release_heavy
 
 SPACES = b" \t\r\x0b\x0c"
 
@@ -42,6 +42,7 @@ def line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, hashes, sizes): a hash and the bytes of each line; 0 for a line without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import worker_cache
+from codeloom.llm.common import heavy
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the file format
 UNIGRAM, BPE = 1, 2
-CACHED_UNITS = 400_000
+CACHED_UNITS = 350_000
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,6 @@ class PieceModel:
         unknown = self.types.index(UNKNOWN)
         return [at.get(f"<0x{b:02X}>", unknown) for b in range(256)]
 
-    @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.ids), default=1)
-
     @cached_property
     def bytes_of(self) -> list[bytes]:
         """The bytes an id stands for. Control pieces stand for none."""
@@ -127,10 +123,10 @@ class Encoder:
         """Pieces that merging gives for their own text."""
         return {p for p in self.m.ids if self.merged(p) == [p]}
 
-    def step_bpe(self, word: str, end: int, states: list) -> tuple | None:
+    def step_bpe(self, word: str, end: int, states: list, starts: list[int]) -> tuple | None:
         """(start, piece) of the piece that ends word[:end]: longer ones first. None where merging has to say."""
         whole, pair = self.whole, self.pair
-        for start in range(max(0, end - self.longest), end):
+        for start in starts:
             piece = word[start:end]
             if piece in whole or (start == end - 1 and piece not in self.m.ids):
                 if not start:
@@ -144,11 +140,11 @@ class Encoder:
 
     # unigram models
 
-    def step_unigram(self, word: str, end: int, states: list) -> tuple:
+    def step_unigram(self, word: str, end: int, states: list, starts: list[int]) -> tuple:
         """(start, piece, score) of the best path to word[:end]; the longer piece on a tie."""
         ids, scores = self.m.ids, self.m.scores
         best = None
-        for start in range(max(0, end - self.longest), end):
+        for start in starts:
             piece = word[start:end]
             k = ids.get(piece)
             own = scores[k] if k is not None else self.unknown_score if start == end - 1 else None
@@ -159,8 +155,9 @@ class Encoder:
         return best
 
     @cached_property
-    def longest(self) -> int:
-        return self.m.longest
+    def beginnings(self) -> set[str]:
+        """All that a piece begins with."""
+        return {p[:k] for p in self.m.ids for k in range(1, len(p) + 1)}
 
     @cached_property
     def unknown_score(self) -> float:
@@ -169,9 +166,14 @@ class Encoder:
     # both
 
     def encode_units(self, units: list[str]) -> None:
-        """Walk sorted units as a trie; states[i] is the forward state of the current word's first i letters."""
+        """Walk sorted units as a trie; states[i] is the forward state of the current word's first i letters.
+
+        open_[i] has the places from where these letters go on as a piece, or could yet.
+        """
         step = self.step_bpe if self.m.kind == BPE else self.step_unigram
+        beginnings = self.beginnings
         states: list = [(0, "", 0.0)]
+        open_: list[list[int]] = [[]]
         last = ""
         for word in units:
             same = 0
@@ -179,9 +181,12 @@ class Encoder:
                 if x != y:
                     break
                 same += 1
-            del states[same + 1 :]
+            del states[same + 1 :], open_[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                states.append(step(word, end, states))
+                starts = [i for i in open_[-1] if word[i:end] in beginnings]
+                starts.append(end - 1)
+                open_.append(starts)
+                states.append(step(word, end, states, starts))
             pieces, end = [], len(word)
             while end and states[end] is not None:
                 pieces.append(states[end][1])
@@ -230,8 +235,8 @@ def round_trips(docs: DataFrame, m: PieceModel, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(packed)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
                 texts = part.column(1).to_pylist()
                 rows = [
                     (len(x) // 4, hashlib.sha256(x).hexdigest(), decode_ids(np.frombuffer(x, np.int32), encoder.m) == (t or ""))
@@ -245,10 +250,7 @@ def round_trips(docs: DataFrame, m: PieceModel, key: str = "doc_id", text: str =
 
 
 def _encoder(packed) -> Encoder:
-    cache, m = worker_cache(), packed.value
-    if (got := cache.get("piece_encoder")) is None or got.m.name != m.name:
-        got = cache["piece_encoder"] = Encoder(m)
-    return got
+    return heavy(("pieces", packed.value.name), lambda: Encoder(packed.value))
 
 
 def encode_pieces(docs: DataFrame, m: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:

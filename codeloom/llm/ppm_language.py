@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, worker_cache
+from codeloom.llm.common import as_bytes, heavy
 
 LETTER = r"\p{L}"
 
@@ -189,10 +189,7 @@ def language_scores(docs: DataFrame, keep: list[str], text: str, model: Ppm) ->
     packed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if cache.get("ppm_name") != name:
-            cache.update(ppm_name=name, ppm=Tables(packed.value) if n_lang else None)
-        tables = cache["ppm"]
+        tables = heavy(("ppm", name), lambda: Tables(packed.value)) if n_lang else None
         for b in batches:
             at = 0
             sizes = np.diff(np.frombuffer(b.column(len(keep)).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(len(keep)).offset)) if b.num_rows else []

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes
+from codeloom.llm.common import as_bytes, release_heavy
 
 ENTRY = "bucket int, prints binary, keys binary, places binary"
 
@@ -172,6 +172,7 @@ def send_prefixes(n_groups: int, c: RepeatConfig) -> Callable:
     """(key, text) to entries: each anchor's prefix, once a block; and all places of those that the block repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
         for batch in batches:
             for b, _ in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c):
                 v, least, fits = anchored(b, c)
