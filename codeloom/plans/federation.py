@@ -1 +1,35 @@
-"""Queries."""
+"""Queries between repositories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeloom.operators import resolution as Q
+from codeloom.plans.registry import add
+
+SOLE = "sole AS (SELECT key, min(member) AS pm, min(symbol) AS ps FROM providers GROUP BY key HAVING count(*) = 1)"
+BRIDGE = f"{SOLE}, b AS (SELECT key, member, symbol, pm AS to_member, ps AS to_symbol FROM consumers JOIN sole USING (key) WHERE member <> pm)"
+OUT = "n AS (SELECT key, count(*) AS n, min(member) AS pm FROM providers GROUP BY key), o AS (SELECT c.*, CASE WHEN n IS NULL THEN 'no-provider' WHEN n > 1 THEN 'ambiguous' WHEN pm <> c.member THEN 'bound' END AS outcome FROM consumers c LEFT JOIN n USING (key))"
+TOPICS = "SELECT tool AS topic, CASE WHEN ok THEN 'producer' ELSE 'consumer' END AS role, surface AS symbol FROM usage"
+
+
+def bridges(m):
+    return Q.bridge_exact(m.providers, m.consumers)
+
+
+add("C-17_exactly_one_bridge", bridges, f"WITH {BRIDGE} SELECT * FROM b")
+FAN = "SELECT split_part(key, '|', 1) AS key, member, symbol"
+add("C-18_fan_out", lambda m: Q.bridge_fan_out(m.providers.withColumn("key", F.split("key", r"\|")[0]).select("key", "member", F.col("member").alias("symbol")), m.consumers.withColumn("key", F.split("key", r"\|")[0]).select("key", "member", F.col("member").alias("symbol"))).groupBy("key", "member", "to_member").agg(F.count("*").alias("n")),
+    "SELECT DISTINCT split_part(c.key, '|', 1) AS key, c.member, p.member AS to_member, 1::BIGINT AS n FROM consumers c JOIN (SELECT DISTINCT split_part(key, '|', 1) AS key, member FROM providers) p ON split_part(c.key, '|', 1) = p.key WHERE c.member <> p.member")
+add("C-22_dead_reached", lambda m: Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 40 = 7").select("id")), "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 40 = 7 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT id, id IN (SELECT id FROM r) AS promoted FROM nodes WHERE is_dead")
+add("D-31_cross_coverage", lambda m: Q.cross_coverage(Q.consumer_outcomes(m.providers, m.consumers)), f"WITH {OUT} SELECT count(*) FILTER (outcome = 'bound') AS bound, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'no-provider') AS no_provider, CAST(round(count(*) FILTER (outcome = 'bound') / count(*) FILTER (outcome IN ('bound', 'ambiguous')) * 10000) AS BIGINT) AS bound_bp FROM o")
+add("D-32_topic_inventory", lambda m: Q.topic_inventory(m.sql(f"SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused'"), m.sql(TOPICS)),
+    f"SELECT t.topic, count(DISTINCT CASE WHEN role = 'producer' THEN symbol END) AS producers, count(DISTINCT CASE WHEN role = 'consumer' THEN symbol END) AS consumers FROM (SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused') t LEFT JOIN ({TOPICS}) l ON t.topic = l.topic GROUP BY t.topic")
+add("Q-01_fan_out_members", lambda m: m.providers.withColumn("side", F.lit("provider")).unionByName(m.consumers.withColumn("side", F.lit("consumer"))).groupBy("member", "side").agg(F.count("*").alias("n")), "SELECT member, side, count(*) AS n FROM (SELECT member, 'provider' AS side FROM providers UNION ALL SELECT member, 'consumer' FROM consumers) GROUP BY ALL")
+add("Q-02_contract_surface", lambda m: m.providers.groupBy("member").agg(F.countDistinct("key").alias("keys"), F.count("*").alias("endpoints")), "SELECT member, count(DISTINCT key) AS keys, count(*) AS endpoints FROM providers GROUP BY member")
+add("Q-04_bridge_counts", lambda m: bridges(m).groupBy("member", "to_member").agg(F.count("*").alias("n")), f"WITH {BRIDGE} SELECT member, to_member, count(*) AS n FROM b GROUP BY ALL")
+add("Q-05_endpoint_dedup", lambda m: m.consumers.withColumn("key", F.split("key", r"\|")[0]).dropDuplicates(["key", "member"]).select("key", "member"), "SELECT DISTINCT split_part(key, '|', 1) AS key, member FROM consumers")
+add("Q-06_outcomes", lambda m: Q.consumer_outcomes(m.providers, m.consumers), f"WITH {OUT} SELECT key, member, symbol, outcome FROM o")
+add("Q-07_cross_callers", lambda m: bridges(m).where("to_member = 'repo2'").select("symbol", "to_symbol").orderBy("symbol", "to_symbol").limit(50), f"WITH {BRIDGE} SELECT symbol, to_symbol FROM b WHERE to_member = 'repo2' ORDER BY 1, 2 LIMIT 50")
+add("Q-07_route_providers", lambda m: bridges(m).groupBy("to_member", "to_symbol").agg(F.countDistinct("member").alias("members")), f"WITH {BRIDGE} SELECT to_member, to_symbol, count(DISTINCT member) AS members FROM b GROUP BY ALL")
+add("Q-09_service_boundaries", lambda m: Q.service_boundary_violations(bridges(m), [("repo1", "repo[!x]"), ("repo*", "repo4")]).groupBy("rule", "member").agg(F.count("*").alias("n")), f"WITH {BRIDGE} SELECT 'repo* -> repo4' AS rule, member, count(*) AS n FROM b WHERE to_member = 'repo4' GROUP BY member")

@@ -1 +1,36 @@
-"""Queries."""
+"""Queries of reference resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeloom.operators import resolution as P
+from codeloom.plans.registry import add
+
+# Tier 0: the whole fingerprint; tier 1: brand and type; as wide as that, most stay ambiguous.
+LADDER = """c AS (SELECT r.id, 0 AS tier, f.id AS node FROM refs r JOIN functions f ON r.target = f.fingerprint
+    UNION ALL SELECT r.id, 1, f.id FROM refs r JOIN functions f ON regexp_replace(r.target, '[|][0-9]+$', '') = regexp_replace(f.fingerprint, '[|][0-9]+$', '')),
+    n AS (SELECT id, tier, count(*) AS n, min(node) AS node FROM c GROUP BY ALL), d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier) = 1),
+    o AS (SELECT r.*, CASE WHEN d.n = 1 THEN d.node END AS node, CASE WHEN d.n = 1 THEN 'bound' WHEN d.n > 1 THEN 'ambiguous' ELSE 'not_found' END AS outcome, d.tier FROM refs r LEFT JOIN d ON r.id = d.id)"""
+
+
+def outcomes(m):
+    wide = lambda c: F.regexp_replace(c, r"\|[0-9]+$", "")
+    return P.resolved(m.refs, [P.by_key(m.refs, m.functions, F.col("target"), F.col("fingerprint")), P.by_key(m.refs, m.functions, wide("target"), wide("fingerprint"))])
+
+
+add("P-03_exactly_one", lambda m: P.ladder([P.by_key(m.refs, m.functions, F.col("target"), F.col("fingerprint"))]).select("ref", "node", "outcome"),
+    "SELECT r.id AS ref, CASE WHEN count(*) = 1 THEN min(f.id) END AS node, CASE WHEN count(*) = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome FROM refs r JOIN functions f ON r.target = f.fingerprint GROUP BY r.id")
+add("P-04_ladder", lambda m: outcomes(m).select("id", "node", "outcome", "tier"), f"WITH {LADDER} SELECT id, node, outcome, tier FROM o")
+add("P-05_suffix_tier", lambda m: P.ladder([P.by_suffix(m.functions.select("id", F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".rs")).alias("t")), m.nodes.where("kind = 'function'"), "t", "file_path")]).select("ref", "node"),
+    "SELECT f.id AS ref, n.id AS node FROM functions f JOIN nodes n ON n.kind = 'function' AND n.file_path LIKE '%/f' || f.id || '.rs'")
+add("P-07_symbol_exact", lambda m: P.by_key(m.refs, m.nodes, F.col("source_symbol"), F.col("symbol")), "SELECT r.id AS ref, n.id AS node FROM refs r JOIN nodes n ON r.source_symbol = n.symbol")
+add("P-12_affected", lambda m: P.affected(m.refs, "source_symbol", m.functions.where("id % 10 = 0").select("name")).select("id"), "SELECT r.id FROM refs r JOIN functions f ON r.source_symbol = 'fn/' || f.name WHERE f.id % 10 = 0")
+add("P-13_ledger", lambda m: outcomes(m).select("id", (F.col("outcome") == "bound").alias("resolved")), f"WITH {LADDER} SELECT id, outcome = 'bound' AS resolved FROM o")
+add("P-15_topic_promotion", lambda m: P.promoted(m.usage.select(F.col("tool").alias("name"), F.col("surface").alias("member")), "topic"), "SELECT 'topic/' || tool AS symbol, 'topic' AS kind, tool AS name, count(DISTINCT surface) AS members FROM usage GROUP BY tool")
+add("P-16_dispatch_markers", lambda m: m.functions.where("exported and not is_test").select("id").subtract(m.functions.where("is_duplicate").select("id")), "SELECT id FROM functions WHERE exported AND NOT is_test AND NOT is_duplicate")
+add("P-18_referencing_docs", lambda m: m.edges.where("kind = 'doc_reference'").join(m.nodes.select(F.col("id").alias("target"), "symbol"), "target").groupBy("symbol").agg(F.count("*").alias("docs")), "SELECT symbol, count(*) AS docs FROM edges e JOIN nodes n ON e.target = n.id WHERE e.kind = 'doc_reference' GROUP BY symbol")
+add("P-19_doc_kinds", lambda m: m.documents.where("doc_id < 500").select("doc_id", P.doc_kind(F.concat(F.when(F.col("doc_id") % 3 == 0, "docs/adr/").otherwise("docs/"), F.col("source")), F.concat(F.when(F.col("doc_id") % 4 == 1, "NFR-").when(F.col("doc_id") % 4 == 2, "S-").otherwise("x"), F.col("doc_id").cast("string"))).alias("kind")),
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'decision' WHEN doc_id % 4 = 1 THEN 'requirement' WHEN doc_id % 4 = 2 THEN 'story' ELSE 'doc_section' END AS kind FROM documents WHERE doc_id < 500")
+add("D-29_relation_coverage", lambda m: P.relation_coverage(outcomes(m)), f"WITH {LADDER} SELECT payload, count(*) FILTER (outcome = 'bound') AS bound, count(*) FILTER (outcome <> 'bound') AS unresolved FROM o WHERE payload IS NOT NULL GROUP BY payload")
+add("D-30_resolution_ratio", lambda m: P.resolution_ratio(outcomes(m)).select(F.round(F.col("ratio") * 10000).cast("bigint").alias("ratio_bp")), f"WITH {LADDER} SELECT CAST(round(avg(CAST(outcome = 'bound' AS INT)) * 10000) AS BIGINT) AS ratio_bp FROM o")
