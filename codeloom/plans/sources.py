@@ -1 +1,50 @@
-"""Queries."""
+"""Queries of readers, on texts made from the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeloom.plans.registry import add
+from codeloom.sources import readers as S
+
+
+def log(m):
+    """The log that the commits and changes of some orders would give."""
+    some = m.commits.where("seq % 16 = 0").join(m.file_changes, F.expr("sha = commit_sha"), "left")
+    line = F.when(F.col("path").isNotNull(), F.concat_ws("\t", F.coalesce(F.col("added").cast("string"), F.lit("-")), F.coalesce(F.col("deleted").cast("string"), F.lit("-")), "path"))
+    head = F.concat(F.lit(S.RECORD), F.concat_ws(S.UNIT, "sha", F.col("committed_at").cast("string"), "author_name", "author_email", "subject"), F.lit("\n\n"))
+    rows = some.groupBy("sha", "committed_at", "author_name", "author_email", "subject").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    return rows.select(F.concat(head, F.col("body"), F.lit("\n")).alias("value"))
+
+
+def lcov(m):
+    lines = m.coverage_lines.where("file_id % 5 = 0").groupBy("file_id", "second_report").agg(F.array_join(F.collect_list(F.concat(F.lit("DA:"), F.col("line_no").cast("string"), F.lit(","), F.col("hits").cast("string"))), "\n").alias("da"))
+    return lines.groupBy("second_report").agg(F.array_join(F.collect_list(F.concat(F.lit("SF:src/f"), F.col("file_id").cast("string"), F.lit(".rs\n"), F.col("da"), F.lit("\nend_of_record\n"))), "").alias("text")).select(F.col("second_report").cast("string").alias("report"), F.concat(F.lit("TN:\n"), F.col("text")).alias("text"))
+
+
+def cobertura(m):
+    one = m.coverage_lines.where("file_id % 10 = 0").groupBy("file_id").agg(F.array_join(F.collect_list(F.concat(F.lit('<line number="'), F.col("line_no").cast("string"), F.lit('" hits="'), F.col("hits").cast("string"), F.lit('"/>'))), "").alias("l"))
+    whole = one.select(F.concat(F.lit("r"), F.col("file_id").cast("string")).alias("report"), F.concat(F.lit('<?xml version="1.0"?><coverage><class filename="src/f'), F.col("file_id").cast("string"), F.lit('.rs"><lines>'), F.col("l"), F.when(F.col("file_id") % 20 == 0, "</lines></class></coverage>").otherwise("</lines></coverage>")).alias("text"))
+    return whole
+
+
+def docs(m):
+    return m.documents.where("doc_id < 200").select("doc_id", F.concat(F.lit("# Title "), F.col("source"), F.lit("\n\ntext `fn42()` [a](b.md#x)\n\n## Part One\n"), F.lit("## Part One\n")).alias("body"))
+
+
+add("A-18_commits", lambda m: S.parse_log(log(m))[0], "SELECT sha, committed_at, author_name, author_email, subject, CAST(file_count AS BIGINT) AS file_count FROM commits WHERE seq % 16 = 0")
+add("A-18_changes", lambda m: S.parse_log(log(m))[1], "SELECT commit_sha, path, added, deleted, NULL::VARCHAR AS old_path FROM file_changes JOIN commits ON sha = commit_sha WHERE seq % 16 = 0")
+add("A-19_lcov", lambda m: S.parse_lcov(lcov(m), "report", "text"), "SELECT CAST(second_report AS VARCHAR) AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits FROM coverage_lines WHERE file_id % 5 = 0 GROUP BY 1, 2, 3")
+add("A-20_cobertura", lambda m: S.parse_cobertura(cobertura(m), "report", "text"), "SELECT 'r' || file_id AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits FROM coverage_lines WHERE file_id % 20 = 0 GROUP BY 1, 2, 3")
+add("A-21_sniff", lambda m: lcov(m).select("report", "text").union(cobertura(m)).select("report", S.sniff_coverage(F.col("text")).alias("format")), "SELECT DISTINCT CAST(second_report AS VARCHAR) AS report, 'lcov' AS format FROM coverage_lines WHERE file_id % 5 = 0 UNION ALL SELECT DISTINCT 'r' || file_id, 'cobertura' FROM coverage_lines WHERE file_id % 10 = 0")
+add("A-22_newest_report", lambda m: S.newest_report(m.spark.createDataFrame([("a/lcov.info", 5), ("coverage.xml", 9), ("other.xml", 99)], "path string, modificationTime bigint")), "SELECT 'coverage.xml' AS path, 9::BIGINT AS modificationTime")
+add("A-14_python_facts", lambda m: S.extract_facts(m.part.where("p_partkey < 200").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import os\nclass C:\n    def m(self):\n        if os.x:\n            return g"), F.col("p_partkey").cast("string"), F.lit("()\n")).alias("content"))).groupBy("kind", "name", "cc").agg(F.count("*").alias("n")).where("kind in ('class', 'method', 'import')"),
+    "SELECT * FROM (VALUES ('class', 'C', NULL::BIGINT, 200::BIGINT), ('method', 'm', 2, 200), ('import', 'os', NULL, 200)) t(kind, name, cc, n)")
+add("A-14_pattern_facts", lambda m: S.extract_facts(m.part.where("p_partkey <= 300").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".rs").otherwise(".proto")).alias("path"), F.when(F.col("p_size") % 2 == 0, "pub fn go() {}\nstruct S;\n").otherwise("service Shop {\n  rpc Get (A) returns (B);\n}\n").alias("content"))).groupBy("kind", "name").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'service' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'go' ELSE 'Shop' END AS name, count(*) AS n FROM part WHERE p_partkey <= 300 GROUP BY ALL UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN 'struct' ELSE 'rpc' END, CASE WHEN p_size % 2 = 0 THEN 'S' ELSE 'Get' END, count(*) FROM part WHERE p_partkey <= 300 GROUP BY ALL")
+add("A-15_sections", lambda m: S.sections(docs(m), "doc_id", "body").withColumn("ordinal", F.col("ordinal").cast("bigint")), "SELECT doc_id AS key, i AS ordinal, CASE i WHEN 0 THEN 'Title ' || source ELSE 'Part One' END AS heading, CASE i WHEN 0 THEN 'title-' || source WHEN 1 THEN 'part-one' ELSE 'part-one-1' END AS anchor FROM documents, range(3) r(i) WHERE doc_id < 200")
+add("A-15_markdown_facts", lambda m: S.extract_facts(docs(m).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("body").alias("content"))).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, w * (SELECT count(*) FROM documents WHERE doc_id < 200) AS n FROM (VALUES ('doc_file', 1), ('doc_section', 3), ('link', 1), ('code_name', 1)) t(kind, w)")
+add("A-17_openapi", lambda m: S.extract_facts(m.nation.select(F.concat("n_name", F.lit(".json")).alias("path"), F.concat(F.lit('{"openapi":"3","paths":{"/n/{id}":{"get":{},"post":{}}}}')).alias("content"))).where("kind like 'api%'").select("path", "kind", "name"),
+    "SELECT n_name || '.json' AS path, k AS kind, v AS name FROM nation, (VALUES ('api_path', '/n/{id}'), ('api_operation', 'GET /n/{id}'), ('api_operation', 'POST /n/{id}')) t(k, v)")
+add("A-23_toml", lambda m: m.spark.createDataFrame([(k, str(v)) for k, v in S.read_toml('floor = 7\nname = "x"\n', {"floor": int, "name": str}).items()], "key string, value string"), "SELECT * FROM (VALUES ('floor', '7'), ('name', 'x')) t(key, value)")
+add("A-26_json", lambda m: S.as_json(m.nation.select("n_nationkey", "n_name")), """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")

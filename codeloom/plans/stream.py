@@ -1 +1,29 @@
-"""Queries."""
+"""Queries of streams, run over what a folder holds."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from codeloom.plans.registry import add
+from codeloom.streaming import changes as T
+
+
+def drained(m, build):
+    """The output of a streaming query over events.parquet, run until all input is read."""
+    spark = m.spark
+    schema = spark.read.parquet(f"{m.sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.sf_dir)
+    name = f"out_{uuid.uuid4().hex}"
+    query = build(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+add("T-01_settled_bursts", lambda m: T.settled(m.events.select("ts", F.col("event_type").alias("path")), "300 seconds").select(F.unix_timestamp("start").alias("start_at"), "events", F.array_join("paths", ",").alias("paths")),
+    """WITH e AS (SELECT ts, event_type, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 300 SECOND THEN 1 ELSE 0 END AS gap FROM events), g AS (SELECT *, sum(gap) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+    SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start_at, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM g GROUP BY s""")
+add("T-02_event_kind", lambda m: m.files.where("id < 500").select("path", T.event_kind(F.when(F.col("id") % 9 == 0, F.lit("x/lcov.info")).otherwise(F.col("path")), F.endswith("path", F.lit(".rs"))).alias("kind")), "SELECT path, CASE WHEN id % 9 = 0 THEN 'coverage' WHEN path LIKE '%.rs' THEN 'source' ELSE 'ignored' END AS kind FROM files WHERE id < 500")
+add("T-06_revision", lambda m: T.revision(m.snapshots.select(F.col("id").alias("revision"))), "SELECT max(id) + 1 AS revision FROM snapshots")
+add("S-03_stream_counts", lambda m: drained(m, lambda e: e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("user_id").alias("last_user"))), "SELECT event_type, count(*) AS n, max(user_id) AS last_user FROM events GROUP BY event_type")
