@@ -42,7 +42,7 @@ class PpmConfig:
     sample_docs: int = 1500
     sample_bytes: int = 20_000
     seed: int = 17
-    classes: int = 128  # byte classes; the rarest bytes share class 0
+    classes: int = 128  # byte classes; the rarest bytes share one
 
 
 @dataclass(frozen=True)
@@ -112,9 +112,11 @@ class Tables:
         for codes, n in zip(m.codes, m.counts):
             np.add.at(seen, codes & 255, n)
         seen[0] = 0
-        common = [b for b in np.argsort(-seen, kind="stable") if seen[b]][: A - 1]
-        self.of_byte = np.zeros(256, np.uint32)  # class 0: zero (before the text) and the rarest bytes
-        self.of_byte[common] = np.arange(1, len(common) + 1, dtype=np.uint32)
+        common = [b for b in np.argsort(-seen, kind="stable") if seen[b]][: A - 2]
+        # Class 0 is zero, as before the text; class 1 the rarest bytes and those never seen.
+        self.of_byte = np.ones(256, np.uint32)
+        self.of_byte[0] = 0
+        self.of_byte[common] = np.arange(2, len(common) + 2, dtype=np.uint32)
         self.A, self.langs = A, m.langs
         self.pairs = np.empty((A * A * A, L), np.float32)
         coded = [(self._classes(c), n) for c, n in zip(m.codes, m.counts)]
@@ -148,7 +150,7 @@ class Tables:
     def _mix(self, symbol: np.ndarray, context: np.ndarray, n: np.ndarray, shorter: np.ndarray, rows: int) -> np.ndarray:
         table = np.zeros((rows, self.A), np.float32)
         np.add.at(table, (context, symbol), n)
-        table[:, 0] = 0  # a byte without a class is always coded below the empty context
+        table[:, :2] = 0  # a byte without a class of its own is always coded below the empty context
         total, distinct = table.sum(axis=1, dtype=np.float64), (table > 0).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(distinct > 0, -np.log2(distinct / np.maximum(total + distinct, 1)), 0.0)
