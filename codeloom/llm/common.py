@@ -10,6 +10,9 @@ Conventions that hold for every operator here, unless its docstring says otherwi
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -61,8 +64,12 @@ def heavy(name: tuple, make: Callable[[], object]) -> object:
 def release_heavy() -> None:
     """Give up what heavy() holds, for operators that need the memory for their own work."""
     cache = worker_cache()
-    cache["heavy_name"] = cache["heavy"] = None
-    pa.default_memory_pool().release_unused()
+    if cache.get("heavy_name") is not None:
+        cache["heavy_name"] = cache["heavy"] = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ class JoinConfig:
     words: int = 5
     percent: int = 75
     block_words: int = 1_000_000
+    block_rows: int = 2000
     groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions
     extra_segments: int = 1  # raised where a set had too few subsets
 
@@ -176,7 +177,7 @@ def send_subsets(n_groups: int, c: JoinConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_heavy()
-        for batch in batches:
+        for batch in (b.slice(at, c.block_rows) for b in batches for at in range(0, b.num_rows, c.block_rows)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
             at = 0
@@ -340,7 +341,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
         sizes = sent.where("bucket is null").select("key", "size", "n_own", "n_next", "first")
         if sizes.where("n_own < 0 or n_next < 0").isEmpty():
             break
-        c = JoinConfig(c.words, c.percent, c.block_words, c.groups_per_partition, c.extra_segments * 2)
+        c = replace(c, extra_segments=c.extra_segments * 2)
     counted = (
         sent.where("bucket is not null")
         .select("bucket", "codes", "keys")
