@@ -278,10 +278,14 @@ def subtrees(pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = RepeatConfig()) -> tuple[DataFrame, DataFrame]:
-    """(key, text) dealt by key, and (key, places): where windows start that also start earlier."""
+    """(key, text) of the rows that have a key, and (key, places): where windows start that also start earlier.
+
+    Both joins with the texts, that in here and the caller's, are by key over the same
+    rows, so one exchange of the texts serves both.
+    """
     spark = docs.sparkSession
     n_groups = int(spark.conf.get("spark.sql.shuffle.partitions")) * c.groups_per_partition
-    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
     met = lambda entries, pick: (
         entries.repartition("bucket")
         .sortWithinPartitions("bucket")
@@ -326,8 +330,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
     that repeat a key and a text are one document, and get equal results. ``texts`` False
     leaves kept_text null. Empty and null texts have no words.
     """
-    all_texts, marks = repeated_windows(docs, key, text, c)
-    kept = all_texts.join(marks, "key", "left").mapInArrow(
+    texts_by_key, marks = repeated_windows(docs, key, text, c)
+    alone = docs.where(F.col(key).isNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    marked = texts_by_key.join(marks, "key", "left").select("key", "text", "places")
+    kept = marked.unionByName(alone.withColumn("places", F.lit(None).cast("array<int>"))).mapInArrow(
         kept_words(c, texts), "key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     )
     return kept.withColumnRenamed("key", key)
