@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.predicates import matches_glob
+from codeloom.functions.predicates import is_external, matches_glob
+from codeloom.functions.scalars import folded_path, route_key
 from codeloom.operators.graph import reach
 
 TIERS = {"strict": 2, "balanced": 4, "aggressive": 9}
@@ -127,3 +128,73 @@ def service_boundary_violations(bridges: DataFrame, rules: list[tuple[str, str]]
     """(rule, member, symbol, to_member): bridges between repositories that a rule's globs keep apart."""
     hit = F.array_compact(F.array(*[F.when(matches_glob(F.col("member"), a) & matches_glob(F.col("to_member"), b), f"{a} -> {b}") for a, b in rules]))
     return bridges.select(F.explode(hit).alias("rule"), "member", "symbol", "to_member")
+
+
+def portable_key(kind: Column, name: Column) -> Column:
+    """struct(protocol, key, role) of a contract node; null for kinds without a contract.
+
+    For brokers the subscriber provides and the publisher consumes.
+    """
+    http = route_key(name)
+    grpc = F.when(name.rlike(r"^[A-Za-z_][\w.]*/[A-Za-z_]\w*$"), name)
+    entry = lambda p, k, r: F.when(k.isNotNull(), F.struct(F.lit(p).alias("protocol"), k.alias("key"), F.lit(r).alias("role")))
+    return (
+        F.when(kind.isin("route", "api_operation"), entry("http", http, "provider"))
+        .when(kind == "client_call", entry("http", http, "consumer"))
+        .when(kind == "rpc", entry("grpc", grpc, "provider"))
+        .when(kind == "rpc_call", entry("grpc", grpc, "consumer"))
+        .when(kind == "consumer", entry("broker", F.lower(name), "provider"))
+        .when(kind == "producer", entry("broker", F.lower(name), "consumer"))
+    )
+
+
+def implementors(implements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref, node) of 'implements' references (id, source, target): the only trait of the target's last part."""
+    traits = nodes.where("kind = 'trait'").groupBy(F.col("name").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n = 1")
+    last = F.element_at(F.split("target", r"::|\."), -1)
+    return implements.select(F.col("id").alias("ref"), last.alias("k")).join(traits, "k").select("ref", "node")
+
+
+def dynamic_targets(calls: DataFrame, implements: DataFrame, members: DataFrame) -> DataFrame:
+    """(ref, node): a call (id, trait, method) on a trait reaches the method of every type that implements it."""
+    types = implements.select("trait", "type").distinct()
+    return calls.join(types, "trait").join(members.select("type", "method", F.col("id").alias("node")), ["type", "method"]).select(F.col("id").alias("ref"), "node").distinct()
+
+
+def doc_links(links: DataFrame, files: DataFrame, headings: DataFrame) -> DataFrame:
+    """(ref, path, anchor, outcome) of links (id, file_path, target) in documents.
+
+    A path is taken from the document's folder; without one the link stays in the
+    document. An anchor must be a heading of the file. outcome is bound, no_file, no_anchor
+    or external.
+    """
+    path = F.regexp_replace("target", r"#.*$", "")
+    anchor = F.when(F.contains("target", F.lit("#")), F.regexp_replace("target", r"^[^#]*#", ""))
+    folder = F.when(F.contains("file_path", F.lit("/")), F.regexp_replace("file_path", r"/[^/]*$", "/")).otherwise("")
+    whole = F.when(path == "", F.col("file_path")).otherwise(folded_path(F.concat(folder, path)))
+    rows = links.select(F.col("id").alias("ref"), is_external(F.col("target")).alias("external"), whole.alias("path"), anchor.alias("anchor"))
+    rows = rows.join(files.select("path", F.lit(True).alias("_file")), "path", "left").join(headings.select("path", "anchor", F.lit(True).alias("_head")).distinct(), ["path", "anchor"], "left")
+    outcome = F.when(F.col("external"), "external").when(F.col("_file").isNull(), "no_file").when(F.col("anchor").isNotNull() & F.col("_head").isNull(), "no_anchor").otherwise("bound")
+    return rows.select("ref", "path", "anchor", outcome.alias("outcome"))
+
+
+def promoted_routes(registrations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(symbol, file_path, name, handler) of route registrations (file_path, method, template, handler).
+
+    One route for each file and key. The handler is the only callable of its name in the
+    file; else the only one anywhere; else null.
+    """
+    key = F.concat_ws(" ", F.upper("method"), F.col("template"))
+    first = registrations.withColumn("name", key).groupBy("file_path", "name").agg(F.min("handler").alias("handler_name"))
+    calls = nodes.where("kind in ('function', 'method')")
+    own = calls.groupBy("file_path", F.col("name").alias("handler_name")).agg(F.count("*").alias("n1"), F.min("id").alias("h1"))
+    all_ = calls.groupBy(F.col("name").alias("handler_name")).agg(F.count("*").alias("n2"), F.min("id").alias("h2"))
+    both = first.join(own, ["file_path", "handler_name"], "left").join(all_, "handler_name", "left")
+    handler = F.when(F.col("n1") == 1, F.col("h1")).when(F.col("n1").isNull() & (F.col("n2") == 1), F.col("h2"))
+    return both.select(F.concat(F.lit("route/"), F.col("file_path"), F.lit("#"), F.col("name")).alias("symbol"), "file_path", "name", handler.alias("handler"))
+
+
+def in_scope(reached: DataFrame, members: DataFrame, repository: str | None) -> DataFrame:
+    """Reached nodes of one repository; of all for None."""
+    both = reached.join(members.select("id", "member"), "id")
+    return both if repository is None else both.where(F.col("member") == repository)

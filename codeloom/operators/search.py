@@ -105,3 +105,13 @@ def clone_groups(keys: DataFrame, pairs: DataFrame) -> DataFrame:
 def exact_duplicates(rows: DataFrame, fingerprint: str) -> Column:
     """Whether another row has the fingerprint; null without one."""
     return F.when(F.col(fingerprint).isNotNull(), F.count("*").over(Window.partitionBy(fingerprint)) >= 2)
+
+
+def normalized_tokens(code: Column) -> Column:
+    """Tokens of source text with I for names and L for numbers and strings; words of the language and signs stay."""
+    # Words that many languages keep for themselves.
+    words = ["if", "else", "for", "while", "return", "fn", "def", "class", "let", "const", "var", "import", "match", "in", "not", "and", "or"]
+    bare = F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"(//|#)[^\n]*", " ")
+    tokens = F.regexp_extract_all(bare, F.lit(r"\"(?:[^\"\\\\]|\\\\.)*\"|'[^']*'|[A-Za-z_]\w*|\d[\w.]*|[^\s\w]"), F.lit(0))
+    one = lambda t: F.when(t.rlike(r"^[\"'\d]"), "L").when(t.rlike(r"^[A-Za-z_]") & ~t.isin(*words), "I").otherwise(t)
+    return F.transform(tokens, one)

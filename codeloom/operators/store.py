@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import OrderedDict
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,3 +61,36 @@ def synced(files: DataFrame, found: DataFrame) -> DataFrame:
     old, new = files.select("path", F.col("content_hash").alias("old")), found.select("path", F.col("content_hash").alias("new"))
     change: Column = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
     return old.join(new, "path", "full").select("path", change.alias("change")).where("change is not null")
+
+
+def write_chunks(table: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Append a table in files of bounded size."""
+    table.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def copy_store(spark: SparkSession, source: str, target: str, tables: list[str]) -> None:
+    """Copy tables of a store to another folder, which must not hold them yet."""
+    for t in tables:
+        spark.read.parquet(f"{source}/{t}").write.mode("error").parquet(f"{target}/{t}")
+
+
+class ViewCache:
+    """Built views by name and revision, at most ``most`` of them; the one used longest ago goes first."""
+
+    def __init__(self, most: int = 16) -> None:
+        self.most, self.held = most, OrderedDict()
+        self.hits = self.misses = 0
+
+    def get(self, name: str, revision: int, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (name, revision)
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+            return self.held[key]
+        self.misses += 1
+        for old in [k for k in self.held if k[0] == name]:  # an older revision is of no more use
+            self.held.pop(old).unpersist()
+        while len(self.held) >= self.most:
+            self.held.popitem(last=False)[1].unpersist()
+        self.held[key] = build().persist()
+        return self.held[key]

@@ -6,7 +6,7 @@ import importlib
 
 from codeloom.plans import registry
 
-MODULES = ("relational", "graph", "quality", "history", "search", "resolution", "federation", "documents", "sources", "store", "stream", "composite")
+MODULES = ("relational", "graph", "quality", "history", "search", "resolution", "federation", "documents", "sources", "store", "stream", "composite", "contracts")
 
 
 def _load() -> None:

@@ -168,3 +168,33 @@ def test_stream_rollup(spark, tmp_path):
     usage_rollup(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), out, str(tmp_path / "cp")).awaitTermination()
     r = spark.read.parquet(out).first()
     assert (r["calls"], r["ok_calls"], r["max_duration_ms"]) == (2, 1, 30)
+
+
+def test_view_cache_drops_the_oldest(spark):
+    from codeloom.operators.store import ViewCache
+
+    cache, made = ViewCache(2), []
+
+    def build(n):
+        made.append(n)
+        return spark.range(n)
+
+    for name, revision in (("a", 1), ("a", 1), ("b", 1), ("c", 1), ("a", 1), ("a", 2)):
+        cache.get(name, revision, lambda: build(revision))
+    assert (cache.hits, cache.misses, list(cache.held)) == (1, 5, [("c", 1), ("a", 2)])
+
+
+def test_store_copy_and_chunks(spark, tmp_path):
+    from codeloom.operators.store import copy_store, write_chunks
+
+    write_chunks(spark.range(10).coalesce(1), f"{tmp_path}/a/t", 3)
+    assert len(list((tmp_path / "a" / "t").glob("*.parquet"))) == 4
+    copy_store(spark, f"{tmp_path}/a", f"{tmp_path}/b", ["t"])
+    assert spark.read.parquet(f"{tmp_path}/b/t").count() == 10
+
+
+def test_window_without_history(spark):
+    none = spark.createDataFrame([], "sha string, committed_at bigint, author_name string, author_email string, subject string, file_count bigint")
+    changes = spark.createDataFrame([], "commit_sha string, path string, added bigint, deleted bigint")
+    assert H.file_history(none, changes).count() == 0
+    assert H.hotspots(H.file_history(none, changes), spark.createDataFrame([], "path string, cc bigint")).count() == 0
