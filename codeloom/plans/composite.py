@@ -73,7 +73,7 @@ add("L-27_derived_policy", lambda m: U.derived_edges(m.edges.where("kind = 'refe
 add("M-01_incremental_mine", lambda m: U.upsert(m.commits.where("seq % 4 <> 0").select("sha", "committed_at"), m.commits.where("seq % 4 <> 1").select("sha", "committed_at"), ["sha"]), "SELECT sha, committed_at FROM commits")
 add("N-01_ingest", lambda m: H.merged_hits(m.coverage_lines.where("file_id in (select id from coverage_files where content_hash <> 'old')"), "second_report").groupBy("file_id").agg(F.count_if(F.col("hits") > 0).alias("covered")), "SELECT file_id, count(*) AS covered FROM (SELECT DISTINCT file_id, line_no FROM coverage_lines WHERE hits > 0 AND file_id IN (SELECT id FROM coverage_files WHERE content_hash <> 'old')) GROUP BY file_id")
 add("N-02_idempotent_ingest", lambda m: R.insert_absent(m.coverage_files.select(F.md5("path").alias("report")), m.coverage_files.select(F.md5("path").alias("report")), ["report"]).agg(F.count("*").alias("reports")), "SELECT count(*) AS reports FROM coverage_files")
-add("P-02_module_keys", lambda m: m.files.select(module_key(F.col("path")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key = ''"), "SELECT regexp_replace(regexp_replace(regexp_replace(path, '^(.*/)?src/', ''), '\\.[^./]+$', ''), '(^|/)(mod|lib|main)$', '') AS key, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1 OR key = ''")
+add("P-02_module_keys", lambda m: m.files.select(module_key(F.col("path")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("key not like '%/%'"), "SELECT regexp_replace(regexp_replace(regexp_replace(path, '^(.*/)?src/', ''), '\\.[^./]+$', ''), '(^|/)(mod|lib|main)$', '') AS key, count(*) AS n FROM files GROUP BY 1 HAVING key NOT LIKE '%/%'")
 add("P-06_policies", lambda m: m.spark.createDataFrame(list(Q.TIERS.items()), "policy string, tiers bigint"), "SELECT * FROM (VALUES ('strict', 2::BIGINT), ('balanced', 4), ('aggressive', 9)) t(policy, tiers)")
 add("P-08_member_access", lambda m: Q.ladder([m.edges.where("kind = 'accesses'").select(F.col("source").alias("ref"), F.col("target").alias("node"))]).select("ref", "node", "outcome"), "SELECT source AS ref, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS node, CASE WHEN count(DISTINCT target) = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome FROM edges WHERE kind = 'accesses' GROUP BY source")
 add("Q-10_topics_by_member", lambda m: m.usage.groupBy("surface", "tool").agg(F.count_if("ok").alias("produced"), F.count_if(~F.col("ok")).alias("consumed")), "SELECT surface, tool, count(*) FILTER (ok) AS produced, count(*) FILTER (NOT ok) AS consumed FROM usage GROUP BY ALL")

@@ -19,8 +19,8 @@ def links(m):
 
 add("Q-03_portable_keys", lambda m: m.sql(ROLES).select("id", Q.portable_key(F.col("kind"), F.col("name")).alias("k")).select("id", "k.protocol", "k.key", "k.role"),
     "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'http' WHEN 2 THEN 'grpc' WHEN 3 THEN 'broker' END AS protocol, CASE p_partkey % 5 WHEN 0 THEN 'GET /a/{}' WHEN 1 THEN 'POST /b/{}' WHEN 2 THEN 'pkg.Shop/Get' WHEN 3 THEN 'topic.a' END AS key, CASE p_partkey % 5 WHEN 0 THEN 'provider' WHEN 1 THEN 'consumer' WHEN 2 THEN 'provider' WHEN 3 THEN 'consumer' END AS role FROM part")
-add("P-09_implementors", lambda m: Q.implementors(m.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("crate::t::"), F.col("p_brand")).alias("target")), m.supplier.select(F.col("s_suppkey").alias("id"), F.lit("trait").alias("kind"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 60).cast("string")).alias("name"))),
-    "SELECT p_partkey AS ref, t.id AS node FROM part JOIN (SELECT 'Brand#' || (s_suppkey % 60) AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(*) = 1) t ON p_brand = k")
+add("P-09_implementors", lambda m: Q.implementors(m.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("crate::t::"), F.col("p_brand")).alias("target")), m.supplier.select(F.col("s_suppkey").alias("id"), F.lit("trait").alias("kind"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 97).cast("string")).alias("name"))),
+    "SELECT p_partkey AS ref, t.id AS node FROM part JOIN (SELECT 'Brand#' || (s_suppkey % 97) AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(*) = 1) t ON p_brand = k")
 add("P-09_dynamic_targets", lambda m: Q.dynamic_targets(m.part.where("p_partkey < 500").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("trait"), F.lit("run").alias("method")), m.supplier.select((F.col("s_suppkey") % 50).alias("trait"), F.col("s_nationkey").alias("type")), m.nation.select(F.col("n_nationkey").alias("type"), F.lit("run").alias("method"), F.col("n_nationkey").alias("id"))),
     "SELECT DISTINCT p_partkey AS ref, n_nationkey AS node FROM part JOIN supplier ON s_suppkey % 50 = p_size JOIN nation ON n_nationkey = s_nationkey WHERE p_partkey < 500")
 add("P-11_doc_links", links,

@@ -47,8 +47,8 @@ add("B-09_substring", lambda m: m.nodes.where(F.contains("name", F.lit("n1_"))).
     "SELECT id FROM nodes WHERE contains(name, 'n1_') UNION ALL SELECT id FROM nodes WHERE contains(name, 'fn19')")
 add("B-10_pool_filter", lambda m: m.nodes.where(F.contains("name", F.lit("fn1"))).orderBy("id").limit(200).where(F.contains("file_path", F.lit("/m1"))).orderBy("id").limit(50).select("id", "name"),
     "SELECT id, name FROM (SELECT * FROM nodes WHERE contains(name, 'fn1') ORDER BY id LIMIT 200) WHERE contains(file_path, '/m1') ORDER BY id LIMIT 50")
-add("B-11_endpoint_kind", lambda m: R.neighbours(m.edges, m.nodes, 42, False).where(F.col("kind").isin(*P.DOC_KINDS)).select("id", "edge_kind"),
-    "SELECT DISTINCT n.id, e.kind AS edge_kind FROM edges e JOIN nodes n ON e.source = n.id WHERE e.target = 42 AND n.kind = 'doc_section'")
+add("B-11_endpoint_kind", lambda m: R.neighbours(m.edges, m.nodes, 71, False).where(F.col("kind").isin(*P.DOC_KINDS)).select("id", "edge_kind"),
+    "SELECT DISTINCT n.id, e.kind AS edge_kind FROM edges e JOIN nodes n ON e.source = n.id WHERE e.target = 71 AND n.kind = 'doc_section'")
 add("B-13_external_target", lambda m: m.pages.select("page_id", P.is_external(F.col("url")).alias("external")), "SELECT page_id, regexp_matches(url, '^(https?:|git@|//|\\$)|^google/protobuf/') AS external FROM pages")
 add("B-14_reachability_extension", lambda m: m.files.select("path", P.has_extension(F.col("path"), ("rs",)).alias("capable")), "SELECT path, path LIKE '%.rs' AS capable FROM files")
 add("B-15_admission", lambda m: m.files.where(P.is_admitted(F.col("path"), F.lit(100), ["src/**"], ["src/m2/**"])).select("path"), "SELECT path FROM files WHERE path LIKE 'src/%' AND path NOT LIKE 'src/m2/%'")
