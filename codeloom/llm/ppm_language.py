@@ -125,7 +125,7 @@ class Tables:
         self.row_of[union] = np.arange(1, len(union) + 1)
         self.triples = np.empty(((len(union) + 1) * A, L), np.float32)
         for j, (code, n) in enumerate(coded):
-            cost0 = self._mix(code % A, np.zeros_like(code), n, np.full((1, A), 8.0), 1)
+            cost0 = self._mix(code % A, np.zeros_like(code), n, np.full((1, A), 8, np.float32), 1)
             cost1 = self._level(code, n, A, cost0[np.zeros(A, np.int64)], A)
             cost2 = self._level(code, n, A * A, cost1[np.arange(A * A) % A], A)
             self.pairs[:, j] = cost2.ravel()
@@ -151,11 +151,14 @@ class Tables:
         table = np.zeros((rows, self.A), np.float32)
         np.add.at(table, (context, symbol), n)
         table[:, :2] = 0  # a byte without a class of its own is always coded below the empty context
-        total, distinct = table.sum(axis=1, dtype=np.float64), (table > 0).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(distinct > 0, -np.log2(distinct / np.maximum(total + distinct, 1)), 0.0)
-            own = -np.log2(table / np.maximum(total + distinct, 1)[:, None])
-        return np.where(table > 0, own, shorter + escape[:, None])
+        total, distinct = table.sum(axis=1), (table > 0).sum(axis=1, dtype=np.float32)
+        whole = np.maximum(total + distinct, 1)
+        with np.errstate(divide="ignore"):
+            escape = np.where(distinct > 0, np.log2(whole) - np.log2(distinct), 0).astype(np.float32)
+            np.divide(table, whole[:, None], out=table)
+            np.log2(table, out=table)
+        np.negative(table, out=table)  # infinite where the byte was not seen
+        return np.where(np.isfinite(table), table, shorter + escape[:, None])
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -195,8 +198,8 @@ def language_scores(docs: DataFrame, keep: list[str], text: str, model: Ppm) ->
         for b in batches:
             at = 0
             sizes = np.diff(np.frombuffer(b.column(len(keep)).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(len(keep)).offset)) if b.num_rows else []
-            while at < b.num_rows:  # a few MB at a time, whatever the lengths
-                upto, room = at + 1, 2_000_000 - sizes[at]
+            while at < b.num_rows:  # some 400 kB at a time, whatever the lengths
+                upto, room = at + 1, 400_000 - sizes[at]
                 while upto < b.num_rows and room >= sizes[upto]:
                     room -= sizes[upto]
                     upto += 1
