@@ -18,7 +18,7 @@ node's first leaf is the one that stays. The tree is never built as a whole:
 Edges are 64-bit fingerprints of word sequences, not words: at either depth a document
 position costs 8 bytes and little more, where the words would take some 20 times that.
 
-A block of documents (about ``block_words`` words) is worked on at once, and sends each
+A block of documents (``block_words`` words or ``block_rows`` rows, whichever is less) is worked on at once, and sends each
 fingerprint once however often it has it, since all but its first place are settled there
 already. So a passage that a third of all documents share meets as one entry a block.
 """
@@ -45,7 +45,8 @@ ENTRY = "bucket int, prints binary, keys binary, places binary"
 class RepeatConfig:
     window: int = 20
     prefix: int = 12
-    block_words: int = 1_000_000
+    block_words: int = 500_000
+    block_rows: int = 2000
     groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions
 
 
@@ -61,6 +62,10 @@ class Block:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def blocks(keys: list[int], texts: list[str | None], c: RepeatConfig) -> Iterator[tuple[Block, list[int]]]:
     """Blocks of whole documents, and the rows each is made of. Texts too short for a window are left out."""
     rows, parts, n = [], [], 0
@@ -173,7 +178,7 @@ def send_prefixes(n_groups: int, c: RepeatConfig) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_heavy()
-        for batch in batches:
+        for batch in sliced(batches, c.block_rows):
             for b, _ in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c):
                 v, least, fits = anchored(b, c)
                 at = anchors(v, least, fits, c)
@@ -204,7 +209,7 @@ def send_windows(n_groups: int, c: RepeatConfig) -> Callable:
     """(key, text, places of repeated anchors) to entries: each window with such an anchor, once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, c.block_rows):
             places = batch.column(2)
             for b, rows in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c):
                 v, least, fits = anchored(b, c)
