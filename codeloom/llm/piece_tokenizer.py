@@ -34,7 +34,7 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the file format
 UNIGRAM, BPE = 1, 2
-CACHED_UNITS = 350_000
+CACHED_UNITS = 350_000  # some 150 MB; where other work shares the worker, give less
 
 
 @dataclass(frozen=True)
@@ -85,8 +85,8 @@ def load_model(path: str) -> PieceModel:
 
 
 class Encoder:
-    def __init__(self, m: PieceModel) -> None:
-        self.m = m
+    def __init__(self, m: PieceModel, cached_units: int = CACHED_UNITS) -> None:
+        self.m, self.cached_units = m, cached_units
         # Units to their ids, 4 bytes each: those seen lately, and those seen before these.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -204,7 +204,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, 4 bytes each."""
         cut = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHED_UNITS:
+        if len(self.known) > self.cached_units:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         new = []
@@ -249,21 +249,21 @@ def round_trips(docs: DataFrame, m: PieceModel, key: str = "doc_id", text: str =
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_ids bigint, ids_sha256 string, round_trip boolean")
 
 
-def _encoder(packed) -> Encoder:
-    return heavy(("pieces", packed.value.name), lambda: Encoder(packed.value))
+def _encoder(packed, cached_units: int = CACHED_UNITS) -> Encoder:
+    return heavy(("pieces", packed.value.name, cached_units), lambda: Encoder(packed.value, cached_units))
 
 
-def encode_pieces(docs: DataFrame, m: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, m: PieceModel, text: str = "text", ids: str = "ids", cached_units: int = CACHED_UNITS) -> DataFrame:
     """All columns of ``docs`` and ``ids``, an array of whole numbers; empty for null and empty texts."""
     packed = docs.sparkSession.sparkContext.broadcast(m)  # as large as the model file
     docs = docs.drop(ids)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(packed)
+        encoder = _encoder(packed, cached_units)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
                 found = encoder.encode(part.column(at).to_pylist())
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
                 values = pa.array(np.frombuffer(b"".join(found), np.int32))

@@ -25,6 +25,7 @@ from codeloom.llm.ppm_language import language_scores, learn
 from codeloom.llm.queries import PIECES
 
 LEAST_LANGUAGE_SCORE = 0.5
+CACHED_UNITS = 150_000  # the executors' memory is shared with what earlier stages left
 MIX = MixConfig(percent=80, max_epochs=1)
 
 
@@ -54,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = encode_pieces(docs.select("doc_id", "source", "lang", "text"), load_model(PIECES))
+    rows = encode_pieces(docs.select("doc_id", "source", "lang", "text"), load_model(PIECES), cached_units=CACHED_UNITS)
     return rows.select("doc_id", "source", "lang", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
 
