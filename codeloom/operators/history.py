@@ -10,6 +10,12 @@ from codeloom.functions.scalars import basis_points, percent_points
 from codeloom.operators.relational import pairs_within, ranks_over_values
 
 DAY = 86_400
+NOTICES = {"not_git": "not a repository", "no_git": "git is not installed", "shallow": "the clone is shallow"}
+
+
+def history_notice(state: str) -> str | None:
+    """Why there is no history; None where there is. Callers then go on with empty tables."""
+    return f"no history: {NOTICES[state]}" if state in NOTICES else None
 
 
 def window_commits(commits: DataFrame, months: int | None = 12) -> DataFrame:

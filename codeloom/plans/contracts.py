@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import history as H
+from codeloom.operators import navigation as N
 from codeloom.operators import quality as K
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
+from codeloom.operators import store as U
 from codeloom.plans.registry import add
+from codeloom.sources import readers as S
 
 ROLES = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'client_call' WHEN 2 THEN 'rpc' WHEN 3 THEN 'producer' ELSE 'function' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'get /a/{id}' WHEN 1 THEN 'POST /b/:x/' WHEN 2 THEN 'pkg.Shop/Get' ELSE 'Topic.A' END AS name FROM part"
 LINKS = "SELECT page_id AS id, 'docs/src1.md' AS file_path, CASE page_id % 4 WHEN 0 THEN 'https://x' WHEN 1 THEN '../docs/src' || cast(page_id % 30 AS varchar(4)) || '.md' WHEN 2 THEN '#part-one' ELSE './src2.md#none' END AS target FROM pages"
@@ -33,3 +37,30 @@ add("Q-08_scoped_reach", lambda m: Q.in_scope(Q.app_wide_reach(m.nodes, m.edges,
 add("O-01_normalized_tokens", lambda m: m.part.where("p_partkey < 300").select("p_partkey", F.array_join(I.normalized_tokens(F.concat(F.lit("if x"), F.col("p_partkey").cast("string"), F.lit(" { return f(12, \"a b\"); } // c"))), " ").alias("t")), "SELECT p_partkey, 'if I { return I ( L , L ) ; }' AS t FROM part WHERE p_partkey < 300")
 add("L-26_scan", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).agg(F.count("*").alias("violations"), F.countDistinct("rule").alias("rules")).join(K.function_quality(m.functions.where("not is_test")).select(F.round(F.col("nesting") * 10000).cast("bigint").alias("nesting_bp"))),
     "SELECT (SELECT count(*) FROM functions WHERE cc > 45) + (SELECT count(*) FROM functions WHERE line_count > 140) AS violations, (SELECT CAST(count(*) FILTER (cc > 45) > 0 AS BIGINT) + CAST(count(*) FILTER (line_count > 140) > 0 AS BIGINT) FROM functions) AS rules, (SELECT CAST(round(greatest(1 - avg(CAST(nesting >= 4 AS INT)), 0.01) * 10000) AS BIGINT) FROM functions WHERE NOT is_test) AS nesting_bp")
+
+NAMES = "p AS (SELECT id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+') AS w FROM nodes WHERE kind IN ('doc_section', 'class'))), len AS (SELECT key, count(*) AS n FROM p GROUP BY key), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"
+RANK = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))"
+
+
+def named(m):
+    return m.nodes.where("kind in ('doc_section', 'class')")
+
+
+add("A-16_config_facts", lambda m: S.extract_facts(m.nation.select(F.concat("n_name", F.lit(".toml")).alias("path"), F.concat(F.lit("[build]\nn = "), F.col("n_nationkey").cast("string"), F.lit("\n[run]\nx = 1\n")).alias("content"))).select("path", "kind", "name", "parent"),
+    "SELECT n_name || '.toml' AS path, 'config_section' AS kind, a AS name, b AS parent FROM nation, (VALUES ('build', ''), ('n', 'build'), ('run', ''), ('x', 'run')) t(a, b)")
+add("C-06_search_nodes", lambda m: I.search(named(m), "id", "name", "section").join(m.nodes, F.col("key") == F.col("id")).select("id", "symbol"),
+    f"WITH {NAMES}, h AS (SELECT key, count(*) AS tf FROM p WHERE token = 'section' GROUP BY key), f AS (SELECT count(*) AS df FROM h) SELECT id, symbol FROM nodes WHERE id IN (SELECT key FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20)")
+add("F-01_search_order", lambda m: I.search(named(m), "id", "name", "section 10").select("key", F.round("score", 6).alias("score")),
+    f"WITH {NAMES}, h AS (SELECT a.key, count(*) AS tf FROM p a JOIN p b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.token = 'section' AND b.token = '10' GROUP BY a.key), f AS (SELECT count(*) AS df FROM h) SELECT key, round({RANK}, 6) AS score FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20")
+add("F-11_suggestion_cap", lambda m: I.suggestions(m.nodes.where("kind = 'module'"), "n", 5), "WITH s AS (SELECT DISTINCT name, CASE WHEN starts_with(lower(name), 'n') THEN 0 ELSE 1 END AS tier FROM nodes WHERE kind = 'module' AND (starts_with(lower(name), 'n') OR contains(name, 'n'))) SELECT name FROM s WHERE tier = (SELECT min(tier) FROM s) ORDER BY 1 LIMIT 5")
+add("H-10_context_seeds", lambda m: N.seeds(m.nodes.where("id % 100 = 3").select("id", F.col("id").alias("rank")), m.nodes).select("id", "is_code", F.round("match", 6).alias("match")),
+    "WITH h AS (SELECT id, kind <> 'doc_section' AS is_code, row_number() OVER (PARTITION BY kind <> 'doc_section' ORDER BY id) AS r FROM nodes WHERE id % 100 = 3) SELECT id, is_code, round(1.0::DOUBLE / row_number() OVER (ORDER BY id), 6) AS match FROM h WHERE r <= 8")
+add("M-07_degraded_modes", lambda m: m.spark.createDataFrame([(s, H.history_notice(s)) for s in ("ok", "not_git", "no_git", "shallow")], "state string, notice string"), "SELECT * FROM (VALUES ('ok', NULL), ('not_git', 'no history: not a repository'), ('no_git', 'no history: git is not installed'), ('shallow', 'no history: the clone is shallow')) t(state, notice)")
+add("P-01_name_index", lambda m: m.nodes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "SELECT name, count(*) AS n, min(id) AS first FROM nodes GROUP BY name HAVING count(*) > 1")
+add("P-10_artifact_refs", lambda m: Q.ladder([Q.by_key(m.refs.where("id % 2 = 0"), m.files, F.concat(F.lit("src/m"), (F.col("id") % 25).cast("string"), F.lit("/f"), F.col("id").cast("string"), F.lit(".rs")), F.col("path"))]).select(F.col("ref"), "outcome"),
+    "SELECT r.id AS ref, 'bound' AS outcome FROM refs r JOIN files f ON f.path = 'src/m' || (r.id % 25) || '/f' || r.id || '.rs' WHERE r.id % 2 = 0")
+add("P-17_rebind", lambda m: Q.resolved(m.refs, [Q.by_key(m.refs, m.functions.where("id % 2 = 0"), F.col("target"), F.col("fingerprint")).union(Q.by_key(m.refs, m.functions.where("id % 2 = 1"), F.col("target"), F.col("fingerprint")))]).groupBy("outcome").agg(F.count("*").alias("n")),
+    "WITH c AS (SELECT r.id, count(f.id) AS n FROM refs r LEFT JOIN functions f ON r.target = f.fingerprint GROUP BY r.id) SELECT CASE n WHEN 0 THEN 'not_found' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM c GROUP BY 1")
+add("Q-11_member_versions", lambda m: m.providers.groupBy("member").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("symbol")), ","), 256).alias("stamp")), "SELECT member, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS stamp FROM (SELECT DISTINCT member, symbol FROM providers) GROUP BY member")
+add("T-03_coalesced_paths", lambda m: m.events.select(F.col("event_type").alias("path"), F.window("ts", "1 day").start.alias("d")).distinct().groupBy("path").agg(F.count("*").alias("days")), "SELECT event_type AS path, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1")
+add("U-02_upsert_nodes", lambda m: U.upsert(m.nodes.select("symbol", "kind", "name"), m.nodes.where("id % 9 = 0").select("symbol", F.lit("moved").alias("kind"), "name"), ["symbol"]), "SELECT symbol, CASE WHEN id % 9 = 0 THEN 'moved' ELSE kind END AS kind, name FROM nodes")
