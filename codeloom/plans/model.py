@@ -87,11 +87,22 @@ def _for(engine: str, text: str) -> str:
     return re.sub(r"EPOCH\(([^)]*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", text)
 
 
+_viewed: dict[str, str] = {}  # by application, the folder that its views show
+
+
 class Model:
-    """The base tables and projections of a folder, as DataFrames by attribute."""
+    """The base tables and projections of a folder, as DataFrames by attribute.
+
+    They are temporary views of the session, made once and again when another folder is
+    asked for. A DataFrame that was made from a view stays with the folder it had then.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        app = spark.sparkContext.applicationId
+        if _viewed.get(app) == sf_dir and spark.catalog.tableExists("anchors"):
+            return
+        _viewed[app] = sf_dir
         for t in BASE:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, text in PROJECTIONS.items():
