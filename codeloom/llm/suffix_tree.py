@@ -211,7 +211,8 @@ def send_windows(n_groups: int, c: RepeatConfig) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, c.block_rows):
             places = batch.column(2)
-            for b, rows in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c):
+            keys = [k if p.is_valid else None for k, p in zip(batch.column(0).to_pylist(), places)]
+            for b, rows in blocks(keys, batch.column(1).to_pylist(), c):
                 v, least, fits = anchored(b, c)
                 order = np.argsort(batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False), kind="stable")
                 marks = [b.starts[i] + places[rows[r]].values.to_numpy() for i, r in enumerate(order)]
@@ -295,7 +296,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = Rep
         .agg(F.flatten(F.collect_list("places")).alias("places"))  # of one document
     )
     prefixes = met(texts.mapInArrow(send_prefixes(n_groups, c), ENTRY), repeated_prefixes)
-    windows = texts.join(prefixes, "key").mapInArrow(send_windows(n_groups, c), ENTRY)
+    # A left join, as the caller's: both then read one exchange of the texts. What has no such prefix is passed over.
+    windows = texts.join(prefixes, "key", "left").select("key", "text", "places").mapInArrow(send_windows(n_groups, c), ENTRY)
     return texts, met(windows, later_leaves)
 
 
