@@ -79,7 +79,7 @@ add("P-08_member_access", lambda m: Q.ladder([m.edges.where("kind = 'accesses'")
 add("Q-10_topics_by_member", lambda m: m.usage.groupBy("surface", "tool").agg(F.count_if("ok").alias("produced"), F.count_if(~F.col("ok")).alias("consumed")), "SELECT surface, tool, count(*) FILTER (ok) AS produced, count(*) FILTER (NOT ok) AS consumed FROM usage GROUP BY ALL")
 add("R-03_listing", lambda m: D.page_states(D.anchor_states(m.anchors, m.files.select(F.col("path").alias("entity_id"), "content_hash"))).orderBy("slug").select("slug", "state").limit(50), "SELECT slug, CASE WHEN bool_or(f.path IS NULL) THEN 'missing' WHEN bool_or(f.content_hash <> a.content_hash) THEN 'stale' ELSE 'fresh' END AS state FROM anchors a LEFT JOIN files f ON entity_id = path GROUP BY slug ORDER BY slug LIMIT 50")
 add("T-05_reconcile", lambda m: U.synced(m.files.where("id % 2 = 0"), m.files).groupBy("change").agg(F.count("*").alias("n")), "SELECT 'added' AS change, count(*) AS n FROM files WHERE id % 2 = 1")
-add("U-09_replace_violations", lambda m: K.over(m.functions, "max_cc", "name", "cc", 48).unionByName(K.over(m.functions, "max_nesting", "name", "nesting", 4)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 48 UNION ALL SELECT 'max_nesting', count(*) FROM functions WHERE nesting > 4")
+add("U-09_replace_violations", lambda m: K.over(m.functions, "max_cc", "name", "cc", 48).unionByName(K.over(m.functions, "max_nesting", "name", "nesting", 4)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT * FROM (SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 48 UNION ALL SELECT 'max_nesting', count(*) FROM functions WHERE nesting > 4) WHERE n > 0")
 add("U-10_metadata", lambda m: U.upsert(m.nation.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")), m.region.select(F.col("r_name").alias("key"), F.lit("region").alias("value")), ["key"]), "SELECT n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) UNION ALL SELECT r_name, 'region' FROM region")
 add("U-12_mine_persist", lambda m: U.upsert(m.file_changes.where("path like 'src/m1/%'"), m.file_changes.where("path like 'src/m2/%'"), ["commit_sha", "path"]).groupBy("path").agg(F.count("*").alias("n")), "SELECT path, count(*) AS n FROM file_changes WHERE path LIKE 'src/m1/%' OR path LIKE 'src/m2/%' GROUP BY path")
 add("J-11_visual_layer", lambda m: m.nodes.groupBy(N.visual_layer(F.col("kind")).alias("layer")).agg(F.count("*").alias("n")), "SELECT CASE WHEN kind = 'doc_section' THEN 'doc' ELSE 'code' END AS layer, count(*) AS n FROM nodes GROUP BY 1")

@@ -89,7 +89,7 @@ add("L-15_untested", lambda m: K.untested(m.functions, m.edges).select("id"),
     "WITH RECURSIVE t AS (SELECT id FROM functions WHERE is_test UNION SELECT target FROM t JOIN edges ON id = source WHERE kind = 'calls') SELECT id FROM functions WHERE exported AND NOT is_test AND id NOT IN (SELECT id FROM t)")
 add("L-16_undocumented", lambda m: K.undocumented(m.functions.where("exported"), m.edges, m.nodes).select("id"), "SELECT id FROM functions WHERE exported AND id NOT IN (SELECT target FROM edges WHERE kind = 'doc_reference')")
 add("L-17_all_violations", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).groupBy("rule").agg(F.count("*").alias("n")),
-    "SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 45 UNION ALL SELECT 'max_fn_lines', count(*) FROM functions WHERE line_count > 140")
+    "SELECT * FROM (SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 45 UNION ALL SELECT 'max_fn_lines', count(*) FROM functions WHERE line_count > 140) WHERE n > 0")
 add("L-18_gate", lambda m: m.spark.createDataFrame([("regressed", *K.gate(6000, 7000, True, True, None, 0)), ("within one", *K.gate(6999, 7000, True, True, None, 0)), ("first", *K.gate(1, None, True, True, 9, 9)), ("version", *K.gate(1, 9, False, True, 9, 9)), ("floor", *K.gate(10, 10, True, True, 11, 0)), ("faults", *K.gate(10, 10, True, True, None, 2))], "name string, passed boolean, reason string"),
     "SELECT * FROM (VALUES ('regressed', false, 'signal below baseline'), ('within one', true, 'ok'), ('first', true, 'no baseline'), ('version', true, 'new metric version: baseline renewed'), ('floor', false, 'signal below floor'), ('faults', false, 'structural faults')) t(name, passed, reason)")
 add("L-19_regressions", lambda m: K.regressions(m.nation.select(F.col("n_name").alias("metric"), (F.col("n_nationkey") / 25).alias("normalized")), m.nation.select(F.col("n_name").alias("metric"), (F.col("n_regionkey") / 5).alias("normalized"))).select("metric", basis_points(F.col("drop")).alias("drop_bp")),
