@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Two documents overlap if they share lines. A line names the first document (smallest key)
-that has it as the partner of every later one, so a group of n copies gives n - 1 pairs
-and none is missed. A pair is worth aligning if it shares a rare line (one that at most
-``rare_df`` documents have), or at least ``least_shared`` lines of any frequency. Both
+Two documents overlap if they share a run: consecutive lines that together are just long
+enough for a block, taken forward from each line and backward from each, so that the runs
+of a block cover all of it. A run names the first document (smallest key) that has it as
+the partner of every later one, however many those are, so a group of n copies gives n - 1
+pairs, and a block that two documents share has a partner for each of its lines. Both
 documents of a pair are aligned by patience diff: lines that are unique in both, in the
 longest order common to both, are matched, and matches grow over equal neighbours; the
 gaps between are aligned likewise. Blocks of matched lines are deleted from the later
-document.
+document, and so are runs that its partner has but the alignment leaves, being out of
+order or repeated: another earlier holder, not aligned with, would often match them.
 
 Only hashes of lines are compared and moved; texts are read again where lines go.
 """
@@ -32,55 +34,79 @@ SPACES = b" \t\r\x0b\x0c"
 
 @dataclass(frozen=True)
 class AlignConfig:
-    least_line_bytes: int = 20  # shorter lines name no partner
-    rare_df: int = 8
-    least_shared: int = 2
     least_block_bytes: int = 40  # shorter blocks stay
 
 
-def line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hashes, sizes): a hash and the bytes of each line; 0 for a line without a word."""
+def block_runs(hashes: list[int], sizes: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the runs of a text: the fewest lines from each line on, and up to each line, that have ``least`` bytes."""
+    spans = set()
+    i = total = 0
+    for j, size in enumerate(sizes):
+        total += size
+        while i < j and total - sizes[i] >= least:
+            total -= sizes[i]
+            i += 1
+        if total >= least and size:
+            spans.add((i, j + 1))  # up to line j
+    j = len(sizes)
+    total = 0
+    for i in range(len(sizes) - 1, -1, -1):
+        total += sizes[i]
+        while j - 1 > i and total - sizes[j - 1] >= least:
+            j -= 1
+            total -= sizes[j]
+        if total >= least and sizes[i]:
+            spans.add((i, j))  # from line i on
+    return [
+        (hashes[i] if j == i + 1 else xxhash.xxh3_64_intdigest(np.array(hashes[i:j], np.uint64).tobytes()), i, j)
+        for i, j in spans
+        if any(hashes[i:j])
+    ]
+
+
+def unsigned(hashes: list[int]) -> list[int]:
+    return np.array(hashes, np.int64).view(np.uint64).tolist()
+
+
+def line_hashes(docs: DataFrame, key: str, text: str, c: AlignConfig) -> DataFrame:
+    """(key, hashes, sizes, runs): a hash and the bytes of each line, 0 for a line without a word; the hashes of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_heavy()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ends, hashes, sizes = [0], [], []
+                ends, hashes, sizes, runs, run_ends = [0], [], [], [], [0]
                 for t in part.column(1).to_pylist():
                     for line in as_bytes(t).split(b"\n"):
                         hashes.append((xxhash.xxh3_64_intdigest(line) | 1) if line.strip(SPACES) else 0)
                         sizes.append(len(line))
+                    runs += {r[0] for r in block_runs(hashes[ends[-1] :], sizes[ends[-1] :], c.least_block_bytes)}
                     ends.append(len(hashes))
+                    run_ends.append(len(runs))
                 offsets = pa.array(ends, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.ListArray.from_arrays(offsets, pa.array(np.array(hashes, np.uint64).view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(sizes, pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.array(np.array(runs, np.uint64).view(np.int64))),
                     ],
-                    ["key", "hashes", "sizes"],
+                    ["key", "hashes", "sizes", "runs"],
                 )
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.col(text))
-    return rows.mapInArrow(run, "key bigint, hashes array<bigint>, sizes array<int>")
+    return rows.mapInArrow(run, "key bigint, hashes array<bigint>, sizes array<int>, runs array<bigint>")
 
 
-def overlapping(lines: DataFrame, c: AlignConfig) -> DataFrame:
-    """(key, first): pairs worth aligning; ``first`` is the smaller key. ``lines`` is read twice."""
-    named = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: (x["hashes"] != 0) & (x["sizes"] >= c.least_line_bytes))
-    each = lines.select("key", F.explode(F.array_distinct(F.transform(named, lambda x: x["hashes"]))).alias("hash"))
-    # Written, so that both sides of the join come from exchanges and a hot line can be split.
+def overlapping(lines: DataFrame) -> DataFrame:
+    """(key, first): pairs that share a run; ``first`` is the smaller key. ``lines`` is read twice."""
+    each = lines.select("key", F.explode("runs").alias("hash"))
+    # Written, so that both sides of the join come from exchanges and a hot run can be split.
     owners = materialize(
-        each.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("df")).where("df > 1"), "line-owners"
-    )
-    shared = each.join(owners, "hash").where("key > first")
-    return (
-        shared.groupBy("key", "first")
-        .agg(F.count("*").alias("n"), F.max(F.col("df") <= c.rare_df).alias("rare"))
-        .where(F.col("rare") | (F.col("n") >= c.least_shared))
-        .select("key", "first")
+        each.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("df")).where("df > 1").select("hash", "first"), "run-owners"
     )
+    return each.join(owners, "hash").where("key > first").select("key", "first").distinct()
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -125,9 +151,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_lines(later: list[int], sizes: list[int], first: list[int], c: AlignConfig) -> list[int]:
-    """Lines of ``later`` in aligned blocks that are long enough."""
-    gone: list[int] = []
+def common_lines(later: list[int], sizes: list[int], first: list[int], first_runs: list[int], c: AlignConfig) -> list[int]:
+    """Lines of ``later`` in aligned blocks that are long enough, or in runs that ``first`` has elsewhere."""
+    known = set(first_runs)
+    gone = [n for run, i, j in block_runs(later, sizes, c.least_block_bytes) if run in known for n in range(i, j)]
     block: list[int] = []
     last = (-2, -2)
     for x, y in [*patience(later, first), (-9, -9)]:
@@ -137,7 +164,7 @@ def common_lines(later: list[int], sizes: list[int], first: list[int], c: AlignC
             block = []
         block.append(x)
         last = (x, y)
-    return gone
+    return sorted(set(gone))
 
 
 def aligned(pairs: DataFrame, lines: DataFrame, c: AlignConfig) -> DataFrame:
@@ -146,15 +173,15 @@ def aligned(pairs: DataFrame, lines: DataFrame, c: AlignConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, gone = [], []
-            for k, h, s, f in zip(*(x.to_pylist() for x in batch.columns)):
-                if lost := common_lines(h, s, f, c):
+            for k, h, s, f, r in zip(*(x.to_pylist() for x in batch.columns)):
+                if lost := common_lines(unsigned(h), s, unsigned(f), unsigned(r), c):
                     keys.append(k)
                     gone.append(lost)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
     later = pairs.join(lines, "key").select("key", "hashes", "sizes", "first")
-    both = later.join(lines.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes")), "first")
-    lost = both.select("key", "hashes", "sizes", "first_hashes").mapInArrow(run, "key bigint, gone array<int>")
+    both = later.join(lines.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes"), F.col("runs").alias("first_runs")), "first")
+    lost = both.select("key", "hashes", "sizes", "first_hashes", "first_runs").mapInArrow(run, "key bigint, gone array<int>")
     return lost.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # a document's own lines
 
 
@@ -173,8 +200,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: Ali
     but different keys are copies: all but the first lose what is long enough to count.
     """
     docs = docs.drop("kept_text", "n_lines", "n_removed", "_key", "_gone")
-    lines = materialize(line_hashes(docs, key, text).dropDuplicates(["key"]), "line-hashes")
-    pairs = materialize(overlapping(lines, c), "line-pairs")
+    lines = materialize(line_hashes(docs, key, text, c).dropDuplicates(["key"]), "line-hashes")
+    pairs = materialize(overlapping(lines), "line-pairs")
     gone = materialize(aligned(pairs, lines, c), "lines-gone").withColumnsRenamed({"key": "_key", "gone": "_gone"})
     # By hash, so texts are dealt out but never sorted; the lists of lines are small beside them.
     all_rows = docs.join(gone.hint("shuffle_hash"), F.col(key).cast("bigint") == F.col("_key"), "left")

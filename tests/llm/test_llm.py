@@ -208,6 +208,39 @@ def test_line_dedup_takes_from_the_later_document(spark):
     assert got[3]["kept_text"] == "short\nshort" and got[4]["kept_text"] == "short" and got[5]["kept_text"] is None and got[6]["kept_text"] == "" and got[None]["kept_text"] == block
 
 
+def test_line_dedup_finds_partners_of_frequent_lines(spark):
+    """Neither the number of holders nor other first holders of its lines keep a block in later documents."""
+    common = "a line of more than forty bytes that very many documents have in common"
+    x, y = "short line of thirty bytes, x.", "short line of thirty bytes, y."
+    rows = [(i, f"head {i} of its own, long enough to be a line\n{common}\ntail {i} of its own") for i in range(20)]
+    rows += [(30, f"{x}\nthirty"), (31, f"{y}\nthirty-one"), (32, f"{x}\n{y}\nthirty-two"), (33, f"thirty-three\n{x}\n{y}")]
+    tiny = "\n".join(f"tiny line {n}" for n in range(9))
+    rows += [(40, f"forty\n{tiny}"), (41, f"{tiny}\nforty-one")]
+    rows += [(50, f"{common} 50\nend"), (51, f"{common} 50\nshort, after"), (52, f"{common} 50\nshort, after\nend")]
+    rows += [(60, f"{common} 60\n{common} 61"), (61, f"{common} 61\nsixty-one\n{common} 60\n{common} 61")]  # out of order, and repeated
+    got = by_id(line_align.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 1 and common not in got[i]["kept_text"] for i in range(1, 20))
+    assert [got[i]["kept_text"] for i in (30, 31, 32)] == [r[1] for r in rows[20:23]]  # shorter than a block
+    assert got[33]["kept_text"] == "thirty-three"
+    assert got[41]["kept_text"] == "forty-one"
+    assert got[61]["kept_text"] == "sixty-one" and got[61]["n_removed"] == 3
+    assert got[51]["kept_text"] == "short, after" and got[52]["kept_text"] == "end"
+
+
+def test_every_shared_block_has_a_run_for_each_line():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        sizes = [int(n) for n in rng.integers(0, 60, 8)]
+        hashes = [int(n) | 1 if s else 0 for n, s in zip(rng.integers(1, 1 << 60, 8), sizes)]
+        whole = {r[0] for r in line_align.block_runs(hashes, sizes, 40)}
+        for i in range(8):
+            for j in range(i + 1, 9):
+                block = line_align.block_runs(hashes[i:j], sizes[i:j], 40)
+                assert {r[0] for r in block} <= whole and bool(block) == (sum(sizes[i:j]) >= 40)
+                covered = {n for _, start, end in block for n in range(start, end)}
+                assert not block or covered >= {n for n in range(j - i) if sizes[i + n]}
+
+
 def test_line_dedup_on_awkward_input(odd, texts):
     got = by_id(line_align.dedup_lines(odd))
     assert len(got) == len(texts) and got[68]["kept_text"] == texts[68]
