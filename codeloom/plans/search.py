@@ -18,7 +18,7 @@ SETS = """w AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[^\\x20\\
 
 
 def body(m):
-    return m.sql("SELECT doc_id, substr(text, 1, 600) AS body FROM documents")
+    return m.documents.select("doc_id", F.col("text").alias("body"))
 
 
 def index(m):
