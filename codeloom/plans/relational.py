@@ -96,7 +96,7 @@ add("E-02_lag", lambda m: R.with_delta(m.snapshots, "id", "signal", "delta").sel
 add("E-04_survivor", lambda m: R.survivors(m.functions, "fingerprint"), "SELECT id, min(id) OVER (PARTITION BY fingerprint) AS survivor FROM functions")
 add("E-05_latest", lambda m: R.latest(m.usage.select("tool", "happened_at", "duration_ms").groupBy("tool", "happened_at").agg(F.max("duration_ms").alias("duration_ms")), ["tool"], "happened_at"), "SELECT tool, happened_at, duration_ms FROM (SELECT tool, happened_at, max(duration_ms) AS duration_ms, row_number() OVER (PARTITION BY tool ORDER BY happened_at DESC) AS r FROM usage GROUP BY tool, happened_at) WHERE r = 1")
 add("E-06_sibling_ordinal", lambda m: m.functions.select("id", R.sibling_ordinals(m.functions, ["fingerprint"], "id").cast("bigint").alias("ordinal")), "SELECT id, row_number() OVER (PARTITION BY fingerprint ORDER BY id) - 1 AS ordinal FROM functions")
-add("E-07_kgrams", lambda m: m.documents.select("doc_id", F.split(F.lower(F.substring("text", 1, 400)), " ").alias("w")).where("size(w) >= 5").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("gram")),
+add("E-07_kgrams", lambda m: m.documents.select("doc_id", F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 5").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("gram")),
     "SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, string_split(lower(substr(text, 1, 400)), ' ') AS w FROM documents) WHERE len(w) >= 5)")
 add("E-09_position_score", lambda m: m.nodes.where("kind = 'class'").orderBy("id").limit(20).select("id", (1 / (1.0 + F.row_number().over(R.Window.orderBy("id")) - 1)).alias("score")), "SELECT id, 1.0::DOUBLE / row_number() OVER (ORDER BY id) AS score FROM (SELECT id FROM nodes WHERE kind = 'class' ORDER BY id LIMIT 20)")
 add("E-10_bucketed_top", lambda m: R.top_per(m.nodes, ["kind"], [F.col("id")], 8).select("kind", "id"), "SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM nodes) WHERE r <= 8")

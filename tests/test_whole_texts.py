@@ -53,3 +53,10 @@ def test_index_check_of_whole_texts(spark, tokens):
     extra = sum(len(ws) for k, ws in tokens.items() if k % 89 == 3 and k % 97 != 5)
     missing = sum(len(ws) for k, ws in tokens.items() if k % 97 == 5 and k % 89 != 3)
     assert {r["fault"]: r["n"] for r in QUERIES["I-07_index_check"](spark, SF).collect()} == {"extra": extra, "missing": missing}
+
+
+def test_kgrams_of_whole_texts(spark, texts):
+    split = {k: t.lower().split(" ") for k, t in texts.items() if t is not None}
+    want = Counter((k, i, " ".join(w[i : i + 5])) for k, w in split.items() for i in range(len(w) - 4))
+    got = Counter((r["doc_id"], r["pos"], r["gram"]) for r in QUERIES["E-07_kgrams"](spark, SF).collect())
+    assert got == want
