@@ -102,9 +102,12 @@ def measure(bands: Bands) -> Callable[[str | None], tuple]:
         )
 
     def chunk_ratios(data: bytes) -> list[float]:
-        """Full chunks only; a text shorter than one chunk is judged as a whole."""
+        """Full chunks, the last one over the end of the data; a text of up to one chunk is judged as a whole."""
         size = bands.chunk_bytes
-        return [ratio(data[at : at + size]) for at in range(0, len(data) - size + 1, size)] if len(data) > size else []
+        if len(data) <= size:
+            return []
+        starts = [*range(0, len(data) - size, size), len(data) - size]
+        return [ratio(data[at : at + size]) for at in starts]
 
     return one
 

@@ -342,6 +342,18 @@ def test_repetitive_and_random_texts_are_rejected(spark):
     assert got[1]["kept"] and not got[3]["kept"]
 
 
+def test_the_end_of_a_text_is_judged_as_a_chunk(spark):
+    rng = np.random.default_rng(2)
+    prose = " ".join("".join(chr(97 + c) for c in rng.choice(26, rng.integers(2, 9), p=np.arange(26, 0, -1) / 351)) for _ in range(1200))
+    line = "the same line of words comes again and again\n"
+    rows = [(1, prose[:4096] + "\n" + line * 60), (2, prose[:4096]), (3, prose[:4097]), (4, prose[: 2 * 4096])]
+    got = by_id(compression_bands.compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert (got[1]["n_chunks"], got[1]["chunks_out"], got[1]["kept"]) == (2, 1, False)
+    lo, hi = compression_bands.Bands().of(len(rows[0][1]))
+    assert lo <= got[1]["ratio"] <= hi  # as a whole it would pass
+    assert [got[i]["n_chunks"] for i in (2, 3, 4)] == [0, 2, 2] and got[4]["kept"]
+
+
 # 8
 
 
