@@ -3,7 +3,9 @@
 Conventions that hold for every operator here, unless its docstring says otherwise:
 
 * An operator reads only the columns it is told to read. Further columns, whatever
-  their names, neither matter nor appear in the result.
+  their names, neither matter nor appear in the result. Where a caller's rows have to
+  come along, they travel in one struct (see ``boxed``), so no name of theirs can meet a
+  name of the operator's own.
 * A null text is an empty text. A row with a null key gets a row of its own in the result.
 * Words are maximal runs of bytes other than ASCII white space (9 to 13, and 32).
 """
@@ -24,12 +26,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20  # of texts that are sent to a Python worker at once
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
+def unboxed(df: DataFrame, box: str) -> list[Column]:
+    """The fields of the struct column ``box`` of df under their own names."""
+    return [F.col(box).getField(f.name).alias(f.name) for f in df.schema[box].dataType]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, where the session has Spark's own, larger, bound.
+
+    A number of rows is no bound: ten thousand long texts would be held at once on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def groups_for(docs: DataFrame, text: str, entry_bytes: int, group_bytes: int, per_partition: int) -> int:
+    """So many groups that an entry of ``entry_bytes`` for every word fits ``group_bytes`` a group, from a count of all bytes.
+
+    A word has two bytes at least. There are ``per_partition`` groups for each of
+    spark.sql.shuffle.partitions, or more.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
+    return max(least, -(-n_bytes // 2 * entry_bytes // group_bytes))
+
+
 def as_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "replace") if text else b""
 
@@ -78,8 +117,10 @@ def map_texts(
     """A row (key, *fn(text)) for each row. ``schema`` names what fn returns."""
     names = [f.split()[0] for f in schema.split(", ")]
     key_type = df.schema[key].dataType.simpleString()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
@@ -99,17 +140,23 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one on this machine only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, one on this machine, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not at and app not in _own_dirs:
+    if at:
+        return at
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = context.applicationId
+    if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    return at or _own_dirs[app]
+    return _own_dirs[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,9 +32,8 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = encode_audio(read_table(spark, sf_dir, "documents"))
-    digests = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return audio_features(media, ["doc_id", "n_bytes"], outputs=digests)
+    """The digests, and the features themselves: segments, tensors and the spans of these."""
+    return audio_features(encode_audio(read_table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
     model = learn(docs.where(~held_out), "doc_id", "text", "lang")
-    return language_scores(docs.withColumn("held_out", held_out), ["doc_id", "held_out"], "text", model)
+    return language_scores(docs.select("doc_id", "text", held_out.alias("held_out")), ["doc_id", "held_out"], "text", model)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
