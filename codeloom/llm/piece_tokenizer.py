@@ -18,6 +18,7 @@ Characters that are no piece become bytes, as the model's byte fallback has it.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import heavy
+from codeloom.llm.common import heavy, small_batches
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the file format
 UNIGRAM, BPE = 1, 2
-CACHED_UNITS = 350_000  # some 150 MB; where other work shares the worker, give less
+CACHED_UNITS = 250_000  # some 100 MB; where other work shares the worker, give less
+KNOWN_PAIRS = 200_000  # of neighbours; some 30 MB
 
 
 @dataclass(frozen=True)
@@ -96,24 +98,38 @@ class Encoder:
     # byte-pair models
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging: the best-scored piece first, from the left."""
+        """Pieces of a text by merging: the best-scored piece first, from the left. n log n steps for n letters."""
         ids, scores = self.m.ids, self.m.scores
-        s = list(text)
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                k = ids.get(s[i] + s[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if best is None:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        return s
+        s: list[str] = list(text)
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (k := ids.get(s[i] + s[j])) is not None:
+                heapq.heappush(todo, (-scores[k], i, s[i] + s[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while todo:
+            _, i, piece = heapq.heappop(todo)
+            if not s[i] or after[i] >= n or s[i] + s[after[i]] != piece:
+                continue  # one of the two has been merged since
+            j = after[i]
+            s[i], s[j], after[i] = piece, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [x for x in s if x]
 
     def stays(self, a: str, b: str) -> bool:
+        """Whether merging leaves two neighbours as they are."""
         got = self.pair.get((a, b))
         if got is None:
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) > KNOWN_PAIRS:
                 self.pair.clear()
             got = self.pair[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -230,6 +246,7 @@ def round_trips(docs: DataFrame, m: PieceModel, key: str = "doc_id", text: str =
     themselves aren't wanted; encode_pieces() and decode_pieces() give columns. A text with
     the mark character itself doesn't come back as it was, as the mark stands for a space.
     """
+    small_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +272,7 @@ def _encoder(packed, cached_units: int = CACHED_UNITS) -> Encoder:
 
 def encode_pieces(docs: DataFrame, m: PieceModel, text: str = "text", ids: str = "ids", cached_units: int = CACHED_UNITS) -> DataFrame:
     """All columns of ``docs`` and ``ids``, an array of whole numbers; empty for null and empty texts."""
+    small_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(m)  # as large as the model file
     docs = docs.drop(ids)
     at = docs.columns.index(text)
