@@ -7,6 +7,10 @@ their weights, and only what no sibling can use stays with their parent, whose o
 siblings then have it (since a parent never gets more than its subtree can give, handing
 down from the root does both). Each leaf takes whole epochs and then a prefix, in tokens,
 of the next epoch; the order within an epoch is that of a seeded hash.
+
+Where a prefix ends is found without sorting a leaf: sums over the ranges of the hash
+narrow the place down, each time 4,096-fold, so that a leaf of 10^10 documents leaves
+some 600 to be put in order.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD, materialize
+from codeloom.llm.common import WORD, materialize, quoted
 
 WIDE = "decimal(38,0)"
 
@@ -38,7 +42,8 @@ class MixConfig:
     percent: int = 60
     max_epochs: int = 2
     seed: int = 7
-    bucket_digits: int = 3  # hexadecimal digits: an epoch's order is cut into 16^3 ranges
+    digits: int = 3  # hexadecimal digits: a range of an epoch's order is cut into 16^3 at a time
+    narrowings: int = 2
 
 
 def domain_of(source: Column) -> Column:
@@ -76,21 +81,25 @@ def _handed_down(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return n.withColumn("budget", F.when(is_full, F.col("capacity")).otherwise(F.greatest(share, F.lit(0))).cast("bigint"))
 
 
-def counted(docs: DataFrame, key: str, text: str, c: MixConfig, keep: list[str] | None = None) -> DataFrame:
-    """key (or all of ``keep``), the levels as _l0, _l1, ..., and n_tokens: the words of the whole text."""
-    levels = [F.coalesce(F.col(x).cast("string"), F.lit("(none)")).alias(f"_l{i}") for i, x in enumerate(c.levels)]
-    return docs.select(*[F.col(k) for k in keep or [key]], *levels, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
+def counted(docs: DataFrame, key: str, text: str, c: MixConfig, box: Column | None = None) -> DataFrame:
+    """(box, k, _l0, _l1, ..., n_tokens): the key, the levels, and the words of the whole text.
+
+    ``box`` is whatever of the row the caller wants to have back; by default nothing.
+    """
+    levels = [F.coalesce(quoted(x).cast("string"), F.lit("(none)")).alias(f"_l{i}") for i, x in enumerate(c.levels)]
+    n = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return docs.select((F.lit(None).cast("boolean") if box is None else box).alias("box"), quoted(key).alias("k"), *levels, n.alias("n_tokens"))
 
 
-def _rank(key: str, epoch: Column, c: MixConfig) -> Column:
+def _rank(epoch: Column, c: MixConfig) -> Column:
     """A document's place in the order of an epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(c.seed)), epoch.cast("string"), F.col(key).cast("string")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(c.seed)), epoch.cast("string"), F.col("k").cast("string")).cast("binary"))
 
 
-def leaf_plan(tokens: DataFrame, key: str, c: MixConfig = MixConfig()) -> DataFrame:
+def leaf_plan(tokens: DataFrame, c: MixConfig = MixConfig()) -> DataFrame:
     """A row a leaf: available, budget, full_epochs, rest, and where the prefix of the last epoch ends.
 
-    ``tokens`` is what counted() gives, from a written table since it is read three times.
+    ``tokens`` is what counted() gives, from a written table since it is read several times.
     cut is (rank, key) of the last document of the prefix, and cut_take the tokens it gives.
     """
     names = [f"_l{i}" for i in range(len(c.levels))]
@@ -110,35 +119,39 @@ def leaf_plan(tokens: DataFrame, key: str, c: MixConfig = MixConfig()) -> DataFr
         {"full_epochs": F.expr("budget div available"), "rest": F.expr("budget % available")}
     )
     plan = materialize(plan, "mix-budgets")  # a row a leaf
-    # Where the prefix ends: first the range of ranks it ends in, then the document.
-    ranked = tokens.join(plan.where("rest > 0"), names).withColumn("_rank", _rank(key, F.col("full_epochs"), c))
-    ranked = ranked.withColumn("_bucket", F.substring("_rank", 1, c.bucket_digits))
-    up_to = Window.partitionBy(*names).orderBy("_bucket")
-    ranges = (
-        ranked.groupBy(*names, "_bucket", "rest")
-        .agg(F.sum("n_tokens").alias("n"))
-        .withColumn("_before", F.sum("n").over(up_to) - F.col("n"))
-        .where("_before < rest and rest <= _before + n")
-        .select(*names, "_bucket", "_before")
-    )
-    inside = Window.partitionBy(*names).orderBy("_rank", key).rowsBetween(Window.unboundedPreceding, 0)
+    # Where the prefix ends: ranges of ranks it ends in, each within the one before, then the document.
+    partial = plan.where("rest > 0").select(*names, "full_epochs", "rest")
+    ranked = tokens.select("k", *names, "n_tokens").join(partial, names).withColumn("_rank", _rank(F.col("full_epochs"), c))
+    found = partial.select(*names, F.lit("").alias("_range"), F.lit(0).cast("bigint").alias("_before"))
+    up_to = Window.partitionBy(*names).orderBy("_range")
+    for step in range(1, c.narrowings + 1):
+        inside = ranked.withColumn("_range", F.substring("_rank", 1, c.digits * (step - 1))).join(found, [*names, "_range"])
+        sums = inside.groupBy(*names, F.substring("_rank", 1, c.digits * step).alias("_range"), "rest", "_before").agg(F.sum("n_tokens").alias("n"))
+        found = (
+            sums.withColumn("_before", F.col("_before") + F.sum("n").over(up_to) - F.col("n"))
+            .where("_before < rest and rest <= _before + n")
+            .select(*names, "_range", "_before")
+        )
+        found = materialize(found, "mix-ranges")  # a row a leaf
+    last = Window.partitionBy(*names).orderBy("_rank", "k").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        ranked.join(ranges, [*names, "_bucket"])
-        .withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(inside))
+        ranked.withColumn("_range", F.substring("_rank", 1, c.digits * c.narrowings))
+        .join(found, [*names, "_range"])
+        .withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(last))
         .where("_upto - n_tokens < rest and rest <= _upto")
-        .select(*names, F.struct(F.col("_rank").alias("r"), F.col(key).alias("k")).alias("cut"), F.expr("rest - (_upto - n_tokens)").alias("cut_take"))
+        .select(*names, F.struct(F.col("_rank").alias("r"), F.col("k")).alias("cut"), F.expr("rest - (_upto - n_tokens)").alias("cut_take"))
     )
     return plan.join(ends, names, "left")
 
 
-def select_mix(tokens: DataFrame, plan: DataFrame, key: str, c: MixConfig = MixConfig()) -> DataFrame:
-    """The rows of ``tokens`` (with all their columns) that the plan selects, once an epoch, with take_tokens.
+def select_mix(tokens: DataFrame, plan: DataFrame, c: MixConfig = MixConfig()) -> DataFrame:
+    """The rows of ``tokens`` (with all their columns) that the plan selects, once an epoch, with epoch and take_tokens.
 
     ``plan`` has a row a leaf; from a written table, so it is sent to all tasks only if
     its size is under Spark's own limit. Documents without words are never selected.
     """
     names = [f"_l{i}" for i in range(len(c.levels))]
-    at = F.struct(_rank(key, F.col("full_epochs"), c).alias("r"), F.col(key).alias("k"))
+    at = F.struct(_rank(F.col("full_epochs"), c).alias("r"), F.col("k"))
     last = F.when(at == F.col("cut"), F.col("cut_take")).when(at < F.col("cut"), F.col("n_tokens"))
     whole = F.transform(F.sequence(F.lit(1), F.col("full_epochs").cast("int"), F.lit(1)), lambda e: F.struct((e - 1).alias("epoch"), F.col("n_tokens").alias("take")))
     none = F.expr("cast(array() as array<struct<epoch:int,take:bigint>>)")
@@ -146,20 +159,21 @@ def select_mix(tokens: DataFrame, plan: DataFrame, key: str, c: MixConfig = MixC
         F.when(F.col("full_epochs") > 0, whole).otherwise(none),
         F.when(last.isNotNull(), F.array(F.struct(F.col("full_epochs").cast("int").alias("epoch"), last.alias("take")))).otherwise(none),
     )
-    drop = [x for x in plan.columns if x not in names] + ["_pick"]
     chosen = tokens.where("n_tokens > 0").join(plan, names).withColumn("_pick", F.explode(picks))
-    return chosen.withColumns({"epoch": F.col("_pick.epoch"), "take_tokens": F.col("_pick.take")}).drop(*drop)
+    return chosen.select(*tokens.columns, F.col("_pick.epoch").alias("epoch"), F.col("_pick.take").alias("take_tokens"))
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", c: MixConfig = MixConfig()) -> DataFrame:
     """(key, the levels, n_tokens, epoch, take_tokens) of every selected document.
 
     A null level is the value "(none)". Repeated rows are separate documents of equal rank; a
-    prefix that ends among them ends at all of them alike. Without tokens nothing is selected.
+    prefix that ends among them ends at all of them alike. A null or empty text has no
+    tokens and is never selected. Without tokens nothing is selected.
     """
-    tokens = materialize(counted(docs, key, text, c), "mix-tokens")
-    plan = materialize(leaf_plan(tokens, key, c), "mix-plan")
-    return select_mix(tokens, plan, key, c).withColumnsRenamed({f"_l{i}": x for i, x in enumerate(c.levels)})
+    tokens = materialize(counted(docs, key, text, c).drop("box"), "mix-tokens")
+    plan = materialize(leaf_plan(tokens, c), "mix-plan")
+    levels = [F.col(f"_l{i}").alias(x) for i, x in enumerate(c.levels)]
+    return select_mix(tokens, plan, c).select(F.col("k").alias(key), *levels, "n_tokens", "epoch", "take_tokens")
 
 
 def mix_sources_sql(c: MixConfig = MixConfig()) -> str:
