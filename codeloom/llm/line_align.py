@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, materialize, release_heavy
+from codeloom.llm.common import as_bytes, boxed, materialize, release_heavy, small_batches, unboxed
 
 SPACES = b" \t\r\x0b\x0c"
 
@@ -186,9 +186,46 @@ def aligned(pairs: DataFrame, lines: DataFrame, c: AlignConfig) -> DataFrame:
 
 
 def without(text: Column, gone: Column) -> Column:
-    """The text without the lines of ``gone``; as it is where that is null."""
-    keep = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(keep, "\n"))
+    """The text without the lines of ``gone``; as it is where that is null. Only texts that lose lines go to Python."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release_heavy()
+        for texts, places in batches:
+            kept = []
+            for t, p in zip(texts, places):
+                if not t.is_valid or not p.is_valid:
+                    kept.append(None)
+                    continue
+                lines, out = t.as_py().split("\n"), set(p.as_py())
+                kept.append("\n".join([x for i, x in enumerate(lines) if i not in out]))
+            yield pa.array(kept, pa.string())
+
+    # Not to be repeated by the optimizer, as a filter on the result would.
+    shorter = F.arrow_udf(run, "string").asNondeterministic()(F.when(gone.isNotNull(), text), gone)
+    return F.when(gone.isNull(), text).otherwise(shorter)
+
+
+def lines_gone(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
+    """(key, gone): for each key that loses lines which they are, from 0."""
+    small_batches(docs.sparkSession)
+    lines = materialize(line_hashes(docs, key, text, c).dropDuplicates(["key"]), "line-hashes")
+    pairs = materialize(overlapping(lines), "line-pairs")
+    return materialize(aligned(pairs, lines, c), "lines-gone")
+
+
+def boxed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
+    """(box, kept_text, n_lines, n_removed) for each row; ``box`` has all columns of the row. See dedup_lines."""
+    gone = lines_gone(docs, key, text, c)
+    rows = docs.select(boxed(docs).alias("box"))
+    # By hash, so texts are dealt out but never sorted; the lists of lines are small beside them.
+    both = rows.join(gone.hint("shuffle_hash"), F.col("box").getField(key).cast("bigint") == F.col("key"), "left")
+    t = F.col("box").getField(text)
+    return both.select(
+        "box",
+        without(t, F.col("gone")).alias("kept_text"),
+        F.when(t.isNull(), 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"),
+    )
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
@@ -199,16 +236,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: Ali
     null or empty text. A text whose lines all go becomes empty. Documents of equal text
     but different keys are copies: all but the first lose what is long enough to count.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_removed", "_key", "_gone")
-    lines = materialize(line_hashes(docs, key, text, c).dropDuplicates(["key"]), "line-hashes")
-    pairs = materialize(overlapping(lines), "line-pairs")
-    gone = materialize(aligned(pairs, lines, c), "lines-gone").withColumnsRenamed({"key": "_key", "gone": "_gone"})
-    # By hash, so texts are dealt out but never sorted; the lists of lines are small beside them.
-    all_rows = docs.join(gone.hint("shuffle_hash"), F.col(key).cast("bigint") == F.col("_key"), "left")
-    return all_rows.withColumns(
-        {
-            "kept_text": without(F.col(text), F.col("_gone")),
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("bigint"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
-        }
-    ).drop("_key", "_gone")
+    found = boxed_lines(docs, key, text, c)
+    fields = unboxed(found, "box")
+    names = [f.name for f in found.schema["box"].dataType]
+    new = ("kept_text", "n_lines", "n_removed")
+    return found.select(*[f for f, n in zip(fields, names) if n not in new], *new)
