@@ -10,17 +10,23 @@ node's first leaf is the one that stays. The tree is never built as a whole:
    smallest fingerprint, so equal windows have equal anchors at equal offsets. A prefix
    that occurs once is a leaf, and nothing below it can repeat.
 2. Prefixes that occur again are lengthened to the whole window, one branch for each
-   window with that anchor. Suffixes with the same prefix meet in the same group, one
-   subtree of which (cut at the depth of the window) is built in memory at a time. Nodes
-   with two leaves or more are the repeats, and runs of consecutive ones the maximal
-   repeats.
+   window with that anchor, and the suffixes are dealt anew by the longer prefix. So a
+   prefix that very many documents share is split by the words that follow it.
+3. A group is a subtree: the nodes below which its suffixes lie, each with its first leaf.
+   Nodes with two leaves or more are the repeats. Consecutive repeats (each the suffix
+   link of the one before) run together into maximal ones (see ``maximal_repeats``).
+
+There are as many groups as keep the distinct suffixes of one below ``group_bytes``, from a
+count of all texts' bytes. A leaf is passed on as soon as an earlier leaf of its node is
+known, so a group holds a node once, however many leaves that has, and a passage that a
+third of all documents share takes no more memory than any other.
 
 Edges are 64-bit fingerprints of word sequences, not words: at either depth a document
 position costs 8 bytes and little more, where the words would take some 20 times that.
 
-A block of documents (``block_words`` words or ``block_rows`` rows, whichever is less) is worked on at once, and sends each
-fingerprint once however often it has it, since all but its first place are settled there
-already. So a passage that a third of all documents share meets as one entry a block.
+A block of documents (``block_words`` words or ``block_rows`` rows, whichever is less) is
+worked on at once, and sends each fingerprint once however often it has it, since all but
+its first place are settled there already.
 """
 
 from __future__ import annotations
@@ -36,9 +42,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, release_heavy
+from codeloom.llm.common import as_bytes, groups_for, release_heavy, small_batches
 
 ENTRY = "bucket int, prints binary, keys binary, places binary"
+ENTRY_BYTES = 20  # a leaf in memory: fingerprint, key and place
 
 
 @dataclass(frozen=True)
@@ -47,7 +54,9 @@ class RepeatConfig:
     prefix: int = 12
     block_words: int = 500_000
     block_rows: int = 2000
-    groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions
+    group_bytes: int = 32 << 20  # of the distinct suffixes of a group
+    groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions, at least
+    settle_at: int = 500_000  # leaves that a group takes in before it passes on all it can
 
 
 @dataclass
@@ -229,7 +238,7 @@ def send_windows(n_groups: int, c: RepeatConfig) -> Callable:
                 lead = order[first]  # the first place of each one's window in this block
                 later = order[(key[order] != key[lead]) | (place[order] != place[lead])]
                 here = np.sort(order[np.flatnonzero(first == np.arange(len(order)))])
-                group = (least[at[here]] >> np.uint64(32)).astype(np.int64) % n_groups
+                group = (prints[here] >> np.uint64(32)).astype(np.int64) % n_groups
                 yield _table(list(_entries(group, prints[here], key[here], place[here])))
                 if len(later):
                     later = np.sort(later)
@@ -238,35 +247,43 @@ def send_windows(n_groups: int, c: RepeatConfig) -> Callable:
     return run
 
 
-def repeated_prefixes(prints: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Entries of prefixes with two leaves or more."""
+Leaves = tuple[np.ndarray, np.ndarray, np.ndarray]  # fingerprints, keys, places
+
+
+def repeated_prefixes(leaves: Leaves) -> tuple[np.ndarray, Leaves]:
+    """Which leaves lie below a node that has others; and a leaf for each node, with a place below 0 if it has others."""
+    prints, keys, places = leaves
     order = np.argsort(prints, kind="stable")
-    _, size = _runs(prints[order])
+    first, size = _runs(prints[order])
     again = order[size > 1]
-    return again[places[again] >= 0]
+    head = first == np.arange(len(order))
+    kept = order[head]
+    return again[places[again] >= 0], (prints[kept], keys[kept], np.where(size[head] > 1, np.int32(-1), places[kept]))
 
 
-def later_leaves(prints: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Entries of deep nodes, without each node's first leaf."""
+def later_leaves(leaves: Leaves) -> tuple[np.ndarray, Leaves]:
+    """Which leaves are not the first of their node (a leaf that is there twice counts once); and the first of each node."""
+    prints, keys, places = leaves
     order = np.lexsort((places, keys, prints))
     first, _ = _runs(prints[order])
     lead = order[first]
-    return order[(keys[order] != keys[lead]) | (places[order] != places[lead])]
+    kept = order[np.flatnonzero(first == np.arange(len(order)))]
+    return order[(keys[order] != keys[lead]) | (places[order] != places[lead])], (prints[kept], keys[kept], places[kept])
 
 
-def subtrees(pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable:
-    """Entries, sorted by group, to (key, places) of what ``pick`` picks in each group. One group is held at a time."""
+def subtrees(pick: Callable[[Leaves], tuple[np.ndarray, Leaves]], c: RepeatConfig) -> Callable:
+    """Entries, sorted by group, to (key, places) of the leaves that ``pick`` passes on. One group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        current = None
+        held: list[Leaves] = []
+        current, n_new = None, 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def settle() -> Iterator[pa.RecordBatch]:
             if held:
-                prints, keys, places = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                rows = pick(prints, keys, places)
-                yield from _by_key(keys[rows], places[rows])
+                leaves = tuple(np.concatenate(x) for x in zip(*held))
+                rows, kept = pick(leaves)
+                held[:] = [kept]
+                yield from _by_key(leaves[1][rows], leaves[2][rows])
 
         for batch in batches:
             for group, prints, keys, places in zip(*(x.to_pylist() for x in batch.columns)):
@@ -274,24 +291,28 @@ def subtrees(pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -
                 if group < 0:
                     yield from _by_key(k, p)
                     continue
+                if group != current or n_new > c.settle_at:
+                    yield from settle()
+                    n_new = 0
                 if group != current:
-                    yield from done()
+                    held.clear()
                     current = group
                 held.append((np.frombuffer(prints, np.uint64), k, p))
-        yield from done()
+                n_new += len(k)
+        yield from settle()
 
     return run
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = RepeatConfig()) -> tuple[DataFrame, DataFrame]:
     """(key, text) dealt by key, and (key, places): where windows start that also start earlier."""
-    spark = docs.sparkSession
-    n_groups = int(spark.conf.get("spark.sql.shuffle.partitions")) * c.groups_per_partition
+    small_batches(docs.sparkSession)
+    n_groups = groups_for(docs, text, ENTRY_BYTES, c.group_bytes, c.groups_per_partition)
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     met = lambda entries, pick: (
         entries.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(subtrees(pick), "key bigint, places array<int>")
+        .mapInArrow(subtrees(pick, c), "key bigint, places array<int>")
         .groupBy("key")
         .agg(F.flatten(F.collect_list("places")).alias("places"))  # of one document
     )
@@ -301,40 +322,65 @@ def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = Rep
     return texts, met(windows, later_leaves)
 
 
+def maximal(places: np.ndarray, c: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and words of the runs of consecutive repeated windows."""
+    p = np.unique(places)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(p) > 1))) if len(p) else np.empty(0, np.int64)
+    return p[first], np.diff(np.append(first, len(p))) + c.window - 1
+
+
+def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", c: RepeatConfig = RepeatConfig()) -> DataFrame:
+    """(key, start, n_words) of every longest run of words whose windows all start earlier, too; words count from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, places in zip(batch.column(0).to_pylist(), batch.column(1)):
+                start, n = maximal(places.values.to_numpy(), c)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int64()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "start", "n_words"])
+
+    _, marks = repeated_windows(docs, key, text, c)
+    return marks.mapInArrow(run, "key bigint, start bigint, n_words bigint").withColumnRenamed("key", key)
+
+
+RESULT = "key bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_repeats bigint, longest_repeat bigint, kept_text string"
+
+
 def kept_words(c: RepeatConfig, texts: bool) -> Callable:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = [f.split()[0] for f in RESULT.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out = []
                 for t, places in zip(part.column(1).to_pylist(), part.column(2)):
-                    w, n = as_bytes(t).split(), 0
+                    w, n, runs = as_bytes(t).split(), 0, np.empty(0, np.int64)
                     n_words = len(w)
                     if places.is_valid:
+                        starts, runs = maximal(places.values.to_numpy(), c)
                         edge = np.zeros(n_words + 1, np.int64)
-                        at_ = places.values.to_numpy()
-                        np.add.at(edge, at_, 1)
-                        np.add.at(edge, at_ + c.window, -1)
+                        edge[starts] += 1
+                        np.add.at(edge, starts + runs, -1)
                         gone = np.cumsum(edge)[:-1] > 0
                         n = int(gone.sum())
                         w = [w[i] for i in np.flatnonzero(~gone)]
                     kept = b" ".join(w)
-                    out.append((n_words, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None))
-                cols = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                    digest = hashlib.sha256(kept).hexdigest()
+                    out.append((n_words, n, digest, len(runs), int(runs.max(initial=0)), kept.decode("utf-8") if texts else None))
+                cols = [pa.array(x, k) for x, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", c: RepeatConfig = RepeatConfig(), texts: bool = True) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256, kept_text) for each row; kept words are joined by one space.
+    """(key, n_words, n_removed, kept_sha256, n_repeats, longest_repeat, kept_text) for each row; kept words are joined by one space.
 
-    The key is a whole number; a row with a null key neither removes nor loses words. Rows
-    that repeat a key and a text are one document, and get equal results. ``texts`` False
-    leaves kept_text null. Empty and null texts have no words.
+    n_repeats counts the maximal repeats (see maximal_repeats), longest_repeat is the words
+    of the longest, 0 without any. The key is a whole number; a row with a null key neither
+    removes nor loses words. Rows that repeat a key and a text are one document, and get
+    equal results. ``texts`` False leaves kept_text null. Empty and null texts have no words.
     """
     all_texts, marks = repeated_windows(docs, key, text, c)
-    kept = all_texts.join(marks, "key", "left").mapInArrow(
-        kept_words(c, texts), "key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    )
-    return kept.withColumnRenamed("key", key)
+    return all_texts.join(marks, "key", "left").mapInArrow(kept_words(c, texts), RESULT).withColumnRenamed("key", key)
