@@ -30,10 +30,11 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that both sides of the join come from exchanges and the links of a hot node can be split.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "links-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))  # every link leads to a smaller node
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "links-least")  # every link leads to a smaller node
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         now = materialize(small.where("a <> b").distinct(), "links-small")

@@ -17,10 +17,11 @@ two such sets share one of the first H + 1 non-empty subsets of either.
   fewest subsets that leave no set short of H + 1 (see ``allocate``).
 
 Subsets that documents share give candidate pairs: each document with the smallest key
-among those that share the subset. Pairs are verified on whole sets. Where a pair fails,
-the other documents with that subset are compared too, unless they are in one component
-already. So no link between different texts is lost as far as components go, and a group
-of n copies costs about n comparisons.
+among those that share the subset. Pairs are verified on the words of whole texts. Where a
+pair fails, documents with that subset that are in different components yet are compared
+by sketches, in blocks (see ``across``), and verified where these leave it open. So no
+link between different texts is lost as far as components go, and a group of n copies
+costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -31,17 +32,18 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, materialize, once, release_heavy
+from codeloom.llm.common import as_bytes, groups_for, materialize, once, release_heavy, small_batches
 from codeloom.llm.components import connected
 from codeloom.llm.suffix_tree import pack, unpack
 
 ROLE = 1  # lowest bit of a subset's code: which of two neighbouring bands it belongs to
 CLASS_SHIFT = 57  # highest bits: the class of its count
-ENTRY = "bucket int, codes binary, keys binary"
+ENTRY_BYTES = 12  # an entry in memory: code and key; a word gives one at most, on the whole
 
 
 @dataclass(frozen=True)
@@ -50,8 +52,11 @@ class JoinConfig:
     percent: int = 75
     block_words: int = 1_000_000
     block_rows: int = 2000
-    groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions
+    group_bytes: int = 32 << 20  # of the entries of a group
+    groups_per_partition: int = 4  # groups for each of spark.sql.shuffle.partitions, at least
     extra_segments: int = 1  # raised where a set had too few subsets
+    open_block: int = 4096  # documents of an open subset that are compared with each other at once
+    held_shingles: int = 200_000  # of documents verified lately
 
     def most_differing(self, r: int, s: int) -> int:
         return (100 - self.percent) * (r + s) // (100 + self.percent)
@@ -131,9 +136,19 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, c: JoinConfig) -> np.ndarray:
-    """Sorted distinct fingerprints of the text's shingles, A-Z in lower case."""
-    words = as_bytes(text).lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return as_bytes(text).lower().split()
+
+
+def exact_shingles(words: list[bytes], c: JoinConfig) -> set[bytes]:
+    """The distinct shingles themselves. No word has a blank, so joined words are told apart."""
+    k = min(c.words, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def shingles(words: list[bytes], c: JoinConfig) -> np.ndarray:
+    """Sorted distinct fingerprints of the shingles."""
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -171,10 +186,17 @@ def roles(size: int, c: JoinConfig) -> list[tuple[Band, int]]:
 def send_subsets(n_groups: int, c: JoinConfig):
     """(key, text) to entries of codes and keys by group, and a row (key, size, n_own, n_next, first) for each key.
 
-    Documents of one block with equal sets give their subsets once; the others name the
-    ``first`` of them. n_own and n_next say how many subsets there are.
+    Documents of one block with equal sets (of words, not of fingerprints only) give their
+    subsets once; the others name the ``first`` of them. n_own and n_next say how many
+    subsets there are.
     """
 
+    def same(known: list[tuple[int, bytes]], words: list[bytes], joined: bytes) -> int | None:
+        for k, other in known:
+            if other == joined or exact_shingles(other.split(), c) == exact_shingles(words, c):
+                return k
+        return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_heavy()
         for batch in (b.slice(at, c.block_rows) for b in batches for at in range(0, b.num_rows, c.block_rows)):
@@ -182,14 +204,20 @@ def send_subsets(n_groups: int, c: JoinConfig):
             order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
             at = 0
             while at < len(order):
-                known: dict[bytes, int] = {}
-                rows, codes, owner, words = [], [], [], 0
-                while at < len(order) and words < c.block_words:
-                    k, s = keys[order[at]], shingles(texts[order[at]], c)
+                known: dict[bytes, list[tuple[int, bytes]]] = {}
+                rows, codes, owner, n_words = [], [], [], 0
+                while at < len(order) and n_words < c.block_words:
+                    k, words = keys[order[at]], words_of(texts[order[at]])
+                    s = shingles(words, c)
                     at += 1
-                    words += len(s) + 10
-                    first = known.setdefault(xxhash.xxh3_128_digest(s.tobytes()), k) if len(s) and k is not None else k
-                    counts = [0, 0]
+                    n_words += len(s) + 10
+                    first, counts = k, [0, 0]
+                    if len(s) and k is not None:
+                        alike, joined = known.setdefault(xxhash.xxh3_128_digest(s.tobytes()), []), b" ".join(words)
+                        if (found := same(alike, words, joined)) is None:
+                            alike.append((k, joined))
+                        else:
+                            first = found
                     if len(s) and k is not None and first == k:
                         for i, (b, h) in enumerate(roles(len(s), c)):
                             found = subsets(s, b)
@@ -274,19 +302,33 @@ def first_subsets(c: JoinConfig):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
-    """(a, b, linked) of each pair (a, b), from whole sets."""
+    """(a, b, linked) of each pair (a, b), from the shingles of both texts, word by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
+        known: dict[int, set[bytes]] = {}
+        held = 0
+
+        def of(key: int, words: bytes) -> set[bytes]:
+            nonlocal held
+            if key not in known:
+                if held > c.held_shingles:
+                    known.clear()
+                    held = 0
+                known[key] = exact_shingles(words.split(), c)
+                held += len(known[key])
+            return known[key]
+
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = of(a, x.as_py()), of(b, y.as_py())
+                both = len(x & y) if 100 * min(len(x), len(y)) >= c.percent * max(len(x), len(y)) else 0
                 linked.append(100 * both >= c.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
+    two = one.join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
@@ -306,21 +348,80 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, c: JoinConfig) -> DataFrame:
-    """(key, shingles, sketch)."""
+    """(key, words, sketch): the words in lower case, joined by a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingles(t, c) for t in part.column(1).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-                values = pa.array(np.concatenate(found).view(np.int64))
-                marks = pa.FixedSizeListArray.from_arrays(pa.array(sketches(found).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
+                words = [words_of(t) for t in part.column(1).to_pylist()]
+                marks = pa.FixedSizeListArray.from_arrays(pa.array(sketches([shingles(w, c) for w in words]).ravel()), SKETCH_WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), marks], ["key", "shingles", "sketch"]
+                    [part.column(0), pa.array([b" ".join(w) for w in words], pa.binary()), marks.cast(pa.list_(pa.int64()))], ["key", "words", "sketch"]
                 )
 
-    return docs.mapInArrow(run, "key bigint, shingles array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, "key bigint, words binary, sketch array<bigint>")
+
+
+def could_link(asked: pa.Table, others: pa.Table, c: JoinConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in asked, in others) of pairs from different components whose sizes and sketches allow a link.
+
+    Two sets have as many different parities as the size of their difference, at most, so
+    no pair that is a link is left out.
+    """
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+        marks = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+        return (*(t.column(n).to_numpy() for n in ("node", "size", "component", "apart")), marks)
+
+    x, y = columns(asked), columns(others)
+    step = max(1, (1 << 20) // max(1, len(y[0])))
+    for at in range(0, len(x[0]), step):
+        node, size, component, _, marks = (v[at : at + step, None] for v in x)
+        differ = np.zeros((len(node), len(y[0])), np.int64)
+        for w in range(SKETCH_WORDS):
+            differ += np.bitwise_count(marks[:, 0, w, None] ^ y[4][None, :, w])
+        good = (component != y[2]) & (differ * (100 + c.percent) <= (size + y[1]) * (100 - c.percent))
+        good &= 100 * np.minimum(size, y[1]) >= c.percent * np.maximum(size, y[1])
+        good &= ~y[3] | (node < y[0])  # of two that are both asked, once
+        i, j = np.nonzero(good)
+        yield i + at, j
+
+
+def across(members: DataFrame, c: JoinConfig) -> DataFrame:
+    """(a, b): pairs that may be links, of documents with a subset in common and in different components.
+
+    ``members`` has (code, node, size, component, sketch). Documents of a subset's largest
+    component are only compared with those of the others. Both sides are cut into blocks
+    by hash, and a task compares one block with another, so however many share a subset,
+    it holds some thousand of them, and only pairs that may be links are ever rows.
+    """
+    by = members.groupBy("code", "component").agg(F.count("*").alias("n"))
+    stat = by.groupBy("code").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"))
+    stat = stat.where("components > 1").select(
+        "code",
+        F.col("top.component").alias("largest"),
+        F.ceil(F.col("n") / c.open_block).cast("int").alias("n_b"),
+        F.ceil((F.col("n") - F.col("top.n")) / c.open_block).cast("int").alias("n_a"),
+    )
+    # Written, so that both sides of the join come from exchanges and a hot subset can be split.
+    rows = members.join(materialize(stat, "jaccard-open-stat"), "code").withColumn("apart", F.col("component") != F.col("largest"))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    plain = ("node", "size", "component", "apart", "sketch")
+    other = rows.select("code", each("n_a").alias("i"), at("n_b").alias("j"), F.lit(False).alias("asked"), *plain)
+    asked = rows.where("apart").select("code", at("n_a").alias("i"), each("n_b").alias("j"), F.lit(True).alias("asked"), *plain)
+
+    def compare(t: pa.Table) -> pa.Table:
+        is_asked = t.column("asked")
+        x, y = t.filter(is_asked), t.filter(pyarrow.compute.invert(is_asked))
+        a, b = x.column("node").to_numpy(), y.column("node").to_numpy()
+        found = [(a[i], b[j]) for i, j in could_link(x, y, c)] if len(a) and len(b) else []
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    return other.unionByName(asked).groupBy("code", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c: JoinConfig = JoinConfig()) -> DataFrame:
@@ -328,10 +429,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
 
     The key is a whole number that names a document; rows that repeat it and the text get
     equal results. Null keys are linked with nothing and have a null component. Documents
-    without words have no shingles and are linked with nothing.
+    without words have no shingles and are linked with nothing. n_shingles counts distinct
+    64-bit fingerprints; links are found by them and judged by words.
     """
     spark = docs.sparkSession
-    n_groups = int(spark.conf.get("spark.sql.shuffle.partitions")) * c.groups_per_partition
+    small_batches(spark)
+    n_groups = groups_for(docs, text, ENTRY_BYTES, c.group_bytes, c.groups_per_partition)
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     while True:
         sent = materialize(
@@ -371,21 +474,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
         open_codes = shared.join(failed, ["a", "b"], "left_semi").select("code").distinct()
         members = shared.join(open_codes, "code").select("code", F.col("b").alias("node"), "size")
         members = members.join(groups, "node", "left").join(sets.select(F.col("key").alias("node"), "sketch"), "node")
-        members = members.select("code", "node", "size", F.coalesce("component", "node").alias("component"), "sketch")
-        members = materialize(members, "jaccard-open")
-        other = members.toDF("code", "node2", "size2", "component2", "sketch2")
-        # Parities bound the difference from below, so no pair that could be linked is left out.
-        differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-        more = (
-            members.join(other, "code")
-            .where(F.col("node") < F.col("node2"))
-            .where("component <> component2")
-            .where(f"100 * least(size, size2) >= {c.percent} * greatest(size, size2)")
-            .where(differ * (100 + c.percent) <= (F.col("size") + F.col("size2")) * (100 - c.percent))
-            .select(F.col("node").alias("a"), F.col("node2").alias("b"))
-            .distinct()
-            .join(failed, ["a", "b"], "left_anti")
-        )
+        members = materialize(members.select("code", "node", "size", F.coalesce("component", "node").alias("component"), "sketch"), "jaccard-open")
+        more = materialize(across(members, c).distinct().join(failed, ["a", "b"], "left_anti"), "jaccard-pairs-2")
         again = materialize(verified(more, sets, c).where("linked").select("a", "b"), "jaccard-judged-2")
         groups = connected(again.union(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     return (
