@@ -364,29 +364,79 @@ def set_table(docs: DataFrame, c: JoinConfig) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, words binary, sketch array<bigint>")
 
 
-def could_link(asked: pa.Table, others: pa.Table, c: JoinConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in asked, in others) of pairs from different components whose sizes and sketches allow a link.
+@dataclass
+class Members:
+    """Documents of one subset, or some of them; ``apart`` are those outside the largest component."""
+
+    node: np.ndarray
+    size: np.ndarray
+    component: np.ndarray
+    apart: np.ndarray
+    marks: np.ndarray
+
+    def where(self, rows: np.ndarray) -> Members:
+        return Members(self.node[rows], self.size[rows], self.component[rows], self.apart[rows], self.marks[rows])
+
+
+def could_link(x: Members, y: Members, c: JoinConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys (of x, of y) of pairs from different components whose sizes and sketches allow a link.
 
     Two sets have as many different parities as the size of their difference, at most, so
     no pair that is a link is left out.
     """
-
-    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-        marks = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        return (*(t.column(n).to_numpy() for n in ("node", "size", "component", "apart")), marks)
-
-    x, y = columns(asked), columns(others)
-    step = max(1, (1 << 20) // max(1, len(y[0])))
-    for at in range(0, len(x[0]), step):
-        node, size, component, _, marks = (v[at : at + step, None] for v in x)
-        differ = np.zeros((len(node), len(y[0])), np.int64)
-        for w in range(SKETCH_WORDS):
-            differ += np.bitwise_count(marks[:, 0, w, None] ^ y[4][None, :, w])
-        good = (component != y[2]) & (differ * (100 + c.percent) <= (size + y[1]) * (100 - c.percent))
-        good &= 100 * np.minimum(size, y[1]) >= c.percent * np.maximum(size, y[1])
-        good &= ~y[3] | (node < y[0])  # of two that are both asked, once
+    step = max(1, (1 << 17) // max(1, len(y.node)))
+    for at in range(0, len(x.node), step):
+        part = x.where(np.s_[at : at + step])
+        node, size = part.node[:, None], part.size[:, None]
+        differ = np.bitwise_count(part.marks[:, None, :] ^ y.marks[None, :, :]).sum(axis=2, dtype=np.int64)
+        good = (part.component[:, None] != y.component) & (differ * (100 + c.percent) <= (size + y.size) * (100 - c.percent))
+        good &= 100 * np.minimum(size, y.size) >= c.percent * np.maximum(size, y.size)
+        good &= ~y.apart | (node < y.node)  # of two that are both asked, once
         i, j = np.nonzero(good)
-        yield i + at, j
+        yield part.node[i], y.node[j]
+
+
+def compare_blocks(c: JoinConfig):
+    """Rows (code, i, j, asked, node, size, component, apart, sketch), sorted by the first three, to pairs (a, b).
+
+    One block of a subset is held at a time. asked is null in a subset that is one block.
+    """
+
+    def compared(parts: list[tuple[np.ndarray, Members]]) -> pa.RecordBatch | None:
+        role = np.concatenate([r for r, _ in parts])
+        m = Members(*(np.concatenate([getattr(p, f) for _, p in parts]) for f in ("node", "size", "component", "apart", "marks")))
+        asked, others = m.where((role != 0) & m.apart), m.where(role != 1)
+        found = list(could_link(asked, others, c)) if len(asked.node) and len(others.node) else []
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        if len(one):
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
+        held: list[tuple[np.ndarray, Members]] = []
+        current = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code, i, j = (b.column(k).to_numpy() for k in range(3))
+            role = pyarrow.compute.fill_null(b.column(3).cast(pa.int8()), 2).to_numpy()
+            node, size, component = (b.column(k).to_numpy() for k in (4, 5, 6))
+            marks = b.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+            m = Members(node, size, component, b.column(7).to_numpy(zero_copy_only=False), marks)
+            new = np.flatnonzero((np.diff(code) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for first, end in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+                name = (code[first], i[first], j[first])
+                if name != current:
+                    if held and (out := compared(held)):
+                        yield out
+                    held.clear()
+                    current = name
+                held.append((role[first:end], m.where(np.s_[first:end])))
+        if held and (out := compared(held)):
+            yield out
+
+    return run
 
 
 def across(members: DataFrame, c: JoinConfig) -> DataFrame:
@@ -408,20 +458,15 @@ def across(members: DataFrame, c: JoinConfig) -> DataFrame:
     # Written, so that both sides of the join come from exchanges and a hot subset can be split.
     rows = members.join(materialize(stat, "jaccard-open-stat"), "code").withColumn("apart", F.col("component") != F.col("largest"))
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    plain = ("node", "size", "component", "apart", "sketch")
-    other = rows.select("code", each("n_a").alias("i"), at("n_b").alias("j"), F.lit(False).alias("asked"), *plain)
-    asked = rows.where("apart").select("code", at("n_a").alias("i"), each("n_b").alias("j"), F.lit(True).alias("asked"), *plain)
-
-    def compare(t: pa.Table) -> pa.Table:
-        is_asked = t.column("asked")
-        x, y = t.filter(is_asked), t.filter(pyarrow.compute.invert(is_asked))
-        a, b = x.column("node").to_numpy(), y.column("node").to_numpy()
-        found = [(a[i], b[j]) for i, j in could_link(x, y, c)] if len(a) and len(b) else []
-        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
-
-    return other.unionByName(asked).groupBy("code", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    copy = lambda i, j, asked: F.struct(i.alias("i"), j.alias("j"), F.lit(asked).cast("boolean").alias("asked"))
+    asked = F.transform(all_of("n_b"), lambda j: copy(at("n_a"), j, True))
+    other = F.transform(all_of("n_a"), lambda i: copy(i, at("n_b"), False))
+    sent = F.when(F.col("n_b") == 1, F.array(copy(F.lit(0), F.lit(0), None))).when(F.col("apart"), F.concat(asked, other)).otherwise(other)
+    each = rows.select("code", F.explode(sent).alias("to"), "node", "size", "component", "apart", "sketch")
+    each = each.select("code", "to.i", "to.j", "to.asked", "node", "size", "component", "apart", "sketch")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since little data can be much work
+    return each.repartition(n, "code", "i", "j").sortWithinPartitions("code", "i", "j").mapInArrow(compare_blocks(c), "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c: JoinConfig = JoinConfig()) -> DataFrame:
