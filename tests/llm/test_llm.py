@@ -15,6 +15,12 @@ from codeloom.llm.components import connected
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
+# Names that operators use, for their results or within.
+CLASHES = [
+    "key", "text_", "ids", "kept_text", "n_lines", "n_removed", "n_words", "score", "lang_pred", "bits_per_byte", "bucket", "component", "_row", "media",
+    "budget", "available", "rest", "_l0", "_l1", "k", "n_tokens", "epoch", "take_tokens", "domain", "box", "found", "gone", "_key", "_gone", "_text", "_letter",
+    "n_shingles", "component_id", "first", "code", "n_ids", "held_out", "a.b", "cut", "_pick",
+]
 LONG = " ".join(WORDS[i * 7 % 400] for i in range(3000))
 
 
@@ -44,8 +50,7 @@ def docs(spark, texts):
 @pytest.fixture(scope="module")
 def odd(docs):
     """The same with extra columns whose names clash with the operators' own."""
-    extra = ["key", "text_", "ids", "kept_text", "n_words", "score", "bucket", "component", "_row", "media", "budget", "_l0", "n_tokens"]
-    return docs.select("*", *[F.lit(7).alias(c) for c in extra])
+    return docs.select("*", *[F.lit(7).alias(c) for c in CLASHES])
 
 
 def by_id(df, key="doc_id"):
@@ -116,6 +121,38 @@ def test_jaccard_shortage_of_subsets_is_mended(spark, monkeypatch):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute_groups(rows)
 
 
+def test_jaccard_compares_across_components_in_blocks(spark):
+    """Copies of several originals that share most of their words: some pairs fail and some later documents link."""
+    rng = np.random.default_rng(16)
+    base = sentence(rng, 60).split()
+    rows = []
+    for family in range(6):
+        own = [*base[:44], *sentence(rng, 16, [f"v{family}_{i}" for i in range(50)]).split()]
+        for i in range(25):
+            w = list(own)
+            for at in rng.integers(0, 60, 1 + i % 2):
+                w[at] = f"edit{family}_{i}_{at}"
+            rows.append((len(rows), " ".join(w)))
+    order = rng.permutation(len(rows))
+    rows = [(int(order[i]), t) for i, t in rows]
+    config = jaccard_join.JoinConfig(open_block=7, block_words=400, held_shingles=100)
+    got = by_id(jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), c=config))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute_groups(rows)
+
+
+def test_jaccard_across_gives_all_pairs_that_could_link(spark):
+    rng = np.random.default_rng(17)
+    sets = [jaccard_join.shingles([f"s{i}".encode() for i in rng.integers(0, 40, 30)], jaccard_join.JoinConfig(words=1)) for _ in range(40)]
+    marks = jaccard_join.sketches(sets)
+    rows = [(c, n, len(sets[n]), n // 9, marks[n].tolist()) for c in (1, 2) for n in range(c - 1, 40, c)]
+    df = spark.createDataFrame(rows, "code bigint, node bigint, size bigint, component bigint, sketch array<bigint>")
+    c = jaccard_join.JoinConfig(percent=30, open_block=5)
+    got = {(r["a"], r["b"]) for r in jaccard_join.across(df, c).collect()}
+    similar = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 30 * len(np.union1d(x, y))
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i // 9 != j // 9 and similar(sets[i], sets[j])}
+    assert want and want <= got and all(i // 9 != j // 9 and i < j for i, j in got)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
@@ -151,8 +188,25 @@ def test_mix_repeats_small_leaves_by_epochs(spark):
     assert sum(r["take_tokens"] for r in got) == 45
 
 
+def test_mix_takes_prefixes_to_the_token(spark):
+    """Every leaf gives the first documents in the order of the hash, up to its budget, at any width of the ranges."""
+    rng = np.random.default_rng(13)
+    rows = [(i, sentence(rng, int(n)), "en", f"s{i % 3}", 0, "d") for i, n in enumerate(rng.integers(1, 40, 300))]
+    df = spark.createDataFrame(rows, DOC + ", domain string")
+    c = mixing.MixConfig(percent=70, max_epochs=1)
+    got = {r["doc_id"]: r["take_tokens"] for r in mixing.mix_sources(df, c=c).collect()}
+    one = mixing.MixConfig(percent=70, max_epochs=1, digits=1, narrowings=1)
+    assert got == {r["doc_id"]: r["take_tokens"] for r in mixing.mix_sources(df, c=one).collect()}
+    for s in range(3):
+        mine = sorted((hashlib.md5(f"7:0:{i}".encode()).hexdigest(), i, len(t.split())) for i, t, *_ in rows if i % 3 == s)
+        left = sum(got.get(i, 0) for _, i, _ in mine)
+        for _, i, n in mine:
+            assert got.get(i, 0) == min(n, left)
+            left -= min(n, left)
+
+
 def test_mix_on_awkward_input(odd):
-    df = odd.withColumn("domain", mixing.domain_of(F.col("source")))
+    df = odd.drop("domain").withColumn("domain", mixing.domain_of(F.col("source")))
     got = mixing.mix_sources(df).collect()
     assert got and all(r["take_tokens"] > 0 for r in got) and "(none)" in {r["source"] for r in mixing.mix_sources(df, c=mixing.MixConfig(percent=200, max_epochs=2)).collect()}
     assert mixing.mix_sources(df.limit(0)).count() == 0
@@ -170,14 +224,74 @@ def test_audio_is_lossless_and_features_follow_the_text(odd, texts):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     assert rows[0]["feature"] == rows[60]["feature"] and rows[0]["media_sha256"] == rows[60]["media_sha256"]
-    t = pa.ipc.open_stream(rows[67]["tensor"]).read_all()
-    assert t.schema.field("log_mel").type.shape == [32, 24] and t["end_s"][-1].as_py() <= len(LONG) / 8000 + 0.1
+    found = audio.audio_features(media, ["doc_id"])
+    assert found.schema["log_mel"].metadata["ARROW:extension:name"] == "arrow.fixed_shape_tensor"
+    table = found.toArrow()
+    t = audio.tensors(table["log_mel"])
+    spans = table["patch_spans"].combine_chunks()
+    assert t.type.shape == [32, 24] and len(t) == len(spans.flatten()) and t.to_numpy_ndarray().shape == (len(t), 32, 24)
+    assert rows[67]["patch_spans"][-1]["end_s"] <= len(LONG) / 8000 + 0.1
+    null = spark_row(media.limit(1).withColumn("media", F.lit(None).cast("binary")))
+    assert null["feature"] is None and null["log_mel"] is None and null["segments"] is None
+
+
+def spark_row(media):
+    return audio.audio_features(media, ["doc_id"]).first()
+
+
+def brute_mel(payload, c):
+    """Frames and their log energies from the definition, sample by sample."""
+    x = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    h = audio.phases(c.up, c.down, c.taps_per_phase)
+    y = []
+    for n in range(len(x) * c.up // c.down):
+        base, phase = divmod(n * c.down, c.up)
+        at = [base - c.taps_per_phase // 2 + j for j in range(c.taps_per_phase)]
+        y.append(sum(h[phase][j] * x[i] for j, i in enumerate(at) if 0 <= i < len(x)))
+    y = np.array(y + [0.0] * max(0, c.frame - len(y)))
+    bank, window, out = audio.mel_bank(c.out_rate, c.fft, c.mels), np.hanning(c.frame), []
+    for at in range(0, len(y) - c.frame + 1, c.hop):
+        spectrum = [abs(sum(v * np.exp(-2j * np.pi * k * i / c.fft) for i, v in enumerate(y[at : at + c.frame] * window))) ** 2 for k in range(c.fft // 2 + 1)]
+        out.append(np.log10(np.array(spectrum) @ bank + 1e-6))
+    return np.array(out)
+
+
+def brute_segments(energy, c):
+    mid, on, out = float(np.median(energy)), False, []
+    for i, e in enumerate([*energy, -1.0]):
+        now = False if e < mid * c.off_below else True if e > mid * c.on_above else on
+        if now and not on:
+            start = i
+        if on and not now:
+            out.append((start * c.hop / c.out_rate, (i - 1) * c.hop / c.out_rate + c.frame / c.out_rate))
+        on = now
+    return out
+
+
+def test_log_energies_and_segments_are_those_of_the_definition():
+    rng = np.random.default_rng(21)
+    small = audio.AudioConfig(block=3)
+    for n in (192, 384, 1152):
+        payload = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+        mel, energy = audio.log_mel(np.frombuffer(payload, np.uint8), small)
+        whole, _ = audio.log_mel(np.frombuffer(payload, np.uint8), audio.AudioConfig())
+        assert np.allclose(mel, brute_mel(payload, small), atol=1e-4) and np.allclose(mel, whole, atol=1e-5)
+        assert len(mel) == len(energy)
+    for _ in range(50):
+        e = rng.choice([0.5, 0.95, 1.0, 1.1, 1.5], 40)
+        assert np.allclose(np.array(audio.segments(e, small)).reshape(-1, 2), np.array(brute_segments(e, small)).reshape(-1, 2))
+
+
+def test_a_long_text_takes_memory_by_blocks():
+    data = audio.wav(audio.padded(b"some words " * 400_000), 8000)
+    f = audio.features_of(data, audio.AudioConfig())
+    assert f["n_frames"] == 1 + (f["payload_bytes"] * 3 // 4 - 240) // 120 and len(f["log_mel"]) == len(f["patch_spans"]) * 768
 
 
 def test_resampling_keeps_a_low_tone_and_segments_have_hysteresis():
     c = audio.AudioConfig()
     x = np.sin(2 * np.pi * 200 * np.arange(8000) / 8000)
-    y = audio.resample(x, c)
+    y = audio.resample(np.round(x * 127 + 128).astype(np.uint8), 0, 6000, c)
     want = np.sin(2 * np.pi * 200 * np.arange(6000) / 6000)
     best = max(np.corrcoef(y[50 + s : 5900 + s], want[50:5900])[0, 1] for s in range(-12, 13) if 50 + s >= 0)
     assert len(y) == 6000 and best > 0.99
@@ -241,6 +355,62 @@ def test_every_shared_block_has_a_run_for_each_line():
                 assert not block or covered >= {n for n in range(j - i) if sizes[i + n]}
 
 
+def longest_common(a, b):
+    """Length of the longest common sequence of lines, by the textbook table."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_patience_of_distinct_lines_is_the_longest_match():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.permutation(20)[: rng.integers(0, 20)].astype(int) + 1 for _ in range(2))
+        assert len(line_align.patience(a.tolist(), b.tolist())) == longest_common(a.tolist(), b.tolist())
+
+
+def brute_lines(pairs, c):
+    """What aligning every two documents removes from the later one."""
+    gone = {}
+    split = {k: [x for x in t.encode().split(b"\n")] for k, t in pairs}
+    code = {x: i + 1 for i, x in enumerate(sorted({x for v in split.values() for x in v}))}
+    hashes = {k: [code[x] if x.strip() else 0 for x in v] for k, v in split.items()}
+    sizes = {k: [len(x) for x in v] for k, v in split.items()}
+    for b in split:
+        for a in split:
+            if a < b:
+                runs = [r[0] for r in line_align.block_runs(hashes[a], sizes[a], c.least_block_bytes)]
+                gone.setdefault(b, set()).update(line_align.common_lines(hashes[b], sizes[b], hashes[a], runs, c))
+    return {k: v for k, v in gone.items() if v}
+
+
+def test_line_dedup_misses_little_of_what_all_pairs_give(spark):
+    """Recall against the alignment of every two documents."""
+    rng = np.random.default_rng(18)
+    pool = [sentence(rng, int(n)) for n in rng.integers(2, 16, 60)]
+    rows = []
+    for i in range(120):
+        own = [sentence(rng, int(n)) for n in rng.integers(3, 12, 6)]
+        at = int(rng.integers(0, 55))
+        block = pool[at : at + int(rng.integers(1, 5))]
+        rows.append((i, "\n".join([*own[:3], *block, *own[3:]] if i % 3 else own)))
+    c = line_align.AlignConfig()
+    want = {(k, n) for k, v in brute_lines(rows, c).items() for n in v}
+    found = line_align.lines_gone(spark.createDataFrame(rows, "doc_id bigint, text string"), c=c).collect()
+    got = {(r["key"], n) for r in found for n in r["gone"]}
+    assert len(want) > 50 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_lines_of_repeated_rows_and_many_lines(spark):
+    block = "\n".join(f"line {i} of a block that is copied as a whole" for i in range(3000))
+    rows = [(1, block), (2, "own line\n" + block), (2, "own line\n" + block), (3, None), (3, None)]
+    got = line_align.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["kept_text"], r["n_removed"]) for r in got if r["doc_id"] < 3) == [(1, block, 0), (2, "own line", 3000), (2, "own line", 3000)]
+    assert len(got) == 5
+
+
 def test_line_dedup_on_awkward_input(odd, texts):
     got = by_id(line_align.dedup_lines(odd))
     assert len(got) == len(texts) and got[68]["kept_text"] == texts[68]
@@ -265,6 +435,67 @@ def brute_repeats(pairs, window):
     return out
 
 
+def brute_maximal(pairs, window):
+    """Longest runs of words whose windows all start earlier, too."""
+    seen, out = set(), set()
+    for i, t in sorted(pairs):
+        w, start = words(t), None
+        for k in range(len(w) - window + 2):
+            g = tuple(w[k : k + window]) if k + window <= len(w) else None
+            if g in seen and start is None:
+                start = k
+            if start is not None and g not in seen:
+                out.add((i, start, k - start + window - 1))
+                start = None
+            if g:
+                seen.add(g)
+    return out
+
+
+@pytest.mark.parametrize(("block_words", "settle_at"), [(40, 50), (1_000_000, 500_000)])
+def test_maximal_repeats_are_those_of_the_tree(odd, texts, block_words, settle_at):
+    c = suffix_tree.RepeatConfig(block_words=block_words, settle_at=settle_at)
+    want = brute_maximal(enumerate(texts), 20)
+    found = suffix_tree.maximal_repeats(odd, c=c).collect()
+    assert len(found) == len(want) and {(r["doc_id"], r["start"], r["n_words"]) for r in found} == want
+    per = by_id(suffix_tree.remove_repeats(odd, c=c))
+    for i in range(len(texts)):
+        mine = [n for k, _, n in want if k == i]
+        assert (per[i]["n_repeats"], per[i]["longest_repeat"]) == (len(mine), max(mine, default=0))
+
+
+def test_a_group_holds_each_node_once():
+    """However many leaves a node has, and in whatever order they come."""
+    rng = np.random.default_rng(19)
+    prints = rng.integers(0, 50, 20_000).astype(np.uint64)
+    keys, places = rng.permutation(20_000).astype(np.int64), np.zeros(20_000, np.int32)
+    c = suffix_tree.RepeatConfig(settle_at=300)
+    most = 0
+
+    def pick(leaves):
+        nonlocal most
+        most = max(most, len(leaves[0]))
+        return suffix_tree.later_leaves(leaves)
+
+    def batches():
+        for at in range(0, 20_000, 100):
+            p = slice(at, at + 100)
+            yield suffix_tree._table([(3, prints[p].tobytes(), suffix_tree.pack(keys[p]), suffix_tree.pack(places[p]))])
+
+    got = [k for b in suffix_tree.subtrees(pick, c)(batches()) for k in b.column(0).to_pylist()]
+    first = {p: min(keys[prints == p]) for p in set(prints.tolist())}
+    assert sorted(got) == sorted(set(range(20_000)) - set(first.values())) and most <= 300 + 100 + 50
+
+
+def test_groups_grow_with_the_texts(spark):
+    from codeloom.llm.common import groups_for
+
+    one = spark.createDataFrame([(1, "ab " * 10_000)], "doc_id bigint, text string")
+    ten = spark.createDataFrame([(i, "ab " * 10_000) for i in range(10)], "doc_id bigint, text string")
+    few, many = (groups_for(d, "text", 20, 10_000, 1) for d in (one, ten))
+    assert few == 30 and many == 300 and groups_for(one.limit(0), "text", 20, 10_000, 1) == 4
+
+
 @pytest.mark.parametrize("block_words", [40, 1_000_000])
 def test_repeats_are_those_of_all_windows(odd, texts, block_words):
     c = suffix_tree.RepeatConfig(block_words=block_words)
@@ -301,6 +532,17 @@ def test_pieces_are_the_librarys(spark, texts):
     assert piece_tokenizer.round_trips(df.limit(0), m).count() == 0
 
 
+def test_merging_long_units_is_quick_and_the_librarys():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    m = piece_tokenizer.load_model(PIECES)
+    e = piece_tokenizer.Encoder(m)
+    rng = np.random.default_rng(20)
+    for n in (1, 7, 300, 20_000):
+        t = "".join(rng.choice(list("abcdefgxyz012"), n))
+        assert [m.ids[p] for p in e.merged("▁" + t)] == sp.encode(t)
+
+
 def test_unigram_model_has_the_best_path():
     pieces = ("<unk>", "▁", "a", "b", "ab", "▁a", "▁ab", "ba")
     scores = (0.0, -3.0, -2.0, -2.0, -2.5, -3.5, -5.0, -3.0)
@@ -334,19 +576,52 @@ def test_compression_bands(odd, texts):
     assert compression_bands.compression_bands(odd.limit(0)).count() == 0
 
 
+def prose(rng, n):
+    """Words as a language has them: some often, most seldom, letters uneven."""
+    p = np.arange(26, 0, -1) / 351
+    vocabulary = ["".join(chr(97 + c) for c in rng.choice(26, rng.integers(2, 9), p=p)) for _ in range(600)]
+    share = 1 / np.arange(1, 601)
+    return " ".join(vocabulary[i] for i in rng.choice(600, n, p=share / share.sum()))
+
+
 def test_repetitive_and_random_texts_are_rejected(spark):
     rng = np.random.default_rng(2)
-    noise = " ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 5)) for _ in range(400))
-    prose = " ".join("".join(chr(97 + c) for c in rng.choice(26, rng.integers(2, 9), p=np.arange(26, 0, -1) / 351)) for _ in range(400))
-    got = by_id(compression_bands.compression_bands(spark.createDataFrame([(1, prose), (2, noise), (3, prose[:60] * 40)], "doc_id bigint, text string")))
-    assert got[1]["kept"] and not got[3]["kept"]
+    random_words = lambda letters, n: " ".join("".join(letters[j] for j in rng.integers(0, len(letters), rng.integers(2, 9))) for _ in range(n))
+    lower = [chr(97 + i) for i in range(26)]
+    rows = [(1, prose(rng, 1500)), (2, prose(rng, 150)), (3, prose(rng, 15)[:60] * 40)]
+    rows += [(10, " ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 5)) for _ in range(400)))]  # 6.4 kB of CJK
+    rows += [(11, random_words([*lower, *map(str.upper, lower), *"0123456789+/"], 1050))]  # 6.3 kB of base64
+    rows += [(12, random_words([*"0123456789abcdef"], 1100)), (13, random_words(lower, 1100))]
+    rows += [(14, random_words([*lower, *map(str.upper, lower), *"0123456789+/"], 60)), (15, rows[0][1] + " " + rows[5][1] + " " + rows[5][1][::-1])]
+    got = by_id(compression_bands.compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {i: r["kept"] for i, r in got.items()} == {i: i < 3 for i in got}
+    assert not got[10]["base_failed"] and not got[13]["base_failed"]
+
+
+def test_verdicts_and_ratios_are_those_of_the_definition(spark, texts):
+    import zstandard
+
+    rng = np.random.default_rng(22)
+    b = compression_bands.Bands()
+    more = [*texts, *[prose(rng, int(n)) for n in rng.integers(50, 3000, 20)], "# " * 40 + prose(rng, 200) + " a|b <c> 100% & $"]
+    got = by_id(compression_bands.compression_bands(spark.createDataFrame(list(enumerate(more)), "doc_id bigint, text string")))
+    ratio = lambda d: len(d) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(d))
+    for i, t in enumerate(more):
+        d, r = (t or "").encode(), got[i]
+        whole = ratio(d) if d else 0.0
+        lo, hi = next((lo, hi) for up_to, lo, hi in b.limits if len(d) <= up_to)
+        chunks = [d[k : k + 4096] for k in range(0, len(d) - 4096, 4096)] + [d[-4096:]] if len(d) > 4096 else []
+        out = [x for x in map(ratio, chunks) if not b.chunk_limits[0] <= x <= b.chunk_limits[1]]
+        assert r["n_symbols"] == sum(x in "#*$%&|<>" for x in t or "") and math.isclose(r["ratio"], whole)
+        assert (r["n_chunks"], r["chunks_out"]) == (len(chunks), len(out))
+        assert r["kept"] == (not r["base_failed"] and lo <= whole <= hi and 4 * len(out) <= len(chunks))
 
 
 def test_the_end_of_a_text_is_judged_as_a_chunk(spark):
     rng = np.random.default_rng(2)
-    prose = " ".join("".join(chr(97 + c) for c in rng.choice(26, rng.integers(2, 9), p=np.arange(26, 0, -1) / 351)) for _ in range(1200))
+    text = prose(rng, 2500)
     line = "the same line of words comes again and again\n"
-    rows = [(1, prose[:4096] + "\n" + line * 60), (2, prose[:4096]), (3, prose[:4097]), (4, prose[: 2 * 4096])]
+    rows = [(1, text[:4096] + "\n" + line * 60), (2, text[:4096]), (3, text[:4097]), (4, text[: 2 * 4096])]
     got = by_id(compression_bands.compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert (got[1]["n_chunks"], got[1]["chunks_out"], got[1]["kept"]) == (2, 1, False)
     lo, hi = compression_bands.Bands().of(len(rows[0][1]))
@@ -372,6 +647,40 @@ def test_secret_spans(spark):
     assert got[5]["spans"] == "" and got[6]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def brute_spans(t):
+    """(start, kind, end) by the patterns, one after the other."""
+    import re
+
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(secret_scan.KINDS):
+        for m in re.finditer(pattern, t or ""):
+            if len(m.group(group)) >= least:
+                found.append((m.start(), rank, kind, m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def test_secret_spans_are_those_of_the_patterns(spark):
+    """Spans that overlap or start alike, ties, characters of several bytes, and a text with very many."""
+    rng = np.random.default_rng(23)
+    bits = ["token=", "secret: ", "AKIA" + "A1" * 8, "0a1b" * 8, "é 😀", " ", "\n", "password='AKIA" + "B2" * 10 + "'", "api_key=" + "deadbeef" * 4, "short", "gh" + "p_" + "Zz9" * 8]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), n)) for n in rng.integers(0, 40, 60)]
+    texts += [" ".join("0123456789abcdef" * 2 for _ in range(20_000)), None, ""]
+    got = by_id(secret_scan.scan_secrets(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)))
+    for i, t in enumerate(texts):
+        spans = brute_spans(t)
+        assert got[i]["spans"] == ",".join(spans)
+        base = [x for x in spans if not x.startswith("prefixed")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
+def test_owners_and_repositories_that_are_null_count_as_none(spark):
+    t = "token=abcd1234efgh5678"
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "a", 0) for i in range(12)]
+    assert {r["n_copied"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOC)).collect()} == {0}
+    rows = [(i, t, f"l{i}", "a", 0) for i in range(5)]  # five repositories of one owner
+    assert {r["n_copied"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOC)).collect()} == {1}
+
+
 def test_secrets_on_awkward_input(odd, texts):
     assert secret_scan.scan_secrets(odd).count() == len(texts)
     assert secret_scan.scan_secrets(odd.limit(0)).count() == 0
@@ -391,6 +700,52 @@ def test_rules_learn_a_conjunction(spark):
     assert ((score > 0.5) == (y > 0.5)).mean() > 0.97
 
 
+def test_statistics_are_those_of_the_definition(spark, texts):
+    more = [*texts, "One TWO, two! | 3 %\n\nOne TWO, two! | 3 %\nx", "ÄÖ é"]
+    got = by_id(rule_ensemble.text_statistics(spark.createDataFrame(list(enumerate(more)), "doc_id bigint, text string")))
+    for i, t in enumerate(more):
+        d, w, r = (t or "").encode(), words(t), got[i]
+        share = lambda test: sum(map(test, d)) / len(d)
+        assert math.isclose(r["log_bytes"], math.log1p(len(d)), abs_tol=1e-9)
+        if not w:
+            assert all(r[c] == 0 for c in rule_ensemble.STATISTICS[1:])
+            continue
+        lines = [x for x in d.split(b"\n") if x.strip()]
+        upper, lower = sum(65 <= x <= 90 for x in d), sum(97 <= x <= 122 for x in d)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        cover = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        want = {
+            "log_words": math.log1p(len(w)), "mean_word": sum(map(len, set(w))) / len(set(w)), "distinct_share": len(set(w)) / len(w),
+            "symbol_share": share(lambda x: x in b"#*$%&|<>"), "bang_share": d.count(b"!") / len(w), "pipe_share": d.count(b"|") / len(w),
+            "upper_share": upper / max(1, upper + lower), "digit_share": share(lambda x: 48 <= x <= 57),
+            "punctuation_share": share(lambda x: x in b".,;:!?'\"()-"), "high_byte_share": share(lambda x: x > 127),
+            "dup_line_share": 1 - len(set(lines)) / len(lines), "line_words": math.log1p(len(w) / len(lines)),
+            "repeat_share": len(cover) / len(w), "top_word_share": max(Counter(w).values()) / len(w),
+        }
+        assert set(want) | {"log_bytes"} == set(rule_ensemble.STATISTICS)
+        assert all(math.isclose(r[k], v, abs_tol=1e-9) for k, v in want.items())
+
+
+def test_rules_are_paths_and_weights_are_the_lassos():
+    """Each rule is a conjunction of bounds; at the end no weight can be bettered, which settles a convex problem."""
+    rng = np.random.default_rng(24)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] <= 0.6) | (rng.random(600) < 0.1)).astype(float)
+    c = rule_ensemble.RuleConfig(trees=5, steps=4000, penalty=0.01)
+    rules = rule_ensemble.tree_rules(x, y, c)
+    assert rules and all(1 <= len(r) <= c.depth and len(set(r)) == len(r) for r in rules)
+    for r in rules[:20]:
+        assert (rule_ensemble.holds(r, x) == [all((v[f] <= t) == at_most for f, at_most, t in r) for v in x]).all()
+    z = np.column_stack([rule_ensemble.holds(r, x) for r in rules]).astype(float)
+    bias, w = rule_ensemble.lasso(z, y, c)
+    scale = z.std(axis=0) + 1e-9
+    p = 1 / (1 + np.exp(-(z @ w + bias)))
+    slope = ((z - z.mean(axis=0)) / scale).T @ (p - y) / len(y)
+    on = np.abs(w) > 1e-6
+    assert on.any() and abs((p - y).mean()) < 1e-3
+    assert np.all(np.abs(slope[on] + c.penalty * np.sign(w[on])) < 2e-3) and np.all(np.abs(slope[~on]) <= c.penalty + 2e-3)
+
+
 def test_quality_without_labels_or_with_one(odd, spark, texts):
     stats = rule_ensemble.text_statistics(odd)
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
@@ -430,32 +785,174 @@ def brute_bits(m, lang, data):
     return total
 
 
-def test_language_code_lengths(spark):
+def test_language_code_lengths(spark, monkeypatch):
     rng = np.random.default_rng(9)
     words_of = {"aa": ["alba", "banana", "gara", "laba"], "bb": ["pxq", "qxx", "zpz", "xzq", "é"]}
     rows = [(i, sentence(rng, 30, words_of[x]), x, "s", 0) for i, x in enumerate(["aa", "bb"] * 20)] + [(100, None, "aa", "s", 0), (101, "123 !", None, "s", 0), (102, "", "bb", "s", 0)]
     df = spark.createDataFrame(rows, DOC).withColumn("lang_pred", F.lit(1))
     m = ppm_language.learn(df.where("doc_id < 40"), "doc_id", "text", "lang")
     assert m.langs == ("aa", "bb")
-    data = "banana qxx unseen Ω".encode()
-    assert np.allclose(ppm_language.Tables(m).bits([data, b"", data])[[0, 2]], [[brute_bits(m, x, data) for x in m.langs]] * 2, rtol=1e-5)
+    tables = ppm_language.Tables.of(m)
+    data = "banana qxx unseen Ω alba \0\0".encode()
+    long = sentence(rng, 40, words_of["aa"]).encode()
+    monkeypatch.setattr(ppm_language, "PIECE", 50)
+    for texts in ([data, b"", data], [long, data, b"a", long * 3], [b""], []):
+        want = np.array([[brute_bits(m, x, t) for x in m.langs] for t in texts]).reshape(-1, 2)
+        assert np.allclose(tables.bits(texts), want, rtol=1e-5)
     got = by_id(ppm_language.language_scores(df, ["doc_id"], "text", m))
     assert all(got[i]["lang_pred"] == rows[i][2] for i in range(40)) and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (100, 101, 102))
     none = ppm_language.learn(df.limit(0), "doc_id", "text", "lang")
     assert {r["lang_pred"] for r in ppm_language.language_scores(df, ["doc_id"], "text", none).collect()} == {"und"}
+    assert ppm_language.language_scores(df.limit(0), ["doc_id"], "text", m).count() == 0
+    with pytest.raises(ValueError, match="lang_pred"):
+        ppm_language.language_scores(df, ["doc_id", "lang_pred"], "text", m)
+
+
+def test_code_lengths_hold_for_all_byte_values():
+    """Several scripts have more common byte values than any one language."""
+    rng = np.random.default_rng(25)
+    tallies = [ppm_language.Tally(), ppm_language.Tally()]
+    for n, t in enumerate(tallies):
+        for _ in range(3):
+            t.add(rng.integers(0, 256, 3000, dtype=np.uint8).tobytes() + bytes(range(256)) * (n + 1))
+        t.settle()
+    m = ppm_language.Ppm(("aa", "bb"), tuple(t.codes for t in tallies), tuple(t.counts for t in tallies))
+    data = rng.integers(0, 256, 2000, dtype=np.uint8).tobytes() + bytes(range(256))
+    assert np.allclose(ppm_language.Tables.of(m).bits([data]), [[brute_bits(m, x, data) for x in m.langs]], rtol=1e-5)
+    assert sum(map(int, tallies[0].counts)) == 3 * (3000 + 256)
+
+
+def test_ties_go_to_the_first_language():
+    t = ppm_language.Tally()
+    t.add(b"abc abc")
+    t.settle()
+    m = ppm_language.Ppm(("x", "y"), (t.codes, t.codes), (t.counts, t.counts))
+    found = ppm_language.predicted(ppm_language.Tables.of(m), [b"abc"], [True]).to_pylist()[0]
+    assert found["lang_pred"] == "x" and found["score"] == 0.5
+
+
+# The queries themselves
+
+SF = "/root/testdata/sf0.001"
+PROMISED = {
+    "op1_ngram_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op3_audio_features": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "segments": "array<struct<start_s:double,end_s:double>>", "log_mel": "array<float>", "patch_spans": "array<struct<start_s:double,end_s:double>>"},
+    "op5_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op7_compression_bands": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op8_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op9_quality_rules": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op10_language_ppm": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(PROMISED))
+def test_queries_have_the_promised_columns_and_a_row_a_document(spark, name):
+    from codeloom.llm import queries
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.queries()[name](spark, SF)
+    assert PROMISED[name].items() <= dict(got.dtypes).items()
+    rows = by_id(got)
+    assert set(rows) == set(docs)
+    if "held_out" in got.columns:
+        modulus, out = (5, 0) if name.startswith("op9") else (4, 2)
+        assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % modulus == out) and 0 <= r["score"] <= 1 for k, r in rows.items())
+    if name.startswith("op9"):
+        assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows.values())
+    if name.startswith("op1_"):
+        assert {k: (r["n_shingles"], r["component_id"]) for k, r in rows.items()} == brute_groups(docs.items())
+    if name.startswith("op5"):
+        assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in rows.items()} == brute_repeats(docs.items(), 20)
+    if name.startswith("op8"):
+        assert all(r["spans"] == ",".join(brute_spans(docs[k])) for k, r in rows.items())
+
+
+def test_models_do_well_on_what_they_did_not_learn_from(spark):
+    from codeloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = [(r["lang_pred"], docs[r["doc_id"]]["lang"]) for r in queries.op10_language_ppm(spark, sf).where("held_out").collect()]
+    known = [(a, b) for a, b in found if b is not None and a != "und"]
+    assert len(known) > 100 and sum(a == b for a, b in known) >= 0.95 * len(known)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(r["predicted"], labels[r["doc_id"]]) for r in queries.op9_quality_rules(spark, sf).where("held_out").collect() if labels.get(r["doc_id"]) is not None]
+    assert len(judged) > 40 and sum(a == b for a, b in judged) >= 0.9 * len(judged)
+
+
+# The pipeline
+
+
+def brute_pipeline(docs, model, c):
+    """Keys after the first three stages."""
+    scored = {k: ppm_language.predicted(ppm_language.Tables.of(model), [t.encode()], [any(x.isalpha() for x in t)]).to_pylist()[0] for k, t in docs.items() if t}
+    docs = {k: docs[k] for k, r in scored.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    yield set(docs)
+    gone = brute_lines(sorted(docs.items()), c)
+    docs = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ())) for k, t in docs.items()}
+    docs = {k: t for k, t in docs.items() if k not in gone or t.strip(" ")}
+    yield set(docs)
+    yield {k for k, (_, least) in brute_groups(docs.items()).items() if k == least}
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+@pytest.fixture(scope="module")
+def corpus():
+    rng = np.random.default_rng(14)
+    block = "\n".join(f"shared line {i} that is long enough to be a block by itself" for i in range(3))
+    rows = [(i, sentence(rng, 80, [w + "a" for w in WORDS]), "en", f"src{i % 3}", 0) for i in range(60)]
+    near = rows[7][1].split()
+    near[40] = "changed"
+    rows += [(60, rows[0][1], "en", "src0", 0), (61, "123", "en", "src0", 0), (62, None, "en", "src0", 0), (63, "", None, None, 0), (64, " ".join(near), None, "src1", 0)]
+    rows += [(65, rows[1][1] + "\n" + block, "en", "src2", 0), (66, rows[2][1][:200] + "\n" + block, "en", "src2", 0), (67, block, "en", "src2", 0)]
+    return rows
+
+
+def test_pipeline_is_that_of_brute_force(spark, tmp_path, corpus):
     import corpus_pipeline
 
-    rng = np.random.default_rng(12)
-    rows = [(i, sentence(rng, 80, [w + "a" for w in WORDS]), "en", f"src{i % 3}", 0) for i in range(40)]
-    rows += [(40, rows[0][1], "en", "src0", 0), (41, "123", "en", "src0", 0), (42, None, "en", "src0", 0)]
-    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame(corpus, DOC)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = ppm_language.learn(docs, "doc_id", "text", "lang")
+    want = list(brute_pipeline({r[0]: r[1] for r in corpus}, model, line_align.AlignConfig()))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    seen = {}
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    for (name, stage), keys in zip(corpus_pipeline.STAGES, want):
         docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
-        seen[name] = {r["doc_id"] for r in docs.collect()}
-    assert seen["language"] == set(range(41)) and seen["near"] == set(range(40))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
+        assert {r["doc_id"] for r in docs.collect()} == keys, name
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    assert {60, 61, 62, 63, 64, 67}.isdisjoint(kept) and "shared line" not in kept[66]["text"] and len(kept[66]["text"]) == kept[66]["n_chars"]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    total = sum(len(r["text"].split()) for r in kept.values())
+    took = sum(len(kept[r["doc_id"]]["text"].split()) for r in rows)
+    assert len({r["doc_id"] for r in rows}) == len(rows) and 0.6 * total <= took <= 0.9 * total
+    m = piece_tokenizer.load_model(PIECES)
+    assert all(piece_tokenizer.decode_ids(np.array(r["ids"], np.int32), m) == kept[r["doc_id"]]["text"] and r["n_ids"] == len(r["ids"]) for r in rows)
+
+
+def test_pipeline_carries_columns_of_any_name(spark, corpus):
+    """A column by each name that a stage uses within comes through every stage that keeps the columns, as it was."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(corpus, DOC).select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = corpus_pipeline.materialize(stage(spark, docs, ""), name)
+        assert docs.columns == before
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.pieces(spark, docs, "").columns == ["doc_id", "source", "lang", "n_ids", "ids"]
+
+
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, corpus):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], DOC)
+    twice = spark.createDataFrame([*corpus[:30], *corpus[:30], (None, corpus[40][1], None, None, 0)], DOC)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.materialize(stage(spark, empty, ""), name)
+        assert empty.count() == 0, name
+        if name != "pieces":
+            twice = corpus_pipeline.materialize(stage(spark, twice, ""), name)
+        if name == "near":
+            assert Counter(r["doc_id"] for r in twice.collect()) == {**{i: 2 for i in range(30)}, None: 1}
+
+
