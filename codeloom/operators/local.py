@@ -1,0 +1,133 @@
+"""Graphs that are small by count, worked on in one task.
+
+Iterations over a distributed graph cost some seconds a round, however few edges are left.
+Where a count shows that the edges fit one task (``MOST_EDGES``, 16 bytes each), the task
+holds them as arrays and answers at once. Larger graphs take the distributed way of
+operators.graph, and come back here as soon as what is left of them fits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+MOST_EDGES = 2_000_000
+
+
+def fits(edges: DataFrame, most: int | None = None) -> bool:
+    """Whether a table, which must be cut from its past, has so few rows that one task may hold it."""
+    most = MOST_EDGES if most is None else most
+    return edges.limit(most + 1).count() <= most
+
+
+def in_one_task(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn of all rows at once. ``rows`` must be cut from its past, else one task would compute that too."""
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        yield fn(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names}))
+
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
+def codes(*columns: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted distinct values of all columns, and each column as places among them."""
+    values, at = np.unique(np.concatenate([c.to_numpy() for c in columns]) if columns else [], return_inverse=True)
+    return values, np.split(at, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def adjacency(source: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, targets): the targets of vertex v are targets[first[v] : first[v + 1]]."""
+    return np.concatenate(([0], np.cumsum(np.bincount(source, minlength=n)))), target[np.argsort(source, kind="stable")]
+
+
+def distances(first: np.ndarray, targets: np.ndarray, seeds: np.ndarray, most: int) -> np.ndarray:
+    """Steps from the nearest seed to each vertex, -1 where none leads."""
+    out = np.full(len(first) - 1, -1, np.int64)
+    front, step = np.unique(seeds), 0
+    out[front] = 0
+    while len(front) and step < most:
+        step += 1
+        n = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        near = np.unique(targets[at])
+        front = near[out[near] < 0]
+        out[front] = step
+    return out
+
+
+def least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex that undirected links connect each vertex with."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        np.minimum.at(least, label, least)  # the label's own vertex learns it too
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def strong(first: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The least vertex of each vertex's strong component: one depth-first walk, without recursion."""
+    n = len(first) - 1
+    begin, ends, to = first[:-1].tolist(), first[1:].tolist(), targets.tolist()
+    number, low, out = [0] * n, [0] * n, [-1] * n
+    stack: list[int] = []
+    counter = 0
+    for root in range(n):
+        if number[root]:
+            continue
+        walk = [root]
+        while walk:
+            v = walk[-1]
+            if not number[v]:
+                counter += 1
+                number[v] = low[v] = counter
+                stack.append(v)
+            deeper = False
+            while begin[v] < ends[v]:
+                w = to[begin[v]]
+                begin[v] += 1
+                if not number[w]:
+                    walk.append(w)
+                    deeper = True
+                    break
+                if out[w] < 0:
+                    low[v] = min(low[v], number[w])
+            if deeper:
+                continue
+            walk.pop()
+            if walk and out[v] < 0:
+                low[walk[-1]] = min(low[walk[-1]], low[v])
+            if low[v] == number[v]:
+                members = [stack.pop()]
+                while members[-1] != v:
+                    members.append(stack.pop())
+                least = min(members)
+                for w in members:
+                    out[w] = least
+    return np.array(out, np.int64)
+
+
+def longest(source: np.ndarray, target: np.ndarray, n: int) -> int:
+    """Vertices on the longest path of a graph without cycles; 0 without vertices."""
+    if not n:
+        return 0
+    first, to = adjacency(source, target, n)
+    waits = np.bincount(target, minlength=n)
+    front, depth = np.flatnonzero(waits == 0), 0
+    while len(front):  # a layer is what only earlier layers lead to
+        depth += 1
+        k = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())
+        np.subtract.at(waits, to[at], 1)
+        near = np.unique(to[at])
+        front = near[waits[near] == 0]
+    return depth

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.graph import components
 from codeloom.operators.relational import winnowed
+from codeloom.operators.shared import written
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75  # fixed values of the ranking
@@ -83,25 +84,62 @@ def least_shingles(min_tokens: int, k: int = 5, window: int = 4) -> int:
     return -(-(min_tokens + 2 - (k + window)) // window)
 
 
-def clone_pairs(sets: DataFrame, similarity: float = 0.85, least: int = 1) -> DataFrame:
-    """(a, b, shared, similarity): pairs of sets, each with ``least`` hashes or more, from posting lists, judged exactly."""
-    sizes = sets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = sets.join(sizes, "key")
-    left, right = rows.toDF("a", "hash", "na"), rows.toDF("b", "hash", "nb")
-    # Sets of too different sizes can't be similar, so they never form a pair.
-    close = (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))
-    both = left.join(right, "hash").where("a < b").where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+def _sized(sets: DataFrame, least: int) -> DataFrame:
+    """(key, hashes, n): each set as an array, rarest hashes first, ties by hash. A hash counts in how many sets it is."""
+    counted = sets.join(sets.groupBy("hash").agg(F.count("*").alias("df")), "hash")
+    whole = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))  # one set's own hashes
+    return whole.select("key", F.transform("h", lambda x: x["hash"]).alias("hashes"), F.size("h").alias("n")).where(F.col("n") >= least)
+
+
+def _similar(whole: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared, similarity): similar pairs of sets (key, hashes, n).
+
+    Two sets that are similar share at least ceil(similarity * n) hashes of either, so in an
+    order that is the same for all sets they share one of the first n - ceil(similarity * n)
+    + 1 of each. With the rarest first few sets meet there. Those that do are judged whole.
+    """
+    need = F.ceil(F.col("n") * similarity - 1e-9).cast("int")
+    first = whole.select("key", "n", F.explode(F.slice("hashes", F.lit(1), F.col("n") - need + 1)).alias("hash"))
+    left, right = first.toDF("a", "na", "hash"), first.toDF("b", "nb", "hash")
+    # Sets of too different sizes can't be similar.
+    close = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
+    met = left.join(right, "hash").where("a < b").where(close).select("a", "b").distinct()
+    one, two = whole.toDF("a", "ha", "na"), whole.toDF("b", "hb", "nb")
+    both = met.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")).cast("bigint"))
     both = both.withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
     return both.where(F.col("similarity") >= similarity).select("a", "b", "shared", "similarity")
 
 
+def clone_pairs(sets: DataFrame, similarity: float = 0.85, least: int = 1) -> DataFrame:
+    """(a, b, shared, similarity): all similar pairs of sets (key, hash), each with ``least`` hashes or more, exactly."""
+    return _similar(written(_sized(sets, least), "clone-sets"), similarity)
+
+
+def clone_classes(sets: DataFrame, similarity: float = 0.85, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key, first) of sets that equal an earlier one, and (a, b) of similar sets that differ. Copies make no pairs."""
+    whole = written(_sized(sets, least), "clone-sets")
+    # Equal sets have the same order, since that is the same for all sets.
+    digest = F.sha2(F.to_json("hashes"), 256)
+    of = written(whole.select("key", digest.alias("d")), "clone-digests")
+    first = of.groupBy("d").agg(F.min("key").alias("first"))
+    copies = of.join(first, "d").where("key <> first").select("key", "first")
+    heads = whole.join(first.select(F.col("first").alias("key")), "key", "left_semi").select("key", "hashes", "n")
+    return copies, _similar(heads, similarity).select("a", "b")
+
+
 def clone_groups(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, clone_group): the least key linked; null for keys without a pair."""
+    """(key, clone_group): the least key linked; null for keys without a pair (a, b)."""
     linked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     groups = components(linked, pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))
     return keys.select("key").join(groups.toDF("key", "clone_group"), "key", "left")
 
 
+def near_clones(keys: DataFrame, sets: DataFrame, similarity: float = 0.85, least: int = 1) -> DataFrame:
+    """clone_groups of all similar pairs, without making those between copies."""
+    copies, pairs = clone_classes(sets, similarity, least)
+    return clone_groups(keys, written(copies.toDF("b", "a").select("a", "b").union(pairs), "clone-links"))
+
+
 def exact_duplicates(rows: DataFrame, fingerprint: str) -> Column:
     """Whether another row has the fingerprint; null without one."""
     return F.when(F.col(fingerprint).isNotNull(), F.count("*").over(Window.partitionBy(fingerprint)) >= 2)
