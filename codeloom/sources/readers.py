@@ -17,13 +17,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.predicates import is_admitted
+from codeloom.functions.predicates import is_admitted, matches_glob
 from codeloom.functions.scalars import slug
 
 RECORD, UNIT = "\x1e", "\x1f"  # separators of the log format below
 LOG_FORMAT = "%x1e%H%x1f%ct%x1f%an%x1f%ae%x1f%s"
 # Where coverage reports usually lie.
-COVERAGE_PATHS = ("lcov.info", "coverage/lcov.info", "coverage.xml", "coverage/cobertura.xml", "target/coverage/lcov.info", "target/llvm-cov/lcov.info")
+COVERAGE_PATHS = (
+    "lcov.info",
+    "coverage.xml",
+    "coverage/cobertura-coverage.xml",
+    "coverage/lcov.info",
+    "target/llvm-cov/cobertura.xml",
+    "target/llvm-cov/lcov.info",
+)
 FACTS = "path string, kind string, name string, parent string, line bigint, target string, cc bigint, nesting bigint"
 
 
@@ -88,23 +95,23 @@ def parse_cobertura(reports: DataFrame, report: str, text: str) -> DataFrame:
 
 
 def newest_report(files: DataFrame, configured: tuple[str, ...] = ()) -> DataFrame:
-    """The latest of the files at the usual or configured places; ``files`` has path and modificationTime."""
-    known = F.lit(False)
-    for p in (*COVERAGE_PATHS, *configured):
-        known = known | (F.col("path") == p) | F.endswith("path", F.lit("/" + p))
+    """The latest of the files at the usual places, from the root, or where a configured glob says; ``files`` has path and modificationTime."""
+    known = F.col("path").isin(*COVERAGE_PATHS)
+    for g in configured:
+        known = known | matches_glob(F.col("path"), g, separators=False)
     return files.where(known).orderBy(F.desc("modificationTime"), "path").limit(1)
 
 
 # Source trees
 
 
-def read_tree(spark: SparkSession, root: str, include: list[str] = [], exclude: list[str] = [], most_bytes: int = 2 << 20) -> DataFrame:  # noqa: B006
+def read_tree(spark: SparkSession, root: str, include: list[str] = [], exclude: list[str] = [], most_bytes: int = 2 << 20, ignore: list[str] = []) -> DataFrame:  # noqa: B006
     """(path, content, content_hash) of admitted files under root; paths are relative to it. Content that is no UTF-8 is left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
     rows = files.withColumn("path", F.substring(at, len(base) + 1, 1 << 20))
-    rows = rows.where(is_admitted(F.col("path"), F.col("length"), include, exclude, most_bytes))
+    rows = rows.where(is_admitted(F.col("path"), F.col("length"), include, exclude, most_bytes, ignore))
     return rows.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
 
 
@@ -196,12 +203,8 @@ def markdown_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
-def config_facts(path: str, content: str) -> list[tuple]:
-    """Keys of JSON and TOML, two levels deep; routes of an OpenAPI document. What can't be parsed gives nothing."""
-    try:
-        data = json.loads(content) if path.endswith(".json") else tomllib.loads(content)
-    except ValueError:
-        return []
+def _config_tree(path: str, data: object) -> list[tuple]:
+    """Keys of a configuration, two levels deep; routes of an OpenAPI document."""
     if not isinstance(data, dict):
         return []
     out = []
@@ -217,7 +220,125 @@ def config_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
-EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {"py": python_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts}
+def config_facts(path: str, content: str) -> list[tuple]:
+    """Keys of JSON and TOML. What can't be parsed gives nothing."""
+    try:
+        return _config_tree(path, json.loads(content) if path.endswith(".json") else tomllib.loads(content))
+    except ValueError:
+        return []
+
+
+def yaml_facts(path: str, content: str) -> list[tuple]:
+    """Keys of block mappings, two levels deep, by their indentation; anchors (&name), and aliases (*name) as references."""
+    out, top, inner, root = [], "", None, {}
+    for n, line in enumerate(content.splitlines(), 1):
+        body = re.sub(r"(^|\s)#.*$", "", line)
+        if not body.strip() or body.strip() in ("---", "..."):
+            continue
+        if m := re.match(r"""( *)(?:"([^"]+)"|'([^']+)'|([^\s'"#\[{-][^:#]*?))\s*:(?:\s|$)""", body):
+            indent, key = len(m[1]), m[2] or m[3] or m[4]
+            if indent == 0:
+                top, inner = key, None
+                root[key] = {}
+                out.append(_row(path, "config_section", key, "", n))
+            elif top and (inner is None or indent == inner):
+                inner = indent
+                root[top][key] = None
+                out.append(_row(path, "config_section", key, top, n))
+        out += [_row(path, "anchor", x[1], top, n) for x in re.finditer(r"(?:^|\s)&([\w-]+)", body)]
+        out += [_row(path, "reference", x[1], top, n, x[1]) for x in re.finditer(r"(?:^|\s)\*([\w-]+)", body)]
+    if {"openapi", "swagger"} & set(root):
+        out += [_row(path, "api_path", k) for k in root.get("paths", {}) if k.startswith("/")]
+    return out
+
+
+def dockerfile_facts(path: str, content: str) -> list[tuple]:
+    """Stages by name or number; what they are built from, and stages that files are copied from, as references."""
+    out, stages = [], []
+    for n, line in enumerate(content.splitlines(), 1):
+        if m := re.match(r"(?i)\s*FROM\s+(?:--\S+\s+)*(\S+)(?:\s+AS\s+(\S+))?", line):
+            name = (m[2] or str(len(stages))).lower()
+            stages.append(name)
+            out += [_row(path, "stage", name, "", n), _row(path, "reference", m[1], name, n, m[1])]
+        elif m := re.match(r"(?i)\s*COPY\s+.*?--from=(\S+)", line):
+            out.append(_row(path, "reference", m[1].lower(), stages[-1] if stages else "", n, m[1].lower()))
+    return out
+
+
+def makefile_facts(path: str, content: str) -> list[tuple]:
+    """Targets, and what each needs as references."""
+    out = []
+    for n, line in enumerate(content.replace("\\\n", "  ").splitlines(), 1):
+        if m := re.match(r"([\w./-]+(?:\s+[\w./-]+)*)\s*:(?![=:])([^=#]*)", line):
+            for t in m[1].split():
+                if not t.startswith("."):
+                    out.append(_row(path, "target", t, "", n))
+                    out += [_row(path, "reference", d, t, n, d) for d in m[2].split() if "$" not in d]
+    return out
+
+
+def shell_facts(path: str, content: str) -> list[tuple]:
+    """Functions, and scripts that are sourced or run as references."""
+    out = []
+    for n, line in enumerate(content.splitlines(), 1):
+        if m := re.match(r"\s*(?:function\s+(\w+)\s*(?:\(\))?|(\w+)\s*\(\))\s*\{", line):
+            out.append(_row(path, "function", m[1] or m[2], "", n))
+        elif m := re.match(r"\s*(?:source|\.|bash|sh)\s+([\w./-]+)", line):
+            out.append(_row(path, "reference", m[1], "", n, m[1]))
+        elif m := re.match(r"\s*(\.{1,2}/[\w./-]+)", line):
+            out.append(_row(path, "reference", m[1], "", n, m[1]))
+    return out
+
+
+def sql_facts(path: str, content: str) -> list[tuple]:
+    """Tables and views with their columns; tables that foreign keys and selects name as references."""
+    out = []
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), content, flags=re.S)
+    create = r'(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temporary\s+|temp\s+)?(table|view)\s+(?:if\s+not\s+exists\s+)?([\w."]+)'
+    found = list(re.finditer(create, bare))
+    for m, end in zip(found, [*[x.start() for x in found[1:]], len(bare)]):
+        name, body = m[2].replace('"', ""), bare[m.end() : end]
+        line = bare.count("\n", 0, m.start()) + 1
+        out.append(_row(path, "table", name, "", line))
+        if m[1].lower() == "table" and (inner := re.match(r"\s*\((.*)\)", body, re.S)):
+            for part in re.split(r",(?![^()]*\))", inner[1]):
+                if (c := re.match(r'\s*"?(\w+)"?\s+\w', part)) and c[1].lower() not in ("primary", "foreign", "unique", "constraint", "check", "key", "index"):
+                    out.append(_row(path, "column", c[1], name, line))
+        pattern = r'(?i)\breferences\s+([\w."]+)' if m[1].lower() == "table" else r'(?i)\b(?:from|join)\s+([\w."]+)'
+        out += [_row(path, "reference", r.replace('"', ""), name, line, r.replace('"', "")) for r in re.findall(pattern, body)]
+    return out
+
+
+def terraform_facts(path: str, content: str) -> list[tuple]:
+    """Resources, data, modules, variables and outputs; module folders and addresses in expressions as references."""
+    out, block = [], ""
+    for n, line in enumerate(content.splitlines(), 1):
+        bare = re.sub(r"(#|//).*$", "", line)
+        if m := re.match(r'(resource|data|module|variable|output)\s+"([^"]+)"(?:\s+"([^"]+)")?', bare):
+            name = f"{m[2]}.{m[3]}" if m[3] else m[2]
+            block = {"module": "module.", "variable": "var.", "data": "data."}.get(m[1], "") + name
+            out.append(_row(path, "resource" if m[1] in ("resource", "data") else m[1], block, "", n))
+            continue
+        if m := re.match(r'\s*source\s*=\s*"(\.{1,2}/[^"]+)"', bare):
+            out.append(_row(path, "reference", m[1], block, n, m[1]))
+        elif "=" in bare:
+            text = re.sub(r'"(?:[^"$]|\$(?!\{))*"', "", bare.split("=", 1)[1])
+            for r in re.findall(r"\b((?:var|module|data\.[a-z]\w*)\.\w+|[a-z]+_\w+\.\w+)", text):
+                out.append(_row(path, "reference", r, block, n, r))
+    return out
+
+
+EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {
+    "py": python_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts, "yaml": yaml_facts, "yml": yaml_facts,
+    "sql": sql_facts, "tf": terraform_facts, "sh": shell_facts, "bash": shell_facts, "mk": makefile_facts,
+    "Makefile": makefile_facts, "Dockerfile": dockerfile_facts,
+}
+
+
+def extension(path: str) -> str:
+    """What names a file's extractor: its extension, or its name where that says it all."""
+    name = path.rsplit("/", 1)[-1]
+    return name if name in ("Makefile", "Dockerfile") else name.rsplit(".", 1)[-1]
 
 
 def extract_facts(files: DataFrame, extractors: dict[str, Callable[[str, str], list[tuple]]] | None = None) -> DataFrame:
@@ -227,7 +348,7 @@ def extract_facts(files: DataFrame, extractors: dict[str, Callable[[str, str], l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in known.get(p.rsplit(".", 1)[-1], pattern_facts)(p, c or "")]
+            rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in known.get(extension(p), pattern_facts)(p, c or "")]
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"line": "Int64", "cc": "Int64", "nesting": "Int64"})
 
@@ -250,10 +371,27 @@ def read_toml(text: str, allowed: dict[str, type]) -> dict:
     for k, v in data.items():
         if k not in allowed:
             raise ValueError(f"unknown key {k}")
-        if not isinstance(v, allowed[k]):
+        if not isinstance(v, allowed[k]) or (isinstance(v, bool) and allowed[k] is int):
             raise ValueError(f"{k} is not of type {allowed[k].__name__}")
     return data
 
 
+def read_configs(configs: DataFrame, key: str, text: str, allowed: dict[str, type]) -> DataFrame:
+    """(key, name, value, error): the settings of each configuration, or why it is refused."""
+    kind = configs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                try:
+                    out += [(k, n, str(v), None) for n, v in read_toml(t or "", allowed).items()]
+                except ValueError as e:
+                    out.append((k, None, None, str(e) if str(e).startswith(("unknown", *allowed)) else "not TOML"))
+            yield pd.DataFrame(out, columns=["key", "name", "value", "error"])
+
+    return configs.select(key, text).mapInPandas(run, f"key {kind}, name string, value string, error string")
+
+
 def as_json(rows: DataFrame, column: str = "json") -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias(column))
