@@ -13,9 +13,35 @@ DAY = 86_400
 NOTICES = {"not_git": "not a repository", "no_git": "git is not installed", "shallow": "the clone is shallow"}
 
 
-def history_notice(state: str) -> str | None:
-    """Why there is no history; None where there is. Callers then go on with empty tables."""
-    return f"no history: {NOTICES[state]}" if state in NOTICES else None
+def history_notice(state: Column) -> Column:
+    """Why there is no history; null where there is. Callers then go on with empty tables."""
+    out = F.lit(None).cast("string")
+    for k, v in NOTICES.items():
+        out = F.when(state == k, f"no history: {v}").otherwise(out)
+    return out
+
+
+def last_sha(commits: DataFrame, order: str) -> str | None:
+    """The cursor after these commits: the sha of the last one."""
+    return commits.agg(F.max_by("sha", order)).first()[0]
+
+
+def mined(stored: DataFrame, log: DataFrame, order: str, cursor: str | None) -> DataFrame:
+    """Commits after a run over the log. With the cursor in the log only what comes after it is new; else all is mined again.
+
+    ``stored`` has the columns of the result; a commit that is there already is replaced.
+    """
+    at = None if cursor is None else log.where(F.col("sha") == cursor).agg(F.max(order)).first()[0]
+    if at is None:
+        return log.select(*stored.columns).dropDuplicates(["sha"])
+    new = log.where(F.col(order) > at).select(*stored.columns).dropDuplicates(["sha"])
+    return stored.join(new.select("sha"), "sha", "left_anti").select(*stored.columns).unionByName(new)
+
+
+def ingestible(reported: DataFrame, known: DataFrame, current: DataFrame) -> DataFrame:
+    """Reported files (report, path, content_hash) of reports not taken in before, whose content is still what it was."""
+    fresh = reported.join(known.select("report").distinct(), "report", "left_anti")
+    return fresh.join(current.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
 
 
 def window_commits(commits: DataFrame, months: int | None = 12) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import CALLABLE_KINDS, matches_glob
 from codeloom.operators.graph import components, longest_path, reach, strong_components
+from codeloom.operators.relational import with_delta
 
 FLOOR = 0.01
 METRIC_VERSION = 5
@@ -34,6 +35,12 @@ class Thresholds:
         return hashlib.sha256(";".join(f"{k}={v}" for k, v in sorted(asdict(self).items())).encode()).hexdigest()
 
 
+def thresholds_digest(**values: Column) -> Column:
+    """The digest of thresholds, some of them columns."""
+    t = {k: F.lit(str(v)) for k, v in asdict(Thresholds()).items()} | {k: v.cast("string") for k, v in values.items()}
+    return F.sha2(F.concat_ws(";", *[F.concat(F.lit(f"{k}="), t[k]) for k in sorted(t)]), 256)
+
+
 def gini(rows: DataFrame, value: str) -> DataFrame:
     """(gini): of the values that are not null; 0 for one value or a sum of 0.
 
@@ -207,21 +214,80 @@ def structural_report(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> D
     return out
 
 
-def gate(current: int | None, baseline: int | None, same_version: bool, same_thresholds: bool, floor: int | None, faults: int) -> tuple[bool, str]:
-    """(passed, reason), decided in this order: no baseline, new version or thresholds, regression, floor, faults."""
-    if baseline is None:
-        return True, "no baseline"
-    if not same_version:
-        return True, "new metric version: baseline renewed"
-    if not same_thresholds:
-        return True, "new thresholds: baseline renewed"
-    if current is not None and current < baseline - 1:
-        return False, "signal below baseline"
-    if floor is not None and current is not None and current < floor:
-        return False, "signal below floor"
-    if faults:
-        return False, "structural faults"
-    return True, "ok"
+def gated(current: Column, baseline: Column, same_version: Column, same_thresholds: Column, floor: Column, faults: Column) -> Column:
+    """struct(passed, reason), decided in this order: no baseline, new version or thresholds, regression, floor, faults."""
+    verdict = lambda passed, reason: F.struct(F.lit(passed).alias("passed"), F.lit(reason).alias("reason"))
+    return (
+        F.when(baseline.isNull(), verdict(True, "no baseline"))
+        .when(~same_version, verdict(True, "new metric version: baseline renewed"))
+        .when(~same_thresholds, verdict(True, "new thresholds: baseline renewed"))
+        .when(current < baseline - 1, verdict(False, "signal below baseline"))
+        .when(current < floor, verdict(False, "signal below floor"))
+        .when(faults > 0, verdict(False, "structural faults"))
+        .otherwise(verdict(True, "ok"))
+    )
+
+
+# Budgets that hold where a project names none.
+RECOMMENDED = {
+    "max_cycles": 0,
+    "max_cc": 15,
+    "max_fn_lines": 80,
+    "no_god_files": 40,
+    "max_fan_in": 30,
+    "max_fan_out": 30,
+    "max_dead": 0,
+    "max_duplicates": 0,
+    "max_nesting_depth": 4,
+    "max_brain_methods": 0,
+    "max_clone_ratio": 0,
+    "no_god_containers": 0,
+}
+
+
+def against_budgets(functions: DataFrame, containers: DataFrame, file_edges: DataFrame, vertices: DataFrame, budgets: dict[str, int] = RECOMMENDED, t: Thresholds = Thresholds()) -> DataFrame:
+    """(budget, most, value, exceeded) of every budget: the greatest value, or the number of offenders. No subject gives null."""
+    one = functions.agg(
+        F.max("cc").alias("max_cc"),
+        F.max("line_count").alias("max_fn_lines"),
+        F.max("nesting").alias("max_nesting_depth"),
+        F.count_if("is_dead").alias("max_dead"),
+        F.count_if("is_duplicate").alias("max_duplicates"),
+        F.count_if(is_brain(t)).alias("max_brain_methods"),
+        F.round(F.avg(F.col("clone_group").isNotNull().cast("double")) * 10000).cast("bigint").alias("max_clone_ratio"),
+    )
+    parts = [one, functions.groupBy("file_path").agg(F.count("*").alias("n")).agg(F.max("n").alias("no_god_files"))]
+    parts += [coupling(file_edges, True).agg(F.max("n").alias("max_fan_in")), coupling(file_edges, False).agg(F.max("n").alias("max_fan_out"))]
+    parts += [god_containers(containers, t).agg(F.count("*").alias("no_god_containers")), cycles(vertices, file_edges).select(F.col("cycles").alias("max_cycles"))]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.join(F.broadcast(p))  # one row each
+    pairs = F.array(*[F.struct(F.lit(k).alias("budget"), F.lit(v).cast("bigint").alias("most"), F.col(k).cast("bigint").alias("value")) for k, v in budgets.items()])
+    return row.select(F.inline(pairs)).withColumn("exceeded", F.col("value") > F.col("most"))
+
+
+def evolution(snapshots: DataFrame, metrics: list[str], last: int = 30) -> DataFrame:
+    """The last snapshots, latest first, with the change of each metric since the one before; null if either is."""
+    out = snapshots
+    for name in metrics:
+        out = with_delta(out, "id", name, f"{name}_delta")
+    return out.orderBy(F.desc("id")).limit(last).select("id", *metrics, *[f"{name}_delta" for name in metrics])
+
+
+def health(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: sizes of a store, its faults, and whether there are none."""
+    fault = structural_report(nodes, edges, files)
+    n = lambda *names: F.sum(F.when(F.col("fault").isin(*names), F.col("n")).otherwise(0))
+    faults = fault.agg(n("nodes_without_file").alias("nodes_without_file"), n("edges_without_source", "edges_without_target").alias("dangling_edges"), (F.sum("n") == 0).alias("healthy"))
+    sizes = nodes.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges"))).join(files.agg(F.count("*").alias("files")))
+    return sizes.join(faults)
+
+
+def gap_page(gaps: DataFrame, most: int = 50) -> DataFrame:
+    """The first gaps by file and name, with whether there are more."""
+    first = gaps.orderBy("file_path", "name", "id").limit(most + 1)
+    more = first.agg((F.count("*") > most).alias("truncated"))
+    return first.orderBy("file_path", "name", "id").limit(most).join(F.broadcast(more))
 
 
 def regressions(before: DataFrame, after: DataFrame, least: float = 1e-9) -> DataFrame:

@@ -7,6 +7,7 @@ asked. Nothing is ever guessed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,20 +15,27 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import is_external, matches_glob
 from codeloom.functions.scalars import folded_path, route_key
-from codeloom.operators.graph import reach
+from codeloom.operators.graph import nearest_ancestor, reach
+from codeloom.operators.shared import cut
 
-TIERS = {"strict": 2, "balanced": 4, "aggressive": 9}
+POLICIES = ("strict", "balanced", "aggressive")  # fixed values; each allows more than the one before
+MOST_ALIASES = 8  # that a path is led through, one after the other
+MOST_SCOPES = 16  # that a name is looked for in, outward
 
 
-def ladder(candidates: list[DataFrame]) -> DataFrame:
-    """(ref, node, outcome, tier) from tables (ref, node), one for each tier in order."""
-    tagged = [c.select("ref", "node").distinct().groupBy("ref").agg(F.count("*").alias("n"), F.min("node").alias("node")).withColumn("tier", F.lit(i)) for i, c in enumerate(candidates)]
-    all_ = reduce(DataFrame.unionByName, tagged)
-    first = all_.groupBy("ref").agg(F.min_by(F.struct("n", "node", "tier"), "tier").alias("d"))
+def decided(candidates: DataFrame) -> DataFrame:
+    """(ref, node, outcome, tier) from rows (ref, tier, node): the lowest tier of a reference decides."""
+    by = candidates.select("ref", "tier", "node").distinct().groupBy("ref", "tier").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    first = by.groupBy("ref").agg(F.min_by(F.struct("n", "node", "tier"), "tier").alias("d"))
     one = F.col("d.n") == 1
     return first.select("ref", F.when(one, F.col("d.node")).alias("node"), F.when(one, "bound").otherwise("ambiguous").alias("outcome"), F.col("d.tier").alias("tier"))
 
 
+def ladder(candidates: list[DataFrame]) -> DataFrame:
+    """decided() of tables (ref, node), one for each tier in order."""
+    return decided(reduce(DataFrame.unionByName, [c.select("ref", F.lit(i).alias("tier"), "node") for i, c in enumerate(candidates)]))
+
+
 def resolved(refs: DataFrame, candidates: list[DataFrame]) -> DataFrame:
     """Every reference with node, outcome and tier; ``not_found`` where no tier has a candidate."""
     found = ladder(candidates)
@@ -40,6 +48,13 @@ def by_key(refs: DataFrame, nodes: DataFrame, ref_key: Column, node_key: Column)
     return r.join(nodes.select(F.col("id").alias("node"), node_key.alias("k")), "k").select("ref", "node")
 
 
+def rebound(resolved_refs: DataFrame, promoted_nodes: DataFrame, ref_key: Column, node_key: Column) -> DataFrame:
+    """A second pass, after nodes were promoted: references that found nothing are looked up among those; the others stay."""
+    open_ = resolved_refs.where("outcome = 'not_found'").drop("node", "outcome", "tier")
+    again = resolved(open_, [by_key(open_, promoted_nodes, ref_key, node_key)])
+    return resolved_refs.where("outcome <> 'not_found'").unionByName(again.select(*resolved_refs.columns))
+
+
 def by_suffix(refs: DataFrame, nodes: DataFrame, target: str, path: str) -> DataFrame:
     """(ref, node) where the target's parts are the last of the node's path."""
     parts = F.split(F.col(path), "/")
@@ -71,13 +86,183 @@ def promoted(names: DataFrame, kind: str, offset: int = 0) -> DataFrame:
 
 
 def doc_kind(path: Column, heading: Column) -> Column:
-    """The typed kind of a documentation node, by where it is and how it is numbered."""
+    """The typed kind of a documentation node: a file (no heading) by its path, a section by its heading.
+
+    A requirement lies directly in a folder ``requirements`` and is named FR- or NFR-; a
+    decision is named ADR- and a digit, wherever it lies; a story is headed S-, digits, and
+    then a colon, white space or nothing.
+    """
+    markdown = r"[^/]*\.(md|markdown)$"
     return (
-        F.when(path.rlike(r"(^|/)adr/|(^|/)decisions/") | heading.rlike(r"^ADR-\d+"), "decision")
-        .when(path.rlike(r"(^|/)requirements?/") | heading.rlike(r"^N?FR-\d+"), "requirement")
-        .when(heading.rlike(r"^S-\d+"), "story")
-        .otherwise("doc_section")
+        F.when(heading.rlike(r"^\s*S-\d+(:|\s|$)"), "story")
+        .when(heading.isNotNull(), "doc_section")
+        .when(path.rlike(r"(^|/)requirements/(FR|NFR)-" + markdown), "requirement")
+        .when(path.rlike(r"(^|/)ADR-\d" + markdown), "decision")
+        .otherwise("doc_file")
+    )
+
+
+# Paths and names
+
+
+@dataclass(frozen=True)
+class Index:
+    """What references are looked up in. Module paths are parts joined by '::', '' for the root of a crate."""
+
+    modules: DataFrame  # crate, path, node
+    members: DataFrame  # crate, path (of the module), name, node, callable, type_like
+    aliases: DataFrame  # file, alias, target
+    globs: DataFrame  # file, target
+
+
+def binding_index(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Tables (key, node): nodes by symbol, name, file path, route key and module key, members by scope, implementors by trait."""
+    key = lambda c, rows=nodes: rows.select(c.alias("key"), F.col("id").alias("node")).where("key is not null")
+    inside = lambda kind: edges.where(F.col("kind") == kind).select(F.col("source").cast("string").alias("key"), F.col("target").alias("node"))
+    return {
+        "symbol": key(F.col("symbol")),
+        "name": key(F.col("name")),
+        "file": key(F.col("file_path")),
+        "route": key(F.when(F.col("kind") == "route", route_key(F.col("name")))),
+        "module": key(F.when(F.col("kind") == "module", F.lower("name"))),
+        "scope": inside("contains"),
+        "implements": inside("implements"),
+    }
+
+
+def _joined(*parts: Column) -> Column:
+    """Paths put together; empty ones don't count."""
+    return F.concat_ws("::", *[F.when(p != "", p) for p in parts])
+
+
+def descend(paths: DataFrame, ix: Index) -> DataFrame:
+    """(ref, tier, node) of paths (ref, tier, crate, full, want) from a crate's root.
+
+    The last part is a module (unless something callable is wanted), else a member of the
+    module before it; where a type stands before it, a callable member of the type's module.
+    """
+    part = F.split("full", "::")
+    last, base = F.element_at(part, -1), F.array_join(F.slice(part, 1, F.size(part) - 1), "::")
+    p = paths.where("crate is not null and full is not null").withColumns({"name": last, "path": base, "tier": F.col("tier") * 3})
+    module = p.where("want <> 'callable'").join(ix.modules.withColumnRenamed("path", "full"), ["crate", "full"]).select("ref", "tier", "node")
+    rest = p.where("want <> 'module'")
+    admitted = F.expr("want <> 'callable' or callable")
+    member = rest.join(ix.members, ["crate", "path", "name"]).where(admitted).select("ref", (F.col("tier") + 1).alias("tier"), "node")
+    typed = ix.members.where("type_like").select("crate", _joined(F.col("path"), F.col("name")).alias("path"), F.col("path").alias("home")).distinct()
+    collapsed = rest.join(typed, ["crate", "path"]).select("ref", "tier", "crate", F.col("home").alias("path"), "name").join(ix.members.where("callable"), ["crate", "path", "name"])
+    return module.unionByName(member).unionByName(collapsed.select("ref", (F.col("tier") + 2).alias("tier"), "node"))
+
+
+def _from_root(refs: DataFrame) -> DataFrame:
+    """(ref, tier, crate, full, want) of paths by their head: crate, self, super, a crate's name, or relative."""
+    part = F.split("target", "::")
+    head, rest = part[0], F.array_join(F.slice(part, 2, 1 << 20), "::")
+    supers = F.size(part) - F.size(F.slice(part, F.greatest(F.array_position(F.transform(part, lambda x: x != "super"), True), F.lit(1)).cast("int"), 1 << 20))
+    own = F.filter(F.split("path", "::"), lambda x: x != "")
+    above = F.array_join(F.slice(own, 1, F.greatest(F.size(own) - supers, F.lit(0))), "::")
+    below = F.array_join(F.slice(part, supers + 1, 1 << 20), "::")
+    place = lambda tier, crate, full: F.struct(F.lit(tier).alias("t"), crate.alias("c"), full.alias("f"))
+    named = F.array(
+        place(5, F.replace(head, F.lit("-"), F.lit("_")), rest),
+        place(6, F.col("crate"), _joined(F.col("path"), F.col("target"))),
+        place(7, F.col("crate"), F.col("target")),
     )
+    places = (
+        F.when(head == "crate", F.array(place(1, F.col("crate"), rest)))
+        .when(head == "self", F.array(place(2, F.col("crate"), _joined(F.col("path"), rest))))
+        .when((head == "super") & (supers <= F.size(own)), F.array(place(3, F.col("crate"), _joined(above, below))))
+        .when(head == "super", F.slice(named, 1, 0))
+        .otherwise(named)
+    )
+    found = refs.select("ref", "tier", "want", F.explode(places).alias("p"))
+    return found.select("ref", (F.col("tier") + F.col("p.t")).alias("tier"), F.col("p.c").alias("crate"), F.col("p.f").alias("full"), "want")
+
+
+def glob_modules(refs: DataFrame, ix: Index) -> DataFrame:
+    """(file, crate, path) of modules that a file imports whole; ``refs`` say which crate and module a file is in."""
+    files = refs.select("file", "crate", "path").distinct()
+    globs = ix.globs.join(files, "file").withColumn("ref", F.struct("file", "crate", "path", "target")).select("ref", F.lit(0).alias("tier"), "crate", "path", "target", F.lit("module").alias("want"))
+    found = decided(descend(_from_root(globs), ix)).where("outcome = 'bound'")
+    return found.join(ix.modules, "node").select(F.col("ref.file").alias("file"), F.col("ref.crate").alias("from_crate"), F.col("ref.path").alias("from_path"), "crate", "path")
+
+
+def path_candidates(refs: DataFrame, ix: Index, policy: str = "balanced") -> DataFrame:
+    """(ref, tier, node) of paths with '::' from refs (ref, file, crate, path, target, want); want is any, callable or module.
+
+    In order: from the crate's root, the own module or those above; what an alias of the
+    file stands for (as far as aliases lead, the farthest first); from a named crate; from
+    the own module, then the own crate's root; through modules the file imports whole;
+    unless strict, the only item whose module path ends alike, in the crate, then anywhere.
+    """
+    # Cut from their past: every step is used several times below.
+    steps = [cut(refs.select("ref", "file", "crate", "path", "target", "want").withColumn("tier", F.lit(MOST_ALIASES * 20)))]
+    for depth in range(1, MOST_ALIASES + 1):
+        now = steps[-1].withColumn("alias", F.regexp_extract("target", r"^[^:]*", 0)).join(ix.aliases.withColumnRenamed("target", "to"), ["file", "alias"])
+        now = now.where("alias not in ('crate', 'self', 'super')").withColumn("target", F.concat("to", F.expr("substring(target, length(alias) + 1)")))
+        now = cut(now.select(*steps[0].columns[:-1], F.lit((MOST_ALIASES - depth) * 20).alias("tier")))
+        if now.isEmpty():
+            break  # no alias leads further
+        steps.append(now)
+    every = reduce(DataFrame.unionByName, steps)
+    found = descend(_from_root(every), ix)
+    open_ = every.where("not target rlike '^(crate|self|super)(::|$)'")
+    whole = cut(glob_modules(refs, ix))
+    through = open_.join(whole.select("file", F.col("from_crate").alias("crate"), F.col("from_path").alias("path"), F.col("crate").alias("c"), F.col("path").alias("p")), ["file", "crate", "path"])
+    through = through.select("ref", (F.col("tier") + 8).alias("tier"), F.col("c").alias("crate"), _joined(F.col("p"), F.col("target")).alias("full"), "want")
+    found = found.unionByName(descend(through, ix))
+    if policy == "strict":
+        return found
+    part = F.split("target", "::")
+    ends = open_.where(F.size(part) > 1).select("ref", "tier", F.col("crate").alias("own"), "want", F.element_at(part, -1).alias("name"), F.array_join(F.slice(part, 1, F.size(part) - 1), "::").alias("end"))
+    alike = ends.join(ix.members, "name").where("(path = end or endswith(path, concat('::', end))) and (want <> 'callable' or callable)")
+    near = alike.where("crate = own").select("ref", ((F.col("tier") + 9) * 3).alias("tier"), "node")
+    return found.unionByName(near).unionByName(alike.select("ref", ((F.col("tier") + 10) * 3).alias("tier"), "node"))
+
+
+def name_candidates(refs: DataFrame, ix: Index, nodes: DataFrame, edges: DataFrame, policy: str = "balanced") -> DataFrame:
+    """(ref, tier, node) of single names from refs (ref, source, file, crate, path, target, want).
+
+    In order: members of the source, then of each scope around it; a child module or a
+    module of the crate's root, or a crate; what an alias of the file stands for; members
+    of modules the file imports whole; if aggressive, the only item of the name, in the
+    crate, then anywhere.
+    """
+    inside = edges.where("kind = 'contains'").select(F.col("source").alias("scope"), F.col("target").alias("node"))
+    parent = inside.groupBy(F.col("node").alias("child")).agg(F.min("scope").alias("parent"))
+    named = inside.join(nodes.select(F.col("id").alias("node"), "name", F.col("kind").isin("function", "method").alias("callable")), "node")
+    admitted = F.expr("want <> 'callable' or callable")
+    scope, parts = cut(refs.select("ref", "target", "want", F.col("source").alias("scope"))), []
+    for depth in range(MOST_SCOPES):
+        parts.append(scope.join(named, (named["scope"] == scope["scope"]) & (F.col("name") == F.col("target"))).where(admitted).select("ref", F.lit(depth).alias("tier"), "node"))
+        scope = cut(scope.join(parent, F.col("scope") == F.col("child")).select("ref", "target", "want", F.col("parent").alias("scope")))
+        if scope.isEmpty():
+            break
+    at = MOST_SCOPES
+    modules = refs.where("want <> 'callable'")
+    child = modules.select("ref", "crate", _joined(F.col("path"), F.col("target")).alias("path"), F.lit(at).alias("tier"))
+    child = child.union(modules.select("ref", "crate", "target", F.lit(at + 1))).union(modules.select("ref", F.replace("target", F.lit("-"), F.lit("_")), F.lit(""), F.lit(at + 2)))
+    parts.append(child.join(ix.modules, ["crate", "path"]).select("ref", "tier", "node"))
+    alias = refs.join(ix.aliases.select("file", F.col("alias").alias("target"), F.col("target").alias("to")), ["file", "target"])
+    alias = path_candidates(alias.select("ref", "file", "crate", "path", F.col("to").alias("target"), "want"), ix, policy)
+    parts.append(decided(alias).where("outcome = 'bound'").select("ref", F.lit(at + 3).alias("tier"), "node"))
+    whole = glob_modules(refs, ix).select("file", F.col("from_crate").alias("crate"), F.col("from_path").alias("path"), F.col("crate").alias("c"), F.col("path").alias("p"))
+    through = refs.join(whole, ["file", "crate", "path"]).select("ref", F.lit(at + 4).alias("tier"), F.col("c").alias("crate"), _joined(F.col("p"), F.col("target")).alias("full"), "want")
+    parts.append(descend(through, ix).select("ref", F.lit(at + 4).alias("tier"), "node"))
+    if policy == "aggressive":
+        alike = refs.select("ref", F.col("crate").alias("own"), F.col("target").alias("name"), "want").join(ix.members, "name").where(admitted)
+        parts.append(alike.where("crate = own").select("ref", F.lit(at + 5).alias("tier"), "node"))
+        parts.append(alike.select("ref", F.lit(at + 6).alias("tier"), "node"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def member_access(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ref, node, outcome) of refs (ref, source, field): the only field of that name in the nearest class-like scope around the source."""
+    like = nodes.select("id", F.when(F.col("kind").isin("class", "struct", "enum", "trait", "interface"), "class-like").otherwise(F.col("kind")).alias("kind"))
+    owner = nearest_ancestor(like, edges, "class-like").where("ancestor is not null")
+    fields = edges.where("kind = 'contains'").join(nodes.where("kind = 'field'").select(F.col("id").alias("target"), F.col("name").alias("field")), "target")
+    fields = fields.select(F.col("source").alias("ancestor"), "field", F.col("target").alias("node"))
+    found = refs.join(owner.select(F.col("id").alias("source"), "ancestor"), "source").join(fields, ["ancestor", "field"]).select("ref", F.lit(0).alias("tier"), "node")
+    return refs.select("ref").join(decided(found), "ref", "left").select("ref", "node", F.coalesce("outcome", F.lit("not_found")).alias("outcome"))
 
 
 # Between repositories
@@ -198,3 +383,15 @@ def in_scope(reached: DataFrame, members: DataFrame, repository: str | None) ->
     """Reached nodes of one repository; of all for None."""
     both = reached.join(members.select("id", "member"), "id")
     return both if repository is None else both.where(F.col("member") == repository)
+
+
+def service_map(members: DataFrame, bridges: DataFrame, topics: DataFrame) -> DataFrame:
+    """(node, kind, links_out, links_in): members and topics, and how many others each is linked to.
+
+    ``topics`` has (topic, member) of what members publish.
+    """
+    nodes = members.select(F.col("member").alias("node"), F.lit("member").alias("kind")).union(topics.select("topic", F.lit("topic"))).union(topics.select("member", F.lit("member"))).distinct()
+    links = bridges.select(F.col("member").alias("source"), F.col("to_member").alias("target")).union(topics.select("member", "topic")).distinct()
+    out = links.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("links_out"))
+    in_ = links.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("links_in"))
+    return nodes.join(out, "node", "left").join(in_, "node", "left").fillna(0, ["links_out", "links_in"])

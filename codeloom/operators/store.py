@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,31 @@ def copy_store(spark: SparkSession, source: str, target: str, tables: list[str])
         spark.read.parquet(f"{source}/{t}").write.mode("error").parquet(f"{target}/{t}")
 
 
+def recorded(stores: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """(store, key, value) after keyed rows are put into each store; those of the same key are replaced."""
+    out = None
+    for name in sorted({*stores, *new}):
+        old, more = stores.get(name), new.get(name)
+        table = more if old is None else old if more is None else upsert(old, more, ["key"])
+        table = table.select(F.lit(name).alias("store"), "key", "value")
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+def persisted(commits: DataFrame, new_commits: DataFrame, changes: DataFrame, new_changes: DataFrame, cursor: str | None) -> DataFrame:
+    """(name, value): how many commits and changes there are after a run is put in by key, and the cursor it leaves."""
+    c, f = upsert(commits, new_commits, ["sha"]), upsert(changes, new_changes, ["commit_sha", "path"])
+    rows = c.agg(F.lit("commits").alias("name"), F.count("*").cast("string").alias("value")).union(f.agg(F.lit("changes"), F.count("*").cast("string")))
+    return rows.union(commits.sparkSession.createDataFrame([("cursor", cursor)], "name string, value string"))
+
+
+def verified(live: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows each has, and how many keys only one of them has, as after a fresh index."""
+    l, f = live.select(key).distinct(), fresh.select(key).distinct()  # noqa: E741
+    counts = live.agg(F.count("*").alias("live")).join(fresh.agg(F.count("*").alias("fresh")))
+    return counts.join(l.subtract(f).agg(F.count("*").alias("leaked"))).join(f.subtract(l).agg(F.count("*").alias("missing")))
+
+
 class ViewCache:
     """Built views by name and revision, at most ``most`` of them; the one used longest ago goes first."""
 
@@ -92,5 +118,5 @@ class ViewCache:
             self.held.pop(old).unpersist()
         while len(self.held) >= self.most:
             self.held.popitem(last=False)[1].unpersist()
-        self.held[key] = build().persist()
+        self.held[key] = build().persist(StorageLevel.MEMORY_AND_DISK)  # what memory has no room for goes to disk
         return self.held[key]
