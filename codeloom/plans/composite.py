@@ -35,7 +35,11 @@ add("C-16_glob_rules", lambda m: K.forbidden_imports(R.cross_file_edges(m.edges.
 add("D-11_window_totals", lambda m: m.commits.agg(F.count("*").alias("commits"), F.sum("file_count").alias("changes"), F.round(F.avg("file_count")).cast("bigint").alias("mean_files")), "SELECT count(*) AS commits, CAST(sum(file_count) AS BIGINT) AS changes, CAST(round(avg(file_count)) AS BIGINT) AS mean_files FROM commits")
 add("D-13_jaccard", lambda m: I.clone_pairs(m.edges.where("kind = 'references'").select(F.col("source").alias("key"), F.col("target").alias("hash")), 0.2).select("a", "b", basis_points(F.col("similarity")).alias("bp")),
     "WITH s AS (SELECT source AS key, target AS hash FROM edges WHERE kind = 'references'), n AS (SELECT key, count(*) AS n FROM s GROUP BY key), c AS (SELECT x.key AS a, y.key AS b, count(*) AS shared FROM s x JOIN s y ON x.hash = y.hash AND x.key < y.key GROUP BY ALL) SELECT a, b, CAST(round(shared / (p.n + q.n - shared) * 10000) AS BIGINT) AS bp FROM c JOIN n p ON a = p.key JOIN n q ON b = q.key WHERE shared / (p.n + q.n - shared) >= 0.2")
-add("D-15_directory_degree", lambda m: m.trade.join(m.nation, F.expr("source = n_nationkey")).select(F.col("n_regionkey").alias("d")).unionAll(m.trade.join(m.nation, F.expr("target = n_nationkey")).select("n_regionkey")).groupBy("d").agg(F.count("*").alias("degree")), "SELECT d, count(*) AS degree FROM (SELECT n_regionkey AS d FROM trade JOIN nation ON source = n_nationkey UNION ALL SELECT n_regionkey FROM trade JOIN nation ON target = n_nationkey) GROUP BY d")
+add(
+    "D-15_directory_degree",
+    lambda m: G.degrees(m.imports).join(m.file_modules, "id").groupBy("directory").agg(F.sum("degree").alias("degree")),
+    """SELECT directory, count(*) AS degree FROM (SELECT source AS id FROM imports UNION ALL SELECT target FROM imports) JOIN file_modules USING (id) GROUP BY directory""",
+)
 add("D-16_gini", lambda m: K.gini(m.functions, "line_count").select(basis_points(F.col("gini")).alias("gini_bp")), "SELECT CAST(round((2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)) * 10000) AS BIGINT) AS gini_bp FROM (SELECT line_count::DOUBLE AS x, row_number() OVER (ORDER BY line_count) AS i FROM functions)")
 add("D-18_geometric_mean", lambda m: K.aggregate_signal(m.nation.select(((F.col("n_nationkey") + 1) / 26).alias("normalized"))), "SELECT CAST(round(exp(avg(ln((n_nationkey + 1) / 26))) * 10000) AS BIGINT) AS signal FROM nation")
 add("D-21_line_counts", lambda m: m.coverage_lines.groupBy("file_id").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 0).alias("covered")), "SELECT file_id, count(*) AS lines, count(*) FILTER (hits > 0) AS covered FROM coverage_lines GROUP BY file_id")
@@ -54,33 +58,84 @@ add("F-02_context", lambda m: N.context(m.sql(HITS), m.nodes, m.edges).select("i
     SELECT id, round(sum(score), 6) AS score, bool_or(seed) AS seed FROM sc GROUP BY id ORDER BY round(sum(score), 9) DESC, id LIMIT 25""")
 add("F-04_explored_files", lambda m: N.explored(m.nodes, m.edges, "fn42"),
     """WITH n AS (SELECT 42 AS id UNION SELECT target FROM edges WHERE source = 42 UNION SELECT source FROM edges WHERE target = 42) SELECT file_path, string_agg(symbol, ',' ORDER BY start_line, id) AS symbols FROM nodes WHERE id IN (SELECT id FROM n) GROUP BY file_path ORDER BY file_path IS DISTINCT FROM 'src/m17/f42.rs', file_path NULLS FIRST LIMIT 10""")
-add("F-05_seeded_canvas", lambda m: G.reach(G.undirected(m.trade.selectExpr("cast(source as bigint) source", "cast(target as bigint) target")), m.spark.createDataFrame([(3,)], "id bigint")).join(G.degrees(m.trade.selectExpr("cast(source as bigint) source", "cast(target as bigint) target")), "id").orderBy("distance", F.desc("degree"), "id").limit(12).select("id", F.col("distance").cast("bigint").alias("distance"), "degree"),
-    "WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM trade UNION SELECT target, source FROM trade), w AS (SELECT 3::BIGINT AS id, 0 AS d UNION SELECT e.target, d + 1 FROM w JOIN e ON id = e.source WHERE d < 12), g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM trade UNION ALL SELECT target FROM trade) GROUP BY id) SELECT w.id, min(d) AS distance, max(degree) AS degree FROM w JOIN g ON w.id = g.id GROUP BY w.id ORDER BY 2, 3 DESC, 1 LIMIT 12")
+add(
+    "F-05_seeded_canvas",
+    lambda m: G.reach(G.undirected(m.imports), m.spark.createDataFrame([(42,)], "id bigint"), 30).join(G.degrees(m.imports), "id")
+    .orderBy("distance", F.desc("degree"), "id").limit(60).select("id", F.col("distance").cast("bigint").alias("distance"), "degree"),
+    """WITH RECURSIVE e AS (SELECT source, target FROM imports UNION SELECT target, source FROM imports),
+    w AS (SELECT 42::BIGINT AS id, 0 AS d UNION SELECT e.target, d + 1 FROM w JOIN e ON id = e.source WHERE d < 30),
+    g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM imports UNION ALL SELECT target FROM imports) GROUP BY id)
+    SELECT w.id, min(d) AS distance, max(degree) AS degree FROM w JOIN g ON w.id = g.id GROUP BY w.id ORDER BY 2, 3 DESC, 1 LIMIT 60""",
+)
 add("F-06_offender_orders", lambda m: K.offenders(m.functions, "length", [F.desc("line_count"), F.asc("name")], 10).select("dimension", "name", F.col("rank").cast("bigint").alias("rank")), "SELECT 'length' AS dimension, name, row_number() OVER (ORDER BY line_count DESC, name) AS rank FROM functions ORDER BY 3 LIMIT 10")
-add("F-08_doc_gap_page", lambda m: K.undocumented(m.functions, m.edges, m.nodes).orderBy("file_path", "name").limit(51).agg((F.count("*") > 50).alias("truncated")), "SELECT count(*) > 50 AS truncated FROM functions WHERE id NOT IN (SELECT target FROM edges WHERE kind = 'doc_reference')")
+add(
+    "F-08_doc_gap_page",
+    lambda m: K.gap_page(K.undocumented(m.functions, m.edges, m.nodes), 50).select("file_path", "name", "truncated"),
+    """WITH g AS (SELECT file_path, name FROM functions WHERE id NOT IN (SELECT target FROM edges WHERE kind = 'doc_reference'))
+    SELECT file_path, name, (SELECT count(*) FROM g) > 50 AS truncated FROM g ORDER BY 1, 2 LIMIT 50""",
+)
 add("F-10_sample", lambda m: m.nodes.where("kind = 'field'").select("symbol").orderBy("symbol").limit(50), "SELECT symbol FROM nodes WHERE kind = 'field' ORDER BY 1 LIMIT 50")
 add("F-12_overlay_cap", lambda m: m.edges.where("kind = 'doc_reference'").groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(60), "SELECT target, count(*) AS n FROM edges WHERE kind = 'doc_reference' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60")
 add("G-02_union_rollup", lambda m: H.merged_rollups(H.rolled_up(m.usage.where("duration_ms % 2 = 0")), H.rolled_up(m.usage.where("duration_ms % 2 = 1"))).groupBy("tool").agg(F.sum("calls").alias("calls")), "SELECT tool, count(*) AS calls FROM usage GROUP BY tool")
 add("G-07_first_occurrence", lambda m: N.first_of([m.functions.where("id % 2 = 0").select("id"), m.functions.where("id % 3 = 0").select("id")], "id").withColumn("part", F.col("part").cast("bigint")), "SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS part FROM functions WHERE id % 2 = 0 OR id % 3 = 0")
 add("G-08_invalid_slugs", lambda m: m.anchors.select("slug").distinct().join(m.anchors.where("ordinal > 0").select("slug"), "slug", "left_anti"), "SELECT DISTINCT slug FROM anchors WHERE slug NOT IN (SELECT slug FROM anchors WHERE ordinal > 0)")
-add("H-23_clone_components", lambda m: G.components(m.functions.select("id"), m.edges.where("kind = 'calls' and source % 7 = 0 and target % 7 = 0")).groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "WITH RECURSIVE l AS (SELECT source, target FROM edges WHERE kind = 'calls' AND source % 7 = 0 AND target % 7 = 0), b AS (SELECT source, target FROM l UNION SELECT target, source FROM l), r AS (SELECT id, id AS c FROM functions UNION SELECT b.target, c FROM r JOIN b ON r.id = b.source), g AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT component, count(*) AS n FROM g GROUP BY component HAVING count(*) > 1")
 add("H-24_typed_owner", lambda m: G.nearest_ancestor(m.nodes.where("kind <> 'doc_section'"), m.edges, "class").where("ancestor is not null").select("id", "ancestor"), "SELECT n.id, CASE WHEN n.kind = 'class' THEN n.id ELSE p.id END AS ancestor FROM nodes n LEFT JOIN (SELECT target, min(source) AS source FROM edges WHERE kind = 'contains' GROUP BY target) e ON n.id = e.target LEFT JOIN nodes p ON e.source = p.id AND p.kind = 'class' WHERE n.kind = 'class' OR p.id IS NOT NULL")
 add("H-25_cross_service_reach", lambda m: Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 11 = 5").select("id")).agg(F.count_if("promoted").alias("promoted"), F.count("*").alias("dead")), "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 11 = 5 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT count(*) FILTER (id IN (SELECT id FROM r)) AS promoted, count(*) AS dead FROM nodes WHERE is_dead")
 add("I-09_grep", lambda m: m.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike("(?i)license")).orderBy("doc_id", "line").limit(200).select("doc_id", F.col("line").cast("bigint").alias("line"), "t"), "SELECT doc_id, i - 1 AS line, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(l[i], '(?i)license') ORDER BY 1, 2 LIMIT 200")
-add("L-01_max_cycles", lambda m: K.cycles(m.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("directory")), m.trade).select(F.lit("max_cycles").alias("rule"), (F.col("cycles") > 0).alias("violated")), "WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM trade WHERE source <> target), r AS (SELECT source AS a, target AS b FROM e UNION SELECT a, target FROM r JOIN e ON b = source), scc AS (SELECT p.a AS id, min(p.b) AS scc FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY p.a) SELECT 'max_cycles' AS rule, count(*) > 0 AS violated FROM (SELECT scc FROM scc JOIN nation ON id = n_nationkey GROUP BY scc HAVING count(*) > 1 AND count(DISTINCT n_regionkey) > 1)")
+add(
+    "L-01_max_cycles",
+    lambda m: K.cycles(m.file_modules, m.imports).select(F.lit("max_cycles").alias("rule"), F.col("cycles").alias("value"), (F.col("cycles") > 0).alias("violated")),
+    """WITH RECURSIVE r AS (SELECT source AS a, target AS b FROM imports UNION SELECT a, target FROM r JOIN imports ON b = source),
+    scc AS (SELECT p.a AS id, min(p.b) AS scc FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY p.a)
+    SELECT 'max_cycles' AS rule, count(*) AS value, count(*) > 0 AS violated FROM (SELECT scc FROM scc JOIN file_modules USING (id) GROUP BY scc HAVING count(*) > 1 AND count(DISTINCT module) > 1)""",
+)
 add("L-11_god_containers", lambda m: K.over(m.edges.where("kind = 'contains' and source > 2000000").groupBy("source").agg(F.count("*").alias("methods")), "no_god_containers", "source", "methods", 22), "SELECT 'no_god_containers' AS rule, CAST(source AS VARCHAR) AS subject, count(*) AS value FROM edges WHERE kind = 'contains' AND source > 2000000 GROUP BY source HAVING count(*) > 22")
 add("L-27_derived_policy", lambda m: U.derived_edges(m.edges.where("kind = 'references'"), m.edges.where("kind = 'references' and source % 5 = 0").withColumn("kind", F.lit("forbidden_dependency"))).groupBy("kind", "derived").agg(F.count("*").alias("n")), "SELECT 'references' AS kind, false AS derived, count(*) AS n FROM edges WHERE kind = 'references' UNION ALL SELECT 'forbidden_dependency', true, count(*) FROM edges WHERE kind = 'references' AND source % 5 = 0")
-add("M-01_incremental_mine", lambda m: U.upsert(m.commits.where("seq % 4 <> 0").select("sha", "committed_at"), m.commits.where("seq % 4 <> 1").select("sha", "committed_at"), ["sha"]), "SELECT sha, committed_at FROM commits")
+add(
+    "M-01_incremental_mine",
+    lambda m: (
+        H.mined(m.commits.where("seq % 4 <> 0").select("sha", "committed_at"), m.commits.select("sha", "committed_at", "seq"), "seq", H.last_sha(m.commits.where("seq % 3 <> 0"), "seq"))
+        .withColumn("mode", F.lit("continued"))
+        .unionByName(H.mined(m.commits.where("seq % 4 <> 0").select("sha", "committed_at"), m.commits.where("seq % 2 = 0").select("sha", "committed_at", "seq"), "seq", "gone").withColumn("mode", F.lit("again")))
+    ),
+    """WITH c AS (SELECT max(seq) AS pos FROM commits WHERE seq % 3 <> 0) SELECT sha, committed_at, 'continued' AS mode FROM commits, c WHERE seq % 4 <> 0 OR seq > pos
+    UNION ALL SELECT sha, committed_at, 'again' FROM commits WHERE seq % 2 = 0""",
+)
 add("N-01_ingest", lambda m: H.merged_hits(m.coverage_lines.where("file_id in (select id from coverage_files where content_hash <> 'old')"), "second_report").groupBy("file_id").agg(F.count_if(F.col("hits") > 0).alias("covered")), "SELECT file_id, count(*) AS covered FROM (SELECT DISTINCT file_id, line_no FROM coverage_lines WHERE hits > 0 AND file_id IN (SELECT id FROM coverage_files WHERE content_hash <> 'old')) GROUP BY file_id")
-add("N-02_idempotent_ingest", lambda m: R.insert_absent(m.coverage_files.select(F.md5("path").alias("report")), m.coverage_files.select(F.md5("path").alias("report")), ["report"]).agg(F.count("*").alias("reports")), "SELECT count(*) AS reports FROM coverage_files")
+add(
+    "N-02_idempotent_ingest",
+    lambda m: H.ingestible(m.coverage_files.select(F.md5("path").alias("report"), "path", "content_hash"), m.coverage_files.where("id % 3 = 0").select(F.md5("path").alias("report")), m.files)
+    .select("report", "path"),
+    """SELECT md5(v.path) AS report, v.path FROM coverage_files v JOIN files f ON v.path = f.path AND v.content_hash = f.content_hash WHERE v.id % 3 <> 0""",
+)
 add("P-02_module_keys", lambda m: m.files.select(module_key(F.col("path")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("key not like '%/%'"), "SELECT regexp_replace(regexp_replace(regexp_replace(path, '^(.*/)?src/', ''), '\\.[^./]+$', ''), '(^|/)(mod|lib|main)$', '') AS key, count(*) AS n FROM files GROUP BY 1 HAVING key NOT LIKE '%/%'")
-add("P-06_policies", lambda m: m.spark.createDataFrame(list(Q.TIERS.items()), "policy string, tiers bigint"), "SELECT * FROM (VALUES ('strict', 2::BIGINT), ('balanced', 4), ('aggressive', 9)) t(policy, tiers)")
-add("P-08_member_access", lambda m: Q.ladder([m.edges.where("kind = 'accesses'").select(F.col("source").alias("ref"), F.col("target").alias("node"))]).select("ref", "node", "outcome"), "SELECT source AS ref, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS node, CASE WHEN count(DISTINCT target) = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome FROM edges WHERE kind = 'accesses' GROUP BY source")
 add("Q-10_topics_by_member", lambda m: m.usage.groupBy("surface", "tool").agg(F.count_if("ok").alias("produced"), F.count_if(~F.col("ok")).alias("consumed")), "SELECT surface, tool, count(*) FILTER (ok) AS produced, count(*) FILTER (NOT ok) AS consumed FROM usage GROUP BY ALL")
 add("R-03_listing", lambda m: D.page_states(D.anchor_states(m.anchors, m.files.select(F.col("path").alias("entity_id"), "content_hash"))).orderBy("slug").select("slug", "state").limit(50), "SELECT slug, CASE WHEN bool_or(f.path IS NULL) THEN 'missing' WHEN bool_or(f.content_hash <> a.content_hash) THEN 'stale' ELSE 'fresh' END AS state FROM anchors a LEFT JOIN files f ON entity_id = path GROUP BY slug ORDER BY slug LIMIT 50")
 add("T-05_reconcile", lambda m: U.synced(m.files.where("id % 2 = 0"), m.files).groupBy("change").agg(F.count("*").alias("n")), "SELECT 'added' AS change, count(*) AS n FROM files WHERE id % 2 = 1")
 add("U-09_replace_violations", lambda m: K.over(m.functions, "max_cc", "name", "cc", 48).unionByName(K.over(m.functions, "max_nesting", "name", "nesting", 4)).groupBy("rule").agg(F.count("*").alias("n")), "SELECT * FROM (SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 48 UNION ALL SELECT 'max_nesting', count(*) FROM functions WHERE nesting > 4) WHERE n > 0")
-add("U-10_metadata", lambda m: U.upsert(m.nation.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")), m.region.select(F.col("r_name").alias("key"), F.lit("region").alias("value")), ["key"]), "SELECT n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) UNION ALL SELECT r_name, 'region' FROM region")
-add("U-12_mine_persist", lambda m: U.upsert(m.file_changes.where("path like 'src/m1/%'"), m.file_changes.where("path like 'src/m2/%'"), ["commit_sha", "path"]).groupBy("path").agg(F.count("*").alias("n")), "SELECT path, count(*) AS n FROM file_changes WHERE path LIKE 'src/m1/%' OR path LIKE 'src/m2/%' GROUP BY path")
+add(
+    "U-10_metadata",
+    lambda m: U.recorded(
+        {"snapshots": m.snapshots.select(F.col("id").cast("string").alias("key"), F.col("signal").cast("string").alias("value")), "metadata": m.nation.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))},
+        {
+            "snapshots": m.snapshots.agg((F.max("id") + 1).cast("string").alias("key"), F.lit("1").alias("value")),
+            "baseline": m.snapshots.agg(F.lit("signal").alias("key"), F.max("signal").cast("string").alias("value")),
+            "rules_cache": m.region.select(F.concat(F.lit("rule "), F.col("r_name")).alias("key"), F.sha2("r_name", 256).alias("value")),
+            "metadata": m.region.select(F.col("r_name").alias("key"), F.lit("region").alias("value")),
+        },
+    ),
+    """SELECT 'snapshots' AS store, CAST(id AS VARCHAR) AS key, CAST(signal AS VARCHAR) AS value FROM snapshots UNION ALL SELECT 'snapshots', CAST(max(id) + 1 AS VARCHAR), '1' FROM snapshots
+    UNION ALL SELECT 'baseline', 'signal', CAST(max(signal) AS VARCHAR) FROM snapshots UNION ALL SELECT 'rules_cache', 'rule ' || r_name, sha256(r_name) FROM region
+    UNION ALL SELECT 'metadata', n_name, CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) UNION ALL SELECT 'metadata', r_name, 'region' FROM region""",
+)
+add(
+    "U-12_mine_persist",
+    lambda m: U.persisted(
+        m.commits.where("seq % 2 = 0").select("sha", "committed_at"), m.commits.where("seq % 3 = 0").select("sha", "committed_at"),
+        m.file_changes.join(m.commits.where("seq % 2 = 0"), F.expr("sha = commit_sha"), "left_semi"), m.file_changes.join(m.commits.where("seq % 3 = 0"), F.expr("sha = commit_sha"), "left_semi"),
+        H.last_sha(m.commits, "seq"),
+    ),
+    """WITH k AS (SELECT * FROM commits WHERE seq % 2 = 0 OR seq % 3 = 0) SELECT 'commits' AS name, CAST(count(*) AS VARCHAR) AS value FROM k
+    UNION ALL SELECT 'changes', CAST(count(*) AS VARCHAR) FROM file_changes WHERE commit_sha IN (SELECT sha FROM k) UNION ALL SELECT 'cursor', arg_max(sha, seq) FROM commits""",
+)
 add("J-11_visual_layer", lambda m: m.nodes.groupBy(N.visual_layer(F.col("kind")).alias("layer")).agg(F.count("*").alias("n")), "SELECT CASE WHEN kind = 'doc_section' THEN 'doc' ELSE 'code' END AS layer, count(*) AS n FROM nodes GROUP BY 1")
-add("L-28_default_budgets", lambda m: m.functions.agg(F.count_if(P.is_code(F.col("kind")) & (F.col("nesting") > 4)).alias("deep"), F.count_if(F.col("cc") > 25).alias("complex")), "SELECT count(*) FILTER (nesting > 4) AS deep, count(*) FILTER (cc > 25) AS complex FROM functions")

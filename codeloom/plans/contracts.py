@@ -11,7 +11,9 @@ from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
 from codeloom.operators import store as U
 from codeloom.plans.registry import add
+from codeloom.plans.stream import drained
 from codeloom.sources import readers as S
+from codeloom.streaming import changes as T
 
 ROLES = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'client_call' WHEN 2 THEN 'rpc' WHEN 3 THEN 'producer' ELSE 'function' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'get /a/{id}' WHEN 1 THEN 'POST /b/:x/' WHEN 2 THEN 'pkg.Shop/Get' ELSE 'Topic.A' END AS name FROM part"
 LINKS = "SELECT page_id AS id, 'docs/src1.md' AS file_path, CASE page_id % 4 WHEN 0 THEN 'https://x' WHEN 1 THEN '../docs/src' || cast(page_id % 30 AS varchar(4)) || '.md' WHEN 2 THEN '#part-one' ELSE './src2.md#none' END AS target FROM pages"
@@ -25,16 +27,38 @@ add("Q-03_portable_keys", lambda m: m.sql(ROLES).select("id", Q.portable_key(F.c
     "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'http' WHEN 2 THEN 'grpc' WHEN 3 THEN 'broker' END AS protocol, CASE p_partkey % 5 WHEN 0 THEN 'GET /a/{}' WHEN 1 THEN 'POST /b/{}' WHEN 2 THEN 'pkg.Shop/Get' WHEN 3 THEN 'topic.a' END AS key, CASE p_partkey % 5 WHEN 0 THEN 'provider' WHEN 1 THEN 'consumer' WHEN 2 THEN 'provider' WHEN 3 THEN 'consumer' END AS role FROM part")
 add("P-09_implementors", lambda m: Q.implementors(m.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("crate::t::"), F.col("p_brand")).alias("target")), m.supplier.select(F.col("s_suppkey").alias("id"), F.lit("trait").alias("kind"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 97).cast("string")).alias("name"))),
     "SELECT p_partkey AS ref, t.id AS node FROM part JOIN (SELECT 'Brand#' || (s_suppkey % 97) AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(*) = 1) t ON p_brand = k")
-add("P-09_dynamic_targets", lambda m: Q.dynamic_targets(m.part.where("p_partkey < 500").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("trait"), F.lit("run").alias("method")), m.supplier.select((F.col("s_suppkey") % 50).alias("trait"), F.col("s_nationkey").alias("type")), m.nation.select(F.col("n_nationkey").alias("type"), F.lit("run").alias("method"), F.col("n_nationkey").alias("id"))),
-    "SELECT DISTINCT p_partkey AS ref, n_nationkey AS node FROM part JOIN supplier ON s_suppkey % 50 = p_size JOIN nation ON n_nationkey = s_nationkey WHERE p_partkey < 500")
+add(
+    "P-09_dynamic_targets",
+    lambda m: Q.dynamic_targets(
+        m.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("trait"), F.lit("run").alias("method")),
+        m.supplier.select((F.col("s_suppkey") % 50).alias("trait"), F.col("s_nationkey").alias("type")),
+        m.nation.select(F.col("n_nationkey").alias("type"), F.lit("run").alias("method"), F.col("n_nationkey").alias("id")),
+    ),
+    "SELECT DISTINCT p_partkey AS ref, n_nationkey AS node FROM part JOIN supplier ON s_suppkey % 50 = p_size JOIN nation ON n_nationkey = s_nationkey",
+)
 add("P-11_doc_links", links,
     f"""SELECT id AS ref, CASE id % 4 WHEN 0 THEN 'docs/https:/x' WHEN 1 THEN 'docs/src' || (id % 30) || '.md' WHEN 2 THEN 'docs/src1.md' ELSE 'docs/src2.md' END AS path, CASE id % 4 WHEN 2 THEN 'part-one' WHEN 3 THEN 'none' END AS anchor,
     CASE WHEN id % 4 = 0 THEN 'external' WHEN CASE id % 4 WHEN 1 THEN 'docs/src' || (id % 30) || '.md' WHEN 2 THEN 'docs/src1.md' ELSE 'docs/src2.md' END NOT IN (SELECT path FROM files) THEN 'no_file' WHEN id % 4 = 3 THEN 'no_anchor' ELSE 'bound' END AS outcome FROM (SELECT page_id AS id FROM pages)""")
-add("P-14_promoted_routes", lambda m: Q.promoted_routes(m.functions.where("id % 50 = 0").select("file_path", F.lit("get").alias("method"), F.concat(F.lit("/f/"), F.col("id").cast("string")).alias("template"), F.when(F.col("id") % 100 == 0, F.col("name")).otherwise("fn7").alias("handler")), m.nodes).select("file_path", "name", "handler"),
-    "SELECT file_path, 'GET /f/' || id AS name, CASE WHEN id % 100 = 0 THEN id ELSE 7 END AS handler FROM functions WHERE id % 50 = 0")
+add(
+    "P-14_promoted_routes",
+    lambda m: Q.promoted_routes(
+        m.functions.select("file_path", F.lit("get").alias("method"), F.concat(F.lit("/f/"), F.col("id").cast("string")).alias("template"), F.when(F.col("id") % 100 == 0, F.col("name")).otherwise("fn7").alias("handler")), m.nodes
+    ).select("file_path", "name", "handler"),
+    "SELECT file_path, 'GET /f/' || id AS name, CASE WHEN id % 100 = 0 THEN id ELSE 7 END AS handler FROM functions",
+)
 add("Q-08_scoped_reach", lambda m: Q.in_scope(Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 11 = 5").select("id")).where("promoted"), m.functions.select("id", F.concat(F.lit("repo"), (F.col("id") % 4).cast("string")).alias("member")), "repo2").select("id"),
     "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 11 = 5 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT id FROM nodes WHERE is_dead AND id IN (SELECT id FROM r) AND id % 4 = 2 AND id < 1000000")
-add("O-01_normalized_tokens", lambda m: m.part.where("p_partkey < 300").select("p_partkey", F.array_join(I.normalized_tokens(F.concat(F.lit("if x"), F.col("p_partkey").cast("string"), F.lit(" { return f(12, \"a b\"); } // c"))), " ").alias("t")), "SELECT p_partkey, 'if I { return I ( L , L ) ; }' AS t FROM part WHERE p_partkey < 300")
+add(
+    "O-01_normalized_tokens",
+    lambda m: m.part.select(
+        "p_partkey",
+        F.array_join(I.normalized_tokens(F.concat(
+            F.when(F.col("p_size") % 2 == 0, "while").otherwise("if"), F.lit(" x"), F.col("p_partkey").cast("string"), F.lit(" { return f("),
+            F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit('"'), "p_name", F.lit('"'))), F.lit("); } // "), F.col("p_brand"),
+        )), " ").alias("t"),
+    ),
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'while' ELSE 'if' END || ' I { return I ( L ) ; }' AS t FROM part",
+)
 add("L-26_scan", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).agg(F.count("*").alias("violations"), F.countDistinct("rule").alias("rules")).join(K.function_quality(m.functions.where("not is_test")).select(F.round(F.col("nesting") * 10000).cast("bigint").alias("nesting_bp"))),
     "SELECT (SELECT count(*) FROM functions WHERE cc > 45) + (SELECT count(*) FROM functions WHERE line_count > 140) AS violations, (SELECT CAST(count(*) FILTER (cc > 45) > 0 AS BIGINT) + CAST(count(*) FILTER (line_count > 140) > 0 AS BIGINT) FROM functions) AS rules, (SELECT CAST(round(greatest(1 - avg(CAST(nesting >= 4 AS INT)), 0.01) * 10000) AS BIGINT) FROM functions WHERE NOT is_test) AS nesting_bp")
 
@@ -46,8 +70,41 @@ def named(m):
     return m.nodes.where("kind in ('doc_section', 'class')")
 
 
-add("A-16_config_facts", lambda m: S.extract_facts(m.nation.select(F.concat("n_name", F.lit(".toml")).alias("path"), F.concat(F.lit("[build]\nn = "), F.col("n_nationkey").cast("string"), F.lit("\n[run]\nx = 1\n")).alias("content"))).select("path", "kind", "name", "parent"),
-    "SELECT n_name || '.toml' AS path, 'config_section' AS kind, a AS name, b AS parent FROM nation, (VALUES ('build', ''), ('n', 'build'), ('run', ''), ('x', 'run')) t(a, b)")
+ARTIFACTS = """SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN 'a.yaml' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'Makefile' WHEN 3 THEN 'a.sql' WHEN 4 THEN 'a.tf' ELSE 'a.toml' END AS name FROM part"""
+
+
+def artifacts(m):
+    """A file for each part; what it holds goes with the part's key and size."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    texts = {
+        "a.yaml": ("base%: &b#\n  size: 1\nuse%:\n  <<: *b#\n  deep:\n    not: this\n"),
+        "Dockerfile": ("FROM img#:1 AS build%\nRUN x\nFROM scratch\nCOPY --from=build% /a /b\n"),
+        "Makefile": ("VAR := x\nall%: dep#.o lib\n\techo\ndep#.o: dep#.c\n.PHONY: all%\n"),
+        "a.sql": ("-- create table no (x int);\nCREATE TABLE t% (id int, w# text, FOREIGN KEY (w#) REFERENCES other#(id));\ncreate view v% as select * from t%;\n"),
+        "a.tf": ('resource "aws_x" "r%" {\n  a = var.v#\n}\nmodule "m%" {\n  source = "./mods/m#"\n}\nvariable "v#" {}\n'),
+        "a.toml": ("[s%]\nk# = 1\n"),
+    }
+    body = F.lit("")
+    for name, t in texts.items():
+        body = F.when(F.col("name") == name, F.replace(F.replace(F.lit(t), F.lit("%"), k), F.lit("#"), n)).otherwise(body)
+    return m.sql(ARTIFACTS).select(F.concat(F.lit("p"), k, F.lit("/"), F.col("name")).alias("path"), body.alias("content"))
+
+
+FACT_ROWS = {
+    "a.yaml": [("config_section", "base%", ""), ("anchor", "b#", "base%"), ("config_section", "size", "base%"), ("config_section", "use%", ""), ("config_section", "<<", "use%"), ("reference", "b#", "use%"), ("config_section", "deep", "use%")],
+    "Dockerfile": [("stage", "build%", ""), ("reference", "img#:1", "build%"), ("stage", "1", ""), ("reference", "scratch", "1"), ("reference", "build%", "1")],
+    "Makefile": [("target", "all%", ""), ("reference", "dep#.o", "all%"), ("reference", "lib", "all%"), ("target", "dep#.o", ""), ("reference", "dep#.c", "dep#.o")],
+    "a.sql": [("table", "t%", ""), ("column", "id", "t%"), ("column", "w#", "t%"), ("reference", "other#", "t%"), ("table", "v%", ""), ("reference", "t%", "v%")],
+    "a.tf": [("resource", "aws_x.r%", ""), ("reference", "var.v#", "aws_x.r%"), ("module", "module.m%", ""), ("reference", "./mods/m#", "module.m%"), ("variable", "var.v#", "")],
+    "a.toml": [("config_section", "s%", ""), ("config_section", "k#", "s%")],
+}
+FACT_VALUES = ", ".join(f"('{f}', '{k}', '{n}', '{p}')" for f, rows in FACT_ROWS.items() for k, n, p in rows)
+add(
+    "A-16_config_facts",
+    lambda m: S.extract_facts(artifacts(m)).select("path", "kind", "name", "parent"),
+    f"""SELECT 'p' || p_partkey || '/' || a.name AS path, k AS kind, replace(replace(n, '%', CAST(p_partkey AS VARCHAR)), '#', CAST(p_size AS VARCHAR)) AS name,
+    replace(replace(p, '%', CAST(p_partkey AS VARCHAR)), '#', CAST(p_size AS VARCHAR)) AS parent FROM ({ARTIFACTS}) a JOIN (VALUES {FACT_VALUES}) t(f, k, n, p) ON a.name = f""",
+)
 add("C-06_search_nodes", lambda m: I.search(named(m), "id", "name", "section").join(m.nodes, F.col("key") == F.col("id")).select("id", "symbol"),
     f"WITH {NAMES}, h AS (SELECT key, count(*) AS tf FROM p WHERE token = 'section' GROUP BY key), f AS (SELECT count(*) AS df FROM h) SELECT id, symbol FROM nodes WHERE id IN (SELECT key FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20)")
 add("F-01_search_order", lambda m: I.search(named(m), "id", "name", "section 10").select("key", F.round("score", 6).alias("score")),
@@ -55,12 +112,27 @@ add("F-01_search_order", lambda m: I.search(named(m), "id", "name", "section 10"
 add("F-11_suggestion_cap", lambda m: I.suggestions(m.nodes.where("kind = 'module'"), "n", 5), "WITH s AS (SELECT DISTINCT name, CASE WHEN starts_with(lower(name), 'n') THEN 0 ELSE 1 END AS tier FROM nodes WHERE kind = 'module' AND (starts_with(lower(name), 'n') OR contains(name, 'n'))) SELECT name FROM s WHERE tier = (SELECT min(tier) FROM s) ORDER BY 1 LIMIT 5")
 add("H-10_context_seeds", lambda m: N.seeds(m.nodes.where("id % 100 = 3").select("id", F.col("id").alias("rank")), m.nodes).select("id", "is_code", F.round("match", 6).alias("match")),
     "WITH h AS (SELECT id, kind <> 'doc_section' AS is_code, row_number() OVER (PARTITION BY kind <> 'doc_section' ORDER BY id) AS r FROM nodes WHERE id % 100 = 3) SELECT id, is_code, round(1.0::DOUBLE / row_number() OVER (ORDER BY id), 6) AS match FROM h WHERE r <= 8")
-add("M-07_degraded_modes", lambda m: m.spark.createDataFrame([(s, H.history_notice(s)) for s in ("ok", "not_git", "no_git", "shallow")], "state string, notice string"), "SELECT * FROM (VALUES ('ok', NULL), ('not_git', 'no history: not a repository'), ('no_git', 'no history: git is not installed'), ('shallow', 'no history: the clone is shallow')) t(state, notice)")
+add(
+    "M-07_degraded_modes",
+    lambda m: m.nation.select("n_name", H.history_notice(F.element_at(F.array(*[F.lit(x) for x in ("ok", "not_git", "no_git", "shallow")]), F.col("n_nationkey") % 4 + 1)).alias("notice")),
+    """SELECT n_name, CASE n_nationkey % 4 WHEN 1 THEN 'no history: not a repository' WHEN 2 THEN 'no history: git is not installed' WHEN 3 THEN 'no history: the clone is shallow' END AS notice FROM nation""",
+)
 add("P-01_name_index", lambda m: m.nodes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "SELECT name, count(*) AS n, min(id) AS first FROM nodes GROUP BY name HAVING count(*) > 1")
 add("P-10_artifact_refs", lambda m: Q.ladder([Q.by_key(m.refs.where("id % 2 = 0"), m.files, F.concat(F.lit("src/m"), (F.col("id") % 25).cast("string"), F.lit("/f"), F.col("id").cast("string"), F.lit(".rs")), F.col("path"))]).select(F.col("ref"), "outcome"),
     "SELECT r.id AS ref, 'bound' AS outcome FROM refs r JOIN files f ON f.path = 'src/m' || (r.id % 25) || '/f' || r.id || '.rs' WHERE r.id % 2 = 0")
-add("P-17_rebind", lambda m: Q.resolved(m.refs, [Q.by_key(m.refs, m.functions.where("id % 2 = 0"), F.col("target"), F.col("fingerprint")).union(Q.by_key(m.refs, m.functions.where("id % 2 = 1"), F.col("target"), F.col("fingerprint")))]).groupBy("outcome").agg(F.count("*").alias("n")),
-    "WITH c AS (SELECT r.id, count(f.id) AS n FROM refs r LEFT JOIN functions f ON r.target = f.fingerprint GROUP BY r.id) SELECT CASE n WHEN 0 THEN 'not_found' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM c GROUP BY 1")
+add(
+    "P-17_rebind",
+    lambda m: Q.rebound(
+        Q.resolved(m.refs, [Q.by_key(m.refs, m.functions.where("id % 2 = 0"), F.col("target"), F.col("fingerprint"))]), m.functions.where("id % 2 = 1"), F.col("target"), F.col("fingerprint")
+    ).groupBy("outcome").agg(F.count("*").alias("n")),
+    """WITH e AS (SELECT fingerprint, count(*) AS n FROM functions WHERE id % 2 = 0 GROUP BY 1), o AS (SELECT fingerprint, count(*) AS n FROM functions WHERE id % 2 = 1 GROUP BY 1),
+    c AS (SELECT coalesce(e.n, o.n, 0) AS n FROM refs r LEFT JOIN e ON r.target = e.fingerprint LEFT JOIN o ON r.target = o.fingerprint)
+    SELECT CASE n WHEN 0 THEN 'not_found' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM c GROUP BY 1""",
+)
 add("Q-11_member_versions", lambda m: m.providers.groupBy("member").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("symbol")), ","), 256).alias("stamp")), "SELECT member, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS stamp FROM (SELECT DISTINCT member, symbol FROM providers) GROUP BY member")
-add("T-03_coalesced_paths", lambda m: m.events.select(F.col("event_type").alias("path"), F.window("ts", "1 day").start.alias("d")).distinct().groupBy("path").agg(F.count("*").alias("days")), "SELECT event_type AS path, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1")
+add(
+    "T-03_coalesced_paths",
+    lambda m: drained(m, lambda e: T.coalesced(e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path")), "400 days").select("path")),
+    "SELECT DISTINCT event_type AS path FROM events",
+)
 add("U-02_upsert_nodes", lambda m: U.upsert(m.nodes.select("symbol", "kind", "name"), m.nodes.where("id % 9 = 0").select("symbol", F.lit("moved").alias("kind"), "name"), ["symbol"]), "SELECT symbol, CASE WHEN id % 9 = 0 THEN 'moved' ELSE kind END AS kind, name FROM nodes")

@@ -25,7 +25,11 @@ add("C-20_page_states", lambda m: R.page_states(states(m)), f"WITH {STATES} SELE
 add("R-04_status", lambda m: R.page_summary(R.page_states(states(m))), f"WITH {STATES} SELECT count(*) AS pages, count(*) FILTER (state = 'fresh') AS fresh_pages, CAST(round(count(*) FILTER (state = 'fresh') / count(*) * 10000) AS BIGINT) AS fresh_bp FROM p")
 add("C-21_unanchored", lambda m: R.unanchored(m.files.where("language = 'markdown' or id % 20 = 0").select(F.lit("file").alias("kind"), F.col("path").alias("entity_id")), m.anchors), "SELECT 'file' AS kind, path AS entity_id FROM files WHERE (language = 'markdown' OR id % 20 = 0) AND path NOT IN (SELECT entity_id FROM anchors)")
 add("R-05_pruned", lambda m: R.pruned(pages(m), pages(m).where("slug not like '%7'"))[1].select("slug"), "SELECT 'page' || page_id AS slug FROM pages WHERE page_id % 10 = 7")
-add("R-06_materialized", lambda m: R.materialized(m.pages.where("page_id < 100").withColumn("g", F.col("page_id") % 7), "g", "page_id", "url"), "SELECT page_id % 7 AS g, string_agg(url, chr(10) || chr(10) ORDER BY page_id) AS document FROM pages WHERE page_id < 100 GROUP BY 1")
+add(
+    "R-06_materialized",
+    lambda m: R.materialized(m.pages.withColumn("g", F.floor(F.col("page_id") / 7)), "g", "page_id", "url"),
+    "SELECT page_id // 7 AS g, string_agg(url, chr(10) || chr(10) ORDER BY page_id) AS document FROM pages GROUP BY 1",
+)
 add("R-07_folder_counts", lambda m: R.folder_counts(m.files, m.nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))).withColumn("depth", F.col("depth").cast("bigint")),
     "WITH c AS (SELECT file_path, count(*) AS n FROM nodes GROUP BY file_path), x AS (SELECT string_split(path, '/') AS p, coalesce(n, 0) AS n FROM files LEFT JOIN c ON path = file_path), y AS (SELECT p, n, unnest(range(1, len(p) + 1)) AS depth FROM x) SELECT array_to_string(p[1:depth], '/') AS prefix, depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS nodes FROM y GROUP BY 1, 2")
 add("R-08_queue", lambda m: R.generation_queue(R.page_states(states(m)).where("state = 'missing'"), R.page_states(states(m)).where("state = 'stale'")), f"WITH {STATES} SELECT slug, CASE state WHEN 'missing' THEN 0 ELSE 1 END AS category FROM p WHERE state <> 'fresh'")

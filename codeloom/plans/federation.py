@@ -32,4 +32,9 @@ add("Q-05_endpoint_dedup", lambda m: m.consumers.withColumn("key", F.split("key"
 add("Q-06_outcomes", lambda m: Q.consumer_outcomes(m.providers, m.consumers), f"WITH {OUT} SELECT key, member, symbol, outcome FROM o")
 add("Q-07_cross_callers", lambda m: bridges(m).where("to_member = 'repo2'").select("symbol", "to_symbol").orderBy("symbol", "to_symbol").limit(50), f"WITH {BRIDGE} SELECT symbol, to_symbol FROM b WHERE to_member = 'repo2' ORDER BY 1, 2 LIMIT 50")
 add("Q-07_route_providers", lambda m: bridges(m).groupBy("to_member", "to_symbol").agg(F.countDistinct("member").alias("members")), f"WITH {BRIDGE} SELECT to_member, to_symbol, count(DISTINCT member) AS members FROM b GROUP BY ALL")
-add("Q-09_service_boundaries", lambda m: Q.service_boundary_violations(bridges(m), [("repo1", "repo[!x]"), ("repo*", "repo4")]).groupBy("rule", "member").agg(F.count("*").alias("n")), f"WITH {BRIDGE} SELECT 'repo* -> repo4' AS rule, member, count(*) AS n FROM b WHERE to_member = 'repo4' GROUP BY member")
+add(
+    "Q-09_service_boundaries",
+    lambda m: Q.service_boundary_violations(bridges(m), [("repo1", "repo[!2]"), ("repo*", "repo{4,9}")]).groupBy("rule", "member").agg(F.count("*").alias("n")),
+    f"""WITH {BRIDGE} SELECT 'repo* -> repo{{4,9}}' AS rule, member, count(*) AS n FROM b WHERE to_member = 'repo4' GROUP BY member
+    UNION ALL SELECT 'repo1 -> repo[!2]', member, count(*) FROM b WHERE member = 'repo1' AND to_member <> 'repo2' GROUP BY member""",
+)

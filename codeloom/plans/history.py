@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions.predicates import DEFECT
 from codeloom.operators import history as H
 from codeloom.operators.relational import nearest_rank
 from codeloom.plans.registry import add
 
-DEFECT = "(?i)urgent|high"
 WINDOW = "w AS (SELECT c.*, head_at FROM commits c, head WHERE committed_at >= CAST(epoch(to_timestamp(head_at)::TIMESTAMP - INTERVAL 12 MONTH) AS BIGINT)), r AS (SELECT * FROM file_changes JOIN w ON sha = commit_sha)"
 MEASURES = f"""{WINDOW}, base AS (SELECT path, count(*) AS commits, CAST(sum(coalesce(added, 0)) AS BIGINT) AS added, CAST(sum(coalesce(deleted, 0)) AS BIGINT) AS deleted, CAST(floor(min(head_at - committed_at) / 86400) AS BIGINT) AS last_change_days,
     CAST(round(stddev_pop((head_at - committed_at) / 86400)) AS BIGINT) AS age_dispersion_days, count(*) FILTER (regexp_matches(subject, '{DEFECT}')) AS defects FROM r GROUP BY path),
     a AS (SELECT path, author_email, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT path, sum(n) AS t, max(n) AS top, count(*) AS k FROM a GROUP BY path),
     o AS (SELECT path, CAST(round((1 - top / t) * 10000) AS BIGINT) AS ownership_bp, CASE WHEN k < 2 THEN 0 ELSE CAST(round(h / log2(k) * 10000) AS BIGINT) END AS entropy_bp FROM (SELECT path, t, top, k, -sum(n / t * log2(n / t)) AS h FROM a JOIN t USING (path) GROUP BY ALL)),
-    co AS (SELECT x.path, count(DISTINCT y.path) AS cochanged FROM r x JOIN r y ON x.sha = y.sha AND x.path <> y.path WHERE x.file_count <= 8 GROUP BY x.path),
+    co AS (SELECT x.path, count(DISTINCT y.path) AS cochanged FROM r x JOIN r y ON x.sha = y.sha AND x.path <> y.path WHERE x.file_count <= 50 GROUP BY x.path),
     m AS (SELECT base.*, ownership_bp, entropy_bp, coalesce(cochanged, 0) AS cochanged FROM base JOIN o USING (path) LEFT JOIN co USING (path))"""
 COMPLEXITY = "cx AS (SELECT file_path AS path, sum(cc) AS cc FROM functions WHERE cc IS NOT NULL GROUP BY file_path)"
 HITS = "hits AS (SELECT file_id, line_no, sum(h) AS hits FROM (SELECT file_id, line_no, second_report, max(hits) AS h FROM coverage_lines GROUP BY ALL) GROUP BY ALL)"
@@ -24,7 +24,7 @@ COVERAGE = f"""{HITS}, c AS (SELECT file_id, count(*) AS instrumented, count(*)
 
 
 def measures(m):
-    return H.file_history(m.commits, m.file_changes, 12, 8, DEFECT)
+    return H.file_history(m.commits, m.file_changes)
 
 
 def complexity(m):

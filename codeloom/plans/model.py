@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.operators.shared import written
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 PATH = "'src/m' || cast({p} % 25 AS varchar(9)) || '/f' || cast({p} AS varchar(9)) || '.rs'"
 
@@ -17,7 +19,8 @@ PROJECTIONS = {
     "head": "SELECT max(EPOCH(o_orderdate)) AS head_at FROM orders",
     "commits": """SELECT 'c' || cast(o_orderkey AS varchar(12)) AS sha, o_orderkey AS seq, EPOCH(o_orderdate) AS committed_at,
         'author' || cast(o_custkey AS varchar(12)) AS author_name, 'a' || cast(o_custkey AS varchar(12)) || '@x' AS author_email,
-        o_orderpriority AS subject, coalesce(n, 0) AS file_count
+        CASE o_orderkey % 8 WHEN 0 THEN 'Fixes ' WHEN 1 THEN 'HOTFIX: ' WHEN 2 THEN 'a bug in ' WHEN 3 THEN 'prefix of ' WHEN 4 THEN 'fixe '
+            WHEN 5 THEN 'debug ' WHEN 6 THEN 'fix' ELSE '' END || o_orderpriority AS subject, coalesce(n, 0) AS file_count
         FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
     "file_changes": f"""SELECT 'c' || cast(l_orderkey AS varchar(12)) AS commit_sha, {PATH.format(p='l_partkey')} AS path,
         nullif(cast(sum(l_quantity) AS bigint), 17) AS added, nullif(cast(sum(l_linenumber) AS bigint), 9) AS deleted
@@ -39,25 +42,41 @@ PROJECTIONS = {
         UNION ALL SELECT 2000000 + s_suppkey, 'cls/' || s_name, CASE WHEN s_suppkey % 4 = 0 THEN 'struct' ELSE 'class' END, s_name,
             'src/m' || cast(s_nationkey AS varchar(9)) || '/s' || cast(s_suppkey AS varchar(9)) || '.rs', cast(5 AS bigint), true, s_suppkey % 17 = 0, NULL, NULL, false FROM supplier
         UNION ALL SELECT 3000000 + doc_id, 'doc/' || cast(doc_id AS varchar(9)), 'doc_section', 'section ' || cast(doc_id AS varchar(9)),
-            CASE WHEN doc_id % 20 = 0 THEN NULL ELSE 'docs/' || source || '.md' END, cast(doc_id % 50 AS bigint), false, false, NULL, NULL, false FROM documents WHERE doc_id % 10 = 0
+            CASE WHEN doc_id % 20 = 0 THEN NULL ELSE 'docs/' || source || '.md' END, cast(doc_id % 50 AS bigint), false, false, NULL, NULL, false FROM documents
         UNION ALL SELECT DISTINCT 5000000 + supplier * 10 + p_size % 5, 'field/' || cast(supplier AS varchar(9)) || '.' || cast(p_size % 5 AS varchar(3)), 'field',
             'f' || cast(p_size % 5 AS varchar(3)), 'src/m0/fields.rs', cast(1 AS bigint), false, false, cast(NULL AS boolean), cast(NULL AS varchar(9)), false FROM owners JOIN part ON part = p_partkey
         UNION ALL SELECT DISTINCT 6000000 + length(event_type), 'topic/' || event_type, 'topic', event_type, cast(NULL AS varchar(9)), cast(NULL AS bigint), false, false, cast(NULL AS boolean), cast(NULL AS varchar(9)), true FROM events""",
     "edges": """SELECT source, target, kind FROM (
         SELECT 1000000 + s_nationkey AS source, 2000000 + s_suppkey AS target, 'contains' AS kind FROM supplier
         UNION ALL SELECT 2000000 + supplier, part, 'contains' FROM owners
+        UNION ALL SELECT DISTINCT 2000000 + supplier, 5000000 + supplier * 10 + p_size % 5, 'contains' FROM owners JOIN part ON part = p_partkey
         UNION ALL SELECT DISTINCT a.l_partkey, b.l_partkey, 'calls' FROM lineitem a JOIN lineitem b
-            ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 8 = 0
+            ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
         UNION ALL SELECT DISTINCT 2000000 + a.l_suppkey, 2000000 + b.l_suppkey, 'references' FROM lineitem a JOIN lineitem b
-            ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 40 = 0
+            ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
         UNION ALL SELECT part, 5000000 + supplier * 10 + p_size % 5, 'accesses' FROM owners JOIN part ON part = p_partkey
-        UNION ALL SELECT 3000000 + doc_id, 1 + doc_id * 7 % 1000, 'doc_reference' FROM documents WHERE doc_id % 10 = 0)""",
+        UNION ALL SELECT 3000000 + doc_id, 1 + doc_id * 7 % parts, 'doc_reference' FROM documents, (SELECT count(*) AS parts FROM part) c)""",
     "files": """SELECT cast(row_number() OVER (ORDER BY path) AS bigint) AS id, path, md5(path) AS content_hash,
         CASE WHEN path LIKE '%.md' THEN 'markdown' ELSE 'rust' END AS language FROM (SELECT DISTINCT file_path AS path FROM nodes WHERE file_path IS NOT NULL)""",
-    "trade": """SELECT source, target, n FROM (SELECT c_nationkey AS source, s_nationkey AS target, count(*) AS n,
-        row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS r FROM lineitem
-        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-        GROUP BY c_nationkey, s_nationkey) WHERE r <= 2""",
+    # A file imports what follows it in the last order that goes on after it: one import a file, with cycles and long chains.
+    "imports": """SELECT DISTINCT f.source, f.target FROM (SELECT a.l_partkey AS source, b.l_partkey AS target, a.l_orderkey * 10 + a.l_linenumber AS at FROM lineitem a
+        JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey) f
+        JOIN (SELECT a.l_partkey AS source, max(a.l_orderkey * 10 + a.l_linenumber) AS at FROM lineitem a
+        JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY a.l_partkey) g
+        ON f.source = g.source AND f.at = g.at""",
+    "file_modules": "SELECT id, id % 25 AS module, 'src/m' || cast(id % 25 AS varchar(9)) AS directory, file_path, id % 5 AS layer FROM functions",
+    # Items by crate and module: of twelve parts in a row, which share a name, each has a crate and module of its own.
+    "items": """SELECT p_partkey AS node, 'c' || cast(p_partkey % 3 AS varchar(3)) AS crate, 'm' || cast(p_partkey % 4 AS varchar(3)) AS path,
+        'f' || cast(cast(floor(p_partkey / 12) AS bigint) AS varchar(9)) AS name, true AS callable, false AS type_like FROM part
+        UNION ALL SELECT 2000000 + s_suppkey, 'c0', 'deep::x' || cast(s_suppkey % 3 AS varchar(3)), 's' || cast(s_suppkey AS varchar(9)), true, true FROM supplier""",
+    "item_modules": """SELECT DISTINCT crate, path, 7000000 + cast(length(path) AS bigint) * 100 + cast(substr(crate, 2, 1) AS bigint) * 10 + cast(substr(path, length(path), 1) AS bigint) AS node FROM items
+        UNION ALL SELECT DISTINCT crate, '', 7900000 + cast(substr(crate, 2, 1) AS bigint) FROM items""",
+    "path_refs": """SELECT p_partkey AS id, 'c' || cast(p_partkey % 3 AS varchar(3)) AS crate, 'm' || cast(p_partkey % 4 AS varchar(3)) AS path, p_partkey % 10 AS file, block,
+        CASE p_partkey % 8 WHEN 0 THEN 'crate::m2::f' || cast(block AS varchar(9)) WHEN 1 THEN 'self::f' || cast(block AS varchar(9)) WHEN 2 THEN 'super::m1::f' || cast(block AS varchar(9))
+        WHEN 3 THEN 'super::super::f' || cast(block AS varchar(9)) WHEN 4 THEN 'al::f' || cast(block AS varchar(9)) WHEN 5 THEN 'c2::m0::f' || cast(block AS varchar(9))
+        WHEN 6 THEN 'm3::f' || cast(block AS varchar(9)) ELSE 'x1::s' || cast(p_partkey % suppliers AS varchar(9)) END AS target
+        FROM (SELECT p_partkey, 1 + (p_partkey * 7) % (cast(floor(parts / 12) AS bigint) - 1) AS block, suppliers FROM part,
+        (SELECT count(*) AS parts FROM part) n, (SELECT count(*) AS suppliers FROM supplier) k) b""",
     "usage": """SELECT EPOCH(ts) AS happened_at, 's' || cast(user_id % 4 AS varchar(3)) AS surface, event_type AS tool, cast(floor(value) AS bigint) AS duration_ms,
         event_type <> 'error' AS ok, CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'agent' ELSE 'human' END AS origin FROM events""",
     "refs": """SELECT p_partkey AS id, 'fn/fn' || cast(p_partkey AS varchar(9)) AS source_symbol,
@@ -74,7 +93,7 @@ PROJECTIONS = {
     "consumers": """SELECT DISTINCT p_brand || '|' || p_type || '|' || cast(CASE WHEN l_linenumber = 7 THEN p_size + 50 ELSE p_size END AS varchar(4)) AS key,
         'repo' || cast(n_regionkey AS varchar(3)) AS member, 'use/' || cast(c_custkey AS varchar(9)) AS symbol
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey WHERE l_orderkey % 8 = 0""",
+        JOIN nation ON c_nationkey = n_nationkey""",
     "anchors": """SELECT 'page' || cast(page_id AS varchar(9)) AS slug, cast(page_id % 3 AS bigint) AS ordinal, 'file' AS kind, 'docs/src' || cast(page_id % 22 AS varchar(4)) || '.md' AS entity_id,
         CASE WHEN page_id % 4 = 0 THEN 'old' ELSE md5('docs/src' || cast(page_id % 22 AS varchar(4)) || '.md') END AS content_hash FROM pages""",
 }
@@ -87,6 +106,8 @@ def _for(engine: str, text: str) -> str:
     return re.sub(r"EPOCH\(([^)]*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", text)
 
 
+# Written once for a folder, as an index would be; the other projections are plain views.
+STORED = ("commits", "file_changes", "functions", "owners", "nodes", "edges", "imports", "files")
 _viewed: dict[str, str] = {}  # by application, the folder that its views show
 
 
@@ -102,11 +123,12 @@ class Model:
         app = spark.sparkContext.applicationId
         if _viewed.get(app) == sf_dir and spark.catalog.tableExists("anchors"):
             return
-        _viewed[app] = sf_dir
         for t in BASE:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, text in PROJECTIONS.items():
-            spark.sql(_for("spark", text)).createOrReplaceTempView(name)
+            table = spark.sql(_for("spark", text))
+            (written(table, f"model-{name}") if name in STORED else table).createOrReplaceTempView(name)
+        _viewed[app] = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -69,10 +69,26 @@ add("C-09_orphan_edges", lambda m: R.orphans(m.edges, m.nodes.where("id % 50 <>
 add("C-10_changes_in_window", lambda m: m.file_changes.join(m.commits.join(F.broadcast(m.head), how="cross").where("committed_at >= head_at - 31536000"), F.expr("sha = commit_sha")).groupBy("path").agg(F.count("*").alias("n")),
     "SELECT path, count(*) AS n FROM file_changes JOIN commits ON sha = commit_sha, head WHERE committed_at >= head_at - 31536000 GROUP BY path")
 add("C-12_not_test_only", lambda m: m.functions.where("not is_test").select("file_path").distinct(), "SELECT DISTINCT file_path FROM functions WHERE NOT is_test")
-add("C-13_cochange_pairs", lambda m: R.pairs_within(m.file_changes.join(m.commits.where("file_count <= 3"), F.expr("sha = commit_sha"), "left_semi"), "commit_sha", "path").groupBy("a", "b").agg(F.count("*").alias("support")),
-    "SELECT x.path AS a, y.path AS b, count(*) AS support FROM file_changes x JOIN file_changes y ON x.commit_sha = y.commit_sha AND x.path <> y.path JOIN commits ON sha = x.commit_sha WHERE file_count <= 3 GROUP BY ALL")
-add("C-15_layer_boundaries", lambda m: m.trade.join(m.nation.select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("from_layer")), "source").join(m.nation.select(F.col("n_nationkey").alias("target"), F.col("n_regionkey").alias("to_layer")), "target").where("(from_layer, to_layer) in ((0, 1), (2, 3), (4, 0))").select("source", "target", "from_layer", "to_layer"),
-    "SELECT source, target, a.n_regionkey AS from_layer, b.n_regionkey AS to_layer FROM trade JOIN nation a ON source = a.n_nationkey JOIN nation b ON target = b.n_nationkey WHERE (a.n_regionkey, b.n_regionkey) IN ((0, 1), (2, 3), (4, 0))")
+add(
+    "C-13_cochange_pairs",
+    lambda m: R.pairs_within(m.file_changes.join(m.commits.where("file_count <= 50"), F.expr("sha = commit_sha"), "left_semi"), "commit_sha", "path")
+    .groupBy("a", "b").agg(F.count("*").alias("support")),
+    """SELECT x.path AS a, y.path AS b, count(*) AS support FROM file_changes x JOIN file_changes y ON x.commit_sha = y.commit_sha AND x.path <> y.path
+    JOIN commits ON sha = x.commit_sha WHERE file_count <= 50 GROUP BY ALL""",
+)
+def layered(m):
+    """Imports with the layers of both ends."""
+    s = m.file_modules.select(F.col("id").alias("source"), F.col("layer").alias("from_layer"), F.col("module").alias("a"))
+    t = m.file_modules.select(F.col("id").alias("target"), F.col("layer").alias("to_layer"), F.col("module").alias("b"))
+    return m.imports.join(s, "source").join(t, "target")
+
+
+LAYERED = "SELECT i.source, i.target, a.layer AS from_layer, b.layer AS to_layer, a.module AS a, b.module AS b FROM imports i JOIN file_modules a ON i.source = a.id JOIN file_modules b ON i.target = b.id"
+add(
+    "C-15_layer_boundaries",
+    lambda m: layered(m).where("from_layer = 0 and to_layer = 1 or from_layer = 2 and to_layer = 3 or from_layer = 4 and to_layer = 0").select("source", "target", "from_layer", "to_layer"),
+    f"SELECT source, target, from_layer, to_layer FROM ({LAYERED}) WHERE (from_layer, to_layer) IN ((0, 1), (2, 3), (4, 0))",
+)
 
 # Aggregates
 add("D-01_store_counts", lambda m: m.nodes.agg(F.count("*").alias("nodes")).join(m.edges.agg(F.count("*").alias("edges"))).join(m.files.agg(F.count("*").alias("files"))).join(m.refs.agg(F.count("*").alias("refs"), F.count("payload").alias("with_payload"))),
@@ -82,8 +98,11 @@ add("D-03_symbol_integrity", lambda m: m.nodes.agg(F.count("*").alias("nodes"),
 add("D-04_complexity_by_file", lambda m: m.functions.where("cc is not null").groupBy("file_path").agg(F.sum("cc").alias("cc")), "SELECT file_path, CAST(sum(cc) AS BIGINT) AS cc FROM functions WHERE cc IS NOT NULL GROUP BY file_path")
 add("D-05_has_production", lambda m: m.nodes.where("file_path is not null").groupBy("file_path").agg(F.bool_or(~F.col("is_test")).alias("has_production")), "SELECT file_path, bool_or(NOT is_test) AS has_production FROM nodes WHERE file_path IS NOT NULL GROUP BY file_path")
 add("D-12_duplicate_groups", lambda m: m.functions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n >= 2"), "SELECT fingerprint, count(*) AS n FROM functions GROUP BY fingerprint HAVING count(*) >= 2")
-add("D-14_rollup_weight", lambda m: m.trade.join(m.nation, F.expr("source = n_nationkey")).select(F.col("n_regionkey").alias("a"), "target").join(m.nation, F.expr("target = n_nationkey")).groupBy("a", F.col("n_regionkey").alias("b")).agg(F.count("*").alias("weight")).where("a <> b"),
-    "SELECT x.n_regionkey AS a, y.n_regionkey AS b, count(*) AS weight FROM trade JOIN nation x ON source = x.n_nationkey JOIN nation y ON target = y.n_nationkey WHERE x.n_regionkey <> y.n_regionkey GROUP BY ALL")
+add(
+    "D-14_rollup_weight",
+    lambda m: layered(m).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("weight")),
+    f"SELECT a, b, count(*) AS weight FROM ({LAYERED}) WHERE a <> b GROUP BY a, b",
+)
 add("D-17_ratio", lambda m: m.functions.agg(S.basis_points(F.avg((F.col("nesting") >= 4).cast("double"))).alias("deep_bp")), "SELECT CAST(round(avg(CAST(nesting >= 4 AS DOUBLE)) * 10000) AS BIGINT) AS deep_bp FROM functions")
 add("D-19_fan_in", lambda m: m.edges.where("kind = 'calls'").groupBy("target").agg(F.countDistinct("source").alias("fan_in")), "SELECT target, count(DISTINCT source) AS fan_in FROM edges WHERE kind = 'calls' GROUP BY target")
 add("D-20_symbols_per_file", lambda m: m.nodes.where(P.is_code(F.col("kind")) & F.col("file_path").isNotNull()).groupBy("file_path").agg(F.count("*").alias("n")).where("n > 1"), "SELECT file_path, count(*) AS n FROM nodes WHERE kind <> 'doc_section' AND file_path IS NOT NULL GROUP BY file_path HAVING count(*) > 1")
@@ -96,8 +115,14 @@ add("E-02_lag", lambda m: R.with_delta(m.snapshots, "id", "signal", "delta").sel
 add("E-04_survivor", lambda m: R.survivors(m.functions, "fingerprint"), "SELECT id, min(id) OVER (PARTITION BY fingerprint) AS survivor FROM functions")
 add("E-05_latest", lambda m: R.latest(m.usage.select("tool", "happened_at", "duration_ms").groupBy("tool", "happened_at").agg(F.max("duration_ms").alias("duration_ms")), ["tool"], "happened_at"), "SELECT tool, happened_at, duration_ms FROM (SELECT tool, happened_at, max(duration_ms) AS duration_ms, row_number() OVER (PARTITION BY tool ORDER BY happened_at DESC) AS r FROM usage GROUP BY tool, happened_at) WHERE r = 1")
 add("E-06_sibling_ordinal", lambda m: m.functions.select("id", R.sibling_ordinals(m.functions, ["fingerprint"], "id").cast("bigint").alias("ordinal")), "SELECT id, row_number() OVER (PARTITION BY fingerprint ORDER BY id) - 1 AS ordinal FROM functions")
-add("E-07_kgrams", lambda m: m.documents.select("doc_id", F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 5").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("gram")),
-    "SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, string_split(lower(substr(text, 1, 400)), ' ') AS w FROM documents) WHERE len(w) >= 5)")
+add(
+    "E-07_kgrams",
+    lambda m: m.documents.select("doc_id", F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 5")
+    .select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))))
+    .select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("gram")),
+    """SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i
+    FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) WHERE len(w) >= 5)""",
+)
 add("E-09_position_score", lambda m: m.nodes.where("kind = 'class'").orderBy("id").limit(20).select("id", (1 / (1.0 + F.row_number().over(R.Window.orderBy("id")) - 1)).alias("score")), "SELECT id, 1.0::DOUBLE / row_number() OVER (ORDER BY id) AS score FROM (SELECT id FROM nodes WHERE kind = 'class' ORDER BY id LIMIT 20)")
 add("E-10_bucketed_top", lambda m: R.top_per(m.nodes, ["kind"], [F.col("id")], 8).select("kind", "id"), "SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM nodes) WHERE r <= 8")
 
@@ -122,7 +147,11 @@ add("G-09_insert_absent", lambda m: R.insert_absent(m.functions.where("id % 2 =
 # Scalars
 add("J-01_directory", lambda m: m.nodes.select("id", S.directory(F.col("file_path")).alias("directory")), "SELECT id, CASE WHEN file_path IS NULL THEN '<unbound>' ELSE regexp_replace(file_path, '/[^/]*$', '') END AS directory FROM nodes")
 add("J-02_percent_points", lambda m: m.functions.select("id", S.percent_points(F.col("nesting"), F.col("line_count") - 60).alias("bp")), "SELECT id, CASE WHEN line_count > 60 THEN (nesting * 20000 + (line_count - 60)) // ((line_count - 60) * 2) END AS bp FROM functions")
-add("J-03_slug", lambda m: m.pages.select("page_id", S.slug(F.substring("url", 1, 60)).alias("slug")), "SELECT page_id, replace(regexp_replace(lower(trim(substr(url, 1, 60))), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM pages")
+add(
+    "J-03_slug",
+    lambda m: m.pages.select("page_id", S.slug(F.col("url")).alias("slug")),
+    "SELECT page_id, replace(regexp_replace(lower(trim(url)), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM pages",
+)
 add("J-04_identifier_tokens", lambda m: m.pages.select("page_id", F.array_join(S.identifier_tokens(F.col("url")), "|").alias("tokens")), "SELECT page_id, array_to_string(regexp_extract_all(url, '[A-Za-z0-9_]+'), '|') AS tokens FROM pages")
 add("J-05_route_key", lambda m: m.part.select("p_partkey", S.route_key(F.concat(F.lit("get /p/{id"), (F.col("p_partkey") % 3).cast("string"), F.when(F.col("p_partkey") % 5 == 0, "}/*").otherwise("}/x/")))
     .alias("key")), "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'GET /p/{}/x' END AS key FROM part")
@@ -131,3 +160,15 @@ add("J-07_escaped_name", lambda m: m.part.select("p_partkey", S.escaped_name(F.c
 add("J-08_short_title", lambda m: m.conversations.where("turn = 0").select("conv_id", S.short_title(F.col("text")).alias("title")), "SELECT conv_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title FROM (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE turn = 0)")
 add("J-09_module_key", lambda m: m.files.select("path", S.module_key(F.col("path")).alias("key")), "SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^(.*/)?src/', ''), '\\.[^./]+$', ''), '(^|/)(mod|lib|main)$', '') AS key FROM files")
 add("J-10_folded_path", lambda m: m.part.select("p_partkey", S.folded_path(F.concat(F.lit("a/./b/../"), F.when(F.col("p_size") % 2 == 0, "c").otherwise("../../d"))).alias("path")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a/c' END AS path FROM part")
+add(
+    "B-07_brace_globs",
+    lambda m: m.files.select("path", P.matches_glob(F.col("path"), "src/m[0-4]/{f,s}*[!13579].rs").alias("hit")),
+    "SELECT path, regexp_matches(path, '^src/m[0-4]/[fs][^/]*[^13579]\\.rs$') AS hit FROM files",
+)
+IGNORE = ["# comment", "m1/", "*2.rs", "!/src/m3/f*2.rs", "/docs", "src/m4/**/f9.rs"]
+add(
+    "B-15_ignore_file",
+    lambda m: m.files.where(~P.ignored(F.col("path"), IGNORE)).select("path"),
+    """SELECT path FROM files WHERE NOT (regexp_matches(path, '(^|/)m1/') OR (regexp_matches(path, '2\\.rs$') AND NOT regexp_matches(path, '^src/m3/f[^/]*2\\.rs$'))
+    OR path LIKE 'docs/%' OR regexp_matches(path, '^src/m4/(.*/)?f9\\.rs$'))""",
+)

@@ -8,7 +8,7 @@ from codeloom.operators import search as I
 from codeloom.operators.relational import resolve_symbol
 from codeloom.plans.registry import add
 
-DOCS = "SELECT doc_id, substr(text, 1, 600) AS body FROM documents"
+DOCS = "SELECT doc_id, text AS body FROM documents"
 POST = f"d AS ({DOCS}), p AS (SELECT doc_id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT doc_id, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_]+') AS w FROM d))"
 LEN = "len AS (SELECT key, count(*) AS n FROM p GROUP BY key), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"
 RANK = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))"
@@ -41,10 +41,21 @@ add("I-06_page_search", lambda m: I.search(m.pages, "page_id", "html", "the").se
 add("I-07_index_check", lambda m: I.index_faults(index(m).where("key % 97 <> 5"), body(m).where("doc_id % 89 <> 3"), "doc_id", "body"),
     f"WITH {POST} SELECT 'extra' AS fault, count(*) AS n FROM p WHERE key % 89 = 3 AND key % 97 <> 5 UNION ALL SELECT 'missing', count(*) FROM p WHERE key % 97 = 5 AND key % 89 <> 3")
 add("O-02_shingles", lambda m: sets(m).groupBy("key").agg(F.count("*").alias("n"), F.min("hash").alias("least")), f"WITH {SETS} SELECT key, count(*) AS n, min(hash) AS least FROM s GROUP BY key")
-add("A-06_shingle_scan", lambda m: sets(m).where("key < 20").orderBy("key", "hash"), f"WITH {SETS} SELECT key, hash FROM s WHERE key < 20")
+add("A-06_shingle_scan", lambda m: sets(m).orderBy("key", "hash"), f"WITH {SETS} SELECT key, hash FROM s")
 add("O-03_eligible", lambda m: sets(m).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= I.least_shingles(50)), f"WITH {SETS} SELECT key, count(*) AS n FROM s GROUP BY key HAVING count(*) >= 11")
 PAIRS = "n AS (SELECT key, count(*) AS n FROM s GROUP BY key HAVING count(*) >= 11), c AS (SELECT x.key AS a, y.key AS b, count(*) AS shared FROM s x JOIN s y ON x.hash = y.hash AND x.key < y.key GROUP BY ALL), pr AS (SELECT a, b, shared FROM c JOIN n na ON a = na.key JOIN n nb ON b = nb.key WHERE shared / (na.n + nb.n - shared) >= 0.85)"
 add("O-04_clone_pairs", lambda m: I.clone_pairs(sets(m), 0.85, 11).select("a", "b", "shared"), f"WITH {SETS}, {PAIRS} SELECT a, b, shared FROM pr")
-add("O-05_clone_groups", lambda m: I.clone_groups(m.documents.select(F.col("doc_id").alias("key")), I.clone_pairs(sets(m), 0.85, 11)),
-    f"WITH RECURSIVE {SETS}, {PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, c FROM r JOIN e ON r.id = e.a), gr AS (SELECT id, min(c) AS c FROM r GROUP BY id) SELECT doc_id AS key, c AS clone_group FROM documents LEFT JOIN gr ON doc_id = id")
+add(
+    "O-05_clone_groups",
+    lambda m: I.near_clones(m.documents.select(F.col("doc_id").alias("key")), sets(m), 0.85, 11),
+    f"""WITH RECURSIVE {SETS}, {PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, c FROM r JOIN e ON r.id = e.a),
+    gr AS (SELECT id, min(c) AS c FROM r GROUP BY id) SELECT doc_id AS key, c AS clone_group FROM documents LEFT JOIN gr ON doc_id = id""",
+)
 add("O-06_exact_duplicates", lambda m: m.nodes.select("id", I.exact_duplicates(m.nodes, "fingerprint").alias("is_duplicate")), "SELECT id, CASE WHEN fingerprint IS NOT NULL THEN count(*) OVER (PARTITION BY fingerprint) >= 2 END AS is_duplicate FROM nodes")
+add(
+    "H-23_clone_components",
+    lambda m: I.clone_groups(m.documents.select(F.col("doc_id").alias("key")), I.clone_pairs(sets(m), 0.85, 11))
+    .where("clone_group is not null").groupBy(F.col("clone_group").alias("component")).agg(F.count("*").alias("n")),
+    f"""WITH RECURSIVE {SETS}, {PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, c FROM r JOIN e ON r.id = e.a),
+    gr AS (SELECT id, min(c) AS c FROM r GROUP BY id) SELECT c AS component, count(*) AS n FROM gr GROUP BY c""",
+)

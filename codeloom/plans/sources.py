@@ -1,50 +1,212 @@
-"""Queries of readers, on texts made from the test tables."""
+"""Queries of readers, on texts made from the test tables: a file, report or record for every row."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators.shared import fresh_path
 from codeloom.plans.registry import add
 from codeloom.sources import readers as S
 
+# History logs
+
 
 def log(m):
-    """The log that the commits and changes of some orders would give."""
-    some = m.commits.where("seq % 16 = 0").join(m.file_changes, F.expr("sha = commit_sha"), "left")
-    line = F.when(F.col("path").isNotNull(), F.concat_ws("\t", F.coalesce(F.col("added").cast("string"), F.lit("-")), F.coalesce(F.col("deleted").cast("string"), F.lit("-")), "path"))
-    head = F.concat(F.lit(S.RECORD), F.concat_ws(S.UNIT, "sha", F.col("committed_at").cast("string"), "author_name", "author_email", "subject"), F.lit("\n\n"))
+    """The log that the commits and changes of all orders would give."""
+    some = m.commits.join(m.file_changes, F.expr("sha = commit_sha"), "left")
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.when(F.col("path").isNotNull(), F.concat_ws("\t", count("added"), count("deleted"), "path"))
+    fields = F.concat_ws(S.UNIT, "sha", F.col("committed_at").cast("string"), "author_name", "author_email", "subject")
     rows = some.groupBy("sha", "committed_at", "author_name", "author_email", "subject").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-    return rows.select(F.concat(head, F.col("body"), F.lit("\n")).alias("value"))
+    return rows.select(F.concat(F.lit(S.RECORD), fields, F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("value"))
+
+
+add(
+    "A-18_commits",
+    lambda m: S.parse_log(log(m))[0],
+    "SELECT sha, committed_at, author_name, author_email, subject, CAST(file_count AS BIGINT) AS file_count FROM commits",
+)
+add(
+    "A-18_changes",
+    lambda m: S.parse_log(log(m))[1],
+    "SELECT commit_sha, path, added, deleted, NULL::VARCHAR AS old_path FROM file_changes JOIN commits ON sha = commit_sha",
+)
+
+# Coverage reports: one for each file and run, so a report is as long as its file
 
 
 def lcov(m):
-    lines = m.coverage_lines.where("file_id % 5 = 0").groupBy("file_id", "second_report").agg(F.array_join(F.collect_list(F.concat(F.lit("DA:"), F.col("line_no").cast("string"), F.lit(","), F.col("hits").cast("string"))), "\n").alias("da"))
-    return lines.groupBy("second_report").agg(F.array_join(F.collect_list(F.concat(F.lit("SF:src/f"), F.col("file_id").cast("string"), F.lit(".rs\n"), F.col("da"), F.lit("\nend_of_record\n"))), "").alias("text")).select(F.col("second_report").cast("string").alias("report"), F.concat(F.lit("TN:\n"), F.col("text")).alias("text"))
+    line = F.concat(F.lit("DA:"), F.col("line_no").cast("string"), F.lit(","), F.col("hits").cast("string"))
+    lines = m.coverage_lines.groupBy("file_id", "second_report").agg(F.array_join(F.collect_list(line), "\n").alias("da"))
+    name = F.col("file_id").cast("string")
+    text = F.concat(F.lit("TN:\nSF:src/f"), name, F.lit(".rs\n"), F.col("da"), F.lit("\nend_of_record\n"))
+    return lines.select(F.concat(name, F.when(F.col("second_report"), "-b").otherwise("-a")).alias("report"), text.alias("text"))
 
 
 def cobertura(m):
-    one = m.coverage_lines.where("file_id % 10 = 0").groupBy("file_id").agg(F.array_join(F.collect_list(F.concat(F.lit('<line number="'), F.col("line_no").cast("string"), F.lit('" hits="'), F.col("hits").cast("string"), F.lit('"/>'))), "").alias("l"))
-    whole = one.select(F.concat(F.lit("r"), F.col("file_id").cast("string")).alias("report"), F.concat(F.lit('<?xml version="1.0"?><coverage><class filename="src/f'), F.col("file_id").cast("string"), F.lit('.rs"><lines>'), F.col("l"), F.when(F.col("file_id") % 20 == 0, "</lines></class></coverage>").otherwise("</lines></coverage>")).alias("text"))
-    return whole
-
-
-def docs(m):
-    return m.documents.where("doc_id < 200").select("doc_id", F.concat(F.lit("# Title "), F.col("source"), F.lit("\n\ntext `fn42()` [a](b.md#x)\n\n## Part One\n"), F.lit("## Part One\n")).alias("body"))
-
-
-add("A-18_commits", lambda m: S.parse_log(log(m))[0], "SELECT sha, committed_at, author_name, author_email, subject, CAST(file_count AS BIGINT) AS file_count FROM commits WHERE seq % 16 = 0")
-add("A-18_changes", lambda m: S.parse_log(log(m))[1], "SELECT commit_sha, path, added, deleted, NULL::VARCHAR AS old_path FROM file_changes JOIN commits ON sha = commit_sha WHERE seq % 16 = 0")
-add("A-19_lcov", lambda m: S.parse_lcov(lcov(m), "report", "text"), "SELECT CAST(second_report AS VARCHAR) AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits FROM coverage_lines WHERE file_id % 5 = 0 GROUP BY 1, 2, 3")
-add("A-20_cobertura", lambda m: S.parse_cobertura(cobertura(m), "report", "text"), "SELECT 'r' || file_id AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits FROM coverage_lines WHERE file_id % 20 = 0 GROUP BY 1, 2, 3")
-add("A-21_sniff", lambda m: lcov(m).select("report", "text").union(cobertura(m)).select("report", S.sniff_coverage(F.col("text")).alias("format")), "SELECT DISTINCT CAST(second_report AS VARCHAR) AS report, 'lcov' AS format FROM coverage_lines WHERE file_id % 5 = 0 UNION ALL SELECT DISTINCT 'r' || file_id, 'cobertura' FROM coverage_lines WHERE file_id % 10 = 0")
-add("A-22_newest_report", lambda m: S.newest_report(m.spark.createDataFrame([("a/lcov.info", 5), ("coverage.xml", 9), ("other.xml", 99)], "path string, modificationTime bigint")), "SELECT 'coverage.xml' AS path, 9::BIGINT AS modificationTime")
-add("A-14_python_facts", lambda m: S.extract_facts(m.part.where("p_partkey < 200").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import os\nclass C:\n    def m(self):\n        if os.x:\n            return g"), F.col("p_partkey").cast("string"), F.lit("()\n")).alias("content"))).groupBy("kind", "name", "cc").agg(F.count("*").alias("n")).where("kind in ('class', 'method', 'import')"),
-    "SELECT * FROM (VALUES ('class', 'C', NULL::BIGINT, 200::BIGINT), ('method', 'm', 2, 200), ('import', 'os', NULL, 200)) t(kind, name, cc, n)")
-add("A-14_pattern_facts", lambda m: S.extract_facts(m.part.where("p_partkey <= 300").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".rs").otherwise(".proto")).alias("path"), F.when(F.col("p_size") % 2 == 0, "pub fn go() {}\nstruct S;\n").otherwise("service Shop {\n  rpc Get (A) returns (B);\n}\n").alias("content"))).groupBy("kind", "name").agg(F.count("*").alias("n")),
-    "SELECT CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'service' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'go' ELSE 'Shop' END AS name, count(*) AS n FROM part WHERE p_partkey <= 300 GROUP BY ALL UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN 'struct' ELSE 'rpc' END, CASE WHEN p_size % 2 = 0 THEN 'S' ELSE 'Get' END, count(*) FROM part WHERE p_partkey <= 300 GROUP BY ALL")
-add("A-15_sections", lambda m: S.sections(docs(m), "doc_id", "body").withColumn("ordinal", F.col("ordinal").cast("bigint")), "SELECT doc_id AS key, i AS ordinal, CASE i WHEN 0 THEN 'Title ' || source ELSE 'Part One' END AS heading, CASE i WHEN 0 THEN 'title-' || source WHEN 1 THEN 'part-one' ELSE 'part-one-1' END AS anchor FROM documents, range(3) r(i) WHERE doc_id < 200")
-add("A-15_markdown_facts", lambda m: S.extract_facts(docs(m).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("body").alias("content"))).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, w * (SELECT count(*) FROM documents WHERE doc_id < 200) AS n FROM (VALUES ('doc_file', 1), ('doc_section', 3), ('link', 1), ('code_name', 1)) t(kind, w)")
-add("A-17_openapi", lambda m: S.extract_facts(m.nation.select(F.concat("n_name", F.lit(".json")).alias("path"), F.concat(F.lit('{"openapi":"3","paths":{"/n/{id}":{"get":{},"post":{}}}}')).alias("content"))).where("kind like 'api%'").select("path", "kind", "name"),
-    "SELECT n_name || '.json' AS path, k AS kind, v AS name FROM nation, (VALUES ('api_path', '/n/{id}'), ('api_operation', 'GET /n/{id}'), ('api_operation', 'POST /n/{id}')) t(k, v)")
-add("A-23_toml", lambda m: m.spark.createDataFrame([(k, str(v)) for k, v in S.read_toml('floor = 7\nname = "x"\n', {"floor": int, "name": str}).items()], "key string, value string"), "SELECT * FROM (VALUES ('floor', '7'), ('name', 'x')) t(key, value)")
+    """One in two reports is broken off."""
+    line = F.concat(F.lit('<line number="'), F.col("line_no").cast("string"), F.lit('" hits="'), F.col("hits").cast("string"), F.lit('"/>'))
+    lines = m.coverage_lines.groupBy("file_id").agg(F.array_join(F.collect_list(line), "").alias("l"))
+    name = F.col("file_id").cast("string")
+    end = F.when(F.col("file_id") % 2 == 0, "</lines></class></coverage>").otherwise("</lines></coverage>")
+    text = F.concat(F.lit('<?xml version="1.0"?><coverage><class filename="src/f'), name, F.lit('.rs"><lines>'), F.col("l"), end)
+    return lines.select(F.concat(F.lit("r"), name).alias("report"), text.alias("text"))
+
+
+add(
+    "A-19_lcov",
+    lambda m: S.parse_lcov(lcov(m), "report", "text"),
+    """SELECT file_id || CASE WHEN second_report THEN '-b' ELSE '-a' END AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits
+    FROM coverage_lines GROUP BY 1, 2, 3""",
+)
+add(
+    "A-20_cobertura",
+    lambda m: S.parse_cobertura(cobertura(m), "report", "text"),
+    "SELECT 'r' || file_id AS report, 'src/f' || file_id || '.rs' AS path, line_no, max(hits) AS hits FROM coverage_lines WHERE file_id % 2 = 0 GROUP BY 1, 2, 3",
+)
+add(
+    "A-21_sniff",
+    lambda m: lcov(m).union(cobertura(m)).union(m.pages.select(F.col("url"), "html")).select("report", S.sniff_coverage(F.col("text")).alias("format")),
+    """SELECT DISTINCT file_id || CASE WHEN second_report THEN '-b' ELSE '-a' END AS report, 'lcov' AS format FROM coverage_lines
+    UNION ALL SELECT DISTINCT 'r' || file_id, 'cobertura' FROM coverage_lines UNION ALL SELECT url, NULL FROM pages""",
+)
+PLACES = """SELECT CASE o_orderkey % 9 WHEN 0 THEN 'lcov.info' WHEN 1 THEN 'x/lcov.info' WHEN 2 THEN 'coverage/cobertura-coverage.xml' WHEN 3 THEN 'coverage/cobertura.xml'
+    WHEN 4 THEN 'target/llvm-cov/cobertura.xml' WHEN 5 THEN 'target/coverage/lcov.info' WHEN 6 THEN 'out/cov/a.xml' WHEN 7 THEN 'out/b.xml' ELSE 'coverage.xml' END AS path,
+    o_custkey % 7 AS member, EPOCH(o_orderdate) + o_orderkey AS stamp FROM orders"""
+
+
+def newest(m, configured):
+    out = None
+    for i in range(7):
+        one = S.newest_report(m.sql(PLACES).where(f"member = {i}").select("path", F.col("stamp").alias("modificationTime")), configured).withColumn("member", F.lit(i))
+        out = one if out is None else out.union(one)
+    return out
+
+
+add(
+    "A-22_newest_report",
+    lambda m: newest(m, ("out/*.xml",)),
+    f"""SELECT path, stamp AS "modificationTime", CAST(member AS INTEGER) AS member FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY stamp DESC, path) AS r FROM ({PLACES})
+    WHERE path IN ('lcov.info', 'coverage.xml', 'coverage/cobertura-coverage.xml', 'coverage/lcov.info', 'target/llvm-cov/cobertura.xml', 'target/llvm-cov/lcov.info') OR path LIKE 'out/%.xml') WHERE r = 1""",
+)
+
+# Source trees
+
+
+def tree(m):
+    """A folder for each module of functions, with one file of their names."""
+    path = fresh_path(m.spark, "tree")
+    rows = m.functions.select(F.concat(F.lit("m"), (F.col("id") % 25).cast("string")).alias("dir"), F.concat("name", F.lit(" é")).alias("value"))
+    rows.repartition("dir").sortWithinPartitions("dir", "value").write.partitionBy("dir").text(path)
+    return path
+
+
+TREE = """SELECT 'm' || (id % 25) AS dir, string_agg(name || ' é', chr(10) ORDER BY name || ' é') || chr(10) AS content FROM functions GROUP BY 1"""
+
+
+def folder():
+    return F.regexp_extract("path", r"^dir=(\w+)/", 1).alias("dir")
+
+
+add(
+    "A-12_tree_scan",
+    lambda m: S.read_tree(m.spark, tree(m), ["dir=m1*/**", "dir=m{2,3}/*.txt"], ["dir=m11/**"], ignore=["dir=m12/", "dir=m13/*", "!dir=m13/*.txt"]).select(folder()),
+    f"SELECT dir FROM ({TREE}) WHERE (dir LIKE 'm1%' AND dir NOT IN ('m11', 'm12')) OR dir IN ('m2', 'm3')",
+)
+add(
+    "A-13_file_load",
+    lambda m: S.read_tree(m.spark, tree(m), most_bytes=1 << 16).select(folder(), "content_hash", F.length("content").alias("characters")),
+    f"SELECT dir, sha256(content) AS content_hash, length(content) AS characters FROM ({TREE}) WHERE octet_length(encode(content)) <= 65536",
+)
+
+
+def python_files(m):
+    k = F.col("p_partkey").cast("string")
+    branches = F.repeat(F.lit("        if os.x:\n            pass\n"), (F.col("p_size") % 4).cast("int"))
+    text = F.concat(F.lit("import os\n\nclass C"), k, F.lit(":\n    def m(self):\n"), branches, F.lit("        return g"), k, F.lit("()\n"))
+    return m.part.select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), text.alias("content"))
+
+
+add(
+    "A-14_python_facts",
+    lambda m: S.extract_facts(python_files(m)).select("path", "kind", "name", "parent", "line", "cc", "nesting"),
+    """WITH p AS (SELECT p_partkey AS k, p_size % 4 AS b FROM part), f AS (SELECT k, 'module' AS kind, 'p' || k AS name, '' AS parent, 1 AS line, NULL::BIGINT AS cc, NULL::BIGINT AS nesting FROM p
+    UNION ALL SELECT k, 'import', 'os', '', 1, NULL, NULL FROM p UNION ALL SELECT k, 'class', 'C' || k, '', 3, NULL, NULL FROM p
+    UNION ALL SELECT k, 'method', 'm', 'C' || k, 4, 1 + b, CASE WHEN b > 0 THEN 1 ELSE 0 END FROM p UNION ALL SELECT k, 'call', 'g' || k, 'C' || k || '.m', 5 + 2 * b, NULL, NULL FROM p)
+    SELECT 'p' || k || '.py' AS path, kind, name, parent, line, cc, nesting FROM f""",
+)
+# Extension, text and what it declares; % stands for the part's key.
+LANGUAGES = {
+    "rs": ("pub fn go%() {}\nstruct S%;\n", [("function", "go%", 1), ("struct", "S%", 2)]),
+    "go": ("func Go%() {}\ntype T% struct {}\n", [("function", "Go%", 1), ("type", "T%", 2)]),
+    "ts": ("export class K% {}\nfunction f%() {}\n", [("class", "K%", 1), ("function", "f%", 2)]),
+    "java": ("public final class J% {}\n", [("class", "J%", 1)]),
+    "rb": ("module M%\n  def go%?\n  end\nend\n", [("module", "M%", 1), ("function", "go%?", 2)]),
+    "proto": ("service P% {\n  rpc Get% (A) returns (B);\n}\n", [("service", "P%", 1), ("rpc", "Get%", 2)]),
+    "php": ("final class H% {\n  public function go%() {}\n}\n", [("class", "H%", 1), ("function", "go%", 2)]),
+    "graphql": ("type G% {\n  id: ID\n}\n", [("type", "G%", 1)]),
+}
+
+
+def code_files(m):
+    k, names = F.col("p_partkey").cast("string"), list(LANGUAGES)
+    at = (F.col("p_partkey") % len(names) + 1).cast("int")
+    text = F.replace(F.element_at(F.array(*[F.lit(LANGUAGES[n][0]) for n in names]), at), F.lit("%"), k)
+    return m.part.select(F.concat(F.lit("p"), k, F.lit("."), F.element_at(F.array(*[F.lit(n) for n in names]), at)).alias("path"), text.alias("content"))
+
+
+DECLARED = ", ".join(f"({i}, '{e}', '{k}', '{n}', {line})" for i, (e, (_, rows)) in enumerate(LANGUAGES.items()) for k, n, line in rows)
+add(
+    "A-14_pattern_facts",
+    lambda m: S.extract_facts(code_files(m)).select("path", "kind", "name", "line"),
+    f"""SELECT 'p' || p_partkey || '.' || e AS path, k AS kind, replace(n, '%', CAST(p_partkey AS VARCHAR)) AS name, l AS line
+    FROM part JOIN (VALUES {DECLARED}) t(i, e, k, n, l) ON p_partkey % {len(LANGUAGES)} = i""",
+)
+
+# Documents: whole texts between headings of their own
+
+BODY = """SELECT doc_id, '# Title ' || source || chr(10) || coalesce(text, '') || chr(10) || '## Part One' || chr(10) || 'see `fn42()` and [a](b.md#x)' || chr(10) || '## Part One' AS body FROM documents"""
+LINES = f"l AS (SELECT doc_id, i, s[i] AS t FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(body, chr(10)) AS s FROM ({BODY}))))"
+
+
+def bodies(m):
+    return m.sql(BODY)
+
+
+add(
+    "A-15_sections",
+    lambda m: S.sections(bodies(m), "doc_id", "body").withColumn("ordinal", F.col("ordinal").cast("bigint")),
+    rf"""WITH {LINES}, h AS (SELECT doc_id AS key, i, regexp_extract(t, '^#{{1,6}}\s+(.*?)\s*#*$', 1) AS heading FROM l WHERE regexp_matches(t, '^#{{1,6}}\s')),
+    g AS (SELECT *, replace(regexp_replace(lower(trim(heading)), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM h),
+    n AS (SELECT key, heading, slug, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS ordinal, row_number() OVER (PARTITION BY key, slug ORDER BY i) - 1 AS again FROM g)
+    SELECT key, ordinal, heading, CASE WHEN again > 0 THEN slug || '-' || again ELSE slug END AS anchor FROM n""",
+)
+add(
+    "A-15_markdown_facts",
+    lambda m: S.extract_facts(bodies(m).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("body").alias("content")))
+    .groupBy("path", "kind").agg(F.count("*").alias("n")),
+    rf"""WITH {LINES}, k AS (SELECT DISTINCT doc_id, 'doc_file' AS kind, 1 AS n FROM l
+    UNION ALL SELECT doc_id, 'doc_section', count(*) FROM l WHERE regexp_matches(t, '^#{{1,6}}\s+') GROUP BY 1
+    UNION ALL SELECT doc_id, 'link', CAST(sum(len(regexp_extract_all(t, '\[([^\]]*)\]\(([^)\s]+)\)'))) AS BIGINT) FROM l GROUP BY 1
+    UNION ALL SELECT doc_id, 'code_name', CAST(sum(len(regexp_extract_all(t, '`([A-Za-z_][\w:.]*)(?:\(\))?`'))) AS BIGINT) FROM l GROUP BY 1)
+    SELECT 'd' || doc_id || '.md' AS path, kind, n FROM k WHERE n > 0""",
+)
+add(
+    "A-17_openapi",
+    lambda m: S.extract_facts(
+        m.part.select(
+            F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"),
+            F.concat(F.lit('{"openapi":"3","paths":{"/p/'), F.col("p_partkey").cast("string"), F.lit('/{id}":{"get":{},'), F.when(F.col("p_size") % 2 == 0, '"post":{}').otherwise('"x-note":{}'), F.lit("}}}")).alias("content"),
+        )
+    ).where("kind like 'api%'").select("path", "kind", "name"),
+    """SELECT 'p' || p_partkey || '.json' AS path, k AS kind, v || '/p/' || p_partkey || '/{id}' AS name
+    FROM part JOIN (VALUES ('api_path', '', 2), ('api_operation', 'GET ', 2), ('api_operation', 'POST ', 0)) t(k, v, r) ON r = 2 OR p_size % 2 = r""",
+)
+CONFIGS = """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'floor = ' || cast(p_size AS varchar(4)) WHEN 1 THEN 'name = "' || p_brand || '"' WHEN 2 THEN 'roof = 1' WHEN 3 THEN 'floor = "x"' ELSE 'floor =' END AS text FROM part"""
+add(
+    "A-23_toml",
+    lambda m: S.read_configs(m.sql(CONFIGS), "p_partkey", "text", {"floor": int, "name": str}),
+    """SELECT p_partkey AS key, CASE p_size % 5 WHEN 0 THEN 'floor' WHEN 1 THEN 'name' END AS name, CASE p_size % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_brand END AS value,
+    CASE p_size % 5 WHEN 2 THEN 'unknown key roof' WHEN 3 THEN 'floor is not of type int' WHEN 4 THEN 'not TOML' END AS error FROM part""",
+)
 add("A-26_json", lambda m: S.as_json(m.nation.select("n_nationkey", "n_name")), """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")

@@ -1,7 +1,9 @@
 """Known values of the operators, on small literal tables."""
 
 import math
+from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from codeloom.functions import predicates as P
 from codeloom.functions import scalars as S
 from codeloom.operators import graph as G
 from codeloom.operators import history as H
+from codeloom.operators import local
 from codeloom.operators import quality as K
 from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
 from codeloom.sources import readers
+from codeloom.streaming import changes as T
 
 
 def edges(spark, *pairs):
@@ -106,10 +110,125 @@ def test_ambiguous_tier_stops_the_ladder(spark):
     assert got == {1: (10, "bound"), 2: (None, "ambiguous"), 3: (30, "bound")}
 
 
-def test_gate_order():
-    assert K.gate(6998, 7000, True, True, None, 0) == (False, "signal below baseline")
-    assert K.gate(6999, 7000, True, True, None, 0)[0]
-    assert K.gate(1, 7000, False, True, 9000, 3)[0]
+def test_gate_order(spark):
+    def gate(*values):
+        df = spark.createDataFrame([values], "current bigint, baseline bigint, version boolean, thresholds boolean, floor bigint, faults bigint")
+        return tuple(df.select(K.gated(*map(F.col, df.columns)).alias("g")).select("g.*").first())
+
+    assert gate(6998, 7000, True, True, None, 0) == (False, "signal below baseline")
+    assert gate(6999, 7000, True, True, None, 0) == (True, "ok")
+    assert gate(1, 7000, False, True, 9000, 3)[0] and gate(1, None, True, True, 9, 9) == (True, "no baseline")
+    assert gate(10, 10, True, True, 11, 0) == (False, "signal below floor") and gate(10, 10, True, True, None, 2) == (False, "structural faults")
+
+
+def small_graphs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 14):
+        for _ in range(6):
+            e = {(int(a), int(b)) for a, b in rng.integers(0, n, (int(rng.integers(0, 2 * n)), 2))}
+            yield n, sorted(e)
+
+
+def closure(n, e):
+    reach = {(i, i) for i in range(n)} | set(e)
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in e if b == c}
+        if more == reach:
+            return reach
+        reach = more
+
+
+def test_graphs_in_one_task_are_those_of_the_definition():
+    for n, e in small_graphs():
+        reach = closure(n, e)
+        source, target = (np.array([x[k] for x in e], np.int64) for k in (0, 1))
+        first, to = local.adjacency(source, target, n)
+        scc = local.strong(first, to)
+        assert scc.tolist() == [min(j for j in range(n) if (i, j) in reach and (j, i) in reach) for i in range(n)]
+        both = closure(n, e + [(b, a) for a, b in e])
+        assert local.least_linked(source, target, n).tolist() == [min(j for j in range(n) if (i, j) in both) for i in range(n)]
+        steps = local.distances(first, to, np.array([0]), 1 << 30)
+        assert [i for i in range(n) if steps[i] >= 0] == [i for i in range(n) if (0, i) in reach]
+        merged = sorted({(scc[a], scc[b]) for a, b in e if scc[a] != scc[b]})
+        names = sorted(set(scc.tolist()))
+        at = {v: k for k, v in enumerate(names)}
+
+        def deepest(v):
+            return 1 + max((deepest(b) for a, b in merged if a == v), default=0)
+
+        s, t = (np.array([at[x[k]] for x in merged], np.int64) for k in (0, 1))
+        assert local.longest(s, t, len(names)) == max(map(deepest, names))
+
+
+def test_large_graphs_take_the_distributed_way_to_the_same_end(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (18, 2))})
+    e = spark.createDataFrame(pairs, "source bigint, target bigint")
+    seeds = spark.createDataFrame([(pairs[0][0],)], "id bigint")
+    nodes = spark.range(14)
+
+    def answers():
+        return (
+            sorted(map(tuple, G.reach(e, seeds).collect())), sorted(map(tuple, G.strong_components(e).collect())),
+            sorted(map(tuple, G.components(nodes, e).collect())), G.longest_path(nodes, e),
+        )
+
+    small = answers()
+    monkeypatch.setattr(local, "MOST_EDGES", 5)
+    assert answers() == small
+
+
+def test_similar_sets_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    sets = {i: set(rng.choice(30, rng.integers(1, 9), replace=False).tolist()) for i in range(60)}
+    sets |= {60 + i: set(sets[i]) for i in range(10)}
+    df = spark.createDataFrame([(k, h) for k, s in sets.items() for h in s], "key bigint, hash bigint")
+    for similarity in (0.3, 0.5, 0.85):
+        want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a]) >= 2 <= len(sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity}
+        assert {(r["a"], r["b"], r["shared"]) for r in I.clone_pairs(df, similarity, 2).collect()} == want
+        keys = df.select("key").distinct()
+        assert sorted(map(tuple, I.near_clones(keys, df, similarity, 2).fillna(-1).collect())) == sorted(map(tuple, I.clone_groups(keys, I.clone_pairs(df, similarity, 2)).fillna(-1).collect()))
+
+
+def brute_flushes(events, c, step=0.5):
+    """A watcher that looks at its clock every ``step`` seconds."""
+    events, out, now = sorted(events), [], 0.0
+    waiting, window, held, first, last, flushed, n = [], None, set(), None, 0.0, -1e9, 0
+    while events or waiting or first is not None:
+        if window is not None and now >= window + c.debounce:
+            first = now if first is None else first
+            last, n = now, n + len(waiting)
+            held |= set(waiting)
+            waiting, window = [], None
+        if first is not None and now >= max(min(last + c.settle, first + c.staleness), flushed + c.interval):
+            out.append((now, n, ",".join(sorted(held))))
+            held, first, flushed, n = set(), None, now, 0
+        while events and events[0][0] <= now:
+            at, path = events.pop(0)
+            window = at if window is None else window
+            waiting.append(path)
+        now += step
+    return out
+
+
+def test_a_watcher_starts_when_things_settle(spark):
+    rng = np.random.default_rng(10)
+    c = T.Cadence(1.0, 3.0, 8.0, 12.0)
+    events = {r: [(float(t), f"p{rng.integers(0, 5)}") for t in np.cumsum(rng.choice([0.5, 1.0, 2.5, 6.0, 20.0], 60, p=[0.4, 0.3, 0.15, 0.1, 0.05]))] for r in ("a", "b")}
+    rows_ = [(r, datetime.fromtimestamp(1_000_000 + t, timezone.utc), p) for r, e in events.items() for t, p in e]
+    found = T.flushes(spark.createDataFrame(rows_, "root string, ts timestamp, path string"), c).collect()
+    for r, e in events.items():
+        got = sorted((x["started_at"] - 1_000_000, x["events"], x["paths"]) for x in found if x["root"] == r)
+        assert got == brute_flushes(e, c)
+
+
+def test_fixed_patterns_and_doc_kinds(spark):
+    subjects = {"Fixes it": True, "fixed": True, "fixe it": False, "a bug": True, "debug": False, "HOTFIX: x": True, "defect": False, "prefix": False}
+    df = spark.createDataFrame(list(subjects), "string")
+    assert {r["value"]: r["hit"] for r in df.select("value", F.col("value").rlike(P.DEFECT).alias("hit")).collect()} == subjects
+    kinds = {("a/requirements/FR-1.md", None): "requirement", ("requirements/old/FR-1.md", None): "doc_file", ("FR-1.md", None): "doc_file", ("x/ADR-7-y.markdown", None): "decision", ("x/ADR-y.md", None): "doc_file", ("x.md", "S-39: a"): "story", ("x.md", "S-39x"): "doc_section"}
+    df = spark.createDataFrame([(*k, v) for k, v in kinds.items()], "path string, heading string, want string")
+    assert df.where(Q.doc_kind(F.col("path"), F.col("heading")) != F.col("want")).count() == 0
 
 
 @pytest.mark.parametrize("path, is_test", [("a/tests/b.rs", True), ("src/contest.rs", False), ("x/test_a.py", True), ("a/b_test.go", True), ("a.spec.ts", True), ("spec.md", False)])
@@ -117,7 +236,7 @@ def test_test_paths(spark, path, is_test):
     assert spark.range(1).select(P.is_test_path(F.lit(path))).first()[0] == is_test
 
 
-@pytest.mark.parametrize("glob, path, hit", [("src/*.rs", "src/a.rs", True), ("src/*.rs", "src/a/b.rs", False), ("**/b.rs", "b.rs", True), ("src/**", "src/a/b", True), ("a?c", "a/c", False), ("a.b", "axb", False)])
+@pytest.mark.parametrize("glob, path, hit", [("src/*.rs", "src/a.rs", True), ("src/*.rs", "src/a/b.rs", False), ("**/b.rs", "b.rs", True), ("src/**", "src/a/b", True), ("a?c", "a/c", False), ("a.b", "axb", False), ("{a,b}/[!x]?.rs", "b/yz.rs", True), ("{a,b}/[!x]?.rs", "b/xz.rs", False), ("[a-c].md", "b.md", True), ("a\\*b", "a*b", True)])
 def test_globs(spark, glob, path, hit):
     assert spark.range(1).select(P.matches_glob(F.lit(path), glob)).first()[0] == hit
 
