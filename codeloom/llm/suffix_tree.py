@@ -10,8 +10,10 @@ node's first leaf is the one that stays. The tree is never built as a whole:
    smallest fingerprint, so equal windows have equal anchors at equal offsets. A prefix
    that occurs once is a leaf, and nothing below it can repeat.
 2. Prefixes that occur again are lengthened to the whole window, one branch for each
-   window with that anchor, and the suffixes are dealt anew by the longer prefix. So a
-   prefix that very many documents share is split by the words that follow it.
+   window with that anchor. Suffixes with the same prefix meet in the same group. Where
+   the branches of a group turn out to be more than fit ``group_bytes``, as below a prefix
+   that goes on in very many ways, they are dealt anew by the longer prefix, the words of
+   the whole window, and meet in a second round.
 3. A group is a subtree: the nodes below which its suffixes lie, each with its first leaf.
    Nodes with two leaves or more are the repeats. Consecutive repeats (each the suffix
    link of the one before) run together into maximal ones (see ``maximal_repeats``).
@@ -238,7 +240,7 @@ def send_windows(n_groups: int, c: RepeatConfig) -> Callable:
                 lead = order[first]  # the first place of each one's window in this block
                 later = order[(key[order] != key[lead]) | (place[order] != place[lead])]
                 here = np.sort(order[np.flatnonzero(first == np.arange(len(order)))])
-                group = (prints[here] >> np.uint64(32)).astype(np.int64) % n_groups
+                group = (least[at[here]] >> np.uint64(32)).astype(np.int64) % n_groups
                 yield _table(list(_entries(group, prints[here], key[here], place[here])))
                 if len(later):
                     later = np.sort(later)
@@ -271,14 +273,81 @@ def later_leaves(leaves: Leaves) -> tuple[np.ndarray, Leaves]:
     return order[(keys[order] != keys[lead]) | (places[order] != places[lead])], (prints[kept], keys[kept], places[kept])
 
 
+def split_subtrees(n_groups: int, n_parts: int, c: RepeatConfig) -> Callable:
+    """Entries of windows, sorted by group, to entries again: later leaves by parts of the keys (groups below 0), the rest by window.
+
+    One group is held at a time, as its nodes with their first leaves. Nodes that don't fit
+    are passed on by the window's own fingerprint, and so is what the group has after them.
+    """
+    most = c.group_bytes // ENTRY_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Leaves] = []
+        later: list[tuple[np.ndarray, np.ndarray]] = []
+        current, n_new, n_later, split = None, 0, 0, False
+
+        def settle(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal n_later, split
+            if not held:
+                return
+            leaves = tuple(np.concatenate(x) for x in zip(*held))
+            rows, kept = later_leaves(leaves)
+            later.append((leaves[1][rows], leaves[2][rows]))
+            n_later += len(rows)
+            held[:] = [kept]
+            split = split or len(kept[0]) > most
+            if split and (end or len(kept[0]) > most):
+                prints, keys, places = kept
+                yield _table(list(_entries((prints & np.uint64(0xFFFFFFFF)).astype(np.int64) % n_groups, prints, keys, places)))
+                held.clear()
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            nonlocal n_later
+            if n_later:
+                keys, places = (np.concatenate(x) for x in zip(*later))
+                parts = _entries(keys % n_parts, np.zeros(len(keys), np.uint8), keys, places)
+                yield _table([(-1 - part, b"", k, p) for part, _, k, p in parts])
+            later.clear()
+            n_later = 0
+
+        for batch in batches:
+            for group, prints, keys, places in zip(*(x.to_pylist() for x in batch.columns)):
+                k, p = unpack(keys, np.int64), unpack(places, np.int32)
+                if group < 0:
+                    later.append((k, p))
+                    n_later += len(k)
+                else:
+                    if group != current or n_new > c.settle_at:
+                        yield from settle(group != current)
+                        n_new = 0
+                    if group != current:
+                        held.clear()
+                        current, split = group, False
+                    held.append((np.frombuffer(prints, np.uint64), k, p))
+                    n_new += len(k)
+                if n_later > 4 * c.settle_at:
+                    yield from deal()
+        yield from settle(True)
+        yield from deal()
+
+    return run
+
+
 def subtrees(pick: Callable[[Leaves], tuple[np.ndarray, Leaves]], c: RepeatConfig) -> Callable:
-    """Entries, sorted by group, to (key, places) of the leaves that ``pick`` passes on. One group is held at a time."""
+    """Entries, sorted by group, to (key, places) of the leaves that ``pick`` passes on. One group is held at a time.
+
+    Groups below 0 are leaves that are settled, by parts of the keys; those of a part become one row a key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Leaves] = []
+        settled: list[tuple[np.ndarray, np.ndarray]] = []
         current, n_new = None, 0
 
         def settle() -> Iterator[pa.RecordBatch]:
+            if settled:
+                yield from _by_key(*(np.concatenate(x) for x in zip(*settled)))
+                settled.clear()
             if held:
                 leaves = tuple(np.concatenate(x) for x in zip(*held))
                 rows, kept = pick(leaves)
@@ -288,16 +357,16 @@ def subtrees(pick: Callable[[Leaves], tuple[np.ndarray, Leaves]], c: RepeatConfi
         for batch in batches:
             for group, prints, keys, places in zip(*(x.to_pylist() for x in batch.columns)):
                 k, p = unpack(keys, np.int64), unpack(places, np.int32)
-                if group < 0:
-                    yield from _by_key(k, p)
-                    continue
                 if group != current or n_new > c.settle_at:
                     yield from settle()
                     n_new = 0
                 if group != current:
                     held.clear()
                     current = group
-                held.append((np.frombuffer(prints, np.uint64), k, p))
+                if group < 0:
+                    settled.append((k, p))
+                else:
+                    held.append((np.frombuffer(prints, np.uint64), k, p))
                 n_new += len(k)
         yield from settle()
 
@@ -309,9 +378,9 @@ def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = Rep
     small_batches(docs.sparkSession)
     n_groups = groups_for(docs, text, ENTRY_BYTES, c.group_bytes, c.groups_per_partition)
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    dealt = lambda entries: entries.repartition("bucket").sortWithinPartitions("bucket")
     met = lambda entries, pick: (
-        entries.repartition("bucket")
-        .sortWithinPartitions("bucket")
+        dealt(entries)
         .mapInArrow(subtrees(pick, c), "key bigint, places array<int>")
         .groupBy("key")
         .agg(F.flatten(F.collect_list("places")).alias("places"))  # of one document
@@ -319,7 +388,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str, c: RepeatConfig = Rep
     prefixes = met(texts.mapInArrow(send_prefixes(n_groups, c), ENTRY), repeated_prefixes)
     # A left join, as the caller's: both then read one exchange of the texts. What has no such prefix is passed over.
     windows = texts.join(prefixes, "key", "left").select("key", "text", "places").mapInArrow(send_windows(n_groups, c), ENTRY)
-    return texts, met(windows, later_leaves)
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts, met(dealt(windows).mapInArrow(split_subtrees(n_groups, n_parts, c), ENTRY), later_leaves)
 
 
 def maximal(places: np.ndarray, c: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:

@@ -487,6 +487,20 @@ def test_a_group_holds_each_node_once():
     assert sorted(got) == sorted(set(range(20_000)) - set(first.values())) and most <= 300 + 100 + 50
 
 
+def test_groups_that_do_not_fit_are_split_by_the_window(spark):
+    """A prefix that goes on in very many ways, under a bound that holds a few of them."""
+    rng = np.random.default_rng(26)
+    head = sentence(rng, 14)
+    tails = [sentence(rng, 25) for _ in range(40)]
+    rows = [(i, sentence(rng, 5) + " " + head + " " + tails[int(rng.integers(0, 40))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    c = suffix_tree.RepeatConfig(block_words=200, group_bytes=300, settle_at=25)
+    split = [suffix_tree.RepeatConfig(block_words=200, settle_at=25), c]
+    for config in split:
+        got = {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in by_id(suffix_tree.remove_repeats(df, c=config)).items()}
+        assert got == brute_repeats(rows, 20)
+
+
 def test_groups_grow_with_the_texts(spark):
     from codeloom.llm.common import groups_for
 
