@@ -86,6 +86,7 @@ def least_shingles(min_tokens: int, k: int = 5, window: int = 4) -> int:
 
 def _sized(sets: DataFrame, least: int) -> DataFrame:
     """(key, hashes, n): each set as an array, rarest hashes first, ties by hash. A hash counts in how many sets it is."""
+    sets = written(sets, "clone-hashes")  # read twice
     counted = sets.join(sets.groupBy("hash").agg(F.count("*").alias("df")), "hash")
     whole = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))  # one set's own hashes
     return whole.select("key", F.transform("h", lambda x: x["hash"]).alias("hashes"), F.size("h").alias("n")).where(F.col("n") >= least)
