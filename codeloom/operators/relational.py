@@ -100,16 +100,25 @@ def sibling_ordinals(rows: DataFrame, parent: list[str], order: str) -> Column:
 
 
 def winnowed(hashes: Column, window: int = 4) -> Column:
-    """Fingerprints of a sequence: the rightmost least hash of each window, each place once. Short sequences give one."""
-    n = F.size(hashes)
-    ends = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-
-    def rightmost(i: Column) -> Column:
-        part = F.slice(hashes, i + 1, window)
-        return i + F.size(part) - F.array_position(F.reverse(part), F.array_min(part)).cast("int") + 1
-
-    places = F.transform(ends, rightmost)
-    return F.when(n > 0, F.transform(F.array_distinct(places), lambda p: F.element_at(hashes, p))).otherwise(F.slice(hashes, 1, 0))
+    """Fingerprints of a sequence: the rightmost least hash of each window, each place once. Short sequences give one.
+
+    A place is the rightmost least of some window if, for a split of the window's other places,
+    none on its left is less and all on its right are greater.
+    """
+
+    def chosen(x: Column, at: Column) -> Column:
+        some = F.lit(False)
+        for left in range(window):
+            every = F.lit(True)
+            for i in range(1, left + 1):
+                every = every & F.coalesce(F.get(hashes, at - i) >= x, F.lit(False))
+            for i in range(1, window - left):
+                every = every & F.coalesce(F.get(hashes, at + i) > x, F.lit(False))
+            some = some | every
+        return some
+
+    short = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.slice(hashes, 1, 0))
+    return F.when(F.size(hashes) < window, short).otherwise(F.filter(hashes, chosen))
 
 
 def top_per(rows: DataFrame, within: list[str], order: list[Column], most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.graph import components
 from codeloom.operators.relational import winnowed
-from codeloom.operators.shared import written
+from codeloom.operators.shared import spread, written
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75  # fixed values of the ranking
@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75  # fixed values of the ranking
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token): the index, in lower case."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return docs.select(F.col(key).alias("key"), F.posexplode(words).alias("pos", "token"))
+    return spread(docs.select(key, text)).select(F.col(key).alias("key"), F.posexplode(words).alias("pos", "token"))
 
 
 def phrase_hits(index: DataFrame, tokens: list[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int = 5, window: int =
     """(key, hash): distinct winnowed hashes of k tokens in a row."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.substring(F.md5(F.array_join(F.slice("w", i, k), " ").cast("binary")), 1, 15))
-    rows = docs.select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") >= k).select("key", grams.alias("g"))
+    rows = spread(docs.select(key, text)).select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") >= k).select("key", grams.alias("g"))
     return rows.select("key", F.explode(F.array_distinct(winnowed(F.col("g"), window))).alias("hash"))
 
 

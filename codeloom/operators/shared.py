@@ -28,6 +28,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it comes from fewer files than there are cores.
+
+    A file may be one row group, and a row group is read by one task, however long what follows takes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = fresh_path(df.sparkSession, name)

@@ -1,6 +1,7 @@
 """Known values of the operators, on small literal tables."""
 
 import math
+import random
 from datetime import datetime, timezone
 
 import numpy as np
@@ -16,6 +17,7 @@ from codeloom.operators import quality as K
 from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
+from codeloom.operators.shared import spread
 from codeloom.sources import readers
 from codeloom.streaming import changes as T
 
@@ -102,6 +104,30 @@ def test_winnowing_takes_the_rightmost_least(spark):
     assert [r[0] for r in df.select(R.winnowed(F.col("h"))).collect()] == [[1, 7, 9], [2], []]
 
 
+@pytest.mark.parametrize("window", [1, 2, 4, 5])
+def test_winnowing_by_brute_force(spark, window):
+    rng = random.Random(window)
+    sequences = [[rng.randint(0, 4) for _ in range(rng.randint(0, 14))] for _ in range(500)]
+
+    def places(h):
+        for i in range(max(len(h) - window, 0) + 1 if h else 0):
+            part = h[i : i + window]
+            yield i + max(j for j, x in enumerate(part) if x == min(part))
+
+    df = spark.createDataFrame(list(enumerate(sequences)), "k int, h array<int>")
+    got = {r["k"]: r["w"] for r in df.select("k", R.winnowed(F.col("h"), window).alias("w")).collect()}
+    assert got == {k: [h[p] for p in sorted(set(places(h)))] for k, h in enumerate(sequences)}
+
+
+def test_rows_of_few_files_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(3 * spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert sorted(r[0] for r in spread(one).collect()) == list(range(100))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many
+
+
 def test_ambiguous_tier_stops_the_ladder(spark):
     refs = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
     one = spark.createDataFrame([(1, 10), (2, 20), (2, 21)], "ref bigint, node bigint")
