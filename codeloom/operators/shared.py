@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 128 << 20  # bytes, what Parquet writers usually make
 _own: dict[str, str] = {}
 
 
@@ -29,13 +30,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores where it comes from fewer files than there are cores.
+    """df, dealt to all cores where it comes from fewer files than there are cores, none much over a row group.
 
-    A file may be one row group, and a row group is read by one task, however long what follows takes.
+    A row group is read by one task, however long what follows takes. Larger files have several
+    and are read by as many tasks, so at most ROW_GROUP bytes a core are ever dealt.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if 0 < files < cores and size <= files * ROW_GROUP else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
