@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.shared import spread
+
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20  # of texts that are sent to a Python worker at once
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def quoted(name: str) -> Column:
