@@ -38,6 +38,20 @@ def route_key(name: Column) -> Column:
     return F.when(~bad, F.concat_ws(" ", method, plain))
 
 
+def client_call(slots: Column) -> Column:
+    """struct(target, refusal) of an HTTP client's call, from a map of what was read off its site.
+
+    ``method`` and ``path`` hold the words as written; ``path_dynamic`` says that the path is
+    put together at run time. Only an absolute path that has a route key is a target.
+    """
+    slot = lambda name: F.nullif(F.trim(F.try_element_at(slots, F.lit(name))), F.lit(""))
+    method, path = slot("method"), slot("path")
+    dynamic = method.isNull() | F.map_contains_key(slots, "path_dynamic") | path.isNull() | ~F.startswith(path, F.lit("/"))
+    target = F.concat_ws(" ", F.upper(method), path)
+    refusal = F.when(F.coalesce(dynamic, F.lit(True)), "base-url-runtime").when(route_key(target).isNull(), "path-not-composed")
+    return F.struct(F.when(refusal.isNull(), target).alias("target"), refusal.alias("refusal"))
+
+
 def grpc_key(package: Column, service: Column, method: Column) -> Column:
     ok = package.rlike(r"^[A-Za-z_][\w.]*$") & service.rlike(r"^[A-Za-z_]\w*$") & method.rlike(r"^[A-Za-z_]\w*$")
     return F.when(ok, F.concat(package, F.lit("."), service, F.lit("/"), method))

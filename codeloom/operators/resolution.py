@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import is_external, matches_glob
-from codeloom.functions.scalars import folded_path, route_key
+from codeloom.functions.scalars import client_call, folded_path, route_key
 from codeloom.operators.graph import nearest_ancestor, reach
 from codeloom.operators.shared import cut
 
@@ -379,6 +379,27 @@ def promoted_routes(registrations: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(F.concat(F.lit("route/"), F.col("file_path"), F.lit("#"), F.col("name")).alias("symbol"), "file_path", "name", handler.alias("handler"))
 
 
+def source_routes(facts: DataFrame) -> DataFrame:
+    """promoted_routes() of the registrations that extraction found in source files (rows of FACTS)."""
+    part = F.split("name", " ", 2)
+    found = facts.where("kind = 'route'").select(F.col("path").alias("file_path"), part[0].alias("method"), part[1].alias("template"), F.col("target").alias("handler"))
+    nodes = facts.where("kind in ('function', 'method')").select(F.xxhash64("path", "parent", "name", "line").alias("id"), "kind", "name", F.col("path").alias("file_path"))
+    return promoted_routes(found, nodes)
+
+
+def source_client_calls(facts: DataFrame) -> DataFrame:
+    """(file_path, scope, line, target, refusal) of the client sites that extraction found."""
+    sites = facts.where("kind = 'client_site'")
+    dynamic = F.when(F.col("target").isNull(), F.create_map(F.lit("path_dynamic"), F.lit("true"))).otherwise(F.create_map(F.lit("path"), F.col("target")))
+    call = client_call(F.map_concat(F.create_map(F.lit("method"), F.col("name")), dynamic))
+    return sites.select(F.col("path").alias("file_path"), F.col("parent").alias("scope"), "line", call.alias("c")).select("file_path", "scope", "line", "c.target", "c.refusal")
+
+
+def dispatch_roots(facts: DataFrame) -> DataFrame:
+    """(file_path, owner, name) of functions that only a trait's table or a framework calls; they are live without a caller."""
+    return facts.where("kind = 'dispatch'").select(F.col("path").alias("file_path"), F.col("target").alias("owner"), "name").distinct()
+
+
 def in_scope(reached: DataFrame, members: DataFrame, repository: str | None) -> DataFrame:
     """Reached nodes of one repository; of all for None."""
     both = reached.join(members.select("id", "member"), "id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import resolution as R
 from codeloom.operators.shared import fresh_path
 from codeloom.plans.registry import add
 from codeloom.sources import readers as S
@@ -143,7 +144,7 @@ LANGUAGES = {
     "java": ("public final class J% {}\n", [("class", "J%", 1)]),
     "rb": ("module M%\n  def go%?\n  end\nend\n", [("module", "M%", 1), ("function", "go%?", 2)]),
     "proto": ("service P% {\n  rpc Get% (A) returns (B);\n}\n", [("service", "P%", 1), ("rpc", "Get%", 2)]),
-    "php": ("final class H% {\n  public function go%() {}\n}\n", [("class", "H%", 1), ("function", "go%", 2)]),
+    "php": ("final class H% {\n  public function go%() {}\n}\n", [("class", "H%", 1), ("method", "go%", 2)]),
     "graphql": ("type G% {\n  id: ID\n}\n", [("type", "G%", 1)]),
 }
 
@@ -163,6 +164,98 @@ add(
     FROM part JOIN (VALUES {DECLARED}) t(i, e, k, n, l) ON p_partkey % {len(LANGUAGES)} = i""",
 )
 
+# Extension, text before and after as many branches as the part's size says, and rows: kind, name, parent, line (+ for those
+# after the branches), target, decisions a branch adds (null for what is no function). % stands for the part's key.
+CODE = {
+    "rs": ("use a::{b%, c as d};\nimpl Show for S% {\n    fn go(&self) {\n", "        if x { y; }\n", "        self.g%();\n    }\n}\n", [
+        ("import", "b%", "", "1", "a::b%", None), ("import", "d", "", "1", "a::c", None), ("implements", "S%", "", "2", "Show", None),
+        ("dispatch", "go", "S%", "3", "S%", None), ("method", "go", "S%", "3", None, 1), ("call", "g%", "S%.go", "4+", "self.g%", None)]),
+    "go": ("import q \"m/n%\"\nfunc (s *S%) Go(a interface{}) error {\n", "\tif x { y = 1 }\n", "\tq.G%(a)\n}\n", [
+        ("import", "q", "", "1", "m/n%", None), ("method", "Go", "S%", "2", None, 1), ("call", "G%", "S%.Go", "3+", "q.G%", None)]),
+    "ts": ("import { A as B } from \"m%\";\nexport class K extends B implements I% {\n  go(a: string): void {\n", "    if (x) { y; }\n", "    this.g%(a);\n  }\n}\n", [
+        ("import", "B", "", "1", "m%::A", None), ("class", "K", "", "2", None, None), ("implements", "K", "", "2", "B", None),
+        ("implements", "K", "", "2", "I%", None), ("method", "go", "K", "3", None, 1), ("call", "g%", "K.go", "4+", "this.g%", None)]),
+    "java": ("import a.b%.C;\npublic class K extends B<C> {\n  @Test public void go() throws E {\n", "    if (x) { y = 1; }\n", "    new Z().g%();\n  }\n}\n", [
+        ("import", "C", "", "1", "a.b%.C", None), ("class", "K", "", "2", None, None), ("implements", "K", "", "2", "B", None),
+        ("method", "go", "K", "3", None, 1), ("call", "Z", "K.go", "4+", "Z", None), ("call", "g%", "K.go", "4+", "g%", None)]),
+    "cs": ("using N = A.B%;\nnamespace P.Q {\n class K : I% {\n  void Go() {\n", "    if (x) { y = 1; }\n", "    N.g%();\n  }\n }\n}\n", [
+        ("import", "N", "", "1", "A.B%", None), ("module", "P.Q", "", "2", None, None), ("class", "K", "P.Q", "3", None, None),
+        ("implements", "K", "P.Q", "3", "I%", None), ("method", "Go", "P.Q.K", "4", None, 1), ("call", "g%", "P.Q.K.Go", "5+", "N.g%", None)]),
+    "kt": ("import a.b% as D\nclass K(val x: Int) : B(x) {\n  fun go(a: Int) {\n", "    if (x) { y = 1 }\n", "    D.g%(a)\n  }\n}\n", [
+        ("import", "D", "", "1", "a.b%", None), ("class", "K", "", "2", None, None), ("implements", "K", "", "2", "B", None),
+        ("method", "go", "K", "3", None, 1), ("call", "g%", "K.go", "4+", "D.g%", None)]),
+    "cpp": ("#include \"x/y%.h\"\nnamespace n {\nvoid A%::go(int a) const {\n", "    if (x) { y = 1; }\n", "    std::g%(a);\n  }\n}\n", [
+        ("import", "y%.h", "", "1", "x/y%.h", None), ("module", "n", "", "2", None, None), ("method", "go", "A%", "3", None, 1), ("call", "g%", "A%.go", "4+", "std::g%", None)]),
+    "scala": ("import a.{B%, C => D}\nclass K extends T with U% {\n  def go(a: Int): Unit = {\n", "    if (x) { y = 1 }\n", "    D.g%(a)\n  }\n}\n", [
+        ("import", "B%", "", "1", "a.B%", None), ("import", "D", "", "1", "a.C", None), ("class", "K", "", "2", None, None), ("implements", "K", "", "2", "T", None),
+        ("implements", "K", "", "2", "U%", None), ("method", "go", "K", "3", None, 1), ("call", "g%", "K.go", "4+", "D.g%", None)]),
+}
+
+
+def branched_files(m):
+    k, names = F.col("p_partkey").cast("string"), list(CODE)
+    at = (F.col("p_partkey") % len(names) + 1).cast("int")
+    pick = lambda j: F.element_at(F.array(*[F.lit(CODE[n][j]) for n in names]), at)
+    text = F.replace(F.concat(pick(0), F.repeat(pick(1), (F.col("p_size") % 4).cast("int")), pick(2)), F.lit("%"), k)
+    return m.part.select(F.concat(F.lit("p"), k, F.lit("."), F.element_at(F.array(*[F.lit(n) for n in names]), at)).alias("path"), text.alias("content"))
+
+
+def _value(x):
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+CODE_ROWS = ", ".join(
+    f"({i}, '{e}', {_value(kind)}, {_value(name)}, {_value(parent)}, {line.rstrip('+')}, {int(line.endswith('+'))}, {_value(target)}, {_value(more)})"
+    for i, (e, c) in enumerate(CODE.items()) for kind, name, parent, line, target, more in c[3]
+)
+add(
+    "A-14_code_facts",
+    lambda m: S.extract_facts(branched_files(m)).select("path", "kind", "name", "parent", "line", "target", "cc", "nesting"),
+    f"""WITH t(i, e, kind, name, parent, line, moved, target, more) AS (VALUES {CODE_ROWS}), p AS (SELECT *, p_size % 4 AS b, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT 'p' || k || '.' || e AS path, kind, replace(name, '%', k) AS name, replace(parent, '%', k) AS parent, line + moved * b AS line, replace(target, '%', k) AS target,
+    1 + more * b AS cc, more * least(b, 1) AS nesting FROM p JOIN t ON p_partkey % {len(CODE)} = i""",
+)
+
+# Routes, client calls and dispatched functions in source files: extension, text, route names, handlers
+ROUTED = {
+    "ts": ('import express from "express";\nfunction h% () {}\napp.get("/a/%", h%);\napp.set("x", 1);\n', "GET /a/%", "h%"),
+    "java": ('import org.springframework.web.Bind;\nclass C { @PostMapping("/b/%") public int h%() { return 1; } }\n', "POST /b/%", "h%"),
+    "go": ('import "net/http"\nfunc h%() {}\nfunc m() { http.HandleFunc("/c/%", h%) }\n', "ANY /c/%", "h%"),
+    "rs": ('use axum::Router;\nfn h%() {}\nfn m() { Router::new().route("/d/{id}/%", delete(h%)); }\n', "DELETE /d/{id}/%", "h%"),
+    "py": ('from fastapi import FastAPI\n@app.put("/e/%")\ndef h%():\n    pass\n', "PUT /e/%", "h%"),
+    "cs": ('using Microsoft.AspNetCore.Mvc;\nclass C { [HttpGet("/f/%")] public int h%() { return 1; } }\n', "GET /f/%", "h%"),
+    "js": ('const h% = () => { cache.get("/g/%"); };\n', None, None),  # no framework is imported
+}
+
+
+def routed_files(m):
+    k, names = F.col("p_partkey").cast("string"), list(ROUTED)
+    at = (F.col("p_partkey") % len(names) + 1).cast("int")
+    text = F.replace(F.element_at(F.array(*[F.lit(ROUTED[n][0]) for n in names]), at), F.lit("%"), k)
+    return m.part.select(F.concat(F.lit("p"), k, F.lit("."), F.element_at(F.array(*[F.lit(n) for n in names]), at)).alias("path"), text.alias("content"))
+
+
+ROUTE_ROWS = ", ".join(f"({i}, '{e}', '{n}')" for i, (e, (_, n, _h)) in enumerate(ROUTED.items()) if n)
+add(
+    "P-14_source_routes",
+    lambda m: R.source_routes(S.extract_facts(routed_files(m))).select("symbol", "file_path", "name", F.col("handler").isNotNull().alias("bound")),
+    f"""SELECT 'route/' || f || '#' || n AS symbol, f AS file_path, n AS name, TRUE AS bound
+    FROM (SELECT 'p' || p_partkey || '.' || e AS f, replace(r, '%', CAST(p_partkey AS VARCHAR)) AS n FROM part JOIN (VALUES {ROUTE_ROWS}) t(i, e, r) ON p_partkey % {len(ROUTED)} = i)""",
+)
+SITE = """CASE p_size % 5 WHEN 0 THEN '"/u/' || p_partkey || '/{id}"' WHEN 1 THEN '"u/' || p_partkey || '"' WHEN 2 THEN 'url' WHEN 3 THEN '"/u/*"' ELSE '"https://h/u"' END"""
+CLIENT_FILES = f"""SELECT 'p' || p_partkey || '.rs' AS path, CASE WHEN p_partkey % 7 = 0 THEN 'use std::fs;' ELSE 'use reqwest::Client;' END || chr(10) || 'fn m() {{ client.post(' || {SITE} || '); }}' AS content FROM part"""
+add(
+    "J-11_client_calls",
+    lambda m: R.source_client_calls(S.extract_facts(m.sql(CLIENT_FILES.replace("p_partkey ||", "cast(p_partkey as string) ||")))),
+    """SELECT 'p' || p_partkey || '.rs' AS file_path, 'm' AS scope, 2 AS line, CASE p_size % 5 WHEN 0 THEN 'POST /u/' || p_partkey || '/{id}' END AS target,
+    CASE p_size % 5 WHEN 0 THEN NULL WHEN 3 THEN 'path-not-composed' ELSE 'base-url-runtime' END AS refusal FROM part WHERE p_partkey % 7 <> 0""",
+)
+add(
+    "P-16_source_dispatch",
+    lambda m: R.dispatch_roots(S.extract_facts(branched_files(m))),
+    f"SELECT 'p' || p_partkey || '.rs' AS file_path, 'S' || p_partkey AS owner, 'go' AS name FROM part WHERE p_partkey % {len(CODE)} = 0",
+)
+
 # Documents: whole texts between headings of their own
 
 BODY = """SELECT doc_id, '# Title ' || source || chr(10) || coalesce(text, '') || chr(10) || '## Part One' || chr(10) || 'see `fn42()` and [a](b.md#x)' || chr(10) || '## Part One' AS body FROM documents"""

@@ -8,8 +8,11 @@ a row. Nothing outside the given path is read.
 from __future__ import annotations
 
 import ast
+import bisect
+import io
 import json
 import re
+import tokenize
 import tomllib
 from collections.abc import Callable, Iterator
 
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import is_admitted, matches_glob
 from codeloom.functions.scalars import slug
+from codeloom.sources.code import LANGUAGES, code_facts
+from codeloom.sources.facts import FACTS
+from codeloom.sources.facts import row as _row
 
 RECORD, UNIT = "\x1e", "\x1f"  # separators of the log format below
 LOG_FORMAT = "%x1e%H%x1f%ct%x1f%an%x1f%ae%x1f%s"
@@ -31,7 +37,6 @@ COVERAGE_PATHS = (
     "target/llvm-cov/cobertura.xml",
     "target/llvm-cov/lcov.info",
 )
-FACTS = "path string, kind string, name string, parent string, line bigint, target string, cc bigint, nesting bigint"
 
 
 # History logs: git log --numstat -M --format=<LOG_FORMAT>
@@ -115,31 +120,55 @@ def read_tree(spark: SparkSession, root: str, include: list[str] = [], exclude:
     return rows.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
 
 
-def _row(path, kind, name, parent="", line=None, target=None, cc=None, nesting=None) -> tuple:
-    return path, kind, name, parent, line, target, cc, nesting
+# Words that add a path through a function; statements that nest; words of route registrations.
+PYTHON_DECISIONS = ("if", "elif", "else", "for", "while", "except", "and", "or", "assert")
+PYTHON_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match)
+PYTHON_METHODS = {
+    "get": "GET", "post": "POST", "put": "PUT", "delete": "DELETE", "patch": "PATCH", "head": "HEAD", "options": "OPTIONS", "trace": "TRACE",
+    "websocket": "ANY", "path": "ANY", "re_path": "ANY",
+}
+PYTHON_FRAMEWORKS = ("fastapi", "django")
+
+
+def _python_route(call: ast.AST) -> tuple[str, str] | None:
+    """(method, template) of a call whose first argument is a string and whose name registers routes."""
+    f = call.func if isinstance(call, ast.Call) else None
+    name = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) and f.id in ("path", "re_path") else None
+    if name in PYTHON_METHODS and call.args and isinstance(call.args[0], ast.Constant) and isinstance(call.args[0].value, str):
+        return PYTHON_METHODS[name], call.args[0].value
 
 
 def python_facts(path: str, content: str) -> list[tuple]:
-    """Modules, classes, functions, imports and calls of a Python file. What can't be parsed gives its module only."""
+    """Modules, classes, functions, supertypes, imports, calls and routes of a Python file. What can't be parsed gives its module only."""
     out = [_row(path, "module", path.rsplit("/", 1)[-1].removesuffix(".py"), "", 1)]
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
+        words = [(t.start, t.string) for t in tokenize.generate_tokens(io.StringIO(content).readline) if t.type == tokenize.NAME and t.string in PYTHON_DECISIONS]
+    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
         return out
-    branch = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.BoolOp, ast.IfExp, ast.comprehension, ast.AsyncFor)
-    block = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.AsyncFor, ast.AsyncWith)
+    lines, routes = content.split("\n"), {}
 
     def depth(node: ast.AST) -> int:
-        return max([0, *((isinstance(c, block) + depth(c)) for c in ast.iter_child_nodes(node))])
+        further = getattr(node, "orelse", []) if isinstance(node, ast.If) else []
+        other = further[0] if len(further) == 1 and isinstance(further[0], ast.If) and lines[further[0].lineno - 1].lstrip().startswith("elif") else None
+        return max([0, *((isinstance(c, PYTHON_BLOCKS) and c is not other) + depth(c) for c in ast.iter_child_nodes(node))])
+
+    def decisions(node: ast.AST) -> int:
+        places = bisect.bisect_left(words, ((node.lineno, 0),)), bisect.bisect_left(words, ((node.end_lineno + 1, 0),))
+        return 1 + places[1] - places[0] + sum(isinstance(x, ast.match_case) for x in ast.walk(node))
 
     def visit(node: ast.AST, scope: str, in_class: bool) -> None:
         for c in ast.iter_child_nodes(node):
             if isinstance(c, ast.ClassDef):
-                out.append(_row(path, "class", c.name, scope, c.lineno))
+                out.append(_row(path, "class", c.name, scope, c.lineno, last=c.end_lineno, exported=not c.name.startswith("_")))
+                out.extend(_row(path, "implements", c.name, scope, c.lineno, ast.unparse(b)) for b in c.bases)
                 visit(c, f"{scope}.{c.name}".strip("."), True)
             elif isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                cc = 1 + sum(isinstance(x, branch) for x in ast.walk(c))
-                out.append(_row(path, "method" if in_class else "function", c.name, scope, c.lineno, None, cc, depth(c)))
+                kind = "method" if in_class else "function"
+                out.append(_row(path, kind, c.name, scope, c.lineno, None, decisions(c), depth(c), c.end_lineno, not c.name.startswith("_"), c.name.startswith("test_")))
+                for d in c.decorator_list:
+                    if found := _python_route(d):
+                        routes.setdefault(found, (c.name, c.lineno))
                 visit(c, f"{scope}.{c.name}".strip("."), False)
             else:
                 if isinstance(c, ast.Import):
@@ -151,22 +180,23 @@ def python_facts(path: str, content: str) -> list[tuple]:
                     name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
                     if name:
                         out.append(_row(path, "call", name, scope, c.lineno, ast.unparse(f)))
+                    if name in ("path", "re_path") and (found := _python_route(c)) and len(c.args) > 1:
+                        view = c.args[1]
+                        routes.setdefault(found, (view.id if isinstance(view, ast.Name) else getattr(view, "attr", None), c.lineno))
                 visit(c, scope, in_class)
 
-    visit(tree, "", False)
+    try:
+        visit(tree, "", False)
+    except RecursionError:
+        return out[:1]
+    if any(r[1] == "import" and r[5].split(".")[0] in PYTHON_FRAMEWORKS for r in out):
+        out += [_row(path, "route", f"{m} {t}", "", n, h) for (m, t), (h, n) in routes.items()]
     return out
 
 
 # Languages without a parser at hand: declarations by pattern. Fixed values.
 DECLARATIONS = {
-    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?P<k>fn|struct|enum|trait|mod)\s+(?P<n>\w+)",
-    "go": r"^\s*(?P<k>func|type)\s+(?:\([^)]*\)\s*)?(?P<n>\w+)",
-    "ts": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<k>function|class|interface|enum)\s+(?P<n>\w+)",
-    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<k>function|class)\s+(?P<n>\w+)",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?P<k>class|interface|enum|record)\s+(?P<n>\w+)",
-    "c": r"^(?P<k>struct|enum|union)\s+(?P<n>\w+)",
     "rb": r"^\s*(?P<k>def|class|module)\s+(?P<n>[\w.]+[?!]?)",
-    "php": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?P<k>function|class|interface|trait)\s+(?P<n>\w+)",
     "sql": r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?P<k>table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?(?P<n>[\w.\"]+)",
     "proto": r"^\s*(?P<k>message|service|rpc|enum)\s+(?P<n>\w+)",
     "graphql": r"^\s*(?P<k>type|interface|enum|input|scalar|union)\s+(?P<n>\w+)",
@@ -179,7 +209,7 @@ NAMES = {"fn": "function", "func": "function", "def": "function", "mod": "module
 
 def pattern_facts(path: str, content: str) -> list[tuple]:
     ext = "mk" if path.rsplit("/", 1)[-1] == "Makefile" else path.rsplit(".", 1)[-1]
-    pattern = DECLARATIONS.get({"tsx": "ts", "jsx": "js", "h": "c", "cpp": "c", "bash": "sh"}.get(ext, ext))
+    pattern = DECLARATIONS.get({"bash": "sh"}.get(ext, ext))
     if not pattern:
         return []
     found = re.compile(pattern)
@@ -329,7 +359,7 @@ def terraform_facts(path: str, content: str) -> list[tuple]:
 
 
 EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {
-    "py": python_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts, "yaml": yaml_facts, "yml": yaml_facts,
+    **dict.fromkeys(LANGUAGES, code_facts), "py": python_facts, "pyi": python_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts, "yaml": yaml_facts, "yml": yaml_facts,
     "sql": sql_facts, "tf": terraform_facts, "sh": shell_facts, "bash": shell_facts, "mk": makefile_facts,
     "Makefile": makefile_facts, "Dockerfile": dockerfile_facts,
 }
@@ -350,7 +380,7 @@ def extract_facts(files: DataFrame, extractors: dict[str, Callable[[str, str], l
         for pdf in batches:
             rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in known.get(extension(p), pattern_facts)(p, c or "")]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"line": "Int64", "cc": "Int64", "nesting": "Int64"})
+            yield out.astype({"line": "Int64", "cc": "Int64", "nesting": "Int64", "last": "Int64", "exported": "boolean", "is_test": "boolean"})
 
     return files.select("path", "content").mapInPandas(run, FACTS)
 
