@@ -400,6 +400,30 @@ def dispatch_roots(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'dispatch'").select(F.col("path").alias("file_path"), F.col("target").alias("owner"), "name").distinct()
 
 
+def topic_nodes(facts: DataFrame) -> DataFrame:
+    """(symbol, kind, name, file_path, line, topic) of topics and of the places that publish to or subscribe to them.
+
+    A topic is one node however many files name it; a function that publishes to a topic
+    more than once is one producer, at its first line. ``topic`` is the symbol that a
+    producer's or consumer's edge leads to, null for topics.
+    """
+    found = facts.where("kind in ('publish', 'subscribe')")
+    role = F.when(F.col("kind") == "publish", "producer").otherwise("consumer")
+    symbol = F.concat_ws("/", "file_path", "owner", "kind", "name")
+    topic = F.concat(F.lit("topic/"), F.col("name"))
+    sites = found.groupBy(F.col("path").alias("file_path"), F.col("parent").alias("owner"), role.alias("kind"), "name").agg(F.min("line").alias("line"))
+    sites = sites.select(symbol.alias("symbol"), "kind", "name", "file_path", "line", topic.alias("topic"))
+    nothing = F.lit(None).cast("string")
+    return found.select("name").distinct().select(topic.alias("symbol"), F.lit("topic").alias("kind"), "name", nothing.alias("file_path"), nothing.cast("bigint").alias("line"), nothing.alias("topic")).unionByName(sites)
+
+
+def marked_live(facts: DataFrame) -> DataFrame:
+    """(source, target, kind): a route to itself for each function of a file that only a trait or a framework calls, by symbol."""
+    roots = dispatch_roots(facts)
+    symbol = F.concat_ws("/", "file_path", "owner", "name")
+    return roots.select(symbol.alias("source"), symbol.alias("target"), F.lit("routes_to").alias("kind"))
+
+
 def in_scope(reached: DataFrame, members: DataFrame, repository: str | None) -> DataFrame:
     """Reached nodes of one repository; of all for None."""
     both = reached.join(members.select("id", "member"), "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codeloom.operators import resolution as R
@@ -256,6 +258,23 @@ add(
     f"SELECT 'p' || p_partkey || '.rs' AS file_path, 'S' || p_partkey AS owner, 'go' AS name FROM part WHERE p_partkey % {len(CODE)} = 0",
 )
 
+BROKERS = """SELECT 'p' || p_partkey || '.java' AS path, 'class C {' || chr(10) || '  @KafkaListener(' || CASE p_size % 3 WHEN 0 THEN 'topics = "' WHEN 1 THEN '"' ELSE 'id = "' END || 't' || (p_partkey % 50) || '") void on() {' || chr(10)
+    || '    k.send("t' || (p_size % 7) || '", 1);' || chr(10) || '    k.send("t' || (p_size % 7) || '", 2); k.send(topic); }' || chr(10) || '}' AS content FROM part"""
+add(
+    "P-15_source_topics",
+    lambda m: R.topic_nodes(S.extract_facts(m.sql(re.sub(r"\|\| (p_partkey|\([^)]*\))", r"|| cast(\1 as string)", BROKERS)))),
+    """WITH s AS (SELECT 'p' || p_partkey || '.java' AS file_path, 'producer' AS kind, 't' || (p_size % 7) AS name, 3 AS line FROM part
+    UNION ALL SELECT 'p' || p_partkey || '.java', 'consumer', 't' || (p_partkey % 50), 2 FROM part WHERE p_size % 3 < 2)
+    SELECT file_path || '/C.on/' || kind || '/' || name AS symbol, kind, name, file_path, line, 'topic/' || name AS topic FROM s
+    UNION ALL SELECT DISTINCT 'topic/' || name, 'topic', name, NULL, NULL, NULL FROM s""",
+)
+add(
+    "P-16_marked_live",
+    lambda m: R.marked_live(S.extract_facts(branched_files(m))),
+    f"""SELECT 'p' || p_partkey || '.rs/S' || p_partkey || '/go' AS source, 'p' || p_partkey || '.rs/S' || p_partkey || '/go' AS target, 'routes_to' AS kind
+    FROM part WHERE p_partkey % {len(CODE)} = 0""",
+)
+
 # Documents: whole texts between headings of their own
 
 BODY = """SELECT doc_id, '# Title ' || source || chr(10) || coalesce(text, '') || chr(10) || '## Part One' || chr(10) || 'see `fn42()` and [a](b.md#x)' || chr(10) || '## Part One' AS body FROM documents"""

@@ -22,6 +22,9 @@ CS_METHODS = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpDelet
 PHP_METHODS = {"get": "GET", "post": "POST", "put": "PUT", "patch": "PATCH", "delete": "DELETE", "options": "OPTIONS", "any": "ANY", "match": "ANY"}
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
 JUNIT = r"^(Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)$"
+LISTENERS = ("KafkaListener", "RabbitListener", "JmsListener")
+LISTENER_KEYS = ("topics", "queues", "destination", "value")
+SENDERS = ("send", "convertAndSend", "publish")
 CLIENTS = ("reqwest", "hyper", "isahc", "ureq", "awc", "surf")
 
 
@@ -415,6 +418,7 @@ def code_facts(path: str, content: str) -> list[tuple]:
     sites: list[tuple] = []
     notes: list[tuple[str, str | None]] = []  # annotations before a declaration
     first = 0  # token that the statement begins with
+    topics: list[str] = []  # what the function after the annotations listens to
     fields: set[int] = set()  # names that a constructor gives values to before its body
 
     def add(kind: str, name: str, line: int, **more) -> int:
@@ -422,7 +426,7 @@ def code_facts(path: str, content: str) -> list[tuple]:
         return len(rows) - 1
 
     def enter(i: int, kind: str, name: str, after: int, parent: str | None = None) -> None:
-        nonlocal notes
+        nonlocal notes, topics
         end, body = _body(s, after, ext, lang.by_line, types | functions)
         up = scopes[-1].path if scopes else ""
         if parent is None:
@@ -441,7 +445,10 @@ def code_facts(path: str, content: str) -> list[tuple]:
                 if scopes and body and scopes[-1].dynamic:
                     add("dispatch", name, s.line[i], target=scopes[-1].path)
         row = add(KINDS.get(kind, kind), name, s.line[i], parent=parent, **more)
-        notes = []
+        if kind == "method":
+            for t in topics:
+                add("subscribe", t, s.line[i], parent=f"{parent}.{name}".strip("."))
+        notes, topics = [], []
         if kind in TYPES:
             for t in _supertypes(s, after, end, ext):
                 add("implements", name, s.line[i], target=t)
@@ -487,6 +494,9 @@ def code_facts(path: str, content: str) -> list[tuple]:
             e = s.chain_end(i + 1)
             call = s.at(e + 1) == "("
             notes.append((s.text[e], s.literal(e + 2) if call else None))
+            if ext == "java" and call and s.text[e] in LISTENERS:
+                named = (s.literal(k + 2) for k in range(e + 2, min(s.close[e + 1], len(s))) if s.text[k] in LISTENER_KEYS and s.at(k + 1) == "=")
+                topics.extend(x.strip() for x in (s.literal(e + 2), *named) if x and x.strip())
             i = s.close[e + 1] + 1 if call else e + 1
             continue
         if s.kind[i] != "word":
@@ -588,6 +598,8 @@ def code_facts(path: str, content: str) -> list[tuple]:
             start = s.chain(i)
             add("call", t, s.line[i], target=s.join(start, i))
             text, dotted = s.literal(p + 1), s.at(i - 1) in (".", "::", "->")
+            if ext == "java" and t in SENDERS and text and text.strip():
+                add("publish", text.strip(), s.line[i])
             handler, h = None, p + 3
             if s.at(p + 2) == "," and s.name(h) and s.at(s.chain_end(h) + 1) in (",", ")"):
                 handler = s.text[s.chain_end(h)]

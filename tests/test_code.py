@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import client_call
-from codeloom.operators.resolution import dispatch_roots, source_client_calls, source_routes
+from codeloom.operators.resolution import dispatch_roots, marked_live, source_client_calls, source_routes, topic_nodes
 from codeloom.sources.code import LANGUAGES, code_facts
 from codeloom.sources.readers import extract_facts, python_facts
 
@@ -125,3 +125,18 @@ def test_routes_sites_and_roots(spark):
     assert calls == [("b.rs", "m", "", "base-url-runtime"), ("b.rs", "m", "GET /a/{id}", "")]
     assert {(r["owner"], r["name"]) for r in dispatch_roots(all_).collect()} == {("P", "show"), ("T", "b")}
     all_.unpersist()
+
+
+def test_topics(spark):
+    text = """class C {
+  @RabbitListener(queues = "a") void on(String m) { k.convertAndSend("b", m); }
+  @JmsListener("a") void at() { k.send("b"); k.send("b"); k.send(name); k.send(" "); }
+  @Other("c") void no() { }
+}"""
+    files = spark.createDataFrame([("A.java", text), ("B.java", text), ("a.rs", RUST)], "path string, content string")
+    all_ = extract_facts(files).cache()
+    got = {(r["symbol"], r["line"], r["topic"]) for r in topic_nodes(all_).collect()}
+    sites = {(f"{f}/C.{m}/{k}/{t}", n, f"topic/{t}") for f in ("A.java", "B.java") for m, n in (("on", 2), ("at", 3)) for k, t in (("consumer", "a"), ("producer", "b"))}
+    assert got == sites | {("topic/a", None, None), ("topic/b", None, None)}
+    assert {r["source"] for r in marked_live(all_).collect()} == {"a.rs/P/show", "a.rs/T/b"}
+    all_.unpersist()
