@@ -144,7 +144,7 @@ LANGUAGES = {
     "go": ("func Go%() {}\ntype T% struct {}\n", [("function", "Go%", 1), ("type", "T%", 2)]),
     "ts": ("export class K% {}\nfunction f%() {}\n", [("class", "K%", 1), ("function", "f%", 2)]),
     "java": ("public final class J% {}\n", [("class", "J%", 1)]),
-    "rb": ("module M%\n  def go%?\n  end\nend\n", [("module", "M%", 1), ("function", "go%?", 2)]),
+    "rb": ("module M%\n  def go%?\n  end\nend\n", [("module", "M%", 1), ("method", "go%?", 2)]),
     "proto": ("service P% {\n  rpc Get% (A) returns (B);\n}\n", [("service", "P%", 1), ("rpc", "Get%", 2)]),
     "php": ("final class H% {\n  public function go%() {}\n}\n", [("class", "H%", 1), ("method", "go%", 2)]),
     "graphql": ("type G% {\n  id: ID\n}\n", [("type", "G%", 1)]),
@@ -226,6 +226,7 @@ ROUTED = {
     "rs": ('use axum::Router;\nfn h%() {}\nfn m() { Router::new().route("/d/{id}/%", delete(h%)); }\n', "DELETE /d/{id}/%", "h%"),
     "py": ('from fastapi import FastAPI\n@app.put("/e/%")\ndef h%():\n    pass\n', "PUT /e/%", "h%"),
     "cs": ('using Microsoft.AspNetCore.Mvc;\nclass C { [HttpGet("/f/%")] public int h%() { return 1; } }\n', "GET /f/%", "h%"),
+    "rb": ("Rails.application.routes.draw do\n  get '/h/%', to: 'c#h%'\nend\ndef h%\nend\n", "GET /h/%", "h%"),
     "js": ('const h% = () => { cache.get("/g/%"); };\n', None, None),  # no framework is imported
 }
 

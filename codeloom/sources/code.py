@@ -598,8 +598,13 @@ def code_facts(path: str, content: str) -> list[tuple]:
             start = s.chain(i)
             add("call", t, s.line[i], target=s.join(start, i))
             text, dotted = s.literal(p + 1), s.at(i - 1) in (".", "::", "->")
-            if ext == "java" and t in SENDERS and text and text.strip():
+            if text and text.strip() and ((ext == "java" and t in SENDERS) or (ext == "rs" and dotted and t in ("publish", "send"))):
                 add("publish", text.strip(), s.line[i])
+            if ext == "rs" and dotted and t == "subscribe":
+                several = range(p + 3, min(s.close[p + 2], len(s))) if s.at(p + 1) == "&" and s.at(p + 2) == "[" else (p + 1,)
+                for x in several:
+                    if s.literal(x) and s.literal(x).strip():
+                        add("subscribe", s.literal(x).strip(), s.line[i])
             handler, h = None, p + 3
             if s.at(p + 2) == "," and s.name(h) and s.at(s.chain_end(h) + 1) in (",", ")"):
                 handler = s.text[s.chain_end(h)]

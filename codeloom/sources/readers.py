@@ -25,6 +25,7 @@ from codeloom.functions.scalars import slug
 from codeloom.sources.code import LANGUAGES, code_facts
 from codeloom.sources.facts import FACTS
 from codeloom.sources.facts import row as _row
+from codeloom.sources.ruby import ruby_facts
 
 RECORD, UNIT = "\x1e", "\x1f"  # separators of the log format below
 LOG_FORMAT = "%x1e%H%x1f%ct%x1f%an%x1f%ae%x1f%s"
@@ -196,7 +197,6 @@ def python_facts(path: str, content: str) -> list[tuple]:
 
 # Languages without a parser at hand: declarations by pattern. Fixed values.
 DECLARATIONS = {
-    "rb": r"^\s*(?P<k>def|class|module)\s+(?P<n>[\w.]+[?!]?)",
     "sql": r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?P<k>table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?(?P<n>[\w.\"]+)",
     "proto": r"^\s*(?P<k>message|service|rpc|enum)\s+(?P<n>\w+)",
     "graphql": r"^\s*(?P<k>type|interface|enum|input|scalar|union)\s+(?P<n>\w+)",
@@ -359,7 +359,7 @@ def terraform_facts(path: str, content: str) -> list[tuple]:
 
 
 EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {
-    **dict.fromkeys(LANGUAGES, code_facts), "py": python_facts, "pyi": python_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts, "yaml": yaml_facts, "yml": yaml_facts,
+    **dict.fromkeys(LANGUAGES, code_facts), "py": python_facts, "pyi": python_facts, "rb": ruby_facts, "md": markdown_facts, "json": config_facts, "toml": config_facts, "yaml": yaml_facts, "yml": yaml_facts,
     "sql": sql_facts, "tf": terraform_facts, "sh": shell_facts, "bash": shell_facts, "mk": makefile_facts,
     "Makefile": makefile_facts, "Dockerfile": dockerfile_facts,
 }

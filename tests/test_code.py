@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import client_call
 from codeloom.operators.resolution import dispatch_roots, marked_live, source_client_calls, source_routes, topic_nodes
 from codeloom.sources.code import LANGUAGES, code_facts
-from codeloom.sources.readers import extract_facts, python_facts
+from codeloom.sources.readers import EXTRACTORS, extract_facts, python_facts
+from codeloom.sources.ruby import ruby_facts
 
 RUST = """use std::io::{self, Read as R, fmt::*};
 use axum::Router;
@@ -77,20 +78,49 @@ def test_python_decisions_and_routes():
     assert not [r for r in python_facts("k.py", text.replace("fastapi", "flask")) if r[1] == "route"]
 
 
-@pytest.mark.parametrize("ext", sorted(LANGUAGES))
+@pytest.mark.parametrize("ext", [*sorted(LANGUAGES), "rb"])
 def test_noise(ext):
     """Any text gives rows with whole columns, and time grows with the length only."""
     some = random.Random(ext)
     words = [*"(){}[]<>;:,.=@#'\"`?&|*\n", "::", "=>", "if", "else", "for", "class", "fn", "function", "def", "impl", "use", "import", "from", "a", "b", "match", "do", "while", "é", "1", "//", "/*"]
     for _ in range(300):
-        for r in code_facts(f"x.{ext}", " ".join(some.choices(words, k=some.randint(0, 50)))):
+        for r in EXTRACTORS[ext](f"x.{ext}", " ".join(some.choices(words, k=some.randint(0, 50)))):
             assert len(r) == 11 and r[1] and r[2] is not None
     for text in ("'\" ` " * 20000, "f(" * 20000, "if " * 20000, "class A : " * 5000, "a." * 30000 + "b()", "for x " * 10000, "fn f() { " + "a.b(c); " * 20000 + "}"):
         began = time.time()
-        code_facts(f"x.{ext}", text)
+        EXTRACTORS[ext](f"x.{ext}", text)
         assert time.time() - began < 10
 
 
+def test_ruby():
+    text = """require 'a/b'
+module M
+  class K < Base
+    include Shown
+    def go?(a) # if only
+      if a && b
+        list.each do |x|
+          x.save!(1) unless "if x"
+        end
+      elsif c then d(2) end
+    end
+    def one; end
+    def two(x) = x ? f(x) : 1
+  end
+end
+Rails.application.routes.draw do
+  post '/a/:id', to: 'things#make'
+end
+"""
+    rows = ruby_facts("a.rb", text)
+    assert [(r[1], r[2], r[3], r[4], r[8]) for r in rows if r[1] in ("module", "class", "method", "function")] == [
+        ("module", "M", "", 2, 15), ("class", "K", "M", 3, 14), ("method", "go?", "M.K", 5, 11), ("method", "one", "M.K", 12, 12), ("method", "two", "M.K", 13, 13),
+    ]
+    assert [(r[2], r[6], r[7]) for r in rows if r[1] == "method"][:2] == [("go?", 5, 2), ("one", 1, 0)]
+    assert [(r[2], r[5]) for r in rows if r[1] in ("import", "implements", "route")] == [("b", "a/b"), ("K", "Base"), ("K", "Shown"), ("POST /a/:id", "make")]
+    assert [(r[2], r[5], r[3]) for r in rows if r[1] == "call"] == [("save!", "x.save!", "M.K.go?"), ("d", "d", "M.K.go?"), ("f", "f", "M.K")]
+
+
 def test_empty_and_null_files(spark):
     files = spark.createDataFrame([("a.rs", None), ("b.go", ""), ("c.py", None), (None, "x")], "path string, content string")
     got = extract_facts(files.where("path is not null"))
@@ -127,6 +157,11 @@ def test_routes_sites_and_roots(spark):
     all_.unpersist()
 
 
+def test_rust_topics():
+    text = 'fn f() { c.subscribe(&["a", "b"]); c.subscribe("c"); c.subscribe(x); p.send("d", 1); publish("e"); }'
+    assert [(r[1], r[2]) for r in facts("a.rs", text, "publish", "subscribe")] == [("subscribe", "a"), ("subscribe", "b"), ("subscribe", "c"), ("publish", "d")]
+
+
 def test_topics(spark):
     text = """class C {
   @RabbitListener(queues = "a") void on(String m) { k.convertAndSend("b", m); }
