@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.audio import audio_features, encode_audio
+from codeloom.llm.byte_bpe import digests, learn_lexicon, load_byte_bpe
 from codeloom.llm.common import crc_bucket, materialize, read_table
 from codeloom.llm.compression_bands import compression_bands
 from codeloom.llm.jaccard_join import similar_groups
 from codeloom.llm.line_align import dedup_lines
 from codeloom.llm.mixing import domain_of, mix_sources, mix_sources_sql
+from codeloom.llm.phrase_mining import collocations, collocations_sql
 from codeloom.llm.piece_tokenizer import load_model, round_trips
 from codeloom.llm.ppm_language import language_scores, learn
 from codeloom.llm.rule_ensemble import learn_quality, score_column, text_statistics
 from codeloom.llm.secret_scan import scan_secrets, scan_secrets_sql
 from codeloom.llm.suffix_tree import remove_repeats
+from codeloom.llm.token_alignment import align_tokens, load_pieces
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -74,9 +78,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer_file: str = BYTE_BPE) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return digests(docs, learn_lexicon(docs, load_byte_bpe(tokenizer_file)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_file: str = BYTE_BPE, b_file: str = PIECES) -> DataFrame:
+    return align_tokens(read_table(spark, sf_dir, "documents"), load_byte_bpe(a_file), load_pieces(b_file))[0]
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mix_sources_sql(), "op8_secret_scan": scan_secrets_sql()}
+    return {"op2_mixing": mix_sources_sql(), "op8_secret_scan": scan_secrets_sql(), "op12_collocations": collocations_sql()}
