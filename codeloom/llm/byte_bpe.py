@@ -31,7 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import once, release_heavy, shared_dir, small_batches
+from codeloom.llm.common import once, release_heavy, small_batches
+from codeloom.operators.shared import shared_dir
 
 # The pattern of byte-level tokenizers, over texts whose characters beyond ASCII are folded to one of their class.
 PATTERN = rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9\xff]+|\s+(?![^\s\xff])|\s+|\xff"
@@ -402,7 +403,7 @@ def word_counts(docs: DataFrame, tokenizer: ByteBpe, text: str = "text") -> Data
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Write bytes to the shared folder and have Spark hand the file to every executor; the name to ask SparkFiles for."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(data))
     out.close()

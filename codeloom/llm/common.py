@@ -16,7 +16,6 @@ import contextlib
 import ctypes
 import gc
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.shared import spread
+from codeloom.operators.shared import shared_dir, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20  # of texts that are sent to a Python worker at once
@@ -138,27 +137,36 @@ def map_texts(
     return df.select(F.col(key), F.col(text)).mapInArrow(cast, f"`{key}` {key_type}, {schema}")
 
 
-_own_dirs: dict[str, str] = {}
+def text_digest(text: Column) -> Column:
+    """A digest of a text; of nothing for a null one."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, one on this machine, in local mode only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    return _own_dirs[app]
+def own_ids(docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """(key, digest, id) of each text, where a key has several texts; None where none has.
+
+    Rows that repeat a key with another text are documents of their own. Their ids are in
+    the order of keys, and of digests within a key, so whatever goes by the smaller key can
+    go by the smaller id. Null keys have none.
+    """
+    rows = docs.select(quoted(key).cast("bigint").alias("key"), quoted(text).alias("text")).where("key is not null")
+    brief = F.xxhash64(F.coalesce("text", F.lit("")))
+    if rows.groupBy("key").agg(F.min(brief).alias("a"), F.max(brief).alias("b")).where("a <> b").isEmpty():
+        return None
+    each = rows.select("key", text_digest(F.col("text")).alias("digest")).distinct()
+    return materialize(each.orderBy("key", "digest").withColumn("id", F.monotonically_increasing_id()), "own-ids")
+
+
+def with_ids(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """(key, text) of docs with ids of own_ids() for keys; a null key stays null."""
+    rows = docs.select(quoted(key).cast("bigint").alias("key"), text_digest(quoted(text)).alias("digest"), quoted(text).alias("text"))
+    return rows.join(ids, ["key", "digest"], "left").select(F.col("id").alias(key), F.col("text").alias(text))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

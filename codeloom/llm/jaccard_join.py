@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, groups_for, materialize, once, release_heavy, small_batches
+from codeloom.llm.common import as_bytes, groups_for, materialize, once, own_ids, release_heavy, small_batches, with_ids
 from codeloom.llm.components import connected
 from codeloom.llm.suffix_tree import pack, unpack
 
@@ -473,12 +473,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
     """(key, n_shingles, component_id) for each row: the smallest key among those linked with it, directly or not.
 
     The key is a whole number that names a document; rows that repeat it and the text get
-    equal results. Null keys are linked with nothing and have a null component. Documents
-    without words have no shingles and are linked with nothing. n_shingles counts distinct
+    equal results, and rows that repeat it with another text are documents of their own,
+    whose components go by the key's. Null keys are linked with nothing and have a null
+    component. Documents without words have no shingles and are linked with nothing. n_shingles counts distinct
     64-bit fingerprints; links are found by them and judged by words.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    if (ids := own_ids(docs, key, text)) is not None:
+        own = similar_groups(with_ids(docs, key, text, ids), key, text, c).select(F.col(key).alias("_id"), "n_shingles", F.col("component_id").alias("_first"))
+        names, firsts = ids.select(F.col("id").alias("_id"), F.col("key").alias(key)), ids.select(F.col("id").alias("_first"), F.col("key").alias("component_id"))
+        return own.join(names, "_id", "left").join(firsts, "_first", "left").select(key, "n_shingles", "component_id")
     n_groups = groups_for(docs, text, ENTRY_BYTES, c.group_bytes, c.groups_per_partition)
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     while True:

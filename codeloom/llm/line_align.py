@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, boxed, materialize, release_heavy, small_batches, unboxed
+from codeloom.llm.common import as_bytes, boxed, materialize, own_ids, release_heavy, small_batches, text_digest, unboxed, with_ids
 
 SPACES = b" \t\r\x0b\x0c"
 
@@ -206,7 +206,7 @@ def without(text: Column, gone: Column) -> Column:
 
 
 def lines_gone(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
-    """(key, gone): for each key that loses lines which they are, from 0."""
+    """(key, gone): for each key that loses lines which they are, from 0. Keys have one text each."""
     small_batches(docs.sparkSession)
     lines = materialize(line_hashes(docs, key, text, c).dropDuplicates(["key"]), "line-hashes")
     pairs = materialize(overlapping(lines), "line-pairs")
@@ -215,10 +215,15 @@ def lines_gone(docs: DataFrame, key: str = "doc_id", text: str = "text", c: Alig
 
 def boxed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
     """(box, kept_text, n_lines, n_removed) for each row; ``box`` has all columns of the row. See dedup_lines."""
-    gone = lines_gone(docs, key, text, c)
     rows = docs.select(boxed(docs).alias("box"))
+    found = F.col("box").getField(key).cast("bigint") == F.col("key")
+    if (ids := own_ids(docs, key, text)) is None:
+        gone = lines_gone(docs, key, text, c)
+    else:
+        gone = lines_gone(with_ids(docs, key, text, ids), key, text, c).withColumnRenamed("key", "id").join(ids, "id").select("key", "digest", "gone")
+        found = found & (text_digest(F.col("box").getField(text)) == F.col("digest"))
     # By hash, so texts are dealt out but never sorted; the lists of lines are small beside them.
-    both = rows.join(gone.hint("shuffle_hash"), F.col("box").getField(key).cast("bigint") == F.col("key"), "left")
+    both = rows.join(gone.hint("shuffle_hash"), found, "left")
     t = F.col("box").getField(text)
     return both.select(
         "box",
@@ -231,9 +236,10 @@ def boxed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: Ali
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", c: AlignConfig = AlignConfig()) -> DataFrame:
     """All columns of ``docs``, with ``kept_text`` (before: those of the same name go), n_lines and n_removed.
 
-    The key is a whole number that names a document; rows that repeat a key are taken for
-    one document, and each loses the same lines. A null key is kept as it is, and so is a
-    null or empty text. A text whose lines all go becomes empty. Documents of equal text
+    The key is a whole number that names a document. Rows that repeat a key and a text are
+    one document, and each loses the same lines; rows that repeat a key with another text
+    are documents of their own, in the order of their texts' digests. A row with a null key
+    is kept as it is, and so is a null or empty text. A text whose lines all go becomes empty. Documents of equal text
     but different keys are copies: all but the first lose what is long enough to count.
     """
     found = boxed_lines(docs, key, text, c)

@@ -15,7 +15,9 @@ some 600 to be put in order.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ WIDE = "decimal(38,0)"
 
 @dataclass(frozen=True)
 class MixConfig:
-    """weights: for each level the weight of a value, as whole numbers; 1 where none is given.
+    """weights: for each level the weight of a value, as whole numbers; 1 where none is given, and 0 leaves the value out.
 
     The budget is ``percent`` of all tokens there are, so it follows the input.
     """
@@ -65,7 +67,7 @@ def _handed_down(nodes: DataFrame, parent: list[str]) -> DataFrame:
     most its share of what the nodes before it leave; the nodes after the last full one
     share what is left. Shares are rounded down.
     """
-    ordered = Window.partitionBy(*parent).orderBy(F.expr("capacity * 1000 div weight"), *[c for c in nodes.columns if c.startswith("_l")])
+    ordered = Window.partitionBy(*parent).orderBy(F.expr("coalesce(cast(capacity as decimal(22,0)) * 1000 div nullif(weight, 0), 0)"), *[c for c in nodes.columns if c.startswith("_l")])
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing)
     n = nodes.withColumns(
         {
@@ -76,7 +78,8 @@ def _handed_down(nodes: DataFrame, parent: list[str]) -> DataFrame:
     )
     full = F.col("capacity").cast(WIDE) * F.col("_weight") <= F.col("weight").cast(WIDE) * F.col("_left")
     n = n.withColumn("_first", F.min(F.when(~full, F.struct("_at", "_left", "_weight"))).over(Window.partitionBy(*parent)))
-    share = F.expr("cast(weight as decimal(19,0)) * cast(_first._left as decimal(19,0)) div _first._weight")
+    # A weight of 0 comes with a capacity of 0: full at nothing, and nothing is left to those alone.
+    share = F.expr("cast(weight as decimal(19,0)) * cast(_first._left as decimal(19,0)) div nullif(_first._weight, 0)")
     is_full = F.col("_first").isNull() | (F.col("_at") < F.col("_first._at"))
     return n.withColumn("budget", F.when(is_full, F.col("capacity")).otherwise(F.greatest(share, F.lit(0))).cast("bigint"))
 
@@ -104,7 +107,8 @@ def leaf_plan(tokens: DataFrame, c: MixConfig = MixConfig()) -> DataFrame:
     """
     names = [f"_l{i}" for i in range(len(c.levels))]
     leaves = tokens.groupBy(*names).agg(F.sum("n_tokens").alias("available")).where("available > 0")
-    tree = leaves.withColumn("capacity", F.col("available") * c.max_epochs)
+    none = reduce(operator.or_, [_weight(n, MixConfig(weights={n: c.weights.get(x, {})})) == 0 for n, x in zip(names, c.levels)], F.lit(False))
+    tree = leaves.withColumn("capacity", F.when(none, 0).otherwise(F.col("available") * c.max_epochs))
     total = tree.agg(F.expr(f"cast(sum(available) * {c.percent} div 100 as bigint)").alias("parent_budget"))
     for depth in range(1, len(names) + 1):
         path = names[:depth]
@@ -183,6 +187,7 @@ def mix_sources_sql(c: MixConfig = MixConfig()) -> str:
         cases = " ".join(f"WHEN '{v}' THEN {n}" for v, n in c.weights.get(level, {}).items())
         return f"CASE {level} {cases} ELSE 1 END" if cases else "1"
 
+    none = " OR ".join(f"({weight(x)}) = 0" for x in c.levels)
     ctes, path = [], []
     ctes.append(f"""t AS (SELECT doc_id, 'domain' || (coalesce(TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT), 0) % 3) AS domain,
         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
@@ -193,11 +198,11 @@ def mix_sources_sql(c: MixConfig = MixConfig()) -> str:
     for i, level in enumerate(c.levels):
         up, path = list(path), [*path, level]
         part = f"PARTITION BY {', '.join(up)} " if up else ""
-        order = f"{part}ORDER BY capacity * 1000 // weight, {', '.join(path)}"
+        order = f"{part}ORDER BY coalesce(capacity::HUGEINT * 1000 // nullif(weight, 0), 0), {', '.join(path)}"
         source = f"JOIN b{i} USING ({', '.join(up)})" if up else "CROSS JOIN b0"
         ctes.append(f"""n{i} AS (SELECT *, budget - coalesce(sum(capacity) OVER (ORDER_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
             sum(weight) OVER (ORDER_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w, row_number() OVER (ORDER_) AS pos
-            FROM (SELECT {', '.join(path)}, CAST(sum(available) * {c.max_epochs} AS BIGINT) AS capacity, {weight(level)} AS weight
+            FROM (SELECT {', '.join(path)}, CAST(sum(CASE WHEN {none} THEN 0 ELSE available END) * {c.max_epochs} AS BIGINT) AS capacity, {weight(level)} AS weight
             FROM leaf GROUP BY {', '.join(path)}) {source})""".replace("ORDER_", order))
         ctes.append(f"""f{i} AS (SELECT *, min(CASE WHEN capacity * w > weight * room THEN pos END) OVER ({part}) AS stop FROM n{i})""")
         ctes.append(f"""b{i + 1} AS (SELECT {', '.join(path)}, CAST(CASE WHEN stop IS NULL OR pos < stop THEN capacity ELSE

@@ -319,11 +319,13 @@ def collocations_sql(config: MineConfig = MineConfig()) -> str:
     f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
     totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
     cand AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= {config.least}),
+    halves AS (
+      SELECT lang, phrase, size, a, k, lang || chr(9) || array_to_string(w[1:k], ' ') AS lp, lang || chr(9) || array_to_string(w[k + 1:], ' ') AS rp
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+    parts AS (SELECT lang || chr(9) || phrase AS p, a FROM f WHERE a >= {config.least}),
     cuts AS (
-      SELECT c.lang, c.phrase, c.size, c.w, c.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
-      FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
-      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
-      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+      SELECT h.lang, h.phrase, h.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * h.a * h.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM halves h JOIN parts x ON x.p = h.lp JOIN parts y ON y.p = h.rp),
     best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     inside AS (
       SELECT lang, phrase, max(a) AS longer FROM (

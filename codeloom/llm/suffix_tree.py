@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import as_bytes, groups_for, release_heavy, small_batches
+from codeloom.llm.common import as_bytes, groups_for, own_ids, release_heavy, small_batches, with_ids
 
 ENTRY = "bucket int, prints binary, keys binary, places binary"
 ENTRY_BYTES = 20  # a leaf in memory: fingerprint, key and place
@@ -400,7 +400,7 @@ def maximal(places: np.ndarray, c: RepeatConfig) -> tuple[np.ndarray, np.ndarray
 
 
 def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", c: RepeatConfig = RepeatConfig()) -> DataFrame:
-    """(key, start, n_words) of every longest run of words whose windows all start earlier, too; words count from 0."""
+    """(key, start, n_words) of every longest run of words whose windows all start earlier, too; words count from 0. Keys have one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,7 +450,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
     n_repeats counts the maximal repeats (see maximal_repeats), longest_repeat is the words
     of the longest, 0 without any. The key is a whole number; a row with a null key neither
     removes nor loses words. Rows that repeat a key and a text are one document, and get
-    equal results. ``texts`` False leaves kept_text null. Empty and null texts have no words.
+    equal results; rows that repeat a key with another text are documents of their own, in
+    the order of their texts' digests. ``texts`` False leaves kept_text null. Empty and null
+    texts have no words.
     """
+    if (ids := own_ids(docs, key, text)) is not None:
+        own = remove_repeats(with_ids(docs, key, text, ids), key, text, c, texts)
+        names = ids.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+        return own.join(names, own[key] == F.col("_id"), "left").select(F.col("_key").alias(key), *own.columns[1:])
     all_texts, marks = repeated_windows(docs, key, text, c)
     return all_texts.join(marks, "key", "left").mapInArrow(kept_words(c, texts), RESULT).withColumnRenamed("key", key)

@@ -259,7 +259,7 @@ def align_tokens(docs: DataFrame, a: ByteBpe, b: tuple[PieceModel, bytes], key:
     their own, and further columns don't matter.
     """
     rows = materialize(_rows(docs, a, b, key, text), "alignment-rows")
-    inside = rows.where("kind = 1").select("block", "number", "a", "b", "n")
+    inside = rows.where("kind = 1 and n > 0").select("block", "number", "a", "b", "n")
     distinct = inside.groupBy("a", "b").agg(F.sum("n").alias("docs")).withColumn("gid", F.monotonically_increasing_id())
     distinct = materialize(distinct, "alignment-groups")
     links = materialize(_links(distinct), "alignment-links")
@@ -274,7 +274,7 @@ def align_tokens(docs: DataFrame, a: ByteBpe, b: tuple[PieceModel, bytes], key:
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         number = right.column("number").to_numpy()
-        best, summed = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        best, summed = np.zeros((2, number.max(initial=-1) + 1), np.int64)
         best[number], summed[number] = right.column("best").to_numpy(), right.column("total").to_numpy()
         out = []
         for groups, times in zip(left.column("groups").to_pylist(), left.column("times").to_pylist()):
