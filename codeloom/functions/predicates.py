@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Kinds of nodes and edges by family.
 DOC_KINDS = ("doc_file", "doc_section", "requirement", "decision", "story")
 NON_CODE_KINDS = (*DOC_KINDS, "config_file", "config_section", "table", "column", "resource", "message", "service", "rpc", "target", "stage", "api_path", "api_operation")
+CONFIG_KINDS = tuple(k for k in NON_CODE_KINDS if k not in DOC_KINDS)
+TYPE_KINDS = ("struct", "enum", "trait", "class", "interface", "type_alias")
 BROKER_KINDS = ("topic", "producer", "consumer")
 POLICY_KINDS = ("layer", "boundary")
 CALLABLE_KINDS = ("function", "method")

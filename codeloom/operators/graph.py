@@ -1,27 +1,17 @@
-"""Views of the graph, reachability, components, cycles and depth.
+"""Views of the graph, impact, liveness and degrees. Reachability is in operators.traverse, components, cycles and depth in operators.cycles.
 
-Graphs that are small by count are worked on in one task (see operators.local). Beyond
-that, iterations keep a table of what is settled and a frontier of what is new; each round
-is one join on the frontier and is cut from its past by a checkpoint in the folder that
-the session names (spark.checkpoint.dir), so rounds don't grow the plan and survive lost
-executors. Graphs may have cycles. Edges with a null end lead nowhere.
+Graphs may have cycles. Edges with a null end lead nowhere.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import BROKER_KINDS, CONFIG_EDGES, DOC_EDGES, POLICY_KINDS, STRUCTURAL_EDGES, is_code
 from codeloom.functions.scalars import directory
-from codeloom.operators import local
 from codeloom.operators.shared import cut
-
-FAR = 1 << 30
-CUT_EVERY = 8  # rounds after which the union of what is settled is written anew
-
+from codeloom.operators.traverse import Adjacency, reach
 
 # Views
 
@@ -68,20 +58,23 @@ def production_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return v, induced(e.where("kind <> 'forbidden_dependency'"), v.select("id"))
 
 
-def nearest_ancestor(nodes: DataFrame, edges: DataFrame, kind: str, most: int = 64) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(id, ancestor, depth): the nearest node of a kind upwards by containment, itself included; null where none is.
 
-    A node with several parents goes by the least. Cycles end when nothing new is found.
+    A node with several parents goes by the least. All walk up until they have found one or
+    have no parent; who comes to a node that it has been at is on a cycle, and finds none.
     """
     parent = edges.where("kind = 'contains'").groupBy(F.col("target").alias("child")).agg(F.min("source").alias("parent"))
     typed = nodes.where(F.col("kind") == kind).select(F.col("id").alias("at"))
     walk = nodes.select("id", F.col("id").alias("at"))
     found = walk.join(typed, "at", "left_semi").select("id", F.col("at").alias("ancestor"), F.lit(0).alias("depth"))
-    walk = walk.join(typed, "at", "left_anti")
-    for depth in range(1, most + 1):
-        walk = cut(walk.join(parent, F.col("at") == F.col("child")).select("id", F.col("parent").alias("at")).where("id <> at"))
-        if walk.isEmpty():
-            break
+    walk = cut(walk.join(typed, "at", "left_anti").withColumn("mark", F.col("at")))
+    depth = 0
+    while not walk.isEmpty():
+        depth += 1
+        # The mark stays where a walk was at the last power of two, so a cycle is noticed after at most three turns of it.
+        mark = F.col("at") if depth & (depth - 1) == 0 else F.col("mark")
+        walk = cut(walk.withColumn("mark", mark).join(parent, F.col("at") == F.col("child")).select("id", F.col("parent").alias("at"), "mark").where("at <> mark"))
         found = found.union(walk.join(typed, "at", "left_semi").select("id", "at", F.lit(depth)))
         walk = walk.join(typed, "at", "left_anti")
     return nodes.select("id").join(found, "id", "left")
@@ -90,38 +83,6 @@ def nearest_ancestor(nodes: DataFrame, edges: DataFrame, kind: str, most: int =
 # Reachability
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int = FAR) -> DataFrame:
-    """(id, distance): what the seeds' ids reach along edges, and in how many steps at least. Seeds have 0.
-
-    Settled nodes are never expanded again, so cycles end. ``most`` bounds the steps.
-    """
-    step = edges.where("source is not null and target is not null").select("source", "target").distinct()
-    start = seeds.where("id is not null").select("id").distinct()
-    both = cut(step.withColumn("seed", F.lit(False)).union(start.select("id", "id", F.lit(True))))  # one table has all
-    if local.fits(both):
-        kind = both.schema["source"].dataType.simpleString()
-        return local.in_one_task(both, lambda rows: _reached(rows, most), f"id {kind}, distance int")
-    step = both.where("not seed").select("source", "target")
-    settled = cut(both.where("seed").select(F.col("source").alias("id"), F.lit(0).alias("distance")))
-    frontier, distance = settled, 0
-    while distance < most and not frontier.isEmpty():
-        distance += 1
-        new = frontier.join(step, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct()
-        frontier = cut(new.join(settled, "id", "left_anti").withColumn("distance", F.lit(distance)))
-        settled = settled.union(frontier)
-        if distance % CUT_EVERY == 0:
-            settled = cut(settled)
-    return settled
-
-
-def _reached(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    seed = rows["seed"].to_numpy(bool)
-    values, (source, target, start) = local.codes(rows["source"][~seed], rows["target"][~seed], rows["source"][seed])
-    steps = local.distances(*local.adjacency(source, target, len(values)), start, most)
-    found = np.flatnonzero(steps >= 0)
-    return pd.DataFrame({"id": values[found], "distance": steps[found].astype(np.int32)})
-
-
 def backwards(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
@@ -130,10 +91,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").union(backwards(edges))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, most: int = 3) -> DataFrame:
-    """(id, distance, side): dependents upstream and dependencies downstream within ``most`` steps, seeds left out."""
-    down = reach(edges, seeds, most).where("distance > 0").withColumn("side", F.lit("downstream"))
-    up = reach(backwards(edges), seeds, most).where("distance > 0").withColumn("side", F.lit("upstream"))
+def impact(out: DataFrame | Adjacency, into: DataFrame | Adjacency, seeds: DataFrame, most: int = 3) -> DataFrame:
+    """(id, distance, side): dependents upstream and dependencies downstream within ``most`` steps, seeds left out.
+
+    ``out`` has the edges, ``into`` the same turned around.
+    """
+    down = reach(out, seeds, most).where("distance > 0").withColumn("side", F.lit("downstream"))
+    up = reach(into, seeds, most).where("distance > 0").withColumn("side", F.lit("upstream"))
     return up.unionByName(down)
 
 
@@ -159,111 +123,6 @@ def dead(nodes: DataFrame, edges: DataFrame, roots: Column, judged: Column) -> D
     return nodes.join(alive, "id", "left").select("id", F.when(judged, F.col("_live").isNull()).alias("is_dead"))
 
 
-# Components and cycles
-
-
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): the least id that undirected links (source, target) connect a node with.
-
-    Ends of links that are no nodes connect nodes, too, but get no row. Labels go to the
-    least of the neighbours' and then jump to their label's label, so the rounds grow with
-    the logarithm of long chains.
-    """
-    links = cut(links.where("source is not null and target is not null").select("source", "target").distinct())
-    ends = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
-    if local.fits(links):
-        kind = links.schema["source"].dataType.simpleString()
-        labels = local.in_one_task(links, _linked, f"id {kind}, component {kind}")
-    else:
-        both = cut(undirected(links).distinct())
-        labels = cut(ends.select("id", F.col("id").alias("component")))
-        while True:
-            near = both.join(labels.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("near"))
-            new = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-            jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-            new = cut(new.join(jump, "component", "left").select("id", "old", F.least("component", "further").alias("component")))
-            labels = new.select("id", "component")
-            if new.where("component <> old").isEmpty():
-                break
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _linked(rows: pd.DataFrame) -> pd.DataFrame:
-    values, (a, b) = local.codes(rows["source"], rows["target"])
-    return pd.DataFrame({"id": values, "component": values[local.least_linked(a, b, len(values))]})
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, scc): the least id on a cycle with each vertex that has an edge; its own if there is no cycle.
-
-    Trimming first: a vertex without an edge in or out among what is left is alone. Then by
-    colours: the least id that reaches a vertex is its colour; those that reach the
-    colour's own vertex backwards within the colour are its component, and go. What is
-    left is done in one task as soon as it fits.
-    """
-    left = cut(edges.where("source <> target").select("source", "target").distinct())
-    ids = left.select(F.col("source").alias("id")).union(left.select(F.col("target").alias("id"))).distinct()
-    loops = edges.where("source = target").select(F.col("source").alias("id"))
-    ids = ids.union(loops).distinct()
-    kind = left.schema["source"].dataType.simpleString()
-    parts = []
-    while not local.fits(left):
-        heads, tails = left.select(F.col("source").alias("v")).distinct(), left.select(F.col("target").alias("v")).distinct()
-        kept = cut(heads.intersect(tails))
-        fewer = left.join(kept.select(F.col("v").alias("source")), "source", "left_semi").join(kept.select(F.col("v").alias("target")), "target", "left_semi")
-        fewer = cut(fewer.select("source", "target"))
-        trimmed, left = fewer.count() < left.count(), fewer
-        if trimmed or local.fits(left):
-            continue
-        colours = cut(left.select(F.col("source").alias("id")).union(left.select(F.col("target").alias("id"))).distinct().withColumn("colour", F.col("id")))
-        while True:
-            came = left.join(colours.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("came"))
-            new = cut(colours.join(came, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", "came").alias("colour")))
-            colours = new.select("id", "colour")
-            if new.where("colour <> old").isEmpty():
-                break
-        inner = left.join(colours.toDF("source", "cs"), "source").join(colours.toDF("target", "ct"), "target").where("cs = ct")
-        back = reach(backwards(inner), colours.where("id = colour")).select("id")
-        found = cut(back.join(colours, "id").select("id", "colour"))
-        parts.append(found)
-        gone = lambda end: found.select(F.col("id").alias(end))
-        left = cut(left.join(gone("source"), "source", "left_anti").join(gone("target"), "target", "left_anti").select("source", "target"))
-    done = local.in_one_task(left, _strong, f"id {kind}, colour {kind}")
-    for p in parts:
-        done = done.union(p)
-    return ids.join(done, "id", "left").select("id", F.coalesce("colour", "id").alias("scc"))
-
-
-def _strong(rows: pd.DataFrame) -> pd.DataFrame:
-    values, (source, target) = local.codes(rows["source"], rows["target"])
-    return pd.DataFrame({"id": values, "colour": values[local.strong(*local.adjacency(source, target, len(values)))]})
-
-
-def longest_path(vertices: DataFrame, edges: DataFrame) -> int:
-    """Vertices on the longest path of the graph whose cycles are merged; 0 without vertices.
-
-    Layers of the merged graph are peeled from its sources, in one task as soon as what is
-    left fits; the number of layers is the answer.
-    """
-    if vertices.isEmpty():
-        return 0
-    scc = strong_components(edges)
-    s, t = scc.toDF("source", "a"), scc.toDF("target", "b")
-    merged = cut(edges.join(s, "source").join(t, "target").where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct())
-    depth = 0
-    while not local.fits(merged):
-        depth += 1
-        inner = merged.select(F.col("target").alias("source")).distinct()
-        merged = cut(merged.join(inner, "source", "left_semi").select("source", "target"))
-    rest = local.in_one_task(merged, _layers, "depth bigint").first()["depth"]
-    return max(1, depth + rest)
-
-
-def _layers(rows: pd.DataFrame) -> pd.DataFrame:
-    values, (source, target) = local.codes(rows["source"], rows["target"])
-    return pd.DataFrame({"depth": [local.longest(source, target, len(values))]})
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, degree): edge ends at each node, parallel edges and both ends of loops counted."""
     ends = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id")))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import CALLABLE_KINDS, matches_glob
-from codeloom.operators.graph import components, longest_path, reach, strong_components
+from codeloom.operators.cycles import components, longest_path, strong_components
 from codeloom.operators.relational import with_delta
+from codeloom.operators.traverse import reach
 
 FLOOR = 0.01
 METRIC_VERSION = 5

@@ -10,17 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.predicates import is_external, matches_glob
+from codeloom.functions.predicates import CONFIG_KINDS, TYPE_KINDS, is_external, matches_glob
 from codeloom.functions.scalars import client_call, folded_path, route_key
-from codeloom.operators.graph import nearest_ancestor, reach
+from codeloom.operators.graph import nearest_ancestor
 from codeloom.operators.shared import cut
+from codeloom.operators.traverse import reach
 
 POLICIES = ("strict", "balanced", "aggressive")  # fixed values; each allows more than the one before
 MOST_ALIASES = 8  # that a path is led through, one after the other
-MOST_SCOPES = 16  # that a name is looked for in, outward
+AFTER_SCOPES = 1 << 24  # tiers of names begin here behind those of the scopes around them, however many
 
 
 def decided(candidates: DataFrame) -> DataFrame:
@@ -63,10 +64,82 @@ def by_suffix(refs: DataFrame, nodes: DataFrame, target: str, path: str) -> Data
     return refs.select(F.col("id").alias("ref"), F.col(target).alias("k")).join(n, "k").select("ref", "node")
 
 
+def _words(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, name): the names in a target."""
+    return rows.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+
+
 def affected(refs: DataFrame, target: str, dirty: DataFrame) -> DataFrame:
     """References with a name among the dirty ones."""
-    words = refs.withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.col(target), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))))
-    return words.join(dirty.select(F.col("name").alias("_w")), "_w", "left_semi").select(*refs.columns).distinct()
+    words = _words(refs, refs.columns, target)
+    return words.join(dirty.select("name"), "name", "left_semi").select(*refs.columns).distinct()
+
+
+def delta_affected(refs: DataFrame, dirty: DataFrame, changed: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(ref, reason) of references (ref, file, target, kind) that a sync may bind anew; the others keep what they have.
+
+    In order: they lie in a changed file (file); they are references of artifacts
+    (artifact); a dirty name (name) is in their target (name); or their target begins with an
+    alias (file, alias, target) of their file that leads to a dirty name within
+    MOST_ALIASES steps (alias). Aliases are followed backwards, from those whose own target
+    has a dirty name, so a step costs what it finds.
+    """
+    head = lambda c: F.regexp_extract(c, r"^[^:]*", 0)
+    names = dirty.select("name").distinct()
+    known = cut(aliases.select("file", "alias", "target").distinct())
+    found = front = cut(_words(known, ["file", "alias"], "target").join(names, "name", "left_semi").select("file", "alias").distinct())
+    for _ in range(MOST_ALIASES - 1):
+        if front.isEmpty():
+            break
+        step = known.select("file", "alias", head(F.col("target")).alias("head")).join(front.withColumnRenamed("alias", "head"), ["file", "head"], "left_semi")
+        front = cut(step.select("file", "alias").distinct().join(found, ["file", "alias"], "left_anti"))
+        found = found.union(front)
+    own = refs.select("ref", "file", "target", "kind")
+    reasons = [
+        own.join(changed.select("file").distinct(), "file", "left_semi").select("ref", F.lit(0).alias("reason")),
+        own.where(F.col("kind").isin("artifact_ref", "artifact_binding")).select("ref", F.lit(1)),
+        _words(own, ["ref"], "target").join(names, "name", "left_semi").select("ref", F.lit(2)),
+        own.select("ref", "file", head(F.col("target")).alias("alias")).join(found, ["file", "alias"], "left_semi").select("ref", F.lit(3)),
+    ]
+    first = reduce(DataFrame.union, reasons).groupBy("ref").agg(F.min("reason").alias("reason"))
+    return first.select("ref", F.element_at(F.array(*[F.lit(x) for x in ("file", "artifact", "name", "alias")]), F.col("reason") + 1).alias("reason"))
+
+
+def artifact_outcomes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref, node, outcome) of artifact references (ref, file, target, kind, form, relation, want_kind) to nodes (id, kind, name, file_path).
+
+    A reference is looked up by what it is: a path (from its own folder, else from the
+    root) is the only configuration file there; a terraform module's path stands for all
+    files .tf in the folder, a row each; a name is the only node of the wanted kind, or of any
+    configuration kind; a binding by name is the only type of that name; one by path the
+    only route with that key. Several are ``ambiguous``, but for the folder; none is
+    ``not_found``.
+    """
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    at = lambda rows, tier, path, how: rows.select("ref", F.lit(tier).alias("tier"), path.alias("key"), F.lit(how).alias("how"))
+    paths = refs.where("kind = 'artifact_ref' and form = 'path' and file is not null")
+    own, root = folded_path(F.concat_ws("/", F.nullif(folder(F.col("file")), F.lit("")), F.col("target"))), folded_path(F.col("target"))
+    is_dir = F.coalesce(F.col("relation") == "tf_module_call", F.lit(False))
+    names = refs.where("form = 'method'")
+    asked = [
+        at(paths.where(~is_dir), 0, own, "file"), at(paths.where(~is_dir), 1, root, "file"), at(paths.where(is_dir), 0, own, "folder"), at(paths.where(is_dir), 1, root, "folder"),
+        at(names.where("kind = 'artifact_ref'"), 0, F.concat_ws("\n", F.coalesce("want_kind", F.lit("any")), "target"), "name"),
+        at(names.where("kind = 'artifact_binding'"), 0, F.col("target"), "type"),
+        at(refs.where("kind = 'artifact_binding' and form = 'path'"), 0, route_key(F.col("target")), "route"),
+    ]
+    config = nodes.where("kind = 'config_file' and file_path is not null")
+    to = lambda rows, key, how: rows.select(key.alias("key"), F.lit(how).alias("how"), F.col("id").alias("node"))
+    kept = [
+        to(config, F.col("file_path"), "file"), to(config.where("file_path like '%.tf'"), folder(F.col("file_path")), "folder"),
+        to(nodes, F.concat_ws("\n", "kind", "name"), "name"), to(nodes.where(F.col("kind").isin(*CONFIG_KINDS)), F.concat(F.lit("any\n"), F.col("name")), "name"),
+        to(nodes.where(F.col("kind").isin(*TYPE_KINDS)), F.col("name"), "type"), to(nodes.where("kind = 'route'"), route_key(F.col("name")), "route"),
+    ]
+    hits = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, kept), ["key", "how"]).distinct()
+    first = hits.groupBy("ref").agg(F.min("tier").alias("tier"))
+    hits = hits.join(first, ["ref", "tier"])
+    many = hits.where("how = 'folder'").select("ref", "node", F.lit("bound").alias("outcome"))
+    one = decided(hits.where("how <> 'folder'").select("ref", "tier", "node")).select("ref", "node", "outcome")
+    return refs.select("ref").join(many.unionByName(one), "ref", "left").select("ref", "node", F.coalesce("outcome", F.lit("not_found")).alias("outcome"))
 
 
 def relation_coverage(resolved_refs: DataFrame) -> DataFrame:
@@ -213,31 +286,55 @@ def path_candidates(refs: DataFrame, ix: Index, policy: str = "balanced") -> Dat
     if policy == "strict":
         return found
     part = F.split("target", "::")
-    ends = open_.where(F.size(part) > 1).select("ref", "tier", F.col("crate").alias("own"), "want", F.element_at(part, -1).alias("name"), F.array_join(F.slice(part, 1, F.size(part) - 1), "::").alias("end"))
-    alike = ends.join(ix.members, "name").where("(path = end or endswith(path, concat('::', end))) and (want <> 'callable' or callable)")
-    near = alike.where("crate = own").select("ref", ((F.col("tier") + 9) * 3).alias("tier"), "node")
-    return found.unionByName(near).unionByName(alike.select("ref", ((F.col("tier") + 10) * 3).alias("tier"), "node"))
+    ends = open_.where(F.size(part) > 1).select("ref", "tier", "crate", "want", F.element_at(part, -1).alias("name"), F.array_join(F.slice(part, 1, F.size(part) - 1), "::").alias("end"))
+    parts = F.split("path", "::")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1 << 20), "::"))
+    members = ix.members.where("path <> ''").select("crate", "name", F.explode(tails).alias("end"), "node", "callable")
+    near = first_and_last(ends, members, ["crate", "name", "end"]).select("ref", ((F.col("tier") + 9) * 3).alias("tier"), "node")
+    return found.unionByName(near).unionByName(first_and_last(ends, members, ["name", "end"]).select("ref", ((F.col("tier") + 10) * 3).alias("tier"), "node"))
+
+
+def first_and_last(refs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """(ref, tier, node) of refs (ref, tier, want, keys): of the members under their keys the least and the greatest, which may be one.
+
+    That is enough to tell none, one and several apart, and members are grouped before they
+    meet references, so a name that very many have is one row.
+    """
+    of = lambda c: F.array_distinct(F.array(F.min(c), F.max(c)))
+    by = members.groupBy(*keys).agg(of(F.col("node")).alias("any"), of(F.when(F.col("callable"), F.col("node"))).alias("calls"))
+    node = F.explode(F.array_compact(F.when(F.col("want") == "callable", F.col("calls")).otherwise(F.col("any"))))
+    return refs.join(by, keys).select("ref", "tier", node.alias("node"))
 
 
 def name_candidates(refs: DataFrame, ix: Index, nodes: DataFrame, edges: DataFrame, policy: str = "balanced") -> DataFrame:
     """(ref, tier, node) of single names from refs (ref, source, file, crate, path, target, want).
 
-    In order: members of the source, then of each scope around it; a child module or a
+    In order: members of the source, then of each scope around it up to the outermost, where
+    a call of a bare name (``want`` callable, unless a column ``bare`` says otherwise, as
+    for a method of an unknown receiver) takes free functions before methods; a child module or a
     module of the crate's root, or a crate; what an alias of the file stands for; members
     of modules the file imports whole; if aggressive, the only item of the name, in the
     crate, then anywhere.
     """
     inside = edges.where("kind = 'contains'").select(F.col("source").alias("scope"), F.col("target").alias("node"))
     parent = inside.groupBy(F.col("node").alias("child")).agg(F.min("scope").alias("parent"))
-    named = inside.join(nodes.select(F.col("id").alias("node"), "name", F.col("kind").isin("function", "method").alias("callable")), "node")
+    kind = nodes.select(F.col("id").alias("node"), F.col("name").alias("target"), F.col("kind").isin("function", "method").alias("callable"), (F.col("kind") == "function").alias("free"))
+    named = inside.join(kind, "node")
     admitted = F.expr("want <> 'callable' or callable")
-    scope, parts = cut(refs.select("ref", "target", "want", F.col("source").alias("scope"))), []
-    for depth in range(MOST_SCOPES):
-        parts.append(scope.join(named, (named["scope"] == scope["scope"]) & (F.col("name") == F.col("target"))).where(admitted).select("ref", F.lit(depth).alias("tier"), "node"))
-        scope = cut(scope.join(parent, F.col("scope") == F.col("child")).select("ref", "target", "want", F.col("parent").alias("scope")))
+    bare = F.col("bare") if "bare" in refs.columns else F.col("want") == "callable"
+    scope = cut(refs.select("ref", "target", "want", bare.alias("bare"), F.col("source").alias("scope"), F.col("source").alias("mark")))
+    found, depth = [], 0
+    while True:
+        found.append(scope.join(named, ["scope", "target"]).where(admitted).select("ref", F.lit(depth).alias("tier"), "node", "bare", "free"))
+        depth += 1
+        mark = F.col("scope") if depth & (depth - 1) == 0 else F.col("mark")  # who comes to a mark again is on a cycle
+        scope = scope.withColumn("mark", mark).join(parent, F.col("scope") == F.col("child")).where("parent <> mark")
+        scope = cut(scope.select("ref", "target", "want", "bare", F.col("parent").alias("scope"), "mark"))
         if scope.isEmpty():
             break
-    at = MOST_SCOPES
+    lexical = reduce(DataFrame.unionByName, found).withColumn("any_free", F.max("free").over(Window.partitionBy("ref", "tier")))
+    parts = [lexical.where("free or not bare or not any_free").select("ref", "tier", "node")]
+    at = AFTER_SCOPES
     modules = refs.where("want <> 'callable'")
     child = modules.select("ref", "crate", _joined(F.col("path"), F.col("target")).alias("path"), F.lit(at).alias("tier"))
     child = child.union(modules.select("ref", "crate", "target", F.lit(at + 1))).union(modules.select("ref", F.replace("target", F.lit("-"), F.lit("_")), F.lit(""), F.lit(at + 2)))
@@ -249,9 +346,9 @@ def name_candidates(refs: DataFrame, ix: Index, nodes: DataFrame, edges: DataFra
     through = refs.join(whole, ["file", "crate", "path"]).select("ref", F.lit(at + 4).alias("tier"), F.col("c").alias("crate"), _joined(F.col("p"), F.col("target")).alias("full"), "want")
     parts.append(descend(through, ix).select("ref", F.lit(at + 4).alias("tier"), "node"))
     if policy == "aggressive":
-        alike = refs.select("ref", F.col("crate").alias("own"), F.col("target").alias("name"), "want").join(ix.members, "name").where(admitted)
-        parts.append(alike.where("crate = own").select("ref", F.lit(at + 5).alias("tier"), "node"))
-        parts.append(alike.select("ref", F.lit(at + 6).alias("tier"), "node"))
+        alike = refs.select("ref", "crate", F.col("target").alias("name"), "want")
+        parts.append(first_and_last(alike.withColumn("tier", F.lit(at + 5)), ix.members, ["crate", "name"]))
+        parts.append(first_and_last(alike.withColumn("tier", F.lit(at + 6)), ix.members, ["name"]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -303,10 +400,25 @@ def topic_inventory(topics: DataFrame, links: DataFrame) -> DataFrame:
     return topics.select("topic").distinct().join(by, "topic", "left").select("topic", F.coalesce("p", F.lit(0)).alias("producers"), F.coalesce("c", F.lit(0)).alias("consumers"))
 
 
-def app_wide_reach(nodes: DataFrame, edges: DataFrame, bridges: DataFrame) -> DataFrame:
-    """(id, promoted): for nodes that are dead in their repository, whether a bridge's target reaches them."""
-    reached = reach(edges.where("kind in ('calls', 'routes_to')"), bridges.select("id").distinct()).select("id").withColumn("_r", F.lit(True))
-    return nodes.where("is_dead").join(reached, "id", "left").select("id", F.col("_r").isNotNull().alias("promoted"))
+def member_reach(nodes: DataFrame, edges: DataFrame, bridges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What other members' bridges keep alive, in one search for all members.
+
+    nodes (member, id, symbol, is_dead), edges (member, source, target, kind), and bridges
+    (from_member, to_member, symbol): a call of another member's symbol. First the verdicts
+    (member, id, promoted) of nodes that are dead in their member; then per member the
+    tally (member, nodes, seeds, unresolved, promoted, dead), where unresolved counts the
+    symbols that bridges name and the member lacks. Ids may repeat between members.
+    """
+    asked = bridges.where("from_member <> to_member").select(F.col("to_member").alias("member"), "symbol").distinct()
+    least = nodes.groupBy("member", "symbol").agg(F.min("id").alias("id"))
+    seeds = cut(asked.join(least, ["member", "symbol"], "left"))
+    inner = edges.where("kind in ('calls', 'routes_to')").select(F.struct("member", F.col("source").alias("id")).alias("source"), F.struct("member", F.col("target").alias("id")).alias("target"))
+    reached = reach(inner, seeds.where("id is not null").select(F.struct("member", "id").alias("id"))).select("id.member", "id.id").withColumn("_r", F.lit(True))
+    verdicts = cut(nodes.where("is_dead").select("member", "id").join(reached, ["member", "id"], "left").select("member", "id", F.col("_r").isNotNull().alias("promoted")))
+    tally = nodes.groupBy("member").agg(F.count("*").alias("nodes"))
+    tally = tally.join(seeds.groupBy("member").agg(F.count("id").alias("seeds"), F.count_if(F.col("id").isNull()).alias("unresolved")), "member", "left")
+    tally = tally.join(verdicts.groupBy("member").agg(F.count_if("promoted").alias("promoted"), F.count_if(~F.col("promoted")).alias("dead")), "member", "left")
+    return verdicts, tally.fillna(0, ["seeds", "unresolved", "promoted", "dead"])
 
 
 def service_boundary_violations(bridges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -1,58 +1,14 @@
-"""Full text search over an inverted index, and near clones by winnowed shingles."""
+"""Suggestions of names, and near clones by winnowed shingles. Text search is in operators.textindex."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.graph import components
+from codeloom.operators.cycles import components
 from codeloom.operators.relational import winnowed
 from codeloom.operators.shared import spread, written
 
-TOKEN = r"[\p{L}\p{N}_]+"
-K1, B = 1.2, 0.75  # fixed values of the ranking
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, token): the index, in lower case."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return spread(docs.select(key, text)).select(F.col(key).alias("key"), F.posexplode(words).alias("pos", "token"))
-
-
-def phrase_hits(index: DataFrame, tokens: list[str]) -> DataFrame:
-    """(key, tf): how often the tokens follow each other."""
-    start = [index.where(F.col("token") == t).select("key", (F.col("pos") - i).alias("at")) for i, t in enumerate(tokens)]
-    hit = start[0]
-    for s in start[1:]:
-        hit = hit.join(s, ["key", "at"])
-    return hit.groupBy("key").agg(F.count("*").alias("tf"))
-
-
-def ranked(hits: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(key, score): BM25 of hits (key, tf), from the lengths (key, n) of all documents."""
-    corpus = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
-    found = hits.agg(F.count("*").alias("df"))
-    all_ = hits.join(lengths, "key").join(F.broadcast(corpus)).join(F.broadcast(found))
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return all_.select("key", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))).alias("score"))
-
-
-def search(docs: DataFrame, key: str, text: str, phrase: str, most: int = 20) -> DataFrame:
-    """(key, score) of documents with the phrase, best first, ties by key."""
-    index = postings(docs, key, text)
-    tokens = [t for t in phrase.lower().split() if t]
-    lengths = index.groupBy("key").agg(F.count("*").alias("n"))
-    return ranked(phrase_hits(index, tokens), lengths).orderBy(F.desc(F.round("score", 9)), "key").limit(most)
-
-
-def prefix_hits(index: DataFrame, prefixes: list[str], most_tokens: int = 16) -> DataFrame:
-    """(key, tf) of documents with a token that starts with one of the prefixes."""
-    hit = F.lit(False)
-    for p in prefixes[:most_tokens]:
-        hit = hit | F.startswith("token", F.lit(p.lower()))
-    return index.where(hit).groupBy("key").agg(F.count("*").alias("tf"))
-
-
 def suggestions(names: DataFrame, text: str, most: int = 5) -> DataFrame:
     """Names that start with the text's first identifier; if none does, those that contain the text."""
     n = names.select("name").distinct()
@@ -63,12 +19,6 @@ def suggestions(names: DataFrame, text: str, most: int = 5) -> DataFrame:
     return both.join(F.broadcast(best), "tier").orderBy("name").limit(most).select("name")
 
 
-def index_faults(index: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(fault, n): what the index has that the documents lack, and the other way round."""
-    fresh = postings(docs, key, text)
-    return index.subtract(fresh).agg(F.lit("extra").alias("fault"), F.count("*").alias("n")).union(fresh.subtract(index).agg(F.lit("missing"), F.count("*")))
-
-
 # Near clones
 
 

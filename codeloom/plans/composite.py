@@ -15,6 +15,7 @@ from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
 from codeloom.operators import store as U
+from codeloom.operators.traverse import reach
 from codeloom.plans.history import COMPLEXITY, MEASURES, complexity, coverage, measures
 from codeloom.plans.registry import add
 
@@ -60,7 +61,7 @@ add("F-04_explored_files", lambda m: N.explored(m.nodes, m.edges, "fn42"),
     """WITH n AS (SELECT 42 AS id UNION SELECT target FROM edges WHERE source = 42 UNION SELECT source FROM edges WHERE target = 42) SELECT file_path, string_agg(symbol, ',' ORDER BY start_line, id) AS symbols FROM nodes WHERE id IN (SELECT id FROM n) GROUP BY file_path ORDER BY file_path IS DISTINCT FROM 'src/m17/f42.rs', file_path NULLS FIRST LIMIT 10""")
 add(
     "F-05_seeded_canvas",
-    lambda m: G.reach(G.undirected(m.imports), m.spark.createDataFrame([(42,)], "id bigint"), 30).join(G.degrees(m.imports), "id")
+    lambda m: reach(m.adjacent("imports_around"), m.spark.createDataFrame([(42,)], "id bigint"), 30).join(G.degrees(m.imports), "id")
     .orderBy("distance", F.desc("degree"), "id").limit(60).select("id", F.col("distance").cast("bigint").alias("distance"), "degree"),
     """WITH RECURSIVE e AS (SELECT source, target FROM imports UNION SELECT target, source FROM imports),
     w AS (SELECT 42::BIGINT AS id, 0 AS d UNION SELECT e.target, d + 1 FROM w JOIN e ON id = e.source WHERE d < 30),
@@ -80,7 +81,6 @@ add("G-02_union_rollup", lambda m: H.merged_rollups(H.rolled_up(m.usage.where("d
 add("G-07_first_occurrence", lambda m: N.first_of([m.functions.where("id % 2 = 0").select("id"), m.functions.where("id % 3 = 0").select("id")], "id").withColumn("part", F.col("part").cast("bigint")), "SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS part FROM functions WHERE id % 2 = 0 OR id % 3 = 0")
 add("G-08_invalid_slugs", lambda m: m.anchors.select("slug").distinct().join(m.anchors.where("ordinal > 0").select("slug"), "slug", "left_anti"), "SELECT DISTINCT slug FROM anchors WHERE slug NOT IN (SELECT slug FROM anchors WHERE ordinal > 0)")
 add("H-24_typed_owner", lambda m: G.nearest_ancestor(m.nodes.where("kind <> 'doc_section'"), m.edges, "class").where("ancestor is not null").select("id", "ancestor"), "SELECT n.id, CASE WHEN n.kind = 'class' THEN n.id ELSE p.id END AS ancestor FROM nodes n LEFT JOIN (SELECT target, min(source) AS source FROM edges WHERE kind = 'contains' GROUP BY target) e ON n.id = e.target LEFT JOIN nodes p ON e.source = p.id AND p.kind = 'class' WHERE n.kind = 'class' OR p.id IS NOT NULL")
-add("H-25_cross_service_reach", lambda m: Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 11 = 5").select("id")).agg(F.count_if("promoted").alias("promoted"), F.count("*").alias("dead")), "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 11 = 5 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT count(*) FILTER (id IN (SELECT id FROM r)) AS promoted, count(*) AS dead FROM nodes WHERE is_dead")
 add("I-09_grep", lambda m: m.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike("(?i)license")).orderBy("doc_id", "line").limit(200).select("doc_id", F.col("line").cast("bigint").alias("line"), "t"), "SELECT doc_id, i - 1 AS line, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(l[i], '(?i)license') ORDER BY 1, 2 LIMIT 200")
 add(
     "L-01_max_cycles",

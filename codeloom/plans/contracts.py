@@ -46,8 +46,6 @@ add(
     ).select("file_path", "name", "handler"),
     "SELECT file_path, 'GET /f/' || id AS name, CASE WHEN id % 100 = 0 THEN id ELSE 7 END AS handler FROM functions",
 )
-add("Q-08_scoped_reach", lambda m: Q.in_scope(Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 11 = 5").select("id")).where("promoted"), m.functions.select("id", F.concat(F.lit("repo"), (F.col("id") % 4).cast("string")).alias("member")), "repo2").select("id"),
-    "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 11 = 5 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT id FROM nodes WHERE is_dead AND id IN (SELECT id FROM r) AND id % 4 = 2 AND id < 1000000")
 add(
     "O-01_normalized_tokens",
     lambda m: m.part.select(
@@ -62,14 +60,10 @@ add(
 add("L-26_scan", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).agg(F.count("*").alias("violations"), F.countDistinct("rule").alias("rules")).join(K.function_quality(m.functions.where("not is_test")).select(F.round(F.col("nesting") * 10000).cast("bigint").alias("nesting_bp"))),
     "SELECT (SELECT count(*) FROM functions WHERE cc > 45) + (SELECT count(*) FROM functions WHERE line_count > 140) AS violations, (SELECT CAST(count(*) FILTER (cc > 45) > 0 AS BIGINT) + CAST(count(*) FILTER (line_count > 140) > 0 AS BIGINT) FROM functions) AS rules, (SELECT CAST(round(greatest(1 - avg(CAST(nesting >= 4 AS INT)), 0.01) * 10000) AS BIGINT) FROM functions WHERE NOT is_test) AS nesting_bp")
 
-NAMES = "p AS (SELECT id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+') AS w FROM nodes WHERE kind IN ('doc_section', 'class'))), len AS (SELECT key, count(*) AS n FROM p GROUP BY key), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"
+NAMES = "p AS (SELECT id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+') AS w FROM nodes)), len AS (SELECT key, count(*) AS n FROM p GROUP BY key), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"
 RANK = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))"
 
 
-def named(m):
-    return m.nodes.where("kind in ('doc_section', 'class')")
-
-
 ARTIFACTS = """SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN 'a.yaml' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'Makefile' WHEN 3 THEN 'a.sql' WHEN 4 THEN 'a.tf' ELSE 'a.toml' END AS name FROM part"""
 
 
@@ -105,9 +99,9 @@ add(
     f"""SELECT 'p' || p_partkey || '/' || a.name AS path, k AS kind, replace(replace(n, '%', CAST(p_partkey AS VARCHAR)), '#', CAST(p_size AS VARCHAR)) AS name,
     replace(replace(p, '%', CAST(p_partkey AS VARCHAR)), '#', CAST(p_size AS VARCHAR)) AS parent FROM ({ARTIFACTS}) a JOIN (VALUES {FACT_VALUES}) t(f, k, n, p) ON a.name = f""",
 )
-add("C-06_search_nodes", lambda m: I.search(named(m), "id", "name", "section").join(m.nodes, F.col("key") == F.col("id")).select("id", "symbol"),
+add("C-06_search_nodes", lambda m: m.texts("nodes").search("section").join(m.nodes, F.col("key") == F.col("id")).select("id", "symbol"),
     f"WITH {NAMES}, h AS (SELECT key, count(*) AS tf FROM p WHERE token = 'section' GROUP BY key), f AS (SELECT count(*) AS df FROM h) SELECT id, symbol FROM nodes WHERE id IN (SELECT key FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20)")
-add("F-01_search_order", lambda m: I.search(named(m), "id", "name", "section 10").select("key", F.round("score", 6).alias("score")),
+add("F-01_search_order", lambda m: m.texts("nodes").search("section 10").select("key", F.round("score", 6).alias("score")),
     f"WITH {NAMES}, h AS (SELECT a.key, count(*) AS tf FROM p a JOIN p b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.token = 'section' AND b.token = '10' GROUP BY a.key), f AS (SELECT count(*) AS df FROM h) SELECT key, round({RANK}, 6) AS score FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20")
 add("F-11_suggestion_cap", lambda m: I.suggestions(m.nodes.where("kind = 'module'"), "n", 5), "WITH s AS (SELECT DISTINCT name, CASE WHEN starts_with(lower(name), 'n') THEN 0 ELSE 1 END AS tier FROM nodes WHERE kind = 'module' AND (starts_with(lower(name), 'n') OR contains(name, 'n'))) SELECT name FROM s WHERE tier = (SELECT min(tier) FROM s) ORDER BY 1 LIMIT 5")
 add("H-10_context_seeds", lambda m: N.seeds(m.nodes.where("id % 100 = 3").select("id", F.col("id").alias("rank")), m.nodes).select("id", "is_code", F.round("match", 6).alias("match")),
@@ -118,8 +112,35 @@ add(
     """SELECT n_name, CASE n_nationkey % 4 WHEN 1 THEN 'no history: not a repository' WHEN 2 THEN 'no history: git is not installed' WHEN 3 THEN 'no history: the clone is shallow' END AS notice FROM nation""",
 )
 add("P-01_name_index", lambda m: m.nodes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "SELECT name, count(*) AS n, min(id) AS first FROM nodes GROUP BY name HAVING count(*) > 1")
-add("P-10_artifact_refs", lambda m: Q.ladder([Q.by_key(m.refs.where("id % 2 = 0"), m.files, F.concat(F.lit("src/m"), (F.col("id") % 25).cast("string"), F.lit("/f"), F.col("id").cast("string"), F.lit(".rs")), F.col("path"))]).select(F.col("ref"), "outcome"),
-    "SELECT r.id AS ref, 'bound' AS outcome FROM refs r JOIN files f ON f.path = 'src/m' || (r.id % 25) || '/f' || r.id || '.rs' WHERE r.id % 2 = 0")
+# Configuration files in folders by their number, some twice; targets that share names; routes. References of six kinds, some to what is not there.
+CONFIG_NODES = """SELECT 20000000 + s_suppkey AS id, 'config_file' AS kind, 'main' || cast(s_suppkey AS varchar(9)) AS name,
+    'deploy/d' || cast(s_suppkey % 20 AS varchar(9)) || '/main' || cast(s_suppkey AS varchar(9)) || CASE WHEN s_suppkey % 3 = 0 THEN '.tf' ELSE '.yaml' END AS file_path FROM supplier
+    UNION ALL SELECT 30000000 + s_suppkey, 'config_file', 'copy', 'deploy/d' || cast(s_suppkey % 20 AS varchar(9)) || '/main' || cast(s_suppkey AS varchar(9)) || CASE WHEN s_suppkey % 3 = 0 THEN '.tf' ELSE '.yaml' END
+        FROM supplier WHERE s_suppkey % 10 = 0
+    UNION ALL SELECT 40000000 + s_suppkey, 'target', 't' || cast(s_suppkey % 60 AS varchar(9)), 'Makefile' FROM supplier WHERE s_suppkey % 60 > 9
+    UNION ALL SELECT 50000000 + s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'struct' ELSE 'function' END, 'Type' || cast(s_suppkey AS varchar(9)), 'src/t.rs' FROM supplier
+    UNION ALL SELECT 60000000 + s_suppkey, 'route', 'GET /r' || cast(s_suppkey AS varchar(9)) || '/{id}', 'src/r.rs' FROM supplier"""
+CONFIG_REFS = """SELECT p AS ref, p % 6 AS what, k, CASE WHEN p % 6 < 4 THEN 'artifact_ref' ELSE 'artifact_binding' END AS kind, CASE WHEN p % 6 IN (3, 4) THEN 'method' ELSE 'path' END AS form,
+    CASE p % 6 WHEN 0 THEN 'deploy/d' || cast(k % 20 AS varchar(9)) || '/x.yaml' WHEN 1 THEN 'ci/build.yaml' ELSE 'deploy/root.tf' END AS file,
+    CASE p % 6 WHEN 0 THEN './main' || cast(k AS varchar(9)) || CASE WHEN k % 3 = 0 THEN '.tf' ELSE '.yaml' END
+        WHEN 1 THEN 'deploy/x/../d' || cast(k % 20 AS varchar(9)) || '/main' || cast(k AS varchar(9)) || CASE WHEN k % 3 = 0 THEN '.tf' ELSE '.yaml' END
+        WHEN 2 THEN './d' || cast(k % 25 AS varchar(9)) WHEN 3 THEN 't' || cast(k % 60 AS varchar(9)) WHEN 4 THEN 'Type' || cast(k AS varchar(9)) ELSE 'get /r' || cast(k AS varchar(9)) || '/:key/' END AS target,
+    CASE WHEN p % 6 = 2 THEN 'tf_module_call' END AS relation, CASE WHEN p % 6 = 3 AND p % 4 = 1 THEN 'target' END AS want_kind
+    FROM (SELECT p_partkey AS p, 1 + p_partkey * 7 % (suppliers + cast(floor(suppliers / 4) AS bigint)) AS k FROM part, (SELECT count(*) AS suppliers FROM supplier) n) x"""
+add(
+    "P-10_artifact_refs",
+    lambda m: Q.artifact_outcomes(m.sql(CONFIG_REFS), m.sql(CONFIG_NODES)),
+    f"""WITH n AS ({CONFIG_NODES}), r AS ({CONFIG_REFS}), hit AS (
+        SELECT ref, what, n.id AS node FROM r JOIN n ON what IN (0, 1) AND n.kind = 'config_file' AND n.file_path = 'deploy/d' || k % 20 || '/main' || k || CASE WHEN k % 3 = 0 THEN '.tf' ELSE '.yaml' END
+        UNION ALL SELECT ref, what, n.id FROM r JOIN n ON what = 2 AND n.kind = 'config_file' AND n.file_path LIKE '%.tf' AND regexp_extract(n.file_path, '^(.*)/', 1) = 'deploy/d' || k % 25
+        UNION ALL SELECT ref, what, n.id FROM r JOIN n ON what = 3 AND n.kind = 'target' AND n.name = r.target
+        UNION ALL SELECT ref, what, n.id FROM r JOIN n ON what = 4 AND n.kind = 'struct' AND n.name = r.target
+        UNION ALL SELECT ref, what, n.id FROM r JOIN n ON what = 5 AND n.kind = 'route' AND n.name = 'GET /r' || k || '/{{id}}'),
+    c AS (SELECT ref, count(*) AS c FROM hit GROUP BY ref)
+    SELECT ref, node, 'bound' AS outcome FROM hit JOIN c USING (ref) WHERE what = 2 OR c = 1
+    UNION ALL SELECT ref, NULL, 'ambiguous' FROM (SELECT DISTINCT ref FROM hit JOIN c USING (ref) WHERE what <> 2 AND c > 1)
+    UNION ALL SELECT ref, NULL, 'not_found' FROM r WHERE ref NOT IN (SELECT ref FROM hit)""",
+)
 add(
     "P-17_rebind",
     lambda m: Q.rebound(

@@ -21,7 +21,30 @@ add("C-17_exactly_one_bridge", bridges, f"WITH {BRIDGE} SELECT * FROM b")
 FAN = "SELECT split_part(key, '|', 1) AS key, member, symbol"
 add("C-18_fan_out", lambda m: Q.bridge_fan_out(m.providers.withColumn("key", F.split("key", r"\|")[0]).select("key", "member", F.col("member").alias("symbol")), m.consumers.withColumn("key", F.split("key", r"\|")[0]).select("key", "member", F.col("member").alias("symbol"))).groupBy("key", "member", "to_member").agg(F.count("*").alias("n")),
     "SELECT DISTINCT split_part(c.key, '|', 1) AS key, c.member, p.member AS to_member, 1::BIGINT AS n FROM consumers c JOIN (SELECT DISTINCT split_part(key, '|', 1) AS key, member FROM providers) p ON split_part(c.key, '|', 1) = p.key WHERE c.member <> p.member")
-add("C-22_dead_reached", lambda m: Q.app_wide_reach(m.nodes, m.edges, m.functions.where("id % 40 = 7").select("id")), "WITH RECURSIVE r AS (SELECT id FROM functions WHERE id % 40 = 7 UNION SELECT target FROM r JOIN edges ON id = source WHERE kind = 'calls') SELECT id, id IN (SELECT id FROM r) AS promoted FROM nodes WHERE is_dead")
+# Five members that hold the functions; calls across members are bridges, some to symbols that are not there.
+MEMBER_NODES = "SELECT 'repo' || cast(id % 5 AS varchar(3)) AS member, id, 'fn/' || name AS symbol, is_dead FROM functions"
+MEMBER_EDGES = "SELECT 'repo' || cast(source % 5 AS varchar(3)) AS member, source, target, kind FROM edges WHERE kind = 'calls' AND source % 5 = target % 5"
+MEMBER_BRIDGES = """SELECT DISTINCT 'repo' || cast(source % 5 AS varchar(3)) AS from_member, 'repo' || cast(target % 5 AS varchar(3)) AS to_member,
+    CASE WHEN source % 7 = 0 THEN 'fn/gone' ELSE 'fn/fn' END || cast(target AS varchar(12)) AS symbol FROM edges WHERE kind = 'calls' AND source % 5 <> target % 5 AND source % 11 = 5"""
+MEMBER_REACH = f"""WITH RECURSIVE mn AS ({MEMBER_NODES}), me AS ({MEMBER_EDGES}),
+    seeds AS (SELECT s.member, s.symbol, n.id FROM (SELECT DISTINCT to_member AS member, symbol FROM ({MEMBER_BRIDGES})) s LEFT JOIN mn n ON s.member = n.member AND s.symbol = n.symbol),
+    r AS (SELECT id FROM seeds WHERE id IS NOT NULL UNION SELECT target FROM r JOIN me ON id = source),
+    v AS (SELECT member, id, id IN (SELECT id FROM r) AS promoted FROM mn WHERE is_dead)"""
+
+
+def member_reach(m):
+    return Q.member_reach(m.sql(MEMBER_NODES), m.sql(MEMBER_EDGES), m.sql(MEMBER_BRIDGES))
+
+
+add("C-22_dead_reached", lambda m: member_reach(m)[0], f"{MEMBER_REACH} SELECT member, id, promoted FROM v")
+add("Q-08_scoped_reach", lambda m: member_reach(m)[0].where("promoted and member = 'repo2'").select("id"), f"{MEMBER_REACH} SELECT id FROM v WHERE promoted AND member = 'repo2'")
+add(
+    "H-25_cross_service_reach",
+    lambda m: member_reach(m)[1],
+    f"""{MEMBER_REACH} SELECT member, count(*) AS nodes, (SELECT count(id) FROM seeds s WHERE s.member = mn.member) AS seeds,
+    (SELECT count(*) FROM seeds s WHERE s.member = mn.member AND id IS NULL) AS unresolved,
+    (SELECT count(*) FROM v WHERE v.member = mn.member AND promoted) AS promoted, (SELECT count(*) FROM v WHERE v.member = mn.member AND NOT promoted) AS dead FROM mn GROUP BY member""",
+)
 add("D-31_cross_coverage", lambda m: Q.cross_coverage(Q.consumer_outcomes(m.providers, m.consumers)), f"WITH {OUT} SELECT count(*) FILTER (outcome = 'bound') AS bound, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'no-provider') AS no_provider, CAST(round(count(*) FILTER (outcome = 'bound') / count(*) FILTER (outcome IN ('bound', 'ambiguous')) * 10000) AS BIGINT) AS bound_bp FROM o")
 add("D-32_topic_inventory", lambda m: Q.topic_inventory(m.sql(f"SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused'"), m.sql(TOPICS)),
     f"SELECT t.topic, count(DISTINCT CASE WHEN role = 'producer' THEN symbol END) AS producers, count(DISTINCT CASE WHEN role = 'consumer' THEN symbol END) AS consumers FROM (SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused') t LEFT JOIN ({TOPICS}) l ON t.topic = l.topic GROUP BY t.topic")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions.predicates import DOC_KINDS
+from codeloom.operators import cycles as C
 from codeloom.operators import graph as G
 from codeloom.operators import quality as K
 from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
+from codeloom.operators.traverse import reach
 from codeloom.plans.registry import add
 
 CALLS = "SELECT DISTINCT source, target FROM edges WHERE kind = 'calls'"
@@ -43,7 +45,7 @@ add("H-04_module_rollup", lambda m: G.rollup(G.symbol_view(m.nodes, m.edges)[1],
 add("H-05_visual_view", lambda m: G.visual_view(m.nodes, m.edges)[1].groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY kind")
 add("H-06_callers_page", lambda m: R.neighbours(m.edges, m.nodes, 77, False, ["calls"]).orderBy("id").limit(50).select("id", "symbol"), "SELECT DISTINCT n.id, symbol FROM edges e JOIN nodes n ON e.source = n.id WHERE e.target = 77 AND e.kind = 'calls' ORDER BY 1 LIMIT 50")
 BFS = """SELECT id, CAST(min(d) AS BIGINT) AS distance FROM walk GROUP BY id"""
-add("H-07_impact", lambda m: G.impact(calls(m), seed(m, 42), 2).select("id", F.col("distance").cast("bigint").alias("distance"), "side"),
+add("H-07_impact", lambda m: G.impact(m.adjacent("calls"), m.adjacent("called"), seed(m, 42), 2).select("id", F.col("distance").cast("bigint").alias("distance"), "side"),
     f"""WITH RECURSIVE step AS ({CALLS}), down AS (SELECT 42::BIGINT AS id, 0 AS d UNION SELECT target, d + 1 FROM down JOIN step ON id = source WHERE d < 2),
     up AS (SELECT 42::BIGINT AS id, 0 AS d UNION SELECT source, d + 1 FROM up JOIN step ON id = target WHERE d < 2)
     SELECT id, CAST(min(d) AS BIGINT) AS distance, 'downstream' AS side FROM down GROUP BY id HAVING min(d) > 0 UNION ALL SELECT id, CAST(min(d) AS BIGINT), 'upstream' FROM up GROUP BY id HAVING min(d) > 0""")
@@ -52,10 +54,10 @@ add("H-08_affected_files", lambda m: G.affected_files(G.rollup(m.edges.where("ki
     seeds AS (SELECT 'src/m3/s1.rs' AS id UNION SELECT file_path FROM nodes WHERE id = 2000005), walk AS (SELECT id FROM seeds UNION SELECT source FROM walk JOIN fe ON id = target) SELECT id FROM walk WHERE id NOT IN (SELECT id FROM seeds)""")
 add(
     "H-09_undirected_reach",
-    lambda m: G.reach(G.undirected(m.imports), seed(m, 3), 30).select("id", F.col("distance").cast("bigint").alias("distance")),
+    lambda m: reach(m.adjacent("imports_around"), seed(m, 3), 30).select("id", F.col("distance").cast("bigint").alias("distance")),
     f"WITH RECURSIVE e AS (SELECT source, target FROM imports UNION SELECT target, source FROM imports), walk AS (SELECT 3::BIGINT AS id, 0 AS d UNION SELECT e.target, d + 1 FROM walk JOIN e ON id = e.source WHERE d < 30) {BFS}",
 )
-add("H-11_explore", lambda m: G.reach(G.undirected(m.edges), seed(m, 42), 1).join(m.nodes, "id").groupBy("file_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("ids")),
+add("H-11_explore", lambda m: reach(m.adjacent("around"), seed(m, 42), 1).join(m.nodes, "id").groupBy("file_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("ids")),
     "SELECT file_path, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM nodes WHERE id = 42 OR id IN (SELECT target FROM edges WHERE source = 42 UNION SELECT source FROM edges WHERE target = 42) GROUP BY file_path")
 add("H-12_node_detail", lambda m: R.neighbours(m.edges, m.nodes, 2000003, True).select("id", "edge_kind", F.lit("out").alias("side")).union(R.neighbours(m.edges, m.nodes, 2000003, False).select("id", "edge_kind", F.lit("in"))),
     "SELECT target AS id, kind AS edge_kind, 'out' AS side FROM edges WHERE source = 2000003 UNION SELECT source, kind, 'in' FROM edges WHERE target = 2000003")
@@ -68,21 +70,21 @@ add("H-14_intent_overlay", lambda m: m.edges.where("kind = 'doc_reference'").joi
 add("H-15_degree", lambda m: G.degrees(m.edges), "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id")
 SCC = f"""WITH RECURSIVE e AS ({IMPORTS}), r AS (SELECT source AS a, target AS b FROM e UNION SELECT a, target FROM r JOIN e ON b = source), v AS (SELECT source AS id FROM imports UNION SELECT target FROM imports)
     , scc AS (SELECT v.id, least(v.id, coalesce(min(x.b), v.id)) AS scc FROM v LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) x ON v.id = x.a GROUP BY v.id)"""
-add("H-16_strong_components", lambda m: G.strong_components(m.imports), f"{SCC} SELECT id, scc FROM scc")
-add("H-16_call_cycles", lambda m: G.strong_components(m.edges.where("kind = 'references'")).groupBy("scc").agg(F.count("*").alias("size")),
+add("H-16_strong_components", lambda m: C.strong_components(m.imports), f"{SCC} SELECT id, scc FROM scc")
+add("H-16_call_cycles", lambda m: C.strong_components(m.edges.where("kind = 'references'")).groupBy("scc").agg(F.count("*").alias("size")),
     """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'references' AND source <> target), r AS (SELECT source AS a, target AS b FROM e UNION SELECT a, target FROM r JOIN e ON b = source),
     v AS (SELECT source AS id FROM edges WHERE kind = 'references' UNION SELECT target FROM edges WHERE kind = 'references'),
     scc AS (SELECT v.id, least(v.id, coalesce(min(x.b), v.id)) AS scc FROM v LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) x ON v.id = x.a GROUP BY v.id) SELECT scc, count(*) AS size FROM scc GROUP BY scc""")
 add(
     "H-17_acyclicity",
-    lambda m: G.strong_components(m.imports).join(m.file_modules, "id").groupBy("scc").agg(F.count("*").alias("n"), F.countDistinct("module").alias("d"))
+    lambda m: C.strong_components(m.imports).join(m.file_modules, "id").groupBy("scc").agg(F.count("*").alias("n"), F.countDistinct("module").alias("d"))
     .where("n > 1 and d > 1").agg(F.count("*").alias("cycles"), F.round(1 / (1 + F.count("*")), 6).alias("normalized")),
     f"""{SCC}, big AS (SELECT scc FROM scc JOIN file_modules USING (id) GROUP BY scc HAVING count(*) > 1 AND count(DISTINCT module) > 1)
     SELECT count(*) AS cycles, round(1 / (1 + count(*)), 6) AS normalized FROM big""",
 )
 add(
     "H-18_depth",
-    lambda m: m.spark.createDataFrame([(G.longest_path(m.functions, m.imports),)], "depth bigint"),
+    lambda m: m.spark.createDataFrame([(C.longest_path(m.functions, m.imports),)], "depth bigint"),
     f"""{SCC}, d AS (SELECT DISTINCT a.scc AS s, b.scc AS t FROM imports JOIN scc a ON source = a.id JOIN scc b ON target = b.id WHERE a.scc <> b.scc),
     p AS (SELECT t, 2 AS n FROM d UNION SELECT d.t, n + 1 FROM p JOIN d ON p.t = d.s) SELECT CAST(coalesce(max(n), 1) AS BIGINT) AS depth FROM p""",
 )
@@ -100,11 +102,11 @@ add(
     UNION SELECT target FROM live JOIN edges ON id = source WHERE kind = 'calls')
     SELECT id, CASE WHEN kind IN ('function', 'method') THEN id NOT IN (SELECT id FROM live) END AS is_dead FROM nodes""",
 )
-add("H-21_test_reach", lambda m: G.reach(calls(m), m.nodes.where("is_test and kind in ('function', 'method')")).select("id"),
+add("H-21_test_reach", lambda m: reach(m.adjacent("calls"), m.nodes.where("is_test and kind in ('function', 'method')")).select("id"),
     "WITH RECURSIVE t AS (SELECT id FROM nodes WHERE is_test AND kind IN ('function', 'method') UNION SELECT target FROM t JOIN edges ON id = source WHERE kind = 'calls') SELECT id FROM t")
 add(
     "H-22_components",
-    lambda m: G.components(m.nodes.where("kind in ('function', 'method', 'field')"), m.edges.where("kind = 'accesses'")),
+    lambda m: C.components(m.nodes.where("kind in ('function', 'method', 'field')"), m.edges.where("kind = 'accesses'")),
     """WITH l AS (SELECT source, target FROM edges WHERE kind = 'accesses'), f AS (SELECT target, least(target, min(source)) AS c FROM l GROUP BY target)
     SELECT n.id, coalesce(f.c, g.c, n.id) AS component FROM nodes n LEFT JOIN f ON n.id = f.target LEFT JOIN l ON n.id = l.source LEFT JOIN f g ON l.target = g.target
     WHERE n.kind IN ('function', 'method', 'field')""",

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.operators.shared import written
+from codeloom.operators.textindex import TextIndex
+from codeloom.operators.traverse import Adjacency, adjacency
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 PATH = "'src/m' || cast({p} % 25 AS varchar(9)) || '/f' || cast({p} AS varchar(9)) || '.rs'"
@@ -108,6 +110,17 @@ def _for(engine: str, text: str) -> str:
 
 # Written once for a folder, as an index would be; the other projections are plain views.
 STORED = ("commits", "file_changes", "functions", "owners", "nodes", "edges", "imports", "files")
+# Adjacency that searches start from, kept in buckets; each is made when it is first asked for.
+ADJACENT = {
+    "calls": "SELECT source, target FROM edges WHERE kind = 'calls'",
+    "called": "SELECT target AS source, source AS target FROM edges WHERE kind = 'calls'",
+    "around": "SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges",
+    "imports_around": "SELECT source, target FROM imports UNION ALL SELECT target, source FROM imports",
+}
+# Text indexes: table, key and text. Nodes are found by their names.
+TEXTS = {"documents": ("documents", "doc_id", "text"), "pages": ("pages", "page_id", "html"), "nodes": ("nodes", "id", "name")}
+_texts: dict[tuple[str, str, str], TextIndex] = {}
+_adjacent: dict[tuple[str, str, str], Adjacency] = {}
 _viewed: dict[str, str] = {}  # by application, the folder that its views show
 
 
@@ -135,6 +148,19 @@ class Model:
             raise AttributeError(name)
         return self.spark.table(name)
 
+    def adjacent(self, name: str) -> Adjacency:
+        at = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if at not in _adjacent:
+            _adjacent[at] = adjacency(self.sql(ADJACENT[name]))
+        return _adjacent[at]
+
+    def texts(self, name: str) -> TextIndex:
+        at = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if at not in _texts:
+            table, key, text = TEXTS[name]
+            _texts[at] = TextIndex.build(self.spark.table(table), key, text)
+        return _texts[at]
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(_for("spark", text))
 

@@ -33,6 +33,17 @@ add("P-05_suffix_tier", lambda m: P.ladder([P.by_suffix(m.functions.select("id",
     "SELECT f.id AS ref, n.id AS node FROM functions f JOIN nodes n ON n.kind = 'function' AND n.file_path LIKE '%/f' || f.id || '.rs'")
 add("P-07_symbol_exact", lambda m: P.by_key(m.refs, m.nodes, F.col("source_symbol"), F.col("symbol")), "SELECT r.id AS ref, n.id AS node FROM refs r JOIN nodes n ON r.source_symbol = n.symbol")
 add("P-12_affected", lambda m: P.affected(m.refs, "source_symbol", m.functions.where("id % 10 = 0").select("name")).select("id"), "SELECT r.id FROM refs r JOIN functions f ON r.source_symbol = 'fn/' || f.name WHERE f.id % 10 = 0")
+# A sync that touched file 7, some of the functions, and what three aliases in a row of file 4 lead to.
+SYNC_REFS = "SELECT id AS ref, file, target, CASE WHEN id % 50 = 0 THEN 'artifact_ref' ELSE 'calls' END AS kind, block FROM path_refs"
+SYNC_NAMES = "SELECT DISTINCT 'f' || cast(block AS varchar(9)) AS name FROM path_refs WHERE block % 5 = 2 UNION ALL SELECT 'q4'"
+SYNC_ALIASES = """SELECT DISTINCT file, alias, CASE alias WHEN 'al' THEN 'be::x' WHEN 'be' THEN 'ce::y' ELSE 'm9::q' || cast(file AS varchar(3)) END AS target FROM path_refs,
+    (SELECT 'al' AS alias UNION ALL SELECT 'be' UNION ALL SELECT 'ce') a"""
+add(
+    "P-12_delta_selection",
+    lambda m: P.delta_affected(m.sql(SYNC_REFS), m.sql(SYNC_NAMES), m.sql("SELECT DISTINCT file FROM path_refs WHERE file = 7"), m.sql(SYNC_ALIASES)),
+    f"""SELECT * FROM (SELECT ref, CASE WHEN file = 7 THEN 'file' WHEN kind = 'artifact_ref' THEN 'artifact' WHEN ref % 8 <> 7 AND block % 5 = 2 THEN 'name'
+    WHEN target LIKE 'al::%' AND file = 4 THEN 'alias' END AS reason FROM ({SYNC_REFS})) WHERE reason IS NOT NULL""",
+)
 add("P-13_ledger", lambda m: outcomes(m).select("id", (F.col("outcome") == "bound").alias("resolved")), f"WITH {LADDER} SELECT id, outcome = 'bound' AS resolved FROM o")
 add("P-15_topic_promotion", lambda m: P.promoted(m.usage.select(F.col("tool").alias("name"), F.col("surface").alias("member")), "topic"), "SELECT 'topic/' || tool AS symbol, 'topic' AS kind, tool AS name, count(DISTINCT surface) AS members FROM usage GROUP BY tool")
 add("P-16_dispatch_markers", lambda m: m.functions.where("exported and not is_test").select("id").subtract(m.functions.where("is_duplicate").select("id")), "SELECT id FROM functions WHERE exported AND NOT is_test AND NOT is_duplicate")

@@ -17,29 +17,25 @@ SETS = """w AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[^\\x20\\
     s AS (SELECT DISTINCT key, g[p] AS hash FROM (SELECT key, g, unnest(list_transform(range(0, greatest(len(g) - 4, 0) + 1), lambda i: i + len(g[i+1:i+4]) - list_position(list_reverse(g[i+1:i+4]), list_min(g[i+1:i+4])) + 1)) AS p FROM g))"""
 
 
-def body(m):
-    return m.documents.select("doc_id", F.col("text").alias("body"))
-
-
-def index(m):
-    return I.postings(body(m), "doc_id", "body")
-
-
 def sets(m):
     return I.shingle_sets(m.documents, "doc_id", "text")
 
 
-add("I-01_postings", lambda m: index(m).groupBy("token").agg(F.countDistinct("key").alias("df"), F.count("*").alias("cf")), f"WITH {POST} SELECT token, count(DISTINCT key) AS df, count(*) AS cf FROM p GROUP BY token")
-add("I-02_phrase_search", lambda m: I.search(body(m), "doc_id", "body", "of the").select("key", F.round("score", 6).alias("score")),
+add("I-01_postings", lambda m: m.texts("documents").counts(), f"WITH {POST} SELECT token, count(DISTINCT key) AS df, count(*) AS cf FROM p GROUP BY token")
+add("I-02_phrase_search", lambda m: m.texts("documents").search("of the").select("key", F.round("score", 6).alias("score")),
     f"WITH {POST}, {LEN}, h AS (SELECT a.key, count(*) AS tf FROM p a JOIN p b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.key), f AS (SELECT count(*) AS df FROM h) SELECT key, round({RANK}, 6) AS score FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20")
-add("I-03_prefix_search", lambda m: I.prefix_hits(index(m), ["thr", "ouer", "zz"]), f"WITH {POST} SELECT key, count(*) AS tf FROM p WHERE starts_with(token, 'thr') OR starts_with(token, 'ouer') OR starts_with(token, 'zz') GROUP BY key")
+add("I-03_prefix_search", lambda m: m.texts("documents").with_prefixes(["thr", "ouer", "zz"]), f"WITH {POST} SELECT key, count(*) AS tf FROM p WHERE starts_with(token, 'thr') OR starts_with(token, 'ouer') OR starts_with(token, 'zz') GROUP BY key")
 add("I-04_suggestions", lambda m: I.suggestions(m.nodes, "fn19"), "SELECT DISTINCT name FROM nodes WHERE starts_with(lower(name), 'fn19') ORDER BY 1 LIMIT 5")
 add("I-05_resolve_symbol", lambda m: resolve_symbol(m.nodes, "f3").select("id", "symbol"), "SELECT id, symbol FROM nodes WHERE symbol = 'f3' OR name = 'f3' ORDER BY symbol <> 'f3', id LIMIT 1")
-add("I-06_page_search", lambda m: I.search(m.pages, "page_id", "html", "the").select("key", F.round("score", 6).alias("score")),
+add("I-06_page_search", lambda m: m.texts("pages").search("the").select("key", F.round("score", 6).alias("score")),
     f"""WITH p AS (SELECT page_id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT page_id, regexp_extract_all(lower(html), '[\\p{{L}}\\p{{N}}_]+') AS w FROM pages)), {LEN}, h AS (SELECT key, count(*) AS tf FROM p WHERE token = 'the' GROUP BY key), f AS (SELECT count(*) AS df FROM h)
     SELECT key, round({RANK}, 6) AS score FROM h JOIN len USING (key), stat, f ORDER BY round({RANK}, 9) DESC, key LIMIT 20""")
-add("I-07_index_check", lambda m: I.index_faults(index(m).where("key % 97 <> 5"), body(m).where("doc_id % 89 <> 3"), "doc_id", "body"),
-    f"WITH {POST} SELECT 'extra' AS fault, count(*) AS n FROM p WHERE key % 89 = 3 AND key % 97 <> 5 UNION ALL SELECT 'missing', count(*) FROM p WHERE key % 97 = 5 AND key % 89 <> 3")
+# Documents that the index has lost, and others that it was never told are gone.
+add(
+    "I-07_index_check",
+    lambda m: m.texts("documents").updated(deleted=m.documents.where("doc_id % 97 = 5").select(F.col("doc_id").alias("key"))).faults(m.documents.where("doc_id % 89 <> 3"), "doc_id", "text"),
+    f"WITH {POST} SELECT 'extra' AS fault, count(*) AS n FROM p WHERE key % 89 = 3 AND key % 97 <> 5 UNION ALL SELECT 'missing', count(*) FROM p WHERE key % 97 = 5 AND key % 89 <> 3",
+)
 add("O-02_shingles", lambda m: sets(m).groupBy("key").agg(F.count("*").alias("n"), F.min("hash").alias("least")), f"WITH {SETS} SELECT key, count(*) AS n, min(hash) AS least FROM s GROUP BY key")
 add("A-06_shingle_scan", lambda m: sets(m).orderBy("key", "hash"), f"WITH {SETS} SELECT key, hash FROM s")
 add("O-03_eligible", lambda m: sets(m).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= I.least_shingles(50)), f"WITH {SETS} SELECT key, count(*) AS n FROM s GROUP BY key HAVING count(*) >= 11")

@@ -94,7 +94,7 @@ def flushes(events: DataFrame, c: Cadence = Cadence()) -> DataFrame:
             yield pd.DataFrame(out, columns=["root", "started_at", "events", "paths"])
         yield pd.DataFrame([(root, *b) for b in state.upto(float("inf"))], columns=["root", "started_at", "events", "paths"])
 
-    rows = events.where("root is not null and ts is not null").select("root", (F.unix_micros("ts") / 1e6).alias("at"), "path")
+    rows = events.where("root is not null and ts is not null").select("root", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "path")
     ordered = rows.repartition("root").sortWithinPartitions("root", "at", "path")
     found = ordered.mapInPandas(run, "root string, started_at double, events bigint, paths array<string>")
     return found.withColumn("paths", F.array_join("paths", ","))

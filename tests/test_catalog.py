@@ -47,3 +47,9 @@ def test_same_rows(spark, duck, name):
 def test_every_query_has_sql():
     """But for those that SQL can't express; these have tests of their own."""
     assert set(QUERIES) - set(ORACLE) == {"T-01_flushes"}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0

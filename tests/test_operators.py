@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timezone
 
 import numpy as np
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import predicates as P
 from codeloom.functions import scalars as S
+from codeloom.operators import cycles as C
 from codeloom.operators import graph as G
 from codeloom.operators import history as H
-from codeloom.operators import local
 from codeloom.operators import quality as K
 from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
+from codeloom.operators import traverse as V
 from codeloom.operators.shared import spread
 from codeloom.sources import readers
 from codeloom.streaming import changes as T
@@ -79,23 +81,23 @@ def test_coverage_rounding(spark, covered, lines, bp):
 
 def test_strong_components_and_depth(spark):
     e = edges(spark, (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (7, 7), (8, 1))
-    assert dict(rows(G.strong_components(e))) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
-    assert G.longest_path(e.select(F.col("source").alias("id")), e) == 4
-    assert G.longest_path(spark.createDataFrame([], "id bigint"), e.limit(0)) == 0
+    assert dict(rows(C.strong_components(e))) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+    assert C.longest_path(e.select(F.col("source").alias("id")), e) == 4
+    assert C.longest_path(spark.createDataFrame([], "id bigint"), e.limit(0)) == 0
 
 
 def test_reach_of_a_cycle_ends(spark):
     e = edges(spark, (1, 2), (2, 3), (3, 1), (3, 4))
     seeds = spark.createDataFrame([(1,)], "id bigint")
-    assert rows(G.reach(e, seeds)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
-    assert rows(G.reach(e, seeds, 1)) == [(1, 0), (2, 1)]
-    assert rows(G.reach(e, seeds.limit(0))) == []
+    assert rows(V.reach(e, seeds)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert rows(V.reach(e, seeds, 1)) == [(1, 0), (2, 1)]
+    assert rows(V.reach(e, seeds.limit(0))) == []
 
 
 def test_components_of_a_long_chain(spark):
     ids = spark.range(1, 41).select(F.col("id"))
     e = spark.range(1, 40).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
-    assert {c for _, c in rows(G.components(ids, e))} == {1}
+    assert {c for _, c in rows(C.components(ids, e))} == {1}
 
 
 def test_winnowing_takes_the_rightmost_least(spark):
@@ -164,44 +166,108 @@ def closure(n, e):
         reach = more
 
 
-def test_graphs_in_one_task_are_those_of_the_definition():
-    for n, e in small_graphs():
-        reach = closure(n, e)
-        source, target = (np.array([x[k] for x in e], np.int64) for k in (0, 1))
-        first, to = local.adjacency(source, target, n)
-        scc = local.strong(first, to)
-        assert scc.tolist() == [min(j for j in range(n) if (i, j) in reach and (j, i) in reach) for i in range(n)]
-        both = closure(n, e + [(b, a) for a, b in e])
-        assert local.least_linked(source, target, n).tolist() == [min(j for j in range(n) if (i, j) in both) for i in range(n)]
-        steps = local.distances(first, to, np.array([0]), 1 << 30)
-        assert [i for i in range(n) if steps[i] >= 0] == [i for i in range(n) if (0, i) in reach]
-        merged = sorted({(scc[a], scc[b]) for a, b in e if scc[a] != scc[b]})
-        names = sorted(set(scc.tolist()))
-        at = {v: k for k, v in enumerate(names)}
-
-        def deepest(v):
-            return 1 + max((deepest(b) for a, b in merged if a == v), default=0)
-
-        s, t = (np.array([at[x[k]] for x in merged], np.int64) for k in (0, 1))
-        assert local.longest(s, t, len(names)) == max(map(deepest, names))
-
-
-def test_large_graphs_take_the_distributed_way_to_the_same_end(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (18, 2))})
-    e = spark.createDataFrame(pairs, "source bigint, target bigint")
-    seeds = spark.createDataFrame([(pairs[0][0],)], "id bigint")
-    nodes = spark.range(14)
-
-    def answers():
-        return (
-            sorted(map(tuple, G.reach(e, seeds).collect())), sorted(map(tuple, G.strong_components(e).collect())),
-            sorted(map(tuple, G.components(nodes, e).collect())), G.longest_path(nodes, e),
-        )
-
-    small = answers()
-    monkeypatch.setattr(local, "MOST_EDGES", 5)
-    assert answers() == small
+def test_graphs_are_those_of_the_definition(spark):
+    """Many small graphs side by side as one, with rings and chains among them."""
+    pairs, sizes, start = [], [], 0
+    rings = [(5, [(i, (i + 1) % 5) for i in range(5)]), (9, [(i, i + 1) for i in range(8)]), (7, [(i, i + 1) for i in range(6)] + [(6, 0), (3, 0)])]
+    for n, e in [*small_graphs(), *rings]:
+        pairs += [(a + start, b + start) for a, b in e]
+        sizes.append((start, n, e))
+        start += n
+    df = edges(spark, *pairs)
+    scc = dict(rows(C.strong_components(df)))
+    linked = dict(rows(C.components(spark.range(start), df)))
+    reached = {i for i, _ in rows(V.reach(df, spark.createDataFrame([(at,) for at, _, _ in sizes], "id bigint")))}
+    deepest = 0
+    for at, n, e in sizes:
+        reach, both = closure(n, e), closure(n, e + [(b, a) for a, b in e])
+        own = [min(j for j in range(n) if (i, j) in reach and (j, i) in reach) for i in range(n)]
+        assert [scc.get(i + at, i + at) - at for i in range(n)] == own
+        assert [linked[i + at] - at for i in range(n)] == [min(j for j in range(n) if (i, j) in both) for i in range(n)]
+        assert {i for i in range(n) if i + at in reached} == {i for i in range(n) if (0, i) in reach}
+        merged = {(own[a], own[b]) for a, b in e if own[a] != own[b]}
+
+        def depth(v, merged=merged):
+            return 1 + max((depth(b) for a, b in merged if a == v), default=0)
+
+        deepest = max(deepest, *map(depth, own))
+    assert C.longest_path(spark.range(start), df) == deepest
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """How many times a table is written in the rounds of cycles."""
+    seen = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: (seen.append(1), cut(df))[1])
+    return seen
+
+
+def test_long_chains_and_rings_take_few_rounds(spark, rounds):
+    n = 100_000
+    ids = spark.range(n)
+    scrambled = lambda c: (c * 7919 % n).alias  # noqa: E731  neighbours have distant ids
+    chain = ids.where(f"id < {n - 1}").select(scrambled(F.col("id"))("source"), scrambled(F.col("id") + 1)("target"))
+    ring = ids.select((F.col("id") + n).alias("source"), ((F.col("id") + 1) % n + n).alias("target"))
+    found = C.strong_components(chain.union(ring)).groupBy("scc").agg(F.count("*").alias("n"))
+    assert found.where("n > 1").collect() == [(n, n)] and found.count() == n + 1
+    assert len(rounds) < 40
+    rounds.clear()
+    assert C.longest_path(ids, chain) == n
+    assert len(rounds) < 80  # strong components first, then depth
+
+
+def test_a_random_graph_takes_few_rounds(spark, rounds):
+    rng = np.random.default_rng(2)
+    n = 3000
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2))})
+    found = dict(rows(C.strong_components(edges(spark, *pairs))))
+    after, before = [[] for _ in range(n)], [[] for _ in range(n)]
+    for a, b in pairs:
+        after[a].append(b)
+        before[b].append(a)
+
+    def reached(v, step):
+        seen, todo = {v}, [v]
+        while todo:
+            todo = [y for x in todo for y in step[x] if y not in seen and not seen.add(y)]
+        return seen
+
+    left, want = set(found), {}
+    while left:
+        v = min(left)
+        both = reached(v, after) & reached(v, before)
+        want |= dict.fromkeys(both, v)
+        left -= both
+    assert found == want
+    assert len(rounds) < 40
+
+
+def test_a_search_reads_the_buckets_of_its_frontier(spark):
+    e = spark.range(20_000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    kept = V.adjacency(e, 64)
+    assert kept.rows.count() == 20_000
+    frontier = spark.createDataFrame([(5,), (6,)], "id bigint")
+    step = kept.of(frontier)
+    assert len(kept.touched(frontier)) <= 2 and rows(step) == [(5, 6), (6, 7)]
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan)
+    seeds = spark.createDataFrame([(7,), (None,)], "id bigint")
+    assert rows(V.reach(kept, seeds, 3)) == rows(V.reach(e.where("source < 50"), seeds, 3)) == [(7, 0), (8, 1), (9, 2), (10, 3)]
+
+
+def test_searches_by_owner_stay_apart(spark):
+    e = edges(spark, (1, 2), (2, 3), (5, 2), (3, 1))
+    seeds = spark.createDataFrame([("a", 1), ("b", 5), ("c", None)], "member string, id bigint")
+    assert rows(V.reach_by(e, seeds, "member")) == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 1, 3), ("b", 2, 1), ("b", 3, 2), ("b", 5, 0)]
+
+
+def test_ancestors_at_any_depth_and_on_cycles(spark):
+    chain = [(i, i + 1) for i in range(1, 90)]
+    e = edges(spark, *chain, (200, 201), (201, 202), (202, 200), (300, 300)).withColumn("kind", F.lit("contains"))
+    nodes = spark.createDataFrame([(i, "module" if i == 1 else "f") for i in [*range(1, 91), 200, 201, 202, 300]], "id bigint, kind string")
+    got = {r["id"]: (r["ancestor"], r["depth"]) for r in G.nearest_ancestor(nodes, e, "module").collect()}
+    assert got[90] == (1, 89) and got[1] == (1, 0) and got[201] == got[300] == (None, None)
 
 
 def test_similar_sets_are_those_of_all_pairs(spark):
