@@ -15,14 +15,15 @@ apply to sums only.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +32,10 @@ from codeloom.llm.common import materialize, release_heavy, small_batches
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 UNKNOWN = "und"
-TOKEN = re.compile(rb"[^ \n]+|\n")
 # One translation for all that the definition asks of single bytes: A-Z, breaks, tabs.
 PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK = 1 << 16  # cells that are summed together
 SHARD = 8 << 20  # characters of text that a task works on at once
-COUNTED_WORDS = 200_000  # distinct words after which a task hands its counts on
 SALTS = 64
 
 
@@ -65,12 +64,15 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, str]]:
         yield {k: "\n".join(v) for k, v in held.items()}
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Lower-cased words in order, and a line end where a piece ends."""
-    return TOKEN.findall(text.encode("utf-8", "replace").translate(PLAIN))
+def numbered(text: str) -> tuple[np.ndarray, pa.Array]:
+    """Lower-cased words in order as numbers, and the distinct ones; a line end stands where a piece ends."""
+    data = text.encode("utf-8", "replace").translate(PLAIN).replace(b"\n", b" \n ")
+    parts = pc.split_pattern(pa.array([data], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+    found = parts.filter(pc.not_equal(parts, "")).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
 
 
-def word_hash(lang: str, word: bytes) -> int:
+def word_hash(lang: str, word: str) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
 
 
@@ -80,16 +82,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """A shard of one language as numbers: each token's place among the distinct words (0: a break), and words' hashes."""
+    """A shard of one language as numbers: each token's place among the distinct words (``broken``: a piece ends), and words' hashes."""
 
     def __init__(self, lang: str, text: str) -> None:
-        tokens = tokens_of(text)
-        distinct = dict.fromkeys(tokens)
-        distinct.pop(b"\n", None)
-        self.words = [b"\n", *distinct]
-        index = {w: i for i, w in enumerate(self.words)}
-        self.at = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-        self.hashes = np.fromiter((word_hash(lang, w) for w in self.words), np.uint64, len(self.words))
+        at, words = numbered(text)
+        self.names = words.to_pylist()
+        self.broken = self.names.index("\n") if "\n" in self.names else -1
+        self.at = at
+        self.hashes = np.fromiter((word_hash(lang, w) for w in self.names), np.uint64, len(self.names))
 
     def windows(self, n: int, allowed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows of n words without a break, all of whose shorter windows the bitmaps allow.
@@ -97,7 +97,7 @@ class Words:
         allowed[k] has a bit for each cell of windows of k + 1 words.
         """
         h = self.hashes[self.at]
-        good = self.at > 0
+        good = self.at != self.broken
         for k in range(1, n + 1):
             if k > 1:
                 h = _mixed(h[:-1] * np.uint64(31)) + self.hashes[self.at[k - 1 :]]
@@ -120,28 +120,16 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 def count_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, word, n) over all texts. A task hands its counts on whenever it holds many words."""
+    """(lang, word, n) over all texts, counted by shards first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_heavy()
-        counts: dict[str, Counter] = {}
-
-        def out(k: str) -> pa.RecordBatch:
-            words = [w.decode("utf-8", "replace") for w in counts[k]]
-            return pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(list(counts[k].values()), pa.int64())], ["lang", "word", "n"])
-
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = tokens_of(t)
-                counts.setdefault(k, Counter()).update(found)
-            if sum(map(len, counts.values())) > COUNTED_WORDS:
-                for k in counts:
-                    counts[k].pop(b"\n", None)
-                    yield out(k)
-                counts.clear()
-        for k in counts:
-            counts[k].pop(b"\n", None)
-            yield out(k)
+        for shard in shards(batches):
+            for k, t in shard.items():
+                at, words = numbered(t)
+                n = pa.array(np.bincount(at, minlength=len(words)), pa.int64())
+                found = pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.string()), words.cast(pa.string()), n], ["lang", "word", "n"])
+                yield found.filter(pc.not_equal(words, "\n"))
 
     parts = _texts(docs, lang, text).mapInArrow(run, "lang string, word string, n bigint")
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -161,7 +149,7 @@ def word_cells(words: DataFrame, n_cells: int) -> DataFrame:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            cell = Words.cells(np.fromiter((word_hash(k, w.encode("utf-8", "replace")) for k, w in pairs), np.uint64, batch.num_rows), n_cells)
+            cell = Words.cells(np.fromiter((word_hash(k, w) for k, w in pairs), np.uint64, batch.num_rows), n_cells)
             yield from _blocks(cell, np.full(len(cell), 255, np.uint8))
 
     return _frequent(words.select("lang", "word").mapInArrow(cells, "block int, offsets binary, counts binary"), 1)
@@ -215,27 +203,34 @@ def window_cells(texts: DataFrame, n: int, allowed: list, n_cells: int, least: i
     return _frequent(texts.mapInArrow(run, "block int, offsets binary, counts binary"), least)
 
 
+def distinct_rows(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
+    """The distinct windows of n words among those at ``starts``, a row of word numbers each."""
+    base, rows = len(words.names), words.at[starts[:, None] + np.arange(n)].astype(np.int64)
+    if base**n >= 1 << 62:
+        return np.unique(rows, axis=0)
+    weights = base ** np.arange(n - 1, -1, -1, dtype=np.int64)
+    return np.unique(rows @ weights)[:, None] // weights % base
+
+
 def scan(words: Words, lengths: range, allowed: list[np.ndarray]) -> Iterator[tuple[list[str], int, np.ndarray]]:
     """(phrases, their length, counts): a shard's candidates, counted by one scan of its delimited text."""
-    found: list[tuple[int, np.ndarray]] = []
+    names, found = words.names, []
     for n in lengths:
         starts, _ = words.windows(n, allowed)
         if len(starts):
-            found.append((n, np.unique(words.at[starts[:, None] + np.arange(n)], axis=0) if n > 1 else words.at[starts]))
+            found.append((n, [" ".join([names[i] for i in row]) for row in distinct_rows(words, starts, n).tolist()]))
     if not found:
         return
-    names = [w.decode("utf-8", "replace") for w in words.words]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    phrases = [[" ".join([names[i] for i in row]) for row in rows.tolist()] for _, rows in found]
-    for k, phrase in enumerate(p for group in phrases for p in group):
+    for k, phrase in enumerate(chain.from_iterable(p for _, p in found)):
         automaton.add_word(f" {phrase} ", k)
     automaton.make_automaton()
     text = " ".join(["", *map(names.__getitem__, words.at.tolist()), ""])
-    counts = np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=sum(map(len, phrases)))
+    counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(automaton))
     at = 0
-    for (n, _), group in zip(found, phrases):
-        yield group, n, counts[at : at + len(group)]
-        at += len(group)
+    for n, phrases in found:
+        yield phrases, n, counts[at : at + len(phrases)]
+        at += len(phrases)
 
 
 def count_candidates(texts: DataFrame, allowed: list, config: MineConfig) -> DataFrame:
