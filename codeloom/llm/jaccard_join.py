@@ -439,6 +439,34 @@ def compare_blocks(c: JoinConfig):
     return run
 
 
+def rarest_shared(nodes: DataFrame, c: JoinConfig) -> DataFrame:
+    """(code, node, size, component, sketch): the shingles by which documents (node, size, component, words, sketch) can be similar.
+
+    Of two similar sets each has all but a quarter of its shingles from the other, so in one
+    order for all they share one of the first quarter and one more. The order is by how many
+    of these documents have a shingle, and those that only one has lead nowhere: pages of
+    one template with more than a quarter of their own never meet, however many they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_heavy()
+        for batch in batches:
+            sets = [shingles(w.split(), c).view(np.int64) for w in batch.column(1).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "codes"])
+
+    nodes = materialize(nodes, "jaccard-open-nodes")
+    each = nodes.select("node", "words").mapInArrow(run, "node bigint, codes array<bigint>").select("node", F.explode("codes").alias("code"))
+    each = materialize(each, "jaccard-open-shingles")
+    often = materialize(each.groupBy("code").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-open-counts")
+    held = each.join(often, "code").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("codes"))  # of one document
+    first = F.col("size") - F.ceil(F.col("size") * c.percent / 100) + 1
+    own = F.col("size") - F.size("codes")  # that no other has come first
+    few = nodes.join(held, "node").withColumn("codes", F.slice("codes", 1, F.greatest(first - own, F.lit(0)).cast("int")))
+    return few.select(F.explode("codes.code").alias("code"), "node", "size", "component", "sketch")
+
+
 def across(members: DataFrame, c: JoinConfig) -> DataFrame:
     """(a, b): pairs that may be links, of documents with a subset in common and in different components.
 
@@ -520,11 +548,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", c:
     failed = judged.where("not linked").select("a", "b")
     if not failed.isEmpty():
         groups = materialize(groups, "jaccard-groups")
-        # Subsets of failed pairs: all that have them, by the component they are in so far.
+        # All that have a subset of a failed pair, with the component they are in so far, by their rarest shingles.
         open_codes = shared.join(failed, ["a", "b"], "left_semi").select("code").distinct()
-        members = shared.join(open_codes, "code").select("code", F.col("b").alias("node"), "size")
-        members = members.join(groups, "node", "left").join(sets.select(F.col("key").alias("node"), "sketch"), "node")
-        members = materialize(members.select("code", "node", "size", F.coalesce("component", "node").alias("component"), "sketch"), "jaccard-open")
+        nodes = shared.join(open_codes, "code").select(F.col("b").alias("node"), "size").distinct()
+        nodes = nodes.join(groups, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"))
+        members = materialize(rarest_shared(nodes.join(sets.withColumnRenamed("key", "node"), "node"), c), "jaccard-open")
         more = materialize(across(members, c).distinct().join(failed, ["a", "b"], "left_anti"), "jaccard-pairs-2")
         again = materialize(verified(more, sets, c).where("linked").select("a", "b"), "jaccard-judged-2")
         groups = connected(again.union(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
