@@ -89,17 +89,6 @@ def matches_glob(path: Column, glob: str, separators: bool = True) -> Column:
     return path.rlike(glob_pattern(glob, separators))
 
 
-def first_glob(path: Column, layers: list[tuple[str, list[str]]]) -> Column:
-    """The first layer, in the order given, one of whose globs matches; null where none does."""
-    out = None
-    for name, globs in layers:
-        hit = F.lit(False)
-        for g in globs:
-            hit = hit | matches_glob(path, g)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out if out is not None else F.lit(None).cast("string")
-
-
 def is_test_path(path: Column) -> Column:
     """A folder for tests on the way, or a file named as a test."""
     folder = path.rlike(r"(^|/)(" + "|".join(TEST_FOLDERS) + r")/")

@@ -179,12 +179,6 @@ def boundary_violations(edges: DataFrame, file_layers: DataFrame, forbidden: lis
     return hit.select("r.rule", "source", "target").distinct()
 
 
-def forbidden_imports(edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(rule, source, target) of file edges whose ends match a rule's two globs. Rules are few and become columns."""
-    hits = F.array_compact(F.array(*[F.when(matches_glob(F.col("source"), a) & matches_glob(F.col("target"), b), f"{a} -> {b}") for a, b in rules]))
-    return edges.select(F.explode(hits).alias("rule"), "source", "target").distinct()
-
-
 def untested(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """Exported callables that no test reaches by calls."""
     tests = functions.where("is_test").select("id")

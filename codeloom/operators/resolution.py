@@ -421,12 +421,6 @@ def member_reach(nodes: DataFrame, edges: DataFrame, bridges: DataFrame) -> tupl
     return verdicts, tally.fillna(0, ["seeds", "unresolved", "promoted", "dead"])
 
 
-def service_boundary_violations(bridges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(rule, member, symbol, to_member): bridges between repositories that a rule's globs keep apart."""
-    hit = F.array_compact(F.array(*[F.when(matches_glob(F.col("member"), a) & matches_glob(F.col("to_member"), b), f"{a} -> {b}") for a, b in rules]))
-    return bridges.select(F.explode(hit).alias("rule"), "member", "symbol", "to_member")
-
-
 def portable_key(kind: Column, name: Column) -> Column:
     """struct(protocol, key, role) of a contract node; null for kinds without a contract.
 

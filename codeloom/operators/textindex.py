@@ -48,7 +48,7 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> TextIndex:
-        """The index of documents with distinct keys; rows with a null key are left out, and texts without tokens don't count as documents."""
+        """The index of documents. Rows that repeat a key are one document, rows with a null key are left out, and texts without tokens don't count as documents."""
         kind = docs.schema[key].dataType.simpleString()
         return cls(docs.sparkSession, (), buckets, 0, 0, kind).updated(docs, key, text)
 
@@ -65,7 +65,7 @@ class TextIndex:
         held.select("token", "key", "places", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
         tokens = self.spark.read.schema("token string, bucket int").parquet(f"{path}/postings").select("token").distinct()
         tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
-        rows.select("key", F.size(tokens_of(F.col("text"))).cast("bigint").alias("n")).where("n > 0").write.parquet(f"{path}/lengths")
+        rows.groupBy("key").agg(F.sum(F.size(tokens_of(F.col("text")))).alias("n")).where("n > 0").write.parquet(f"{path}/lengths")
         gone = rows.select("key") if deleted is None else rows.select("key").union(deleted.where("key is not null").select("key"))
         gone.distinct().write.parquet(f"{path}/gone")
         added = self._lengths_of(path).agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()

@@ -15,6 +15,7 @@ from codeloom.operators import relational as R
 from codeloom.operators import resolution as Q
 from codeloom.operators import search as I
 from codeloom.operators import store as U
+from codeloom.operators.globs import paired
 from codeloom.operators.traverse import reach
 from codeloom.plans.history import COMPLEXITY, MEASURES, complexity, coverage, measures
 from codeloom.plans.registry import add
@@ -30,7 +31,7 @@ add("C-01_node_file_join", lambda m: R.with_file(m.nodes, m.files).groupBy("lang
 add("C-11_hotspot_join", lambda m: measures(m).select("path", "commits").join(complexity(m), "path"), f"WITH {MEASURES}, {COMPLEXITY} SELECT path, commits, CAST(cc AS BIGINT) AS cc FROM m JOIN cx USING (path)")
 add("C-14_posting_join", lambda m: I.clone_pairs(m.edges.where("kind = 'calls'").select(F.col("source").alias("key"), F.col("target").alias("hash")), 0.05).select("a", "b", "shared"),
     "WITH s AS (SELECT source AS key, target AS hash FROM edges WHERE kind = 'calls'), n AS (SELECT key, count(*) AS n FROM s GROUP BY key), c AS (SELECT x.key AS a, y.key AS b, count(*) AS shared FROM s x JOIN s y ON x.hash = y.hash AND x.key < y.key GROUP BY ALL) SELECT a, b, shared FROM c JOIN n p ON a = p.key JOIN n q ON b = q.key WHERE shared / (p.n + q.n - shared) >= 0.05")
-add("C-16_glob_rules", lambda m: K.forbidden_imports(R.cross_file_edges(m.edges.where("kind = 'references'"), m.nodes).select(F.col("source_file").alias("source"), F.col("target_file").alias("target")), [("src/m1*/**", "src/m2/**"), ("src/m?/s*.rs", "src/m2?/**")]),
+add("C-16_glob_rules", lambda m: paired(R.cross_file_edges(m.edges.where("kind = 'references'"), m.nodes).select(F.col("source_file").alias("source"), F.col("target_file").alias("target")).distinct(), [("src/m1*/**", "src/m2/**"), ("src/m?/s*.rs", "src/m2?/**")]),
     """WITH e AS (SELECT DISTINCT s.file_path AS source, t.file_path AS target FROM edges e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE e.kind = 'references' AND s.file_path <> t.file_path)
     SELECT 'src/m1*/** -> src/m2/**' AS rule, * FROM e WHERE regexp_matches(source, '^src/m1[^/]*/') AND target LIKE 'src/m2/%' UNION ALL SELECT 'src/m?/s*.rs -> src/m2?/**', * FROM e WHERE regexp_matches(source, '^src/m[^/]/s[^/]*\\.rs$') AND regexp_matches(target, '^src/m2[^/]/')""")
 add("D-11_window_totals", lambda m: m.commits.agg(F.count("*").alias("commits"), F.sum("file_count").alias("changes"), F.round(F.avg("file_count")).cast("bigint").alias("mean_files")), "SELECT count(*) AS commits, CAST(sum(file_count) AS BIGINT) AS changes, CAST(round(avg(file_count)) AS BIGINT) AS mean_files FROM commits")

@@ -57,9 +57,6 @@ add(
     ),
     "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'while' ELSE 'if' END || ' I { return I ( L ) ; }' AS t FROM part",
 )
-add("L-26_scan", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).agg(F.count("*").alias("violations"), F.countDistinct("rule").alias("rules")).join(K.function_quality(m.functions.where("not is_test")).select(F.round(F.col("nesting") * 10000).cast("bigint").alias("nesting_bp"))),
-    "SELECT (SELECT count(*) FROM functions WHERE cc > 45) + (SELECT count(*) FROM functions WHERE line_count > 140) AS violations, (SELECT CAST(count(*) FILTER (cc > 45) > 0 AS BIGINT) + CAST(count(*) FILTER (line_count > 140) > 0 AS BIGINT) FROM functions) AS rules, (SELECT CAST(round(greatest(1 - avg(CAST(nesting >= 4 AS INT)), 0.01) * 10000) AS BIGINT) FROM functions WHERE NOT is_test) AS nesting_bp")
-
 NAMES = "p AS (SELECT id AS key, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+') AS w FROM nodes)), len AS (SELECT key, count(*) AS n FROM p GROUP BY key), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"
 RANK = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))"
 

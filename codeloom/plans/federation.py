@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import federation as S
 from codeloom.operators import resolution as Q
+from codeloom.operators.globs import paired
+from codeloom.operators.shared import fresh_path, written
 from codeloom.plans.registry import add
 
 SOLE = "sole AS (SELECT key, min(member) AS pm, min(symbol) AS ps FROM providers GROUP BY key HAVING count(*) = 1)"
@@ -48,7 +51,20 @@ add(
 add("D-31_cross_coverage", lambda m: Q.cross_coverage(Q.consumer_outcomes(m.providers, m.consumers)), f"WITH {OUT} SELECT count(*) FILTER (outcome = 'bound') AS bound, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'no-provider') AS no_provider, CAST(round(count(*) FILTER (outcome = 'bound') / count(*) FILTER (outcome IN ('bound', 'ambiguous')) * 10000) AS BIGINT) AS bound_bp FROM o")
 add("D-32_topic_inventory", lambda m: Q.topic_inventory(m.sql(f"SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused'"), m.sql(TOPICS)),
     f"SELECT t.topic, count(DISTINCT CASE WHEN role = 'producer' THEN symbol END) AS producers, count(DISTINCT CASE WHEN role = 'consumer' THEN symbol END) AS consumers FROM (SELECT DISTINCT tool AS topic FROM usage UNION ALL SELECT 'unused') t LEFT JOIN ({TOPICS}) l ON t.topic = l.topic GROUP BY t.topic")
-add("Q-01_fan_out_members", lambda m: m.providers.withColumn("side", F.lit("provider")).unionByName(m.consumers.withColumn("side", F.lit("consumer"))).groupBy("member", "side").agg(F.count("*").alias("n")), "SELECT member, side, count(*) AS n FROM (SELECT member, 'provider' AS side FROM providers UNION ALL SELECT member, 'consumer' FROM consumers) GROUP BY ALL")
+def member_tables(m):
+    """A folder for each member's providers; of one there is none."""
+    folder = written(m.providers, "member-providers")
+    paths = {f"repo{i}": folder.where(F.col("member") == f"repo{i}") for i in range(5)}
+    return {**{name: (lambda rows=rows: rows.select("key", "symbol")) for name, rows in paths.items()}, "repo9": lambda: m.spark.read.parquet(fresh_path(m.spark, "no-such-member"))}
+
+
+def fanned(m):
+    rows, errors = S.fan_out(m.spark, member_tables(m), "key string, symbol string")
+    counted = rows.groupBy("member").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("error"))
+    return counted.unionByName(errors.select("member", F.lit(0).cast("bigint").alias("n"), "error"))
+
+
+add("Q-01_fan_out_members", fanned, "SELECT member, count(*) AS n, NULL AS error FROM providers GROUP BY member UNION ALL SELECT 'repo9', 0, 'PATH_NOT_FOUND'")
 add("Q-02_contract_surface", lambda m: m.providers.groupBy("member").agg(F.countDistinct("key").alias("keys"), F.count("*").alias("endpoints")), "SELECT member, count(DISTINCT key) AS keys, count(*) AS endpoints FROM providers GROUP BY member")
 add("Q-04_bridge_counts", lambda m: bridges(m).groupBy("member", "to_member").agg(F.count("*").alias("n")), f"WITH {BRIDGE} SELECT member, to_member, count(*) AS n FROM b GROUP BY ALL")
 add("Q-05_endpoint_dedup", lambda m: m.consumers.withColumn("key", F.split("key", r"\|")[0]).dropDuplicates(["key", "member"]).select("key", "member"), "SELECT DISTINCT split_part(key, '|', 1) AS key, member FROM consumers")
@@ -57,7 +73,7 @@ add("Q-07_cross_callers", lambda m: bridges(m).where("to_member = 'repo2'").sele
 add("Q-07_route_providers", lambda m: bridges(m).groupBy("to_member", "to_symbol").agg(F.countDistinct("member").alias("members")), f"WITH {BRIDGE} SELECT to_member, to_symbol, count(DISTINCT member) AS members FROM b GROUP BY ALL")
 add(
     "Q-09_service_boundaries",
-    lambda m: Q.service_boundary_violations(bridges(m), [("repo1", "repo[!2]"), ("repo*", "repo{4,9}")]).groupBy("rule", "member").agg(F.count("*").alias("n")),
+    lambda m: paired(bridges(m), [("repo1", "repo[!2]"), ("repo*", "repo{4,9}")], "member", "to_member").groupBy("rule", "member").agg(F.count("*").alias("n")),
     f"""WITH {BRIDGE} SELECT 'repo* -> repo{{4,9}}' AS rule, member, count(*) AS n FROM b WHERE to_member = 'repo4' GROUP BY member
     UNION ALL SELECT 'repo1 -> repo[!2]', member, count(*) FROM b WHERE member = 'repo1' AND to_member <> 'repo2' GROUP BY member""",
 )

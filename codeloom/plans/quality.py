@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import basis_points
 from codeloom.operators import quality as K
 from codeloom.operators import relational as R
+from codeloom.operators import rules as L
+from codeloom.operators.globs import paired
 from codeloom.plans.registry import add
 
 PROD = "SELECT * FROM functions WHERE NOT is_test"
@@ -106,13 +108,22 @@ add("K-14_worst_offenders", lambda m: K.offenders(prod(m).where("cc is not null"
 add("L-02_max_cc", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45), "SELECT 'max_cc' AS rule, name AS subject, cc AS value FROM functions WHERE cc > 45")
 add("L-03_max_fn_lines", lambda m: K.over(m.functions, "max_fn_lines", "name", "line_count", 140), "SELECT 'max_fn_lines' AS rule, name AS subject, line_count AS value FROM functions WHERE line_count > 140")
 add("L-04_no_god_files", lambda m: K.over(m.edges.where("kind = 'contains'").groupBy("source").agg(F.count("*").alias("n")), "no_god_files", "source", "n", 20), "SELECT 'no_god_files' AS rule, CAST(source AS VARCHAR) AS subject, count(*) AS value FROM edges WHERE kind = 'contains' GROUP BY source HAVING count(*) > 20")
+# Between directories of production code.
+MODULE_EDGES = """SELECT DISTINCT a.module AS source, b.module AS target FROM imports JOIN file_modules a ON source = a.id JOIN file_modules b ON target = b.id
+    JOIN functions f ON f.id = a.id AND NOT f.is_test JOIN functions g ON g.id = b.id AND NOT g.is_test WHERE a.module <> b.module"""
 add(
     "L-05_coupling",
-    lambda m: K.over(K.coupling(m.imports, True), "max_fan_in", "module", "n", 2).union(K.over(K.coupling(m.imports, False), "max_fan_out", "module", "n", 0)),
-    """SELECT 'max_fan_in' AS rule, CAST(target AS VARCHAR) AS subject, count(DISTINCT source) AS value FROM imports GROUP BY target HAVING count(DISTINCT source) > 2
-    UNION ALL SELECT 'max_fan_out', CAST(source AS VARCHAR), count(DISTINCT target) FROM imports GROUP BY source HAVING count(DISTINCT target) > 0""",
+    lambda m: K.over(K.coupling(m.sql(MODULE_EDGES), True), "max_fan_in", "module", "n", 15).union(K.over(K.coupling(m.sql(MODULE_EDGES), False), "max_fan_out", "module", "n", 15)),
+    f"""SELECT 'max_fan_in' AS rule, CAST(target AS VARCHAR) AS subject, count(*) AS value FROM ({MODULE_EDGES}) GROUP BY target HAVING count(*) > 15
+    UNION ALL SELECT 'max_fan_out', CAST(source AS VARCHAR), count(*) FROM ({MODULE_EDGES}) GROUP BY source HAVING count(*) > 15""",
+)
+add(
+    "L-06_max_dead",
+    lambda m: prod(m).agg(F.lit("max_dead").alias("rule"), F.count_if(F.col("is_dead")).alias("value")).select(
+        "*", (F.col("value") > L.Budget(most=20).limit(10)).alias("over_most"), (F.col("value") > L.Budget(delta=3).limit(10)).alias("over_baseline"), F.lit(L.Budget(delta=3).limit(None) is None).alias("no_baseline")
+    ),
+    "SELECT 'max_dead' AS rule, count(*) FILTER (is_dead) AS value, count(*) FILTER (is_dead) > 20 AS over_most, count(*) FILTER (is_dead) > 13 AS over_baseline, true AS no_baseline FROM functions WHERE NOT is_test",
 )
-add("L-06_max_dead", lambda m: m.functions.agg(F.lit("max_dead").alias("rule"), F.count_if(F.col("is_dead")).alias("value")), "SELECT 'max_dead' AS rule, count(*) FILTER (is_dead) AS value FROM functions")
 add("L-07_max_duplicates", lambda m: m.functions.agg(F.lit("max_duplicates").alias("rule"), F.count_if(F.col("is_duplicate")).alias("value")), "SELECT 'max_duplicates' AS rule, count(*) FILTER (is_duplicate) AS value FROM functions")
 add("L-08_max_nesting", lambda m: K.over(prod(m), "max_nesting_depth", "name", "nesting", 4), f"SELECT 'max_nesting_depth' AS rule, name AS subject, nesting AS value FROM ({PROD}) WHERE nesting > 4")
 add("L-09_brain_methods", lambda m: prod(m).where(K.is_brain(K.Thresholds())).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM ({PROD}) WHERE cc >= 15 AND line_count >= 100 AND nesting >= 3")
@@ -125,15 +136,68 @@ add(
 )
 add(
     "L-14_forbidden_imports",
-    lambda m: K.forbidden_imports(files(m)[0], [("src/m0/*", "src/m2*/**"), ("src/m*/f1*", "src/{m3,m4}/*")]),
+    lambda m: paired(files(m)[0].distinct(), [("src/m0/*", "src/m2*/**"), ("src/m*/f1*", "src/{m3,m4}/*")]),
     f"""SELECT DISTINCT 'src/m0/* -> src/m2*/**' AS rule, source, target FROM ({FILES}) WHERE source LIKE 'src/m0/%' AND target LIKE 'src/m2%'
     UNION ALL SELECT DISTINCT 'src/m*/f1* -> src/{{m3,m4}}/*', source, target FROM ({FILES}) WHERE source LIKE 'src/m%/f1%' AND (target LIKE 'src/m3/%' OR target LIKE 'src/m4/%')""",
 )
 add("L-15_untested", lambda m: K.untested(m.functions, m.edges).select("id"),
     "WITH RECURSIVE t AS (SELECT id FROM functions WHERE is_test UNION SELECT target FROM t JOIN edges ON id = source WHERE kind = 'calls') SELECT id FROM functions WHERE exported AND NOT is_test AND id NOT IN (SELECT id FROM t)")
 add("L-16_undocumented", lambda m: K.undocumented(m.functions.where("exported"), m.edges, m.nodes).select("id"), "SELECT id FROM functions WHERE exported AND id NOT IN (SELECT target FROM edges WHERE kind = 'doc_reference')")
-add("L-17_all_violations", lambda m: K.over(m.functions, "max_cc", "name", "cc", 45).unionByName(K.over(m.functions, "max_fn_lines", "name", "line_count", 140)).groupBy("rule").agg(F.count("*").alias("n")),
-    "SELECT * FROM (SELECT 'max_cc' AS rule, count(*) AS n FROM functions WHERE cc > 45 UNION ALL SELECT 'max_fn_lines', count(*) FROM functions WHERE line_count > 140) WHERE n > 0")
+POLICY = L.Policy(
+    limits={
+        "max_cycles": 0, "max_cc": 45, "max_fn_lines": 140, "no_god_files": 0, "max_fan_in": 15, "max_fan_out": 15, "max_dead": L.Budget(delta=3), "max_duplicates": L.Budget(most=5),
+        "max_nesting_depth": 4, "max_brain_methods": 0, "max_clone_ratio": 100, "no_god_containers": 0,
+    },
+    layers=[("low", ["src/m0/**", "src/m1/**"]), ("mid", ["src/m1?/**"]), ("high", ["src/**/f*.rs"])],
+    boundaries=[("high", "low"), ("mid", "low")],
+    forbidden=[("src/m2?/*", "src/m3/**"), ("src/**", "src/m4/f1*.rs")],
+    tested=["src/m1/**", "src/m2*/*"],
+    documented=["src/m3/*"],
+)
+BASELINE = {"max_dead": 10}
+CONTAINERS = "SELECT source AS id, count(*) AS methods, count(*) * 10 AS span FROM edges WHERE kind = 'contains' AND source > 2000000 GROUP BY source"
+
+
+def violations(m):
+    return L.evaluate(L.Facts(m.functions, m.imports, m.file_modules, m.sql(CONTAINERS), m.nodes, m.edges), POLICY, BASELINE)
+
+
+VIOLATIONS = f"""{CYCLES}, me AS ({MODULE_EDGES}),
+    fe AS (SELECT DISTINCT f.file_path AS source, g.file_path AS target FROM imports i JOIN functions f ON f.id = i.source AND NOT f.is_test JOIN functions g ON g.id = i.target AND NOT g.is_test WHERE f.file_path <> g.file_path),
+    ly AS (SELECT DISTINCT file_path AS path, CASE WHEN file_path LIKE 'src/m0/%' OR file_path LIKE 'src/m1/%' THEN 0 WHEN regexp_matches(file_path, '^src/m1[^/]/') THEN 1 ELSE 2 END AS layer FROM functions),
+    fl AS (SELECT source || ' -> ' || target AS subject, a.layer AS sl, b.layer AS tl FROM fe JOIN ly a ON a.path = source JOIN ly b ON b.path = target),
+    tested AS (SELECT id FROM functions WHERE is_test UNION SELECT target FROM tested JOIN edges ON id = source WHERE kind = 'calls'),
+    untested AS (SELECT * FROM functions WHERE exported AND NOT is_test AND id NOT IN (SELECT id FROM tested)),
+    counted AS (SELECT count(*) FILTER (is_dead) AS dead, count(*) FILTER (is_duplicate) AS dup, count(*) FILTER (cc >= 15 AND line_count >= 100 AND nesting >= 3) AS brain,
+        CAST(round(avg(CASE WHEN clone_group IS NOT NULL THEN 10000 ELSE 0 END)) AS BIGINT) AS clones FROM functions WHERE NOT is_test),
+    found AS (
+    SELECT 'constraints' AS section, 'max_cycles' AS rule, '' AS subject, count(*) AS value FROM big HAVING count(*) > 0
+    UNION ALL SELECT 'constraints', 'max_cc', name || '#' || id, cc FROM functions WHERE cc > 45
+    UNION ALL SELECT 'constraints', 'max_fn_lines', name || '#' || id, line_count FROM functions WHERE line_count > 140
+    UNION ALL SELECT 'constraints', 'no_god_files', file_path, count(*) FROM functions GROUP BY file_path
+    UNION ALL SELECT 'coupling', 'max_fan_in', CAST(target AS VARCHAR), count(*) FROM me GROUP BY target HAVING count(*) > 15
+    UNION ALL SELECT 'coupling', 'max_fan_out', CAST(source AS VARCHAR), count(*) FROM me GROUP BY source HAVING count(*) > 15
+    UNION ALL SELECT 'redundancy', 'max_dead', '', dead FROM counted WHERE dead > 13
+    UNION ALL SELECT 'redundancy', 'max_duplicates', '', dup FROM counted WHERE dup > 5
+    UNION ALL SELECT 'structural', 'max_nesting_depth', name || '#' || id, nesting FROM functions WHERE NOT is_test AND nesting > 4
+    UNION ALL SELECT 'structural', 'max_brain_methods', '', brain FROM counted WHERE brain > 0
+    UNION ALL SELECT 'structural', 'max_clone_ratio', '', clones FROM counted WHERE clones > 100
+    UNION ALL SELECT 'structural', 'no_god_containers', '', count(*) FROM ({CONTAINERS}) WHERE methods >= 20 OR span >= 500 HAVING count(*) > 0
+    UNION ALL SELECT 'layering', 'layer_order', subject, 1 FROM fl WHERE tl > sl
+    UNION ALL SELECT 'layering', CASE sl WHEN 2 THEN 'boundary high->low' ELSE 'boundary mid->low' END, subject, 1 FROM fl WHERE sl > 0 AND tl = 0
+    UNION ALL SELECT 'forbidden_imports', 'src/m2?/* -> src/m3/**', source || ' -> ' || target, 1 FROM fe WHERE regexp_matches(source, '^src/m2[^/]/[^/]*$') AND target LIKE 'src/m3/%'
+    UNION ALL SELECT 'forbidden_imports', 'src/** -> src/m4/f1*.rs', source || ' -> ' || target, 1 FROM fe WHERE source LIKE 'src/%' AND regexp_matches(target, '^src/m4/f1[^/]*\\.rs$')
+    UNION ALL SELECT 'require_tested', 'src/m1/**', name || '#' || id, 1 FROM untested WHERE file_path LIKE 'src/m1/%'
+    UNION ALL SELECT 'require_tested', 'src/m2*/*', name || '#' || id, 1 FROM untested WHERE regexp_matches(file_path, '^src/m2[^/]*/[^/]*$')
+    UNION ALL SELECT 'require_documented', 'src/m3/*', name || '#' || id, 1 FROM functions WHERE exported AND NOT is_test AND file_path LIKE 'src/m3/%' AND id NOT IN (SELECT target FROM edges WHERE kind = 'doc_reference'))"""
+add("L-17_all_violations", violations, f"{VIOLATIONS} SELECT * FROM found")
+add(
+    "L-26_scan",
+    lambda m: violations(m).agg(F.lit(POLICY.checked()).cast("bigint").alias("checked"), F.count("*").alias("violations"), F.countDistinct("section").alias("sections"), F.countDistinct("rule").alias("rules"))
+    .join(K.function_quality(prod(m)).select(F.round(F.col("nesting") * 10000).cast("bigint").alias("nesting_bp"))),
+    f"""{VIOLATIONS} SELECT 20 AS checked, count(*) AS violations, count(DISTINCT section) AS sections, count(DISTINCT rule) AS rules,
+    (SELECT CAST(round(greatest(1 - avg(CAST(nesting >= 4 AS INT)), 0.01) * 10000) AS BIGINT) FROM functions WHERE NOT is_test) AS nesting_bp FROM found""",
+)
 add(
     "L-18_gate",
     lambda m: R.with_delta(m.snapshots, "id", "signal", "delta").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import predicates as P
 from codeloom.functions import scalars as S
 from codeloom.operators import relational as R
+from codeloom.operators.globs import first_globs
 from codeloom.plans.registry import add
 
 NODE = "id, symbol, kind, name, file_path"
@@ -41,7 +42,7 @@ add("B-05_test_path", lambda m: m.files.select("path", P.is_test_path(F.replace(
 add("B-06_test_marker", lambda m: m.nodes.select("id", P.is_test_marked(F.col("is_test"), F.col("file_path"), F.concat(F.col("kind"), F.lit("_"), F.col("name")), ("function",)).alias("marked")),
     "SELECT id, is_test OR kind = 'function' AS marked FROM nodes")
 add("B-07_glob", lambda m: m.files.where(P.matches_glob(F.col("path"), "src/m?/f*.rs")).select("path"), "SELECT path FROM files WHERE regexp_matches(path, '^src/m[^/]/f[^/]*\\.rs$')")
-add("B-08_first_glob", lambda m: m.files.select("path", P.first_glob(F.col("path"), [("one", ["src/m1/**"]), ("teens", ["src/m1?/**"]), ("source", ["src/**"])]).alias("layer")),
+add("B-08_first_glob", lambda m: first_globs(m.files, [("one", ["src/m1/**"]), ("teens", ["src/m1?/**"]), ("source", ["src/**"])]),
     "SELECT path, CASE WHEN path LIKE 'src/m1/%' THEN 'one' WHEN regexp_matches(path, '^src/m1[^/]/') THEN 'teens' WHEN path LIKE 'src/%' THEN 'source' END AS layer FROM files")
 add("B-09_substring", lambda m: m.nodes.where(F.contains("name", F.lit("n1_"))).select("id").union(m.nodes.where(F.contains("name", F.lit("fn19"))).select("id")),
     "SELECT id FROM nodes WHERE contains(name, 'n1_') UNION ALL SELECT id FROM nodes WHERE contains(name, 'fn19')")
