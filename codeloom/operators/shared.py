@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROW_GROUP = 128 << 20  # bytes, what Parquet writers usually make
 _own: dict[str, str] = {}
@@ -48,6 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with whole numbers ``name`` from 1 on in the order of a column, without all rows in one task.
+
+    Rows are dealt by ranges and numbered in each; a row a range says how many come before it.
+    """
+    within = (1 << 33) - 1  # the numbers of monotonically_increasing_id() are ranges above rows
+    rows = written(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(within)})
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select("_range", before.alias("_before"))
+    return rows.join(starts, "_range").select((F.col("_before") + F.col("_at") + 1).alias(name), *df.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and cut from its lineage; it survives lost executors."""
     return written(df, "cut")

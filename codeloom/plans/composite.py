@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import predicates as P
@@ -45,7 +47,7 @@ add(
 add("D-16_gini", lambda m: K.gini(m.functions, "line_count").select(basis_points(F.col("gini")).alias("gini_bp")), "SELECT CAST(round((2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)) * 10000) AS BIGINT) AS gini_bp FROM (SELECT line_count::DOUBLE AS x, row_number() OVER (ORDER BY line_count) AS i FROM functions)")
 add("D-18_geometric_mean", lambda m: K.aggregate_signal(m.nation.select(((F.col("n_nationkey") + 1) / 26).alias("normalized"))), "SELECT CAST(round(exp(avg(ln((n_nationkey + 1) / 26))) * 10000) AS BIGINT) AS signal FROM nation")
 add("D-21_line_counts", lambda m: m.coverage_lines.groupBy("file_id").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 0).alias("covered")), "SELECT file_id, count(*) AS lines, count(*) FILTER (hits > 0) AS covered FROM coverage_lines GROUP BY file_id")
-add("D-22_overall_coverage", lambda m: H.overall_coverage(coverage(m).where("path like 'src/m1%'")), "WITH h AS (SELECT file_id, line_no, max(hits) AS h FROM coverage_lines GROUP BY file_id, line_no), c AS (SELECT file_id, count(*) AS i, count(*) FILTER (h > 0) AS c FROM h GROUP BY file_id), x AS (SELECT v.*, coalesce(i, 0) AS i, coalesce(c, 0) AS c, v.content_hash = f.content_hash AS fresh FROM coverage_files v LEFT JOIN files f ON v.path = f.path LEFT JOIN c ON v.id = file_id WHERE v.path LIKE 'src/m1%') SELECT CASE WHEN sum(c) FILTER (fresh) > 0 THEN CAST((sum(c) FILTER (fresh) * 20000 + sum(i) FILTER (fresh)) // (2 * sum(i) FILTER (fresh)) AS BIGINT) END AS overall_bp, count(*) FILTER (fresh) AS fresh_files, count(*) AS files FROM x")
+add("D-22_overall_coverage", lambda m: H.overall_coverage(coverage(m)), "WITH h AS (SELECT file_id, line_no, max(hits) AS h FROM coverage_lines GROUP BY file_id, line_no), c AS (SELECT file_id, count(*) AS i, count(*) FILTER (h > 0) AS c FROM h GROUP BY file_id), x AS (SELECT v.*, coalesce(i, 0) AS i, coalesce(c, 0) AS c, v.content_hash = f.content_hash AS fresh FROM coverage_files v LEFT JOIN files f ON v.path = f.path LEFT JOIN c ON v.id = file_id) SELECT CASE WHEN sum(c) FILTER (fresh) > 0 THEN CAST((sum(c) FILTER (fresh) * 20000 + sum(i) FILTER (fresh)) // (2 * sum(i) FILTER (fresh)) AS BIGINT) END AS overall_bp, count(*) FILTER (fresh) AS fresh_files, count(*) AS files FROM x")
 add("D-33_durations", lambda m: m.usage.groupBy("surface").agg(F.sum("duration_ms").alias("total_ms")), "SELECT surface, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM usage GROUP BY surface")
 add("E-03_row_number", lambda m: m.functions.select("kind", "id", F.row_number().over(R.Window.partitionBy("kind").orderBy("id")).cast("bigint").alias("n")), "SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM functions")
 add("E-08_winnowing", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("s")).select("conv_id", F.array_join(F.transform(R.winnowed(F.transform("s", lambda x: x["n"])), lambda x: x.cast("string")), ",").alias("kept")),
@@ -69,7 +71,16 @@ add(
     g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM imports UNION ALL SELECT target FROM imports) GROUP BY id)
     SELECT w.id, min(d) AS distance, max(degree) AS degree FROM w JOIN g ON w.id = g.id GROUP BY w.id ORDER BY 2, 3 DESC, 1 LIMIT 60""",
 )
-add("F-06_offender_orders", lambda m: K.offenders(m.functions, "length", [F.desc("line_count"), F.asc("name")], 10).select("dimension", "name", F.col("rank").cast("bigint").alias("rank")), "SELECT 'length' AS dimension, name, row_number() OVER (ORDER BY line_count DESC, name) AS rank FROM functions ORDER BY 3 LIMIT 10")
+# Five orders: the worst by each, ties by name.
+ORDERS = {"complexity": "cc", "length": "line_count", "nesting": "nesting", "fan_in": "fan_in", "fan_out": "fan_out"}
+MEASURED = """SELECT f.id, f.name, f.cc, f.line_count, f.nesting, i.n AS fan_in, o.n AS fan_out FROM functions f
+    LEFT JOIN (SELECT target AS id, count(DISTINCT source) AS n FROM edges WHERE kind = 'calls' GROUP BY target) i ON f.id = i.id
+    LEFT JOIN (SELECT source AS id, count(DISTINCT target) AS n FROM edges WHERE kind = 'calls' GROUP BY source) o ON f.id = o.id"""
+add(
+    "F-06_offender_orders",
+    lambda m: reduce(lambda a, b: a.unionByName(b), [K.offenders(m.sql(MEASURED).where(f"{c} is not null"), d, [F.desc(c), F.asc("name"), F.asc("id")], 10).select("dimension", "name", F.col("rank").cast("bigint").alias("rank")) for d, c in ORDERS.items()]),
+    f"WITH o AS ({MEASURED}) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{d}' AS dimension, name, row_number() OVER (ORDER BY {c} DESC, name, id) AS rank FROM o WHERE {c} IS NOT NULL) WHERE rank <= 10" for d, c in ORDERS.items()),
+)
 add(
     "F-08_doc_gap_page",
     lambda m: K.gap_page(K.undocumented(m.functions, m.edges, m.nodes), 50).select("file_path", "name", "truncated"),

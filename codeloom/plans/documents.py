@@ -23,7 +23,7 @@ add("R-01_validation", lambda m: pages(m).select("slug", R.valid_page(F.col("slu
 add("R-02_anchor_states", lambda m: states(m).select("slug", "ordinal", "entity_id", "state"), f"WITH {STATES} SELECT slug, ordinal, entity_id, state FROM s")
 add("C-20_page_states", lambda m: R.page_states(states(m)), f"WITH {STATES} SELECT * FROM p")
 add("R-04_status", lambda m: R.page_summary(R.page_states(states(m))), f"WITH {STATES} SELECT count(*) AS pages, count(*) FILTER (state = 'fresh') AS fresh_pages, CAST(round(count(*) FILTER (state = 'fresh') / count(*) * 10000) AS BIGINT) AS fresh_bp FROM p")
-add("C-21_unanchored", lambda m: R.unanchored(m.files.where("language = 'markdown' or id % 20 = 0").select(F.lit("file").alias("kind"), F.col("path").alias("entity_id")), m.anchors), "SELECT 'file' AS kind, path AS entity_id FROM files WHERE (language = 'markdown' OR id % 20 = 0) AND path NOT IN (SELECT entity_id FROM anchors)")
+add("C-21_unanchored", lambda m: R.unanchored(m.files.select(F.lit("file").alias("kind"), F.col("path").alias("entity_id")), m.anchors), "SELECT 'file' AS kind, path AS entity_id FROM files WHERE path NOT IN (SELECT entity_id FROM anchors)")
 add("R-05_pruned", lambda m: R.pruned(pages(m), pages(m).where("slug not like '%7'"))[1].select("slug"), "SELECT 'page' || page_id AS slug FROM pages WHERE page_id % 10 = 7")
 add(
     "R-06_materialized",

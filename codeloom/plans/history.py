@@ -57,8 +57,8 @@ add("D-23_merged_hits", lambda m: H.merged_hits(m.coverage_lines, "second_report
 add("N-03_freshness", lambda m: coverage(m).select("path", "state"), f"WITH {COVERAGE} SELECT path, state FROM fc")
 add("N-04_file_coverage", coverage, f"WITH {COVERAGE} SELECT * FROM fc")
 add("N-05_status", lambda m: H.overall_coverage(coverage(m)), f"WITH {COVERAGE} SELECT CASE WHEN c > 0 THEN CAST((c * 20000 + i) // (i * 2) AS BIGINT) END AS overall_bp, fresh_files, files FROM (SELECT sum(covered) FILTER (state = 'fresh') AS c, sum(instrumented) FILTER (state = 'fresh') AS i, count(*) FILTER (state = 'fresh') AS fresh_files, count(*) AS files FROM fc)")
-add("C-19_path_mapping", lambda m: H.mapped_paths(m.files.where("id % 4 = 0").select(F.when(F.col("id") % 8 == 0, F.concat(F.lit("./build/x/"), F.col("path"))).otherwise(F.regexp_replace("path", "^src/", "")).alias("reported")), m.files),
-    "SELECT CASE WHEN id % 8 = 0 THEN './build/x/' || path ELSE regexp_replace(path, '^src/', '') END AS reported, path FROM files WHERE id % 4 = 0")
+add("C-19_path_mapping", lambda m: H.mapped_paths(m.files.select(F.when(F.col("id") % 8 == 0, F.concat(F.lit("./build/x/"), F.col("path"))).otherwise(F.regexp_replace("path", "^src/", "")).alias("reported")), m.files),
+    "SELECT CASE WHEN id % 8 = 0 THEN './build/x/' || path ELSE regexp_replace(path, '^src/', '') END AS reported, path FROM files")
 add("D-24_usage", lambda m: H.usage(m.usage, H.rolled_up(m.usage.where("1 = 0")), head(m) - 7 * H.DAY), "SELECT surface, tool, count(*) AS calls, count(*) FILTER (ok) AS ok_calls FROM usage WHERE happened_at >= (SELECT max(happened_at) FROM usage) - 604800 GROUP BY ALL")
 add("D-25_activity", lambda m: m.usage.groupBy(F.to_date(F.timestamp_seconds("happened_at")).cast("string").alias("day")).agg(F.count("*").alias("calls")), "SELECT CAST(CAST(to_timestamp(happened_at)::TIMESTAMP AS DATE) AS VARCHAR) AS day, count(*) AS calls FROM usage GROUP BY 1")
 add("D-25_origin", lambda m: m.usage.groupBy(F.coalesce("origin", F.lit("unknown")).alias("origin")).agg(F.count("*").alias("calls")), "SELECT coalesce(origin, 'unknown') AS origin, count(*) AS calls FROM usage GROUP BY 1")

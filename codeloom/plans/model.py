@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.operators.shared import written
+from codeloom.operators.shared import numbered, written
 from codeloom.operators.textindex import TextIndex
 from codeloom.operators.traverse import Adjacency, adjacency
 
@@ -101,6 +101,11 @@ PROJECTIONS = {
 }
 
 
+# The files of the projection, before they are numbered.
+FILES = """SELECT path, md5(path) AS content_hash, CASE WHEN path LIKE '%.md' THEN 'markdown' ELSE 'rust' END AS language
+    FROM (SELECT DISTINCT file_path AS path FROM nodes WHERE file_path IS NOT NULL)"""
+
+
 def _for(engine: str, text: str) -> str:
     if engine == "spark":
         text = re.sub(r"EPOCH\(([^)]*)\)", r"unix_timestamp(\1)", text)
@@ -139,7 +144,10 @@ class Model:
         for t in BASE:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, text in PROJECTIONS.items():
-            table = spark.sql(_for("spark", text))
+            if name == "files":  # numbered in the order of paths, as the SQL says, but not in one task
+                table = numbered(spark.sql(FILES), "path", "id")
+            else:
+                table = spark.sql(_for("spark", text))
             (written(table, f"model-{name}") if name in STORED else table).createOrReplaceTempView(name)
         _viewed[app] = sf_dir
 
