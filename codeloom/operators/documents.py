@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.scalars import basis_points, short_title
+from codeloom.functions.scalars import basis_points, folded_path, short_title
 
 MOST_BYTES = 1 << 20
 
@@ -62,6 +62,32 @@ def materialized(pages: DataFrame, group: str, order: str, body: str) -> DataFra
     return pages.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, body))).alias("p")).select(group, F.array_join(F.transform("p", lambda x: x[body]), "\n\n").alias("document"))
 
 
+LINK = r"\]\(([^()\s]+)\)"
+
+
+def with_links(docs: DataFrame, targets: DataFrame, key: str = "id", path: str = "path", body: str = "body") -> DataFrame:
+    """docs with the links in ``body`` rewritten: those that lead to a path of ``targets`` (path, href) get its href.
+
+    A link's path counts from the document's own folder, or from the root if it begins with
+    a separator; what follows a '#' is kept. Links to other places, with a scheme, or out of
+    the root stay as they are. Links are taken out by their position, looked up by path, all
+    of one path as one, and put back in order.
+    """
+    found = F.regexp_extract_all(F.col(body), F.lit(LINK), F.lit(1))
+    each = docs.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), F.posexplode(found).alias("at", "link"))
+    place, fragment = F.regexp_extract("link", r"^([^#]*)", 1), F.regexp_extract("link", r"(#.*)$", 1)
+    full = folded_path(F.when(F.startswith("link", F.lit("/")), place).otherwise(F.concat_ws("/", F.nullif("folder", F.lit("")), place)))
+    local = ~F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#")
+    each = each.select("key", "at", "link", fragment.alias("fragment"), F.when(local, full).alias("to"))
+    known = targets.groupBy(F.col("path").alias("to")).agg(F.min("href").alias("href"))
+    new = each.join(known, "to", "left").select("key", "at", F.coalesce(F.concat("href", "fragment"), "link").alias("link"))
+    links = new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "link"))).alias("links"))  # of one document
+    pieces = F.split(F.col(body), r"\]\([^()\s]+\)", -1)
+    back = F.array_join(F.zip_with(pieces, F.col("links.link"), lambda p, x: F.concat(p, F.coalesce(F.concat(F.lit("]("), x, F.lit(")")), F.lit("")))), "")
+    both = docs.join(links.withColumnRenamed("key", key), key, "left")
+    return both.select(*[F.when(F.col("links").isNotNull(), back).otherwise(F.col(body)).alias(body) if c == body else F.col(c) for c in docs.columns])
+
+
 def generation_queue(missing: DataFrame, stale: DataFrame) -> DataFrame:
     """What to write next: missing pages first, then stale ones, by slug."""
     both = missing.select("slug", F.lit(0).alias("category")).union(stale.select("slug", F.lit(1)))

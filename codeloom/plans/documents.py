@@ -25,10 +25,17 @@ add("C-20_page_states", lambda m: R.page_states(states(m)), f"WITH {STATES} SELE
 add("R-04_status", lambda m: R.page_summary(R.page_states(states(m))), f"WITH {STATES} SELECT count(*) AS pages, count(*) FILTER (state = 'fresh') AS fresh_pages, CAST(round(count(*) FILTER (state = 'fresh') / count(*) * 10000) AS BIGINT) AS fresh_bp FROM p")
 add("C-21_unanchored", lambda m: R.unanchored(m.files.select(F.lit("file").alias("kind"), F.col("path").alias("entity_id")), m.anchors), "SELECT 'file' AS kind, path AS entity_id FROM files WHERE path NOT IN (SELECT entity_id FROM anchors)")
 add("R-05_pruned", lambda m: R.pruned(pages(m), pages(m).where("slug not like '%7'"))[1].select("slug"), "SELECT 'page' || page_id AS slug FROM pages WHERE page_id % 10 = 7")
+# Every page links to the next one, to one that is not presented, to its own section, and out.
+LINKED = """SELECT page_id, cast(floor(page_id / 7) AS bigint) AS g, 'docs/d' || cast(page_id % 5 AS varchar(3)) || '/page' || cast(page_id AS varchar(9)) || '.md' AS path,
+    url || ' [next](../d' || cast((page_id + 1) % 5 AS varchar(3)) || '/page' || cast(page_id + 1 AS varchar(9)) || '.md#top), [gone](./x/../missing.md) [own](#here) [out](https://x.y/z) [up](../../../a.md)' AS body FROM pages"""
 add(
     "R-06_materialized",
-    lambda m: R.materialized(m.pages.withColumn("g", F.floor(F.col("page_id") / 7)), "g", "page_id", "url"),
-    "SELECT page_id // 7 AS g, string_agg(url, chr(10) || chr(10) ORDER BY page_id) AS document FROM pages GROUP BY 1",
+    lambda m: R.materialized(
+        R.with_links(m.sql(LINKED), m.sql(LINKED).where("page_id % 3 <> 0").select("path", F.concat(F.lit("/wiki/page"), F.col("page_id").cast("string")).alias("href")), "page_id"), "g", "page_id", "body"
+    ),
+    f"""WITH l AS ({LINKED}), n AS (SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM pages p WHERE p.page_id = l.page_id + 1) AND (l.page_id + 1) % 3 <> 0
+        THEN replace(body, '(../d' || (l.page_id + 1) % 5 || '/page' || l.page_id + 1 || '.md#top)', '(/wiki/page' || l.page_id + 1 || '#top)') ELSE body END AS b FROM l)
+    SELECT g, string_agg(b, chr(10) || chr(10) ORDER BY page_id) AS document FROM n GROUP BY g""",
 )
 add("R-07_folder_counts", lambda m: R.folder_counts(m.files, m.nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))).withColumn("depth", F.col("depth").cast("bigint")),
     "WITH c AS (SELECT file_path, count(*) AS n FROM nodes GROUP BY file_path), x AS (SELECT string_split(path, '/') AS p, coalesce(n, 0) AS n FROM files LEFT JOIN c ON path = file_path), y AS (SELECT p, n, unnest(range(1, len(p) + 1)) AS depth FROM x) SELECT array_to_string(p[1:depth], '/') AS prefix, depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS nodes FROM y GROUP BY 1, 2")

@@ -97,3 +97,22 @@ def test_a_member_that_fails_leaves_the_others(spark):
     found = {r.member: r.error for r in errors.collect()}
     assert set(found) == {"b", "c"} and found["c"] == "PATH_NOT_FOUND" and found["b"]
     assert S.fan_out(spark, {}, "id bigint")[0].collect() == []
+
+
+def test_links_are_rewritten_in_place(spark):
+    from codeloom.operators.documents import with_links
+
+    docs = {
+        1: ("a/b/x.md", "[n](../c/y.md#q) and [n](../c/y.md) [r](/a/c/y.md), [m](z.md) [o](http://a/c/y.md) [f](#s) [u](../../../y.md) (a/c/y.md) end"),
+        2: ("x.md", "[n](a/c/y.md)[n](a/./c/y.md)"),
+        3: ("x.md", "no links"),
+        4: ("x.md", None),
+        5: ("", ""),
+    }
+    df = spark.createDataFrame([(k, p, b, 7) for k, (p, b) in docs.items()], "id bigint, path string, body string, links int")
+    targets = spark.createDataFrame([("a/c/y.md", "/w/y"), ("a/c/y.md", "/w/z")], "path string, href string")
+    got = {r.id: r.body for r in with_links(df.drop("links"), targets).collect()}
+    assert got == {
+        1: "[n](/w/y#q) and [n](/w/y) [r](/w/y), [m](z.md) [o](http://a/c/y.md) [f](#s) [u](../../../y.md) (a/c/y.md) end",
+        2: "[n](/w/y)[n](/w/y)", 3: "no links", 4: None, 5: "",
+    }
