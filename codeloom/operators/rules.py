@@ -72,9 +72,9 @@ class Facts:
     edges: DataFrame
 
 
-def _asked(rule: str, subject: Column, value: Column, when: Column = F.lit(True)) -> Column:
+def _asked(rule: str, subject: Column, value: Column, when: Column | None = None) -> Column:
     row = F.struct(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), value.cast("bigint").alias("value"))
-    return F.when(when & value.isNotNull(), row)
+    return F.when(value.isNotNull() if when is None else when & value.isNotNull(), row)
 
 
 def _rows(table: DataFrame, asked: list[Column]) -> DataFrame:
