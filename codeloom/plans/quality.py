@@ -155,11 +155,11 @@ POLICY = L.Policy(
     documented=["src/m3/*"],
 )
 BASELINE = {"max_dead": 10}
-CONTAINERS = "SELECT source AS id, count(*) AS methods, count(*) * 10 AS span FROM edges WHERE kind = 'contains' AND source > 2000000 GROUP BY source"
+CLASS_SPANS = "SELECT source AS id, count(*) AS methods, count(*) * 10 AS span FROM edges WHERE kind = 'contains' AND source > 2000000 GROUP BY source"
 
 
 def violations(m):
-    return L.evaluate(L.Facts(m.functions, m.imports, m.file_modules, m.sql(CONTAINERS), m.nodes, m.edges), POLICY, BASELINE)
+    return L.evaluate(L.Facts(m.functions, m.imports, m.file_modules, m.sql(CLASS_SPANS), m.nodes, m.edges), POLICY, BASELINE)
 
 
 VIOLATIONS = f"""{CYCLES}, me AS ({MODULE_EDGES}),
@@ -182,7 +182,7 @@ VIOLATIONS = f"""{CYCLES}, me AS ({MODULE_EDGES}),
     UNION ALL SELECT 'structural', 'max_nesting_depth', name || '#' || id, nesting FROM functions WHERE NOT is_test AND nesting > 4
     UNION ALL SELECT 'structural', 'max_brain_methods', '', brain FROM counted WHERE brain > 0
     UNION ALL SELECT 'structural', 'max_clone_ratio', '', clones FROM counted WHERE clones > 100
-    UNION ALL SELECT 'structural', 'no_god_containers', '', count(*) FROM ({CONTAINERS}) WHERE methods >= 20 OR span >= 500 HAVING count(*) > 0
+    UNION ALL SELECT 'structural', 'no_god_containers', '', count(*) FROM ({CLASS_SPANS}) WHERE methods >= 20 OR span >= 500 HAVING count(*) > 0
     UNION ALL SELECT 'layering', 'layer_order', subject, 1 FROM fl WHERE tl > sl
     UNION ALL SELECT 'layering', CASE sl WHEN 2 THEN 'boundary high->low' ELSE 'boundary mid->low' END, subject, 1 FROM fl WHERE sl > 0 AND tl = 0
     UNION ALL SELECT 'forbidden_imports', 'src/m2?/* -> src/m3/**', source || ' -> ' || target, 1 FROM fe WHERE regexp_matches(source, '^src/m2[^/]/[^/]*$') AND target LIKE 'src/m3/%'
