@@ -36,3 +36,33 @@ def test_a_common_key_is_one_row(spark):
     assert found.count() == 2001
     out = {r.id: (r.node, r.outcome) for r in P.resolved(refs, [found]).collect()}
     assert out[0] == (None, "ambiguous") and out[2000] == (5000, "bound") and out[2001] == (None, "not_found") and out[2002] == (None, "not_found")
+
+
+def test_names_that_no_scope_has_are_not_walked(spark, monkeypatch):
+    """A reference walks outwards only for a name that something inside a scope has, and until it is found."""
+    chain = 40
+    nodes = spark.createDataFrame([(i, f"n{i}", "function") for i in range(chain + 2)], "id bigint, name string, kind string")
+    edges = spark.createDataFrame([(i + 1, i, "contains") for i in range(chain)], "source bigint, target bigint, kind string")
+    refs = spark.createDataFrame([(1, 0, 0, "c", "m", "nowhere", "callable"), (2, 0, 0, "c", "m", "n1", "callable")], "ref bigint, source bigint, file bigint, crate string, path string, target string, want string")
+    ix = P.Index(
+        spark.createDataFrame([], "crate string, path string, node bigint"),
+        spark.createDataFrame([], "crate string, path string, name string, node bigint, callable boolean, type_like boolean"),
+        spark.createDataFrame([], "file bigint, alias string, target string"),
+        spark.createDataFrame([], "file bigint, target string"),
+    )
+    rounds, plain = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: rounds.append(1) or plain(df))
+    found = P.decided(P.name_candidates(refs, ix, nodes, edges)).collect()
+    assert [(r.ref, r.node, r.outcome) for r in found] == [(2, 1, "bound")]
+    assert len(rounds) < chain
+
+
+def test_artifacts_of_a_common_name(spark):
+    """A thousand targets of one name are two candidates of a reference; a folder still has a row a file."""
+    nodes = spark.range(1000).selectExpr("id", "'target' AS kind", "'all' AS name", "'Makefile' AS file_path")
+    nodes = nodes.union(spark.range(5000, 5003).selectExpr("id", "'config_file'", "concat('f', id)", "concat('m/f', id, '.tf')"))
+    refs = spark.range(300).selectExpr("id AS ref", "'artifact_ref' AS kind", "'method' AS form", "'Makefile' AS file", "'all' AS target", "cast(null AS string) AS relation", "'target' AS want_kind")
+    refs = refs.union(spark.range(900, 902).selectExpr("id", "'artifact_ref'", "'path'", "'root.tf'", "'./m'", "'tf_module_call'", "cast(null AS string)"))
+    out = P.artifact_outcomes(refs, nodes).collect()
+    assert len(out) == 306 and {(r.node, r.outcome) for r in out if r.ref < 300} == {(None, "ambiguous")}
+    assert sorted((r.ref, r.node) for r in out if r.ref >= 900) == [(a, b) for a in (900, 901) for b in (5000, 5001, 5002)]
