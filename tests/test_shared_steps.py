@@ -66,3 +66,13 @@ def test_artifacts_of_a_common_name(spark):
     out = P.artifact_outcomes(refs, nodes).collect()
     assert len(out) == 306 and {(r.node, r.outcome) for r in out if r.ref < 300} == {(None, "ambiguous")}
     assert sorted((r.ref, r.node) for r in out if r.ref >= 900) == [(a, b) for a in (900, 901) for b in (5000, 5001, 5002)]
+
+
+def test_components_make_no_pairs_of_copies(spark, monkeypatch):
+    from codeloom.plans import catalog
+
+    def never(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(I, "clone_pairs", never)
+    assert catalog.queries()["H-23_clone_components"](spark, "/root/testdata/sf0.001").count() > 0
