@@ -93,3 +93,34 @@ def test_a_query_reads_its_buckets_and_an_update_writes_its_own(spark):
 def test_an_index_of_nothing(spark):
     empty = TextIndex.build(frame(spark, {1: None}).limit(0), "doc", "body")
     assert empty.search("of the").collect() == [] and empty.with_prefixes(["a"]).collect() == []
+
+
+def exchanged(spark, make):
+    """What make() gives, and the shuffled records of all stages that it runs."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def total():
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    made = make()
+    return made, sum(n for at, n in total().items() if at not in before)
+
+
+def test_no_word_occurrence_is_exchanged(spark):
+    texts = frame(spark, {i: " ".join(f"w{j % 50}" for j in range(2000)) for i in range(64)})
+    index, n = exchanged(spark, lambda: TextIndex.build(texts, "doc", "body", buckets=8))
+    assert index.tokens == 64 * 2000 and n < 64 * 50  # neither an occurrence nor a posting
+    lost = frame(spark, {i: " ".join(f"w{j % 50}" for j in range(2000)) for i in range(63)})
+    found, n = exchanged(spark, lambda: {r.fault: r.n for r in index.faults(lost, "doc", "body").collect()})
+    assert found == {"extra": 2000, "missing": 0} and n < 64 * 2000 / 4
+
+
+def test_repeated_keys_are_one_document(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b a"), (2, "a"), (None, "a z")], "doc bigint, body string")
+    index = TextIndex.build(rows, "doc", "body", buckets=4)
+    got = {(r.token, r.key): r.places for r in index.postings().collect()}
+    assert got == {("a", 1): [0, 1, 2], ("b", 1): [0, 1], ("a", 2): [0]} and (index.docs, index.tokens) == (2, 6)
+    assert {r.fault: r.n for r in index.faults(rows, "doc", "body").collect()} == {"extra": 0, "missing": 2}
