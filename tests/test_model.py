@@ -6,7 +6,7 @@ import pytest
 
 from codeloom.operators.shared import shared_dir
 from codeloom.plans import catalog
-from codeloom.plans.model import Model
+from codeloom.plans.model import PROJECTIONS, Model, imported
 
 SF = Path("/root/testdata/sf0.001")
 QUERIES = catalog.queries()
@@ -38,3 +38,15 @@ def test_only_has_the_same_rows(spark, tmp_path):
         assert sorted(rows.collect()) == sorted(m.edges.where(f"kind = '{kind}'").collect())
     sections = m.only("nodes", "kind = 'doc_section'")
     assert sorted(sections.select("id").collect()) == sorted(m.nodes.where("kind = 'doc_section'").select("id").collect())
+
+
+def test_imports_read_the_lines_once(spark, tmp_path):
+    rows = [(o, 1 + i, (o * 7 + i * i) % 13) for o in range(40) for i in range(o % 7)]
+    rows += [(5, 2, 3), (5, 2, 4), (5, 1, 9), (None, 1, 1), (None, 2, 2), (6, None, 1), (6, 1, None), (7, 10, 2), (8, 11, 5), (7, 11, 8), (90, 1, 2), (90, 2, 3), (90, 2, 4), (89, 11, 2), (89, 12, 5)]
+    path = f"{tmp_path}/lines"
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(path)
+    lines = spark.read.parquet(path)
+    want = spark.sql(PROJECTIONS["imports"].replace("JOIN lineitem", "JOIN {t}").replace("FROM lineitem", "FROM {t}"), t=lines)
+    assert sorted(imported(lines).collect()) == sorted(want.collect()) != []
+    plan = imported(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
