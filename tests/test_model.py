@@ -50,3 +50,16 @@ def test_imports_read_the_lines_once(spark, tmp_path):
     assert sorted(imported(lines).collect()) == sorted(want.collect()) != []
     plan = imported(lines)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_paths_are_not_stored(spark, tmp_path):
+    (tmp_path / "tables").symlink_to(SF)
+    before = stored(spark)
+    found = QUERIES["B-15_ignore_file"](spark, f"{tmp_path}/tables")
+    assert found.count() > 0 and stored(spark) == before
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {Path(f).stem for f in found.inputFiles()} == {"part", "nation", "supplier", "documents", "lineitem"}
+    m = Model(spark, f"{tmp_path}/tables")
+    paths = sorted(m.paths().collect())
+    assert "files" not in m._made and paths == sorted(m.files.select("path").collect()) == sorted(m.paths().collect())
