@@ -63,3 +63,13 @@ def test_paths_are_not_stored(spark, tmp_path):
     m = Model(spark, f"{tmp_path}/tables")
     paths = sorted(m.paths().collect())
     assert "files" not in m._made and paths == sorted(m.files.select("path").collect()) == sorted(m.paths().collect())
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_doc_gaps_read_no_order_lines(spark, tmp_path):
+    (tmp_path / "tables").symlink_to(SF)
+    before = stored(spark)
+    found = QUERIES["F-08_doc_gap_page"](spark, f"{tmp_path}/tables")
+    assert found.count() > 0 and stored(spark) == before
+    assert {Path(f).stem for f in found.inputFiles()} == {"part", "documents"}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
