@@ -73,3 +73,13 @@ def test_doc_gaps_read_no_order_lines(spark, tmp_path):
     assert found.count() > 0 and stored(spark) == before
     assert {Path(f).stem for f in found.inputFiles()} == {"part", "documents"}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_function_metrics_store_nothing(spark, tmp_path):
+    (tmp_path / "tables").symlink_to(SF)
+    before = stored(spark)
+    once = QUERIES["K-05_to_10_functions"](spark, f"{tmp_path}/tables").collect()
+    assert stored(spark) == before
+    assert Model(spark, f"{tmp_path}/tables").functions.count() > 0
+    assert QUERIES["K-05_to_10_functions"](spark, f"{tmp_path}/tables").collect() == once  # the same rows from what is stored
