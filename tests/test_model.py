@@ -83,3 +83,15 @@ def test_function_metrics_store_nothing(spark, tmp_path):
     assert stored(spark) == before
     assert Model(spark, f"{tmp_path}/tables").functions.count() > 0
     assert QUERIES["K-05_to_10_functions"](spark, f"{tmp_path}/tables").collect() == once  # the same rows from what is stored
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_the_overlay_reads_documents_and_parts_alone(spark, tmp_path):
+    """What it sends is a row for each task and target, so it grows with documents only."""
+    (tmp_path / "tables").symlink_to(SF)
+    before = stored(spark)
+    found = QUERIES["F-12_overlay_cap"](spark, f"{tmp_path}/tables")
+    assert {Path(f).stem for f in found.inputFiles()} == {"documents", "part"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert found.count() == 60 and stored(spark) == before
