@@ -7,17 +7,17 @@ no frequent phrase is. Only one bit a cell goes to the next pass (at most
 ``MineConfig.max_cells`` bits; fewer cells than windows make more candidates, never fewer).
 
 Then a task takes its texts in shards of bounded size. The shard's windows that all bounds
-allow are its candidates; they are compiled into an Aho-Corasick automaton with a delimiter
-on both sides of each phrase, and the shard's text, written with the same delimiters, is
-scanned once for all overlapping matches. Counts are summed over shards, and thresholds
-apply to sums only.
+allow are its candidates; they are compiled into an Aho-Corasick automaton, and the shard's
+text is scanned once for all overlapping matches. Both are written in short codes of words, whose
+first letter delimits them (see ``word_codes``); of the text, what no candidate covers is one
+break. Counts are summed over shards, and thresholds apply to sums only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice, product
 from operator import itemgetter
 
 import ahocorasick
@@ -37,6 +37,8 @@ PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if
 BLOCK = 1 << 16  # cells that are summed together
 SHARD = 8 << 20  # characters of text that a task works on at once
 SALTS = 64
+HASHED = 32  # bytes of a word that are hashed side by side with those of others
+DIGITS = 32  # of the codes of words
 
 
 @dataclass(frozen=True)
@@ -72,33 +74,48 @@ def numbered(text: str) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy(), found.dictionary
 
 
-def word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A hash of each string; those of up to HASHED bytes go a byte of all of them at a time."""
+    strings = strings.cast(pa.large_string())
+    if not len(strings):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset :][: len(strings) + 1]
+    data, starts, sizes = np.frombuffer(strings.buffers()[2] or b"\0", np.uint8), ends[:-1], np.diff(ends)
+    h, left = sizes.astype(np.uint64), np.flatnonzero(sizes <= HASHED)
+    for k in range(HASHED):
+        left = left[sizes[left] > k]
+        h[left] = h[left] * np.uint64(6364136223846793005) + data[starts[left] + k]
+    for i in np.flatnonzero(sizes > HASHED):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i + 1]])
+    return _mixed(h)
+
+
+def word_hashes(words: pa.Array, langs: pa.Array) -> np.ndarray:
+    """A hash of each word in its language, or in the only one."""
+    return _mixed(hashes(words) + hashes(langs) * np.uint64(31))
+
+
 class Words:
     """A shard of one language as numbers: each token's place among the distinct words (``broken``: a piece ends), and words' hashes."""
 
     def __init__(self, lang: str, text: str) -> None:
-        at, words = numbered(text)
-        self.names = words.to_pylist()
-        self.broken = self.names.index("\n") if "\n" in self.names else -1
-        self.at = at
-        self.hashes = np.fromiter((word_hash(lang, w) for w in self.names), np.uint64, len(self.names))
+        self.at, self.names = numbered(text)
+        self.broken = pc.index(self.names, pa.scalar("\n", self.names.type)).as_py()
+        self.hashes = word_hashes(self.names, pa.array([lang], pa.string()))
 
-    def windows(self, n: int, allowed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of n words without a break, all of whose shorter windows the bitmaps allow.
+    def windows(self, lengths: range, allowed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length, starts and hashes of the windows of so many words without a break, all of whose shorter windows the bitmaps allow.
 
         allowed[k] has a bit for each cell of windows of k + 1 words.
         """
         h = self.hashes[self.at]
         good = self.at != self.broken
-        for k in range(1, n + 1):
+        for k in range(1, lengths.stop):
             if k > 1:
                 h = _mixed(h[:-1] * np.uint64(31)) + self.hashes[self.at[k - 1 :]]
                 good = good[:-1] & good[1:]
@@ -106,8 +123,9 @@ class Words:
                 bits = allowed[k - 1]
                 cell = self.cells(h[good], len(bits) * 8)
                 good[np.flatnonzero(good)[(bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 0]] = False
-        starts = np.flatnonzero(good)
-        return starts, h[starts]
+            if k in lengths:
+                starts = np.flatnonzero(good)
+                yield starts, h[starts]
 
     @staticmethod
     def cells(hashes: np.ndarray, n_cells: int) -> np.ndarray:
@@ -148,8 +166,7 @@ def word_cells(words: DataFrame, n_cells: int) -> DataFrame:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            cell = Words.cells(np.fromiter((word_hash(k, w) for k, w in pairs), np.uint64, batch.num_rows), n_cells)
+            cell = Words.cells(word_hashes(batch.column(1), batch.column(0)), n_cells)
             yield from _blocks(cell, np.full(len(cell), 255, np.uint8))
 
     return _frequent(words.select("lang", "word").mapInArrow(cells, "block int, offsets binary, counts binary"), 1)
@@ -196,41 +213,59 @@ def window_cells(texts: DataFrame, n: int, allowed: list, n_cells: int, least: i
         release_heavy()
         bits = [b.value for b in allowed]
         for shard in shards(batches):
-            cells = np.concatenate([Words.cells(Words(k, t).windows(n, bits)[1], n_cells) for k, t in shard.items()])
+            cells = np.concatenate([Words.cells(h, n_cells) for k, t in shard.items() for _, h in Words(k, t).windows(range(n, n + 1), bits)])
             cell, counts = np.unique(cells, return_counts=True)
             yield from _blocks(cell, np.minimum(counts, 255).astype(np.uint8))
 
     return _frequent(texts.mapInArrow(run, "block int, offsets binary, counts binary"), least)
 
 
-def distinct_rows(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
-    """The distinct windows of n words among those at ``starts``, a row of word numbers each."""
-    base, rows = len(words.names), words.at[starts[:, None] + np.arange(n)].astype(np.int64)
+def distinct_rows(at: np.ndarray, base: int, starts: np.ndarray, n: int) -> np.ndarray:
+    """The distinct windows of n numbers below ``base`` among those at ``starts``, sorted."""
+    rows = at[starts[:, None] + np.arange(n)].astype(np.int64)
     if base**n >= 1 << 62:
         return np.unique(rows, axis=0)
     weights = base ** np.arange(n - 1, -1, -1, dtype=np.int64)
     return np.unique(rows @ weights)[:, None] // weights % base
 
 
-def scan(words: Words, lengths: range, allowed: list[np.ndarray]) -> Iterator[tuple[list[str], int, np.ndarray]]:
-    """(phrases, their length, counts): a shard's candidates, counted by one scan of its delimited text."""
-    names, found = words.names, []
-    for n in lengths:
-        starts, _ = words.windows(n, allowed)
-        if len(starts):
-            found.append((n, [" ".join([names[i] for i in row]) for row in distinct_rows(words, starts, n).tolist()]))
-    if not found:
+def word_codes(n: int) -> list[str]:
+    """n codes, short ones first. The first letter tells a code's length and is in no other place, so codes in a row are read in one way only."""
+    tail = [chr(33 + i) for i in range(DIGITS)]
+    heads = ([chr(33 + DIGITS * size + i) for i in range(DIGITS)] for size in count(1))
+    return list(islice(chain.from_iterable(map("".join, product(head, *[tail] * more)) for more, head in enumerate(heads)), n))
+
+
+def scan(words: Words, lengths: range, allowed: list[np.ndarray]) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """(phrases, their length, counts): a shard's candidates, counted by one scan of its coded text."""
+    windows = [(n, starts) for n, (starts, _) in zip(lengths, words.windows(lengths, allowed)) if len(starts)]
+    if not windows:
         return
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, phrase in enumerate(chain.from_iterable(p for _, p in found)):
-        automaton.add_word(f" {phrase} ", k)
+    covered = np.zeros(len(words.at) + 1, bool)
+    for n, starts in windows:
+        for i in range(n):
+            covered[starts + i] = True
+    covered, kept = covered[:-1], covered[:-1] | np.roll(covered, 1)[:-1]  # a break behind each covered stretch
+    often = np.bincount(words.at[covered], minlength=len(words.names))
+    order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    rank = np.full(len(often), len(order))
+    rank[order] = np.arange(len(order))
+    at = np.where(covered, rank[words.at], len(order))
+    codes = word_codes(len(order))
+    coded, names = pa.array(codes, pa.string()), words.names.take(pa.array(order)).cast(pa.string())
+    found, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for n, starts in windows:
+        columns = [pa.array(c) for c in distinct_rows(at, len(order), starts, n).T]
+        for phrase in pc.binary_join_element_wise(*map(coded.take, columns), "").to_numpy(zero_copy_only=False).tolist():
+            automaton.add_word(phrase, len(automaton))
+        found.append((n, pc.binary_join_element_wise(*map(names.take, columns), " ")))
     automaton.make_automaton()
-    text = " ".join(["", *map(names.__getitem__, words.at.tolist()), ""])
+    text = "".join(map([*codes, " "].__getitem__, at[kept].tolist()))
     counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(automaton))
-    at = 0
+    first = 0
     for n, phrases in found:
-        yield phrases, n, counts[at : at + len(phrases)]
-        at += len(phrases)
+        yield phrases, n, counts[first : first + len(phrases)]
+        first += len(phrases)
 
 
 def count_candidates(texts: DataFrame, allowed: list, config: MineConfig) -> DataFrame:
@@ -243,7 +278,7 @@ def count_candidates(texts: DataFrame, allowed: list, config: MineConfig) -> Dat
             for lang, text in shard.items():
                 for phrases, n, counts in scan(Words(lang, text), range(2, config.max_words + 1), bits):
                     size = len(phrases)
-                    cols = [pa.array([lang] * size, pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(counts, pa.int64())]
+                    cols = [pa.array([lang] * size, pa.string()), phrases, pa.array(np.full(size, n, np.int32)), pa.array(counts, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "size", "a"])
 
     counted = texts.mapInArrow(run, "lang string, phrase string, size int, a bigint")

@@ -3,8 +3,10 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import ahocorasick
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,59 @@ def test_no_phrases_in_empty_tables(docs):
     assert phrase_mining.collocations(docs.withColumn("text", F.lit(None).cast("string"))).collect() == []
 
 
+def test_a_scan_reads_a_few_letters_a_word(monkeypatch):
+    """Counts of overlapping phrases are exact, whatever the words' lengths; the automaton sees codes, and of what no candidate covers a break."""
+    rng = np.random.default_rng(12)
+    names = [("wörter" * (1 + i % 12)) + str(i) for i in range(3000)] + ["a", "aa", "é"]
+    tokens = [names[i] if rng.random() > 0.03 else "." for i in rng.zipf(1.2, 20_000) % len(names)]
+    pieces = [p.split() for p in " ".join(tokens).split(".")]
+    true = {n: Counter(" ".join(p[i : i + n]) for p in pieces for i in range(len(p) - n + 1)) for n in (1, 2, 3)}
+    text, made = " ".join(tokens), ahocorasick.Automaton
+    for least in (1, 3):
+        allowed = []
+        for n in (1, 2, 3):
+            words = phrase_mining.Words("en", text)
+            cells, found = np.unique(words.cells(next(words.windows(range(n, n + 1), allowed))[1], 1 << 20), return_counts=True)
+            bits = np.zeros(1 << 20, bool)
+            bits[cells[found >= least]] = True
+            allowed.append(np.packbits(bits, bitorder="little"))
+        letters = Counter()
+
+        class Recorded:
+            def __init__(self, *args):
+                self.inner = made(*args)
+
+            def __len__(self):
+                return len(self.inner)
+
+            def __getattr__(self, name):
+                if name in ("add_word", "iter"):
+                    return lambda text, *more: letters.update({name: len(text)}) or getattr(self.inner, name)(text, *more)
+                return getattr(self.inner, name)
+
+        monkeypatch.setattr(phrase_mining.ahocorasick, "Automaton", Recorded)
+        got = {n: dict(zip(map(str, phrases), counts.tolist())) for phrases, n, counts in phrase_mining.scan(words, range(2, 4), allowed)}
+        for n in (2, 3):
+            assert all(true[n][p] == a for p, a in got[n].items())
+            assert {p for p, a in true[n].items() if a >= least} <= got[n].keys()
+        assert letters["iter"] < 3 * len(tokens) and letters["add_word"] < 3 * sum(n * len(got[n]) for n in (2, 3))
+
+
+def test_codes_of_words_delimit_themselves():
+    codes = phrase_mining.word_codes(40_000)
+    size = {c[0]: len(c) for c in codes}
+    assert len(set(codes)) == 40_000 and len(codes[-1]) == 4 and list(map(len, codes)) == sorted(map(len, codes))
+    assert all(len(c) == size[c[0]] and not size.keys() & set(c[1:]) and " " not in c for c in codes)
+
+
+def test_hashes_go_by_the_string_alone():
+    words = ["", "a", "b", "ab", "ba", "é" * 16, "é" * 17, "x" * 32, "x" * 33, "x" * 500, "y" + "x" * 499, "\x00", "\x00\x00"]
+    one = [phrase_mining.hashes(pa.array([w], pa.string()))[0] for w in words]
+    assert len(set(one)) == len(words)
+    assert phrase_mining.hashes(pa.array(["zz", *words], pa.large_string())[1:]).tolist() == phrase_mining.hashes(pa.array(words, pa.string())).tolist() == one
+    assert len(phrase_mining.hashes(pa.array([], pa.string()))) == 0 and len(set(phrase_mining.hashes(pa.array(["", ""])))) == 1
+
+
 # 13
 
 
