@@ -95,3 +95,14 @@ def test_the_overlay_reads_documents_and_parts_alone(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
     assert found.count() == 60 and stored(spark) == before
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_ingest_reads_its_own_folder_alone(spark, tmp_path):
+    """No projection has to be there from a query before, and none of another folder is read."""
+    (tmp_path / "tables").symlink_to(SF)
+    spark.catalog.dropTempView("coverage_files")
+    first = QUERIES["N-01_ingest"](spark, f"{tmp_path}/tables").collect()
+    spark.createDataFrame([], "id bigint, path string, content_hash string").createOrReplaceTempView("coverage_files")
+    (tmp_path / "again").symlink_to(SF)
+    assert sorted(QUERIES["N-01_ingest"](spark, f"{tmp_path}/again").collect()) == sorted(first) != []
