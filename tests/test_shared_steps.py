@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,33 @@ def test_low_similarity_counts_shared_hashes(spark, hashes, size):
     assert {(r.a, r.b, r.shared) for r in pairs.collect()} == want and want
 
 
+def test_pairs_that_only_meet_leave_no_task(spark, monkeypatch):
+    """Nearly every two of these sets share a hash, and few are similar: they are counted in blocks, not joined."""
+    draw = random.Random(5)
+    sets = {k: set(draw.sample(range(200), 20)) for k in range(150)}
+    sets |= {500 + k: set(list(sets[k])[:15]) for k in range(5)} | {900: {1}, 901: {10_000}}
+    rows = spark.createDataFrame([(k, f"h{h}") for k, s in sets.items() for h in s], "key bigint, hash string")
+    monkeypatch.setattr(I, "BLOCK", 700)
+    pairs = I.clone_pairs(rows, 0.3, 1)
+    assert "Join" not in pairs._jdf.queryExecution().analyzed().toString()
+    want = {(a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
+    assert {(r.a, r.b, r.shared) for r in pairs.collect()} == want and len(want) >= 5
+
+
+@pytest.mark.parametrize("meets", [1, 7, 300, 1 << 22])
+@pytest.mark.parametrize("numbers", [30, 4000])
+def test_shared_numbers_of_two_blocks(monkeypatch, numbers, meets):
+    monkeypatch.setattr(I, "MEETS", meets)
+    draw = random.Random(numbers)
+    one, two = ([draw.sample(range(numbers), draw.randrange(12)) for _ in range(n)] for n in (40, 25))
+    flat = lambda x: (np.array(sum(x, []), np.int32), np.array([len(s) for s in x], np.int64))
+    size = lambda x: np.array([max(1, len(s)) for s in x], np.int64)
+    for x, y, same in ((one, two, False), (one, one, True), (one, [], False), ([], two, False)):
+        found = I._shared_counts(flat(x), flat(y), size(x), size(y), 1e-9, same)
+        want = [(i, j, len(set(a) & set(b))) for i, a in enumerate(x) for j, b in enumerate(y) if set(a) & set(b) and (i < j or not same)]
+        assert sorted(zip(*(f.tolist() for f in found), strict=True)) == want
+
+
 def test_a_common_key_is_one_row(spark):
     """A thousand references and nodes under one key are no million candidates."""
     refs = spark.range(1000).select("id", F.lit("k").alias("target"))
