@@ -55,6 +55,27 @@ def test_shared_numbers_of_two_blocks(monkeypatch, numbers, meets):
         assert sorted(zip(*(f.tolist() for f in found), strict=True)) == want
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Forty copies of two similar sets are 3160 pairs, of which one is compared."""
+    sets = {k: set(range(k % 2, 40)) for k in range(80)} | {100 + k: set(range(1000 * k, 1000 * k + 5)) for k in range(9)} | {200: set(range(30)) | {7000}}
+    rows = spark.createDataFrame([(k, h) for k, s in sets.items() for h in s], "key bigint, hash bigint")
+    compared, plain = [], I._similar
+    monkeypatch.setattr(I, "_similar", lambda whole, similarity: compared.append(whole.count()) or plain(whole, similarity))
+    found = {(r.a, r.b, r.shared, r.similarity) for r in I.clone_pairs(rows, 0.85, 2).collect()}
+    pairs = [(a, b, len(sets[a] & sets[b]), len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in combinations(sorted(sets), 2)]
+    assert found == {p for p in pairs if p[3] >= 0.85} and len(found) == 3160 and compared == [12]
+
+
+def test_similar_sets_are_all_found(spark):
+    draw = random.Random(3)
+    base = [draw.sample(range(400), 30) for _ in range(12)]
+    sets = {k: set(base[k % 12][draw.randrange(4) :]) | set(draw.sample(range(400), draw.randrange(4))) for k in range(96)}
+    rows = spark.createDataFrame([(k, h) for k, s in sets.items() for h in s], "key bigint, hash bigint")
+    for least in (0.6, 0.85):
+        want = {(a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert {(r.a, r.b, r.shared) for r in I.clone_pairs(rows, least).collect()} == want != set()
+
+
 def test_a_common_key_is_one_row(spark):
     """A thousand references and nodes under one key are no million candidates."""
     refs = spark.range(1000).select("id", F.lit("k").alias("target"))
